@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, line_dedup, packing, token_files
+from . import byte_bpe, fuzzy_hash, line_dedup, packing, simhash, token_files
 from .common import fresh_dir
 from .token_ids import WordEncoder
 
@@ -30,6 +30,10 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op4_fuzzy_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fuzzy_hash.fingerprint_documents(_table(spark, sf_dir, "documents"), with_edited=False)
+
+
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = fresh_dir(spark, "token-shards")
     token_files.write_token_shards(_table(spark, sf_dir, "documents"), folder, word_encoder, end_id=2)
@@ -43,11 +47,17 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.encode_documents(_table(spark, sf_dir, "documents"), path, pattern, with_ids=False)
 
 
+def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.link_documents(_table(spark, sf_dir, "documents"), size=3, radius=3)
+
+
 QUERIES = {
     "op1_packing": op1_packing,
     "op3_line_dedup": op3_line_dedup,
+    "op4_fuzzy_hash": op4_fuzzy_hash,
     "op5_token_files": op5_token_files,
     "op9_byte_bpe": op9_byte_bpe,
+    "op10_simhash": op10_simhash,
 }
 
 ORACLE = {"op3_line_dedup": line_dedup.ORACLE}
