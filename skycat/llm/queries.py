@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, fuzzy_hash, line_dedup, packing, simhash, token_files
+from . import byte_bpe, fuzzy_hash, line_dedup, nearest, packing, simhash, token_files
 from .common import fresh_dir
 from .token_ids import WordEncoder
 
@@ -40,6 +40,10 @@ def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_token_shards(spark, folder)
 
 
+def op7_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest.search(_table(spark, sf_dir, "embeddings"), k=20, every=20)
+
+
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -56,6 +60,7 @@ QUERIES = {
     "op3_line_dedup": op3_line_dedup,
     "op4_fuzzy_hash": op4_fuzzy_hash,
     "op5_token_files": op5_token_files,
+    "op7_nearest": op7_nearest,
     "op9_byte_bpe": op9_byte_bpe,
     "op10_simhash": op10_simhash,
 }
