@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, fuzzy_hash, line_dedup, nearest, packing, simhash, token_files
+from . import byte_bpe, fuzzy_hash, html_text, line_dedup, nearest, packing, simhash, token_files
 from .common import fresh_dir
 from .token_ids import WordEncoder
 
@@ -44,6 +44,10 @@ def op7_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest.search(_table(spark, sf_dir, "embeddings"), k=20, every=20)
 
 
+def op8_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(_table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+
+
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -61,6 +65,7 @@ QUERIES = {
     "op4_fuzzy_hash": op4_fuzzy_hash,
     "op5_token_files": op5_token_files,
     "op7_nearest": op7_nearest,
+    "op8_html_text": op8_html_text,
     "op9_byte_bpe": op9_byte_bpe,
     "op10_simhash": op10_simhash,
 }
