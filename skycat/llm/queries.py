@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, fuzzy_hash, html_text, line_dedup, nearest, packing, simhash, token_files
+from . import byte_bpe, fuzzy_hash, html_text, language, line_dedup, nearest, packing, quality, simhash, token_files
 from .common import fresh_dir
 from .token_ids import WordEncoder
 
@@ -25,6 +25,11 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_table(spark, sf_dir, "documents"), word_encoder, end_id=2, capacity=4096)
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = quality.resample(_table(spark, sf_dir, "documents").select("doc_id", "text"), _table(spark, sf_dir, "labels"))
+    return kept.select("doc_id", "log_weight", "gumbel_key")
+
+
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = line_dedup.dedup_lines(_table(spark, sf_dir, "documents").select("doc_id", "text"), min_chars=20, min_docs=3)
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
@@ -40,6 +45,11 @@ def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_token_shards(spark, folder)
 
 
+def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").withColumn("family", F.regexp_replace("source", "[0-9]+$", ""))
+    return language.identify(docs, declared_col="lang", host_col="source", domain_col="family")
+
+
 def op7_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest.search(_table(spark, sf_dir, "embeddings"), k=20, every=20)
 
@@ -61,9 +71,11 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_packing": op1_packing,
+    "op2_quality": op2_quality,
     "op3_line_dedup": op3_line_dedup,
     "op4_fuzzy_hash": op4_fuzzy_hash,
     "op5_token_files": op5_token_files,
+    "op6_language": op6_language,
     "op7_nearest": op7_nearest,
     "op8_html_text": op8_html_text,
     "op9_byte_bpe": op9_byte_bpe,
