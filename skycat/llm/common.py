@@ -56,3 +56,8 @@ def range_group(key: Column, points: list[int]) -> Column:
         return F.lit(0)
     found = F.lit(len(points)) - F.size(F.filter(F.array(*map(F.lit, points)), lambda p: p > key))
     return F.coalesce(found, F.lit(0)).cast("int")
+
+
+def small(df: DataFrame, most: int = 1_000_000) -> DataFrame:
+    """A frame to join with: `df`, already cut, with a broadcast hint if it has at most `most` (narrow) rows."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
