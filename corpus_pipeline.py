@@ -1,12 +1,62 @@
-"""A corpus pipeline of operators from skycat.llm; the stages follow in order."""
+"""A corpus pipeline of operators from skycat.llm; each stage's rows are written and read again as the next one's."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-STAGES: list = []
+from skycat.llm import language, line_dedup, packing, quality, simhash
+from skycat.llm.common import cut, fresh_dir, small
+from skycat.llm.queries import word_encoder
+
+
+def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Importance resampling towards documents labelled good; the others go."""
+    kept = quality.resample(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return kept.select(docs.columns)
+
+
+def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language can't be told go."""
+    known = language.identify(docs.withColumn("family", F.regexp_replace("source", "[0-9]+$", "")), declared_col="lang", host_col="source", domain_col="family")
+    gone = cut(known.filter(~F.col("accepted")).select(F.col("doc_id").alias("__gone")).distinct())
+    return docs.join(small(gone), docs["doc_id"].cast("long").eqNullSafe(F.col("__gone")), "left_anti")
+
+
+def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines that at least three documents share stay in one of them."""
+    kept = line_dedup.dedup_lines(docs)
+    return kept.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(docs.columns)
+
+
+def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates stays."""
+    return simhash.drop_near_duplicates(docs, size=5, similarity=0.8)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of documents in sequences of 4096 tokens."""
+    return packing.pack_documents(docs, word_encoder, end_id=2, capacity=4096)
+
+
+STAGES = [
+    ("quality", keep_quality),
+    ("language", keep_languages),
+    ("line_dedup", drop_lines),
+    ("near_dedup", drop_copies),
+    ("packing", pack),
+]
+
+#: SQL can't express the models of the first stages.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """All stages over documents, through Parquet files in the shared folder."""
+    docs, folder = spark.read.parquet(f"{sf_dir}/documents.parquet"), fresh_dir(spark, "pipeline")
+    for number, (name, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if number + 1 < len(STAGES):
+            docs.write.parquet(f"{folder}/{number}-{name}")
+            docs = spark.read.parquet(f"{folder}/{number}-{name}")
+    return docs
