@@ -1,0 +1,27 @@
+"""Row numbers over a whole table without gathering it in one task."""
+
+from __future__ import annotations
+
+from collections.abc import Sequence
+
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+
+def with_row_number(rows: DataFrame, name: str, order: Sequence[str], first: int = 1) -> DataFrame:
+    """`rows` with their place in the order of the columns.
+
+    Rows are dealt to ranges by a quantile sketch of the first column and numbered within them; a range's start is the
+    sum of the sizes before it, one row for each range. Equal values of the first column fall into one range, so the
+    numbers are exact.
+    """
+    lead = order[0]
+    ranges = max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    points = sorted({p for p in rows.approxQuantile(lead, [i / ranges for i in range(1, ranges)], 0.01) if p is not None})
+    part = F.coalesce(F.size(F.filter(F.array(*map(F.lit, points)), lambda p: p <= F.col(lead))), F.lit(-1)) if points else F.lit(0)
+    rows = rows.withColumn("__part", part)
+    sizes = rows.groupBy("__part").agg(F.count("*").alias("__size"))
+    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select("__part", F.coalesce(F.sum("__size").over(before), F.lit(0)).alias("__start"))
+    place = F.row_number().over(Window.partitionBy("__part").orderBy(*order))
+    return rows.join(F.broadcast(starts), "__part").withColumn(name, F.col("__start") + place + (first - 1)).drop("__part", "__start")
