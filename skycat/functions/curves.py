@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .hashing import MULTIPLIERS, _signed, wrapping_multiply
+from .hashing import _signed, let, mix
 from .lensing import amplification
 from .photometry import clip
 
@@ -15,8 +15,7 @@ TAU = 2.0 * math.pi
 
 
 def smoothstep(c: Column) -> Column:
-    v = clip(c, 0.0, 1.0)
-    return v * v * (3.0 - 2.0 * v)
+    return let(clip(c, 0.0, 1.0), lambda v: v * v * (3.0 - 2.0 * v))
 
 
 def wrapped(cycle: Column, centre: Column | float) -> Column:
@@ -45,26 +44,25 @@ def wave(*terms: tuple) -> Column:
 
 def lattice(cell: Column, seed: Column) -> Column:
     """A number in [0, 1) for each time cell and seed."""
-    v = cell.cast("long").bitwiseXOR(seed + F.lit(_signed(0x9E3779B97F4A7C15)))
-    v = wrapping_multiply(v.bitwiseXOR(F.shiftrightunsigned(v, 30)), MULTIPLIERS[0])
-    v = wrapping_multiply(v.bitwiseXOR(F.shiftrightunsigned(v, 27)), MULTIPLIERS[1])
-    return F.shiftrightunsigned(v.bitwiseXOR(F.shiftrightunsigned(v, 31)), 40).cast("double") / float(1 << 24)
+    return mix(cell.cast("long").bitwiseXOR(seed + F.lit(_signed(0x9E3779B97F4A7C15))))
 
 
 def smooth_noise(position: Column, seed: Column) -> Column:
-    cell = F.floor(position)
-    left, right = lattice(cell, seed), lattice(cell + 1, seed)
-    return left + (right - left) * smoothstep(position - cell)
+    def at(p: Column) -> Column:
+        left, right = lattice(F.floor(p), seed), lattice(F.floor(p) + 1, seed)
+        return let(left, lambda v: v + (right - v) * smoothstep(p - F.floor(p)))
+
+    return let(position, at)
 
 
 def models(c: dict[str, Column]) -> dict[str, tuple[Column, Column]]:
-    """(signal, colour driver) of every model.
+    """(signal, colour driver) of every model; without a colour driver it is 2 * signal - 1.
 
     c: cycle, elapsed, period, progress, irregularity, p1, p2 (mode phases), centre, width, shape (of an event).
     """
     x, p1, p2, irregular, zero = c["cycle"], c["p1"], c["p2"], c["irregularity"], F.lit(0.0)
     half = lambda w: clip(0.5 + 0.5 * w, 0.0, 1.0)
-    both = lambda s: (s, 2.0 * s - 1.0)
+    both = lambda s: (s, None)
     relative = (c["progress"] - c["centre"]) / c["width"]
 
     slow = 0.5 + 0.5 * F.sin(TAU * x - 0.5 * math.pi)
@@ -122,16 +120,16 @@ def models(c: dict[str, Column]) -> dict[str, tuple[Column, Column]]:
     }
 
 
-def light_curve(model: Column, c: dict[str, Column]) -> tuple[Column, Column]:
-    """Signal and colour driver of the row's model; an unknown model is an error when the row is evaluated."""
-    known = models(c)
-    out = []
-    for part in (0, 1):
-        value = F.when(model.isNull(), F.raise_error(F.lit("no light-curve model")).cast("double"))
-        for name, pair in known.items():
-            value = value.when(model == name, pair[part])
-        out.append(value.otherwise(F.raise_error(F.concat(F.lit("unknown light-curve model: "), model)).cast("double")))
-    return tuple(out)
+def light_curve(model: Column, c: dict[str, Column]) -> Column:
+    """A struct of the signal and colour of the row's model (null: the colour is 2 * signal - 1); an unknown model is an error when the row is evaluated."""
+    value = None
+    for name, (signal, colour) in models(c).items():
+        if colour is None:  # the colour follows the signal
+            colour = F.lit(None)
+        pair = F.struct(signal.cast("double").alias("signal"), colour.cast("double").alias("colour"))
+        value = F.when(model == name, pair) if value is None else value.when(model == name, pair)
+    wrong = F.concat(F.lit("unknown light-curve model: "), F.coalesce(model, F.lit("none")))
+    return value.otherwise(F.struct(F.raise_error(wrong).cast("double").alias("signal"), F.lit(0.0).alias("colour")))
 
 
 def relative_flux(signal: Column, amplitude: Column, mode: Column) -> Column:

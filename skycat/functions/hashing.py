@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -14,24 +16,38 @@ def _signed(n: int) -> int:
     return n - (1 << 64) if n >> 63 else n
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """`body` of a value that is computed once, however often the body uses it; keeps expressions from growing."""
+    return F.element_at(F.transform(F.array(value), lambda v: body(v)), 1)
+
+
 def wrapping_multiply(c: Column, factor: int) -> Column:
     """The product modulo 2**64, in limbs of 22, 22 and 20 bits: no product overflows, so ANSI mode allows it."""
-    low = F.lit(_LOW)
-    a = [c.bitwiseAND(low), F.shiftrightunsigned(c, 22).bitwiseAND(low), F.shiftrightunsigned(c, 44)]
-    k = [factor & _LOW, factor >> 22 & _LOW, factor >> 44]
-    p0 = a[0] * k[0]
-    p1 = a[0] * k[1] + a[1] * k[0] + F.shiftrightunsigned(p0, 22)
-    p2 = a[0] * k[2] + a[1] * k[1] + a[2] * k[0] + F.shiftrightunsigned(p1, 22)
-    middle = F.shiftleft(p1.bitwiseAND(low), 22)
-    return p0.bitwiseAND(low).bitwiseOR(middle).bitwiseOR(F.shiftleft(p2.bitwiseAND(F.lit(_TOP)), 44))
+    low, k = F.lit(_LOW), (factor & _LOW, factor >> 22 & _LOW, factor >> 44)
+
+    def product(v: Column) -> Column:
+        a = [v.bitwiseAND(low), F.shiftrightunsigned(v, 22).bitwiseAND(low), F.shiftrightunsigned(v, 44)]
+        p0 = a[0] * k[0]
+        p1 = a[0] * k[1] + a[1] * k[0] + F.shiftrightunsigned(p0, 22)
+
+        def rest(m: Column) -> Column:
+            p2 = a[0] * k[2] + a[1] * k[1] + a[2] * k[0] + F.shiftrightunsigned(m, 22)
+            top = F.shiftleft(p2.bitwiseAND(F.lit(_TOP)), 44)
+            return p0.bitwiseAND(low).bitwiseOR(F.shiftleft(m.bitwiseAND(low), 22)).bitwiseOR(top)
+
+        return let(p1, rest)
+
+    return let(c, product)
+
+
+def mix(value: Column) -> Column:
+    """24 well-mixed bits of a 64-bit number, as a number in [0, 1)."""
+    shifted = lambda c, n: let(c, lambda v: v.bitwiseXOR(F.shiftrightunsigned(v, n)))
+    first = wrapping_multiply(shifted(value, 30), MULTIPLIERS[0])
+    second = wrapping_multiply(shifted(first, 27), MULTIPLIERS[1])
+    return F.shiftrightunsigned(shifted(second, 31), 40).cast("double") / float(1 << 24)
 
 
 def uniform(source_id: Column, seed: int) -> Column:
     """A number in [0, 1) for each id and seed, the same on every machine and in every order."""
-    v = source_id.cast("long").bitwiseXOR(F.lit(_signed(seed)))
-    v = v.bitwiseXOR(F.shiftrightunsigned(v, 30))
-    v = wrapping_multiply(v, MULTIPLIERS[0])
-    v = v.bitwiseXOR(F.shiftrightunsigned(v, 27))
-    v = wrapping_multiply(v, MULTIPLIERS[1])
-    v = v.bitwiseXOR(F.shiftrightunsigned(v, 31))
-    return F.shiftrightunsigned(v, 40).cast("double") / float(1 << 24)
+    return mix(source_id.cast("long").bitwiseXOR(F.lit(_signed(seed))))

@@ -94,8 +94,8 @@ def frames(stars: DataFrame, epochs: DataFrame, height: float = 8192.0) -> DataF
     cycle = F.pmod(F.col("used_phase") / TAU + F.col("elapsed") / F.col("used_period"), F.lit(1.0))
     both = both.withColumn("cycle", cycle)
     c = {"cycle": F.col("cycle"), "elapsed": F.col("elapsed"), "period": F.col("used_period"), "progress": F.col("progress"), "irregularity": F.col("used_irregularity"), "p1": F.col("mode_phase_1"), "p2": F.col("mode_phase_2"), "centre": F.col("event_centre"), "width": F.col("event_width"), "shape": F.col("event_shape")}
-    signal, colour = light_curve(F.col("model"), c)
-    both = both.withColumns({"signal": signal, "colour_driver": colour})
+    both = both.withColumn("curve", light_curve(F.col("model"), c))
+    both = both.withColumn("signal", F.col("curve.signal")).withColumn("colour_driver", F.coalesce("curve.colour", 2.0 * F.col("signal") - 1.0))
     both = both.withColumn("relative_flux", relative_flux(F.col("signal"), F.col("used_amplitude"), F.col("flux_mode")))
     sigma, alpha = display_size(F.col("relative_flux"), F.col("size_scale"), F.col("size_response"), F.col("intensity_scale"), F.col("brightness_response"), height)
     both = both.withColumns({"sigma": sigma, "alpha": alpha * F.col("opacity")}).filter(F.col("alpha") > 0)
