@@ -6,9 +6,12 @@ import json
 import os
 import re
 import unicodedata
+from array import array
+from operator import attrgetter
 
 import numpy as np
 
+_ID = attrgetter("id")
 #: Python's str.split also splits at these four, the tokenizer's white space doesn't hold them.
 _OTHER_SPACE = re.compile("[\x1c-\x1f]")
 #: Marks that the pre-tokenizer always separates from the letters before them, as one run.
@@ -32,12 +35,12 @@ class _Memo(dict):
 class WordEncoder:
     """Ids (little-endian unsigned 32-bit) of a text under a tokenizer that never joins text across white space.
 
-    Every new word goes through the library once: a plain word straight to its BPE model, the marks after it and any
-    other word through the whole tokenizer. A text that holds a separator only Python splits at goes to the library
-    whole. `memory` bounds the words and the word cores that a worker remembers.
+    Texts are lower-cased first, as the tokenizer would do. A new word is a word core and the marks after it; every new
+    core goes through the library once, letters alone straight to its BPE model. A text for which this could differ
+    goes to the library whole. `memory` bounds the words and, twice that, the cores that a worker remembers.
     """
 
-    def __init__(self, path: str, memory: int = 600_000):
+    def __init__(self, path: str, memory: int = 700_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -50,30 +53,32 @@ class WordEncoder:
         self.plain = steps == ["NFC", "Replace", "Lowercase"] and splits == ["Split", "ByteLevel"]
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
         self.shown = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in shown)}
-        self.words, self.cores = _Memo(self._word, memory), _Memo(self._core, memory)
+        self.words, self.cores = _Memo(self._word, memory), _Memo(self._core, 2 * memory)
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
     def _core(self, core: str) -> bytes:
-        if self.plain:
-            low = core if core.isascii() else unicodedata.normalize("NFC", core).lower()
-            if low.isalpha() and "Σ" not in core:
-                known = low if low.isascii() else low.encode().decode("latin-1").translate(self.shown)
-                return np.array([t.id for t in self.tokenizer.model.tokenize(known)], dtype="<u4").tobytes()
+        if self.plain and core.isalpha():
+            known = core if core.isascii() else core.encode().decode("latin-1").translate(self.shown)
+            return array("I", map(_ID, self.tokenizer.model.tokenize(known))).tobytes()
         return self.whole(core)
 
     def _word(self, word: str) -> bytes:
-        core = word.rstrip(_TAIL)
-        if not core.isalpha() or not self.plain:
+        if not self.plain or word.isalpha():
             return self.cores[word]
-        ids = self.cores[core.lower() if core.isascii() else core]
-        return ids + self.cores[word[len(core):]] if len(core) < len(word) else ids
+        core = word.rstrip(_TAIL)
+        return self.cores[core] + self.cores[word[len(core) :]] if core.isalpha() else self.cores[word]
 
     def encode(self, text: str | None) -> bytes:
         """The ids of a whole text; none for a null or empty one."""
         if not text:
             return b""
-        if _OTHER_SPACE.search(text):
+        if _OTHER_SPACE.search(text) or "<|" in text or "Σ" in text:
             return self.whole(text)
+        if self.plain:
+            low = text.lower()
+            if not low.isascii() and not (unicodedata.is_normalized("NFC", text) and unicodedata.is_normalized("NFC", low)):
+                return self.whole(text)
+            text = low
         return b"".join(map(self.words.__getitem__, text.split()))
