@@ -27,6 +27,13 @@ def _put(uri: str, name: str, data: bytes) -> None:
     store.move(part, f"{root}/{name}")
 
 
+def _make(uri: str) -> None:
+    from pyarrow import fs
+
+    store, root = fs.FileSystem.from_uri(uri)
+    store.create_dir(root, recursive=True)
+
+
 def write_token_shards(
     docs: DataFrame,
     folder: str,
@@ -45,6 +52,7 @@ def write_token_shards(
 
     Null doc_id: before all others. Repeated doc_ids: by text. Null or empty text: the end id alone.
     """
+    _make(folder)
     ordered = narrow(docs, doc_id=id_col, text=text_col).repartitionByRange(partitions(docs.sparkSession), F.asc_nulls_first("doc_id"))
     ordered = ordered.sortWithinPartitions(F.asc_nulls_first("doc_id"), F.asc_nulls_first("text"))
 
