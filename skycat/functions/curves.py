@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .hashing import _signed, let, mix
+from .hashing import _signed, let, mix, wrapping_add
 from .lensing import amplification
 from .photometry import clip
 
@@ -44,7 +44,7 @@ def wave(*terms: tuple) -> Column:
 
 def lattice(cell: Column, seed: Column) -> Column:
     """A number in [0, 1) for each time cell and seed."""
-    return mix(cell.cast("long").bitwiseXOR(seed + F.lit(_signed(0x9E3779B97F4A7C15))))
+    return mix(cell.cast("long").bitwiseXOR(wrapping_add(seed, 0x9E3779B97F4A7C15)))
 
 
 def smooth_noise(position: Column, seed: Column) -> Column:

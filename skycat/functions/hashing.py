@@ -40,6 +40,18 @@ def wrapping_multiply(c: Column, factor: int) -> Column:
     return let(c, product)
 
 
+def wrapping_add(c: Column, term: int) -> Column:
+    """The sum modulo 2**64, in halves."""
+    mask = (1 << 32) - 1
+
+    def total(v: Column) -> Column:
+        low = v.bitwiseAND(F.lit(mask)) + (term & mask)
+        high = F.shiftrightunsigned(v, 32) + (term >> 32 & mask) + F.shiftrightunsigned(low, 32)
+        return F.shiftleft(high, 32).bitwiseOR(low.bitwiseAND(F.lit(mask)))
+
+    return let(c, total)
+
+
 def mix(value: Column) -> Column:
     """24 well-mixed bits of a 64-bit number, as a number in [0, 1)."""
     shifted = lambda c, n: let(c, lambda v: v.bitwiseXOR(F.shiftrightunsigned(v, n)))
