@@ -122,6 +122,18 @@ LABELLED = (
     "<body><header>The voice of the upper valley, its farms and its forests, printed on Thursdays and read in every house since the year of the great flood</header><article><p>§Hay was cut a week early.</p><p>§It is dry and smells sweet, and the barns are full to the roof, so that some of it was sold to the riding school by the lake.</p></article><div class=comments><p>We cut ours on the same day and had three men and a boy with us, and the weather held until the very last cart was in.</p><p>Same here.</p></div><form>Write what you think of this article, and give us your name and the town you live in, which will be printed with it.</form></body>",
     "<body><main><h1>§Snow in May</h1><p>§Half a metre fell in the night on the pass, and the road will stay closed until the plough comes back from the workshop.</p><div class=ad>Winter tyres at the price of summer tyres, only until the stock is sold, at all our branches.</div><p>§Sheep were brought down to the barns, though two are still missing.</p><aside>Have you taken pictures of the snow? Send them to our office and win a place in the calendar.</aside><p>§More is expected.</p><section class=comments><p>In my village the power failed for six hours and we sat by the stove and told old stories.</p><p>Great.</p></section></main></body>",
     "<body><article><nav><a href=1>Part one</a> of the series on mills</nav><h1>§The upper mill</h1><p>§Its wheel turns again, driven by a pump, and on Sundays the miller's niece grinds a sack of rye for the visitors to watch.</p><form><p>Type your postcode to find the mill that is nearest to your home</p></form><div class=comments><p>My grandfather worked there as a boy and always spoke of the cold, the dust and the noise.</p></div><footer>Filed under mills, by our reporter in the valley</footer></article></body>",
+    "<body><nav><a href=1>Start</a></nav><article><h1>§Storm over the sound</h1><p>§Two ferries stayed in port, and the bridge was closed to lorries until the wind had turned to the north in the early evening.</p><p>§Nobody was hurt.</p></article></body>",
+    "<body><p>§There was no school that day, so we took the small boat out to the rocks and caught nine mackerel before the fog came in.</p></body>",
+    "<body><div><a href=1>Index of all letters</a></div><p>§Dear sister, the parcel came on Monday, whole and dry, and the children have already eaten most of the plums you sent.</p><p>§Write soon, and tell us how the roof was mended, and whether the new teacher has found a room in the village for the winter.</p></body>",
+    "<body><main><p>§Closed.</p></main></body>",
+    "<body><article><h1>§Frost</h1><p>§All the early pears were lost in one night, the growers say, and most of the plums on the lower slopes as well.</p><div class=comments><p>Ours too, though we had lit fires between the rows as my father used to do when I was small.</p></div></article></body>",
+    "<body><article><h1>§Hall sold</h1><p>§The old dance hall by the quay, empty for nine years, has been bought by two brothers who want to open a cinema in it.</p><p>§The price has not been made public yet.</p></article></body>",
+    "<body><nav><a href=1>Back</a></nav><main><h1>§The divers</h1><p>§They found the anchor, a bell and a great many bottles.</p><p>§They will be back in the spring with a new boat.</p></main></body>",
+    "<body><nav><a href=1>World</a> <a href=2>Valley</a> <a href=3>Farms and markets</a> <a href=4>Weather</a> <a href=5>Sport</a> <a href=6>Letters to the editor</a> <a href=7>Births and deaths</a></nav><article><h1>§Bees</h1><p>§Most of the hives came through the winter well.</p></article><p><a href=1>More stories on bees, wasps and other insects from our reporters</a></p></body>",
+    "<body><div class=menu><a href=1>Tables</a> <a href=2>Chairs</a> <a href=3>Beds for children</a> <a href=4>Lamps</a> <a href=5>Shelves</a> <a href=6>All of our offers this week</a></div><main><h2>§How we make a chair</h2><p>§The wood lies for three years before it is cut, and each leg is turned by hand from a piece without any knots.</p></main></body>",
+    "<body><article><p>§It rains in the hills and will go on raining until Sunday.</p></article></body>",
+    "<body><article><p>§The lift to the upper station stands still while its cable, which is older than most of its passengers, is replaced.</p><p>§Walkers can use the forest road, which has been cleared.</p></article></body>",
+    "<body><p>§In the third winter the well froze, and water had to be carried up from the lake in pails, as the diary of the vicar tells.</p><p>§He gives the number of pails for each day, and for each day the name of whoever carried them, until the thaw came in March.</p><div>Made with care in a small town</div></body>",
 )
 
 
