@@ -68,6 +68,7 @@ def blocks(html: str) -> list[tuple[str, float, bool, bool, bool]]:
             continue
         if name == "a":
             anchor = 0 if ending else 1
+            linked.append(" ")
             continue
         if name in _BLOCKS:
             close()
