@@ -56,7 +56,7 @@ def with_index(events: DataFrame) -> DataFrame:
 
     The numbering is by ranges: rows are counted per range, so the order over all events is no single task.
     """
-    from ..plans.ordering import with_row_number
+    from .ordering import with_row_number
 
     numbered = with_row_number(events, "catalogue_index", ["tmax", "input_seq"])
     return numbered.withColumn("name", F.concat(F.lit("ML-"), F.lpad(F.col("catalogue_index").cast("string"), F.greatest(F.lit(3), F.length(F.col("catalogue_index").cast("string"))), F.lit("0"))))

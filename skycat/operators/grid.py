@@ -10,12 +10,17 @@ from pyspark.sql import functions as F
 
 from ..functions.coords import Region, allsky_cell, hammer_cell, hammer_inverse
 from ..functions.photometry import black_body_rgb, clip, flux, temperature
+from .ordering import percentiles
 
 
 def flux_ceiling(stars: DataFrame, share: float = 0.001, g: str = "phot_g_mean_mag") -> DataFrame:
-    """One row: bright_mag, the magnitude that `share` of the stars are brighter than, and its flux."""
-    bright = stars.agg(F.expr(f"percentile({g}, {share})").alias("bright_mag"))
-    return bright.select("bright_mag", flux(F.col("bright_mag")).alias("flux_max"))
+    """One row: bright_mag, the magnitude that `share` of the stars are brighter than, and its flux.
+
+    The percentile is exact and found at once; see percentiles.
+    """
+    bright = percentiles(stars, g, [share])[0]
+    one = stars.sparkSession.createDataFrame([(bright,)], "bright_mag double")
+    return one.select("bright_mag", flux(F.col("bright_mag")).alias("flux_max"))
 
 
 def _sums(rows: DataFrame, ceiling: DataFrame | None) -> DataFrame:
@@ -80,9 +85,10 @@ def dense(spark: SparkSession, cells: DataFrame, width: int, height: int, zeros:
 
 
 def tone_limits(grid: DataFrame) -> DataFrame:
-    """One row of the display limits, over all cells, empty ones too."""
-    of = lambda c, p: F.expr(f"percentile(ln(1 + {c}), {p})")
-    return grid.agg(of("flux", 0.001).alias("flux_low"), of("flux", 0.9999).alias("flux_high"), of("n", 0.01).alias("n_low"), of("n", 0.9985).alias("n_high"))
+    """One row of the display limits, over all cells, empty ones too. Percentiles are exact and found at once."""
+    flux_low, flux_high = percentiles(grid.select(F.log1p("flux").alias("v")), "v", [0.001, 0.9999])
+    n_low, n_high = percentiles(grid.select(F.log1p("n").alias("v")), "v", [0.01, 0.9985])
+    return grid.sparkSession.createDataFrame([(flux_low, flux_high, n_low, n_high)], "flux_low double, flux_high double, n_low double, n_high double")
 
 
 def tone_map(grid: DataFrame, limits: DataFrame) -> DataFrame:
