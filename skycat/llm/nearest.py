@@ -124,7 +124,7 @@ def search(
     recall: float = 0.96,
     fit_rows: int = 4000,
     most_probes: int = 2048,
-    block: int = 8192,
+    block: int = 20_000,
 ) -> DataFrame:
     """For each row whose id is divisible by `every`: its `k` nearest other rows by inner product.
 
