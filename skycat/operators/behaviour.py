@@ -114,3 +114,43 @@ def editorial_axis(spark: SparkSession, start: float, end: float, count: int = 1
     opacity = F.least(clip((seconds - before) / edge, 0.0, 1.0), clip((before + active - seconds) / edge, 0.0, 1.0))
     rows = spark.range(count)
     return rows.select(F.col("id").cast("int").alias("frame"), seconds.alias("seconds"), (start + progress * (end - start)).alias("elapsed"), progress.alias("progress"), F.when(shown, opacity).otherwise(0.0).alias("opacity"))
+
+
+# Temperatures (K) that stand in for hot classes without a usable colour.
+FALLBACK_K = {"BE": 18_000.0, "GCAS": 18_000.0, "SDOR": 20_000.0, "LBV": 20_000.0, "WR": 40_000.0, "UNKNOWN_HOT": 15_000.0}
+
+
+def with_colour_inputs(stars: DataFrame, class_col: str = "resolved_class") -> DataFrame:
+    """Adds used_teff, used_bp_rp and colour_source: a plausible temperature, else a reliable intrinsic colour, else the
+    observed one; dust-reddened WR stars and strongly extinguished SDOR and LBV stars take their class's temperature.
+
+    Expects teff_gspphot, bp_rp, bp_rp_intrinsic, reddening_quality, classification_flags, ag_gspphot and
+    ebpminrp_gspphot.
+    """
+    c, no = F.col, F.lit(False)
+    teff = F.when(c("teff_gspphot").between(1_000.0, 200_000.0), c("teff_gspphot"))
+    flags = F.lower(F.coalesce(c("classification_flags"), F.lit("")))
+    doubtful = flags.contains("invalid_reddening") | flags.contains("uncertain_reddening")
+    reliable = c("bp_rp_intrinsic").isNotNull() & F.coalesce(F.lower(c("reddening_quality")) == "good", no) & ~doubtful
+    strong = flags.contains("strong_extinction") | F.coalesce(c("ag_gspphot") >= 1.0, no) | F.coalesce(c("ebpminrp_gspphot") >= 0.5, no)
+    unsure = teff.isNull() & ~reliable
+    red = F.coalesce(c("bp_rp") > 0.20, no)
+    guarded = unsure & ((c(class_col) == "WR") | (c(class_col).isin("SDOR", "LBV") & strong & red))
+    colour = F.when(~guarded, F.when(reliable, c("bp_rp_intrinsic")).otherwise(c("bp_rp")))
+    stand_in = F.when(no, F.lit(0.0))
+    for name, kelvin in FALLBACK_K.items():
+        stand_in = stand_in.when(c(class_col) == name, kelvin)
+    stand_in = F.when(teff.isNull() & colour.isNull(), stand_in)
+    source = F.when(teff.isNotNull(), "teff").when(colour.isNotNull() & reliable, "intrinsic").when(colour.isNotNull(), "observed").when(stand_in.isNotNull(), "class").otherwise("default")
+    return stars.withColumns({"used_teff": F.coalesce(teff, stand_in), "used_bp_rp": colour, "colour_source": source})
+
+
+def with_physical_scaling(stars: DataFrame) -> DataFrame:
+    """Multiplies intensity_scale and size_scale by bounded factors of luminosity, mass, confidence and radius; missing
+    values count as 1. Expects lum_flame, mass_flame, radius_gspphot and classification_score.
+    """
+    some = lambda value, factor: F.coalesce(F.when(value.isNotNull(), factor), F.lit(1.0))
+    light, mass, radius, score = positive(F.col("lum_flame")), positive(F.col("mass_flame")), positive(F.col("radius_gspphot")), F.col("classification_score")
+    bright = some(light, clip(1.0 + 0.08 * (F.log10(light) - 3.0), 0.88, 1.22)) * some(mass, clip(0.98 + 0.04 * F.log1p(mass / 10.0), 0.96, 1.10)) * some(score, 0.94 + 0.06 * clip(score, 0.0, 1.0))
+    size = some(radius, clip(F.pow(radius / 5.0, F.lit(0.10)), 0.85, 1.25))
+    return stars.withColumns({"intensity_scale": F.col("intensity_scale") * bright, "size_scale": F.col("size_scale") * size})

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..fixtures import ctes, view
-from ..operators import classify
+from ..operators import behaviour, classify
 
 
 def _candidates(spark, sf_dir):
@@ -38,7 +38,18 @@ def dq_invariants(spark, sf_dir):
     return classify.invariants(rows, classify.classify(rows))
 
 
-QUERIES = {f.__name__: f for f in (reddening_quality, hot_scores, hot_classify, class_report, dq_invariants)}
+def colour_inputs(spark, sf_dir):
+    rows = behaviour.with_colour_inputs(classify.classify(_candidates(spark, sf_dir)))
+    return rows.groupBy("resolved_class", "colour_source").agg(F.count("*").alias("n"), F.round(F.sum("used_teff"), 3).alias("sum_teff"))
+
+
+def physical_scaling(spark, sf_dir):
+    rows = classify.classify(_candidates(spark, sf_dir)).withColumns({"intensity_scale": F.lit(1.2), "size_scale": F.lit(1.1)})
+    rows = behaviour.with_physical_scaling(rows)
+    return rows.select("source_id", F.round("intensity_scale", 8).alias("intensity_scale"), F.round("size_scale", 8).alias("size_scale"))
+
+
+QUERIES = {f.__name__: f for f in (reddening_quality, hot_scores, hot_classify, class_report, dq_invariants, colour_inputs, physical_scaling)}
 
 _AW, _EW = "(ag_gspphot_upper - ag_gspphot_lower)/2", "(ebpminrp_gspphot_upper - ebpminrp_gspphot_lower)/2"
 _E, _A = "ebpminrp_gspphot", "ag_gspphot"
@@ -88,14 +99,14 @@ _COUNT = "(sp is not null and sp <> '')::int + (teff_gspphot is not null and not
 _SD = " + ".join(f"coalesce({c}, false)::int" for c in ("logg_gspphot <= 3", "lum_flame >= 10000", "mg <= -4", "radius_gspphot >= 25", "mass_flame >= 20"))
 _WR = " + ".join(f"coalesce({c}, false)::int" for c in ("sp = 'O'", "not tu and teff_gspphot >= 35000", "lum_flame >= 10000", "mg <= -4", "radius_gspphot between 1 and 20", "mass_flame >= 10", "vbroad >= 100"))
 _VAR = "(case when trimmed_range_mag_g_fov > 0.15 then 1.5 else 0 end + case when trimmed_range_mag_g_fov >= 1 then 0.5 else 0 end + case when std_dev_mag_g_fov > 0.05 then 1 else 0 end + case when sk >= 1 then 1.2 else 0 end + case when sk >= 2 then 0.7 else 0 end + case when kurtosis_mag_g_fov >= 3 then 1.2 else 0 end + case when kurtosis_mag_g_fov >= 6 then 0.7 else 0 end)::double"
-_SCORED = _BASE + f", sc as (select *, {_total(1)} as sbe, {_total(2)} as sgc, {_total(3)} as ssd, {_total(4)} as swr, {_COUNT} as nf, {_SD} as gs, {_WR} as gw, {_VAR} as vv from ft)"
+_SCORED = _BASE + f", sc as materialized (select *, {_total(1)} as sbe, {_total(2)} as sgc, {_total(3)} as ssd, {_total(4)} as swr, {_COUNT} as nf, {_SD} as gs, {_WR} as gw, {_VAR} as vv from ft)"
 _FINAL = _SCORED + """, sx as (select *, case when sp in ('WR') or regexp_full_match(sp, 'W[CNOR][A-Z]*[0-9]*[A-Z]*') then 'WR' when sp in ('LBV') then 'SDOR' when sp = 'BE' then case when vv >= 2 then 'GCAS' else 'BE' end end as sc0 from sc),
 bo as (select *, sbe + (coalesce(sc0, '') = 'BE')::int*8 as b1, sgc + (coalesce(sc0, '') = 'GCAS')::int*8 as g1, ssd + (coalesce(sc0, '') = 'SDOR')::int*8 as s1, swr + (coalesce(sc0, '') = 'WR')::int*8 as w1 from sx),
 tp as (select *, greatest(b1, g1, s1, w1) as top, list_sort([b1, g1, s1, w1], 'desc')[2] as second, case greatest(b1, g1, s1, w1) when b1 then 'BE' when g1 then 'GCAS' when s1 then 'SDOR' else 'WR' end as win from bo),
 cf as (select *, least(greatest((0.65*least(top/9, 1e0) + 0.35*least((top-second)/greatest(top, 1e-12), 1e0)) * coalesce(0.85 + 0.15*least(greatest(best_class_score, 0e0), 1e0), 1e0), 0e0), 1e0) as conf,
  case when teff_gspphot is not null then teff_gspphot between 8000 and 35000 and not tu else coalesce(sp in ('B', 'O'), false) end as hot from tp),
 fn as (select *, nf < 3 as few, (win = 'GCAS' and vv < 2) or (win = 'SDOR' and gs < 2) or (win = 'SDOR' and not hot) or (win = 'WR' and gw < 2) or top < 4 or top - second < 1 or conf < 0.48 as weak from cf),
-cl as (select *, case when sc0 is not null then sc0 when few or weak then 'UNKNOWN' else win end as cls from fn)"""
+cl as materialized (select *, case when sc0 is not null then sc0 when few or weak then 'UNKNOWN' else win end as cls from fn)"""
 
 ORACLE = {
     "reddening_quality": _BASE + f""" select source_id, rqual as reddening_quality, round(bri, 9) + 0e0 as bp_rp_intrinsic, array_to_string(list_distinct_keep(fl), ';') as flags from (
@@ -108,3 +119,13 @@ ORACLE = {
     "dq_invariants": _FINAL + " select (select count(*) from cand) as n_in, count(*) as n_out, count(distinct source_id) as n_ids, count(*) filter (where cls not in ('BE','GCAS','SDOR','WR','UNKNOWN')) as n_wrong, (select count(*) from cand) = count(*) and count(*) = count(distinct source_id) as ok from cl",
 }
 ORACLE["reddening_quality"] = ORACLE["reddening_quality"].replace("list_distinct_keep(fl)", "list_filter(fl, lambda x, i: list_position(fl, x) = i)")
+
+_FLAGS = "(coalesce(rqual in ('uncertain', 'invalid'), false) and (coalesce(oe, false) or coalesce(we, false) or rqual = 'invalid' or (eu and (coalesce(ag_gspphot < 0, false) or coalesce(wa, false)))))"
+_COLOUR = f""", cc as (select *, case when teff_gspphot between 1000 and 200000 then teff_gspphot end as te, bri is not null and rqual = 'good' and not {_FLAGS} as rel,
+ coalesce(ag_gspphot >= 1, false) or coalesce(ebpminrp_gspphot >= 0.5, false) as strong from cl),
+cg as (select *, te is null and not rel and (cls = 'WR' or (cls in ('SDOR', 'LBV') and strong and coalesce(bp_rp > 0.2, false))) as guard from cc),
+ch as (select *, case when not guard then case when rel then bri else bp_rp end end as col from cg),
+ck as (select *, case when te is null and col is null then case cls when 'BE' then 18000e0 when 'GCAS' then 18000e0 when 'SDOR' then 20000e0 when 'WR' then 40000e0 end end as st from ch)"""
+ORACLE["colour_inputs"] = _FINAL + _COLOUR + " select cls as resolved_class, case when te is not null then 'teff' when col is not null and rel then 'intrinsic' when col is not null then 'observed' when st is not null then 'class' else 'default' end as colour_source, count(*) as n, round(sum(coalesce(te, st)), 3) as sum_teff from ck group by 1, 2"
+ORACLE["physical_scaling"] = _FINAL + """ select source_id, round(1.2e0 * case when lum_flame > 0 then least(greatest(1 + 0.08*(log10(lum_flame) - 3), 0.88), 1.22) else 1 end * case when mass_flame > 0 then least(greatest(0.98 + 0.04*ln(1 + mass_flame/10), 0.96), 1.1) else 1 end
+ * (0.94 + 0.06*least(greatest(case when sc0 = 'BE' then 0.9 when sc0 is not null then 0.95 else conf end, 0), 1)), 8) as intensity_scale, round(1.1e0 * case when radius_gspphot > 0 then least(greatest(pow(radius_gspphot/5e0, 0.1), 0.85), 1.25) else 1 end, 8) as size_scale from cl"""
