@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from . import byte_bpe, fuzzy_hash, html_text, language, line_dedup, nearest, packing, quality, simhash, token_files
 from .common import fresh_dir
-from .token_ids import WordEncoder
+from .token_ids import shared_encoder
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

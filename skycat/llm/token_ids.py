@@ -7,6 +7,7 @@ import os
 import re
 import unicodedata
 from array import array
+from functools import lru_cache
 from operator import attrgetter
 
 import numpy as np
@@ -19,16 +20,23 @@ _TAIL = ".,!?;:|#$%&*()"
 
 
 class _Memo(dict):
-    """Computes what it lacks; empties itself when it holds `most` entries, so that it stays bounded."""
+    """Computes what it lacks; holds at most `most` entries, so that it stays bounded.
+
+    When half of them are new, they become the old half: an old entry that is asked for again is new, the others go.
+    """
 
     def __init__(self, compute, most: int):
         super().__init__()
-        self.compute, self.most = compute, most
+        self.compute, self.half, self.old = compute, max(1, most // 2), {}
 
     def __missing__(self, key):
-        if len(self) >= self.most:
+        if len(self) >= self.half:
+            self.old = dict(self)
             self.clear()
-        self[key] = value = self.compute(key)
+        value = self.old.get(key)
+        if value is None:
+            value = self.compute(key)
+        self[key] = value
         return value
 
 
@@ -40,7 +48,7 @@ class WordEncoder:
     goes to the library whole. `memory` bounds the words and, twice that, the cores that a worker remembers.
     """
 
-    def __init__(self, path: str, memory: int = 700_000):
+    def __init__(self, path: str, memory: int = 400_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -82,3 +90,9 @@ class WordEncoder:
                 return self.whole(text)
             text = low
         return b"".join(map(self.words.__getitem__, text.split()))
+
+
+@lru_cache(maxsize=1)
+def shared_encoder(path: str) -> WordEncoder:
+    """The worker process's encoder: what it remembers serves the tasks that follow."""
+    return WordEncoder(path)
