@@ -25,7 +25,7 @@ def hot_scores(spark, sf_dir):
 
 def hot_classify(spark, sf_dir):
     rows = classify.classify(_candidates(spark, sf_dir))
-    return rows.select("source_id", "resolved_class", F.round("classification_score", 8).alias("classification_score"), F.round("classification_margin", 8).alias("classification_margin"), "classification_method")
+    return rows.select("source_id", "resolved_class", F.round("classification_score", 10).alias("classification_score"), F.round("classification_margin", 8).alias("classification_margin"), "classification_method")
 
 
 def class_report(spark, sf_dir):
@@ -46,7 +46,7 @@ def colour_inputs(spark, sf_dir):
 def physical_scaling(spark, sf_dir):
     rows = classify.classify(_candidates(spark, sf_dir)).withColumns({"intensity_scale": F.lit(1.2), "size_scale": F.lit(1.1)})
     rows = behaviour.with_physical_scaling(rows)
-    return rows.select("source_id", F.round("intensity_scale", 8).alias("intensity_scale"), F.round("size_scale", 8).alias("size_scale"))
+    return rows.select("source_id", F.round(F.col("intensity_scale") + 1e-10, 8).alias("intensity_scale"), F.round(F.col("size_scale") + 1e-10, 8).alias("size_scale"))
 
 
 QUERIES = {f.__name__: f for f in (reddening_quality, hot_scores, hot_classify, class_report, dq_invariants, colour_inputs, physical_scaling)}
@@ -114,7 +114,7 @@ ORACLE = {
  case when {_A} < 0 then 'invalid_extinction' end, case when eu and (coalesce({_A} < 0, false) or coalesce(wa, false)) then 'uncertain_reddening' end, case when coalesce(wa, false) then 'uncertain_extinction' end,
  case when {_A} >= 0 and aw is null then 'missing_extinction_interval' end, case when (eu and {_E} >= 0.5) or coalesce({_A} >= 1, false) then 'strong_extinction' end, case when bp_rp is null then 'missing_bp_rp' end], lambda x: x is not null) as fl from rq)""",
     "hot_scores": _SCORED + " select source_id, round(sbe, 8) as score_be, round(sgc, 8) as score_gcas, round(ssd, 8) as score_sdor, round(swr, 8) as score_wr, nf::bigint as n_features, gs::bigint as groups_sdor, gw::bigint as groups_wr, round(vv, 6) as variability from sc",
-    "hot_classify": _FINAL + " select source_id, cls as resolved_class, round(case when sc0 = 'BE' then 0.9 when sc0 is not null then 0.95 else conf end, 8) as classification_score, round(top - second, 8) as classification_margin, case when sc0 is not null then 'spectral_type' when few then 'insufficient_data' when weak then 'ambiguous' else 'multi_feature_score' end as classification_method from cl",
+    "hot_classify": _FINAL + " select source_id, cls as resolved_class, round(case when sc0 = 'BE' then 0.9 when sc0 is not null then 0.95 else conf end, 10) as classification_score, round(top - second, 8) as classification_margin, case when sc0 is not null then 'spectral_type' when few then 'insufficient_data' when weak then 'ambiguous' else 'multi_feature_score' end as classification_method from cl",
     "class_report": _FINAL + " select cls as resolved_class, count(*) as n, round(median(teff_gspphot), 6) as median_teff, round(median(logg_gspphot), 6) as median_logg from cl group by cls",
     "dq_invariants": _FINAL + " select (select count(*) from cand) as n_in, count(*) as n_out, count(distinct source_id) as n_ids, count(*) filter (where cls not in ('BE','GCAS','SDOR','WR','UNKNOWN')) as n_wrong, (select count(*) from cand) = count(*) and count(*) = count(distinct source_id) as ok from cl",
 }
@@ -128,4 +128,4 @@ ch as (select *, case when not guard then case when rel then bri else bp_rp end
 ck as (select *, case when te is null and col is null then case cls when 'BE' then 18000e0 when 'GCAS' then 18000e0 when 'SDOR' then 20000e0 when 'WR' then 40000e0 end end as st from ch)"""
 ORACLE["colour_inputs"] = _FINAL + _COLOUR + " select cls as resolved_class, case when te is not null then 'teff' when col is not null and rel then 'intrinsic' when col is not null then 'observed' when st is not null then 'class' else 'default' end as colour_source, count(*) as n, round(sum(coalesce(te, st)), 3) as sum_teff from ck group by 1, 2"
 ORACLE["physical_scaling"] = _FINAL + """ select source_id, round(1.2e0 * case when lum_flame > 0 then least(greatest(1 + 0.08*(log10(lum_flame) - 3), 0.88), 1.22) else 1 end * case when mass_flame > 0 then least(greatest(0.98 + 0.04*ln(1 + mass_flame/10), 0.96), 1.1) else 1 end
- * (0.94 + 0.06*least(greatest(case when sc0 = 'BE' then 0.9 when sc0 is not null then 0.95 else conf end, 0), 1)), 8) as intensity_scale, round(1.1e0 * case when radius_gspphot > 0 then least(greatest(pow(radius_gspphot/5e0, 0.1), 0.85), 1.25) else 1 end, 8) as size_scale from cl"""
+ * (0.94 + 0.06*least(greatest(case when sc0 = 'BE' then 0.9 when sc0 is not null then 0.95 else conf end, 0), 1)) + 1e-10, 8) as intensity_scale, round(1.1e0 * case when radius_gspphot > 0 then least(greatest(pow(radius_gspphot/5e0, 0.1), 0.85), 1.25) else 1 end + 1e-10, 8) as size_scale from cl"""

@@ -88,7 +88,7 @@ def layer_palette(spark, sf_dir):
 
 def healpix_ring_density(spark, sf_dir):
     stars = _sources(spark, sf_dir).filter("l is not null and b is not null")
-    return stars.groupBy(coords.healpix_ring(8, F.col("l"), F.col("b")).alias("pix")).agg(F.count("*").alias("n"), F.round(F.avg("phot_g_mean_mag"), 6).alias("mean_g"))
+    return stars.groupBy(coords.healpix_ring(8, F.col("l"), F.col("b")).alias("pix")).agg(F.count("*").alias("n"), F.round(F.avg("phot_g_mean_mag"), 10).alias("mean_g"))
 
 
 def healpix_nested_density(spark, sf_dir):
@@ -160,7 +160,7 @@ def _with_ring(n: int, src: str) -> str:
     return f"(select *, cast(floor(({_TT}-floor({_TT}))*{n}*sqrt(3*(1-abs({_Z})))) + floor((1-({_TT}-floor({_TT})))*{n}*sqrt(3*(1-abs({_Z})))) as bigint) + 1 as r from {src})"
 
 
-_DENSITY = f"dens as (select {_ring(8)} as pix, count(*) as n, round(avg(phot_g_mean_mag), 6) as mean_g from {_with_ring(8, 'sources')} where l is not null and b is not null group by 1)"
+_DENSITY = f"dens as (select {_ring(8)} as pix, count(*) as n, round(avg(phot_g_mean_mag), 10) as mean_g from {_with_ring(8, 'sources')} where l is not null and b is not null group by 1)"
 _KERNEL = "ker as (select dx, dy, pow(1+(dx*dx+dy*dy)/4e0, -2.8e0) / sum(pow(1+(dx*dx+dy*dy)/4e0, -2.8e0)) over () as w from range(-2,3) a(dx), range(-2,3) b(dy))"
 _LINE = "lin as (select d, exp(-0.5e0*d*d/1.44e0) / sum(exp(-0.5e0*d*d/1.44e0)) over () as w from range(-5,6) a(d))"
 
