@@ -214,7 +214,8 @@ def link_documents(docs: DataFrame, size: int = 3, radius: int = 3, blocks: int
     known = roots.join(nodes.withColumnRenamed("value", "node"), "node")
     smallest = known.groupBy("root").agg(F.min("least").alias("component_id"))
     linked = known.join(smallest, "root").select(F.col("node").alias("value"), "component_id")
-    named = nodes.join(linked, "value", "left").select("value", F.coalesce("component_id", "least").alias("component_id"))
+    # written, so that the last join has two plain shuffles and a fingerprint of very many copies can be split
+    named = cut(nodes.join(linked, "value", "left").select("value", F.coalesce("component_id", "least").alias("component_id")))
     return marks.join(named, "value").select("doc_id", F.lower(F.lpad(F.hex("value"), 16, "0")).alias("fingerprint"), "component_id")
 
 
