@@ -9,13 +9,18 @@ from pyspark.sql import functions as F
 
 from .hashing import _signed, let, mix, wrapping_add
 from .lensing import amplification
-from .photometry import clip
 
 TAU = 2.0 * math.pi
 
 
+def bound(c: Column, low: float | None, high: float | None) -> Column:
+    """Between the limits. For values that are never null: it doesn't repeat its argument to keep a null."""
+    c = c if low is None else F.greatest(c, F.lit(float(low)))
+    return c if high is None else F.least(c, F.lit(float(high)))
+
+
 def smoothstep(c: Column) -> Column:
-    return let(clip(c, 0.0, 1.0), lambda v: v * v * (3.0 - 2.0 * v))
+    return let(bound(c, 0.0, 1.0), lambda v: v * v * (3.0 - 2.0 * v))
 
 
 def wrapped(cycle: Column, centre: Column | float) -> Column:
@@ -30,7 +35,7 @@ def bell(distance: Column, width: float) -> Column:
 def rise_and_fall(cycle: Column, rise: float, power: float) -> Column:
     """A quick smooth rise, then a slower decline."""
     x = F.pmod(cycle, F.lit(1.0))
-    return F.when(x < rise, smoothstep(x / rise)).otherwise(F.pow(clip(1.0 - (x - rise) / (1.0 - rise), 0.0, 1.0), F.lit(power)))
+    return F.when(x < rise, smoothstep(x / rise)).otherwise(F.pow(bound(1.0 - (x - rise) / (1.0 - rise), 0.0, 1.0), F.lit(power)))
 
 
 def wave(*terms: tuple) -> Column:
@@ -58,38 +63,38 @@ def smooth_noise(position: Column, seed: Column) -> Column:
 def models(c: dict[str, Column]) -> dict[str, tuple[Column, Column]]:
     """(signal, colour driver) of every model; without a colour driver it is 2 * signal - 1.
 
-    c: cycle, elapsed, period, progress, irregularity, p1, p2 (mode phases), centre, width, shape (of an event).
+    The inputs are not null. c: cycle, elapsed, period, progress, irregularity, p1, p2 (mode phases), centre, width, shape (of an event).
     """
     x, p1, p2, irregular, zero = c["cycle"], c["p1"], c["p2"], c["irregularity"], F.lit(0.0)
-    half = lambda w: clip(0.5 + 0.5 * w, 0.0, 1.0)
+    half = lambda w: bound(0.5 + 0.5 * w, 0.0, 1.0)
     both = lambda s: (s, None)
     relative = (c["progress"] - c["centre"]) / c["width"]
 
     slow = 0.5 + 0.5 * F.sin(TAU * x - 0.5 * math.pi)
     envelope = 1.0 + irregular * 0.25 * F.sin(TAU * 0.37 * x + p2)
-    lbv = clip(0.5 + (slow - 0.5) * envelope + wave((0.10, 7.3, x, p1), (0.06, 11.7, x, p2)), 0.0, 1.0)
+    lbv = bound(0.5 + (slow - 0.5) * envelope + wave((0.10, 7.3, x, p1), (0.06, 11.7, x, p2)), 0.0, 1.0)
 
     y = F.pmod(x, F.lit(1.0))
     outburst = F.when(y < 0.045, smoothstep(y / 0.045)).when(y < 0.13, 1.0).when(y < 0.43, F.pow(1.0 - (y - 0.13) / 0.30, F.lit(1.35))).otherwise(0.0)
 
-    dips = clip(bell(wrapped(x, 0.0), 0.045) + 0.48 * bell(wrapped(x, 0.5), 0.065), 0.0, 1.0)
+    dips = bound(bell(wrapped(x, 0.0), 0.045) + 0.48 * bell(wrapped(x, 0.5), 0.065), 0.0, 1.0)
     long_wave = F.sin(TAU * x) + 0.22 * F.sin(2.0 * TAU * x + p1) + irregular * 0.18 * F.sin(TAU * 0.47 * x + p2)
-    fade = F.when(relative < 0, 0.0).otherwise(smoothstep(clip(relative / 0.10, 0.0, 1.0)) * F.exp(-clip(relative - 0.10, 0.0, None) / 0.80))
+    fade = F.when(relative < 0, 0.0).otherwise(smoothstep(bound(relative / 0.10, 0.0, 1.0)) * F.exp(-bound(relative - 0.10, 0.0, None) / 0.80))
 
     impact = 0.12 + 0.58 * c["shape"]
     one = F.lit(1.0)
     now, peak = amplification(relative, zero, one, impact), amplification(zero, zero, one, impact)
-    lens = clip(F.when(peak > 1.0, F.try_divide(now - 1.0, peak - 1.0)).otherwise(0.0), 0.0, 1.0)
+    lens = bound(F.when(peak > 1.0, F.try_divide(now - 1.0, peak - 1.0)).otherwise(0.0), 0.0, 1.0)
 
-    burst = F.when(relative < 0, F.exp(clip(relative / 0.12, -30.0, 0.0))).otherwise(F.exp(-clip(relative, 0.0, None) / 1.35))
-    burst_colour = F.when(relative < 0, burst).otherwise(clip(1.0 - 0.75 * relative, -0.55, 1.0))
+    burst = F.when(relative < 0, F.exp(bound(relative / 0.12, -30.0, 0.0))).otherwise(F.exp(-bound(relative, 0.0, None) / 1.35))
+    burst_colour = F.when(relative < 0, burst).otherwise(bound(1.0 - 0.75 * relative, -0.55, 1.0))
 
     dip = bell(wrapped(x, F.pmod(p2 / TAU, F.lit(1.0))), 0.075)
     flare = 0.75 * bell(wrapped(x, F.pmod(p1 / TAU, F.lit(1.0))), 0.035)
-    young = clip(wave((0.28, 1.0, x, p1), (0.16, 0.43, x, p2)) + flare - 0.85 * dip, -1.0, 1.0)
+    young = bound(wave((0.28, 1.0, x, p1), (0.16, 0.43, x, p2)) + flare - 0.85 * dip, -1.0, 1.0)
 
     scale = c["elapsed"] / F.greatest(c["period"], F.lit(1e-4))
-    nucleus = clip(wave((0.62, 0.173, scale, p1), (0.27, 0.071, scale, p2), (0.11, 0.019, scale, p1 + p2)), -1.0, 1.0)
+    nucleus = bound(wave((0.62, 0.173, scale, p1), (0.27, 0.071, scale, p2), (0.11, 0.019, scale, p1 + p2)), -1.0, 1.0)
 
     seed = F.floor(p1 / TAU * float(1 << 24)).cast("long")
     offset, changes = p2 / TAU * 4096.0, 12.0 + 20.0 * c["shape"]
@@ -105,7 +110,7 @@ def models(c: dict[str, Column]) -> dict[str, tuple[Column, Column]]:
         "eclipsing": (dips, zero),
         "ellipsoidal": (0.5 + 0.5 * F.cos(2.0 * TAU * x), zero),
         "multimode": both(half(wave((1.0, 1.0, x, zero), (0.28, 1.043, x, p1), (0.16, 0.968, x, p2)) / 1.44)),
-        "long_period": both(clip(0.5 + 0.5 * long_wave / 1.4, 0.0, 1.0)),
+        "long_period": both(bound(0.5 + 0.5 * long_wave / 1.4, 0.0, 1.0)),
         "rcb_decline": (fade, fade),
         "microlensing_event": (lens, zero),
         "supernova_event": (burst, burst_colour),
@@ -134,8 +139,8 @@ def light_curve(model: Column, c: dict[str, Column]) -> Column:
 
 def relative_flux(signal: Column, amplitude: Column, mode: Column) -> Column:
     """Flux relative to the mean for a magnitude amplitude (0 to 8), by mode."""
-    ratio = F.pow(F.lit(10.0), 0.4 * clip(amplitude, 0.0, 8.0))
-    share = clip(signal, 0.0, 1.0)
+    ratio = F.pow(F.lit(10.0), 0.4 * bound(amplitude, 0.0, 8.0))
+    share = bound(signal, 0.0, 1.0)
     return (
         F.when(mode == "range", F.exp((signal - 0.5) * F.ln(ratio)))
         .when(mode == "outburst", 1.0 + (ratio - 1.0) * share)
@@ -149,7 +154,7 @@ def relative_flux(signal: Column, amplitude: Column, mode: Column) -> Column:
 def display_size(flux: Column, size_scale: Column, size_response: Column, intensity: Column, brightness: Column, height: float, base: float = 3.20, least: float = 2.20, most: float = 12.50) -> tuple[Column, Column]:
     """(sigma in pixels, alpha) of a star with a relative flux."""
     scale = height / 8192.0
-    log_flux = F.ln(clip(flux, 0.01, 100.0))
-    sigma = base * size_scale * F.exp(clip(size_response * log_flux, -0.65, 0.75)) * scale
-    alpha = 0.52 * intensity * F.exp(0.5 * clip(brightness, 0.25, 6.0) * log_flux)
-    return clip(sigma, least * scale, most * scale), clip(alpha, 0.012, 0.95)
+    log_flux = F.ln(bound(flux, 0.01, 100.0))
+    sigma = base * size_scale * F.exp(bound(size_response * log_flux, -0.65, 0.75)) * scale
+    alpha = 0.52 * intensity * F.exp(0.5 * bound(brightness, 0.25, 6.0) * log_flux)
+    return bound(sigma, least * scale, most * scale), bound(alpha, 0.012, 0.95)

@@ -26,7 +26,7 @@ def rows(df: pd.DataFrame) -> list:
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - {"light_curve_frames"}))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_equals_oracle(spark, con, name):
     got = QUERIES[name](spark, SF).toPandas()
     expected = con.execute(ORACLE[name]).df()
