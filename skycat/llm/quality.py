@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, narrow
+from .common import cut, narrow, small
 from .token_ids import _Memo
 
 _TOKENS = re.compile(r"\w+|[^\w\s]+").findall
@@ -137,7 +137,13 @@ def kth_largest(keys: DataFrame, k: int, step: float = 2.0**-16) -> float | None
     return None
 
 
-def resample(
+def _identity(id_col: str, text_col: str) -> list[Column]:
+    """What tells rows apart: the id (null: the least number) and a hash of id and text."""
+    key = F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63)))
+    return [key.alias("__id"), F.xxhash64(key, F.col(text_col)).alias("__mark")]
+
+
+def weigh(
     docs: DataFrame,
     labels: DataFrame,
     sample: int = 20_000,
@@ -147,32 +153,35 @@ def resample(
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> DataFrame:
-    """The documents that importance resampling keeps: the input's columns, log_weight and gumbel_key.
+    """Per row: doc_id, log_weight, gumbel_key, kept, and what tells rows apart (__id, __mark); see resample."""
+    texts = narrow(docs, doc_id=id_col, text=text_col).withColumn("doc_id", F.col("doc_id").cast("long"))
+    known = cut(labelled_sample(labels, sample))
+    ratio = fit_ratio(texts, known, buckets)
+    marked = texts.select("doc_id", *_identity("doc_id", "text"), log_weight(F.col("text"), ratio).alias("log_weight"))
+    scored = cut(marked.withColumn("gumbel_key", F.col("log_weight") + gumbel(F.col("doc_id"), seed)))
+    some = scored.join(F.broadcast(known.filter(~F.col("fits"))), "doc_id").select("log_weight", "label").limit(2 * sample).toPandas()
+    if share is None:
+        line = best_split(some["log_weight"].to_numpy(), some["label"].to_numpy() == 1) if len(some) else 0.0
+        k = scored.filter(F.col("log_weight") >= line).count()
+    else:
+        k = round(share * scored.count())
+    bound = kth_largest(scored.select(F.col("gumbel_key").alias("key")), k)
+    return scored.withColumn("kept", F.lit(False) if bound is None else F.col("gumbel_key") >= bound)
+
+
+def resample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The rows of `docs` that importance resampling keeps, with the input's columns. options: those of weigh.
 
     A document's weight is the ratio of two hashed n-gram models, of target text (documents labelled 1, at most
     `sample` ids) and of raw text (all documents). Gumbel top-k draws k documents without replacement in proportion to
     their weights: the k largest of log weight + Gumbel noise. k is `share` of all documents or, by default, the
     number of documents above the log weight that best separates the part of the labelled sample that the models don't
-    fit.
+    fit. Texts are read twice, to count and to weigh; the rejected rows' hashes then meet the input.
 
     Null or empty text: weight 1 (log 0). Null doc_ids share one noise value. Repeated rows are kept or dropped
     alike; rows tied with the k-th are kept. No labels of a class: the threshold is 0. No rows: no rows.
     """
-    made = ("log_weight", "gumbel_key")
-    kept = [c for c in docs.columns if c not in made]
-    texts = narrow(docs, doc_id=id_col, text=text_col).withColumn("doc_id", F.col("doc_id").cast("long"))
-    known = cut(labelled_sample(labels, sample))
-    ratio = fit_ratio(texts, known, buckets)
-    scored = cut(texts.select("doc_id", log_weight(F.col("text"), ratio).alias("w")))
-    some = scored.join(F.broadcast(known.filter(~F.col("fits"))), "doc_id").select("w", "label").limit(2 * sample).toPandas()
-    total = scored.count()
-    if share is None:
-        line = best_split(some["w"].to_numpy(), some["label"].to_numpy() == 1) if len(some) else 0.0
-        k = scored.filter(F.col("w") >= line).count()
-    else:
-        k = round(share * total)
-    key = lambda w, i: w + gumbel(i, seed)
-    bound = kth_largest(scored.select(key(F.col("w"), F.col("doc_id")).alias("key")), k)
-    result = docs.select(*kept, log_weight(F.col(text_col), ratio).alias("log_weight"))
-    result = result.withColumn("gumbel_key", key(F.col("log_weight"), F.col(id_col).cast("long")))
-    return result.filter(F.lit(False) if bound is None else F.col("gumbel_key") >= bound)
+    scored = weigh(docs, labels, id_col=id_col, text_col=text_col, **options)
+    gone = cut(scored.filter(~F.col("kept")).select("__id", "__mark").distinct())
+    marked = docs.select("*", *_identity(id_col, text_col))
+    return marked.join(small(gone), ["__id", "__mark"], "left_anti").select(docs.columns)

@@ -18,7 +18,7 @@ def word_encoder():
     """Called in a task: the encoder of word_bpe_49k.json."""
     import public_tokenizers
 
-    return WordEncoder(public_tokenizers.path("word_bpe_49k.json")).encode
+    return shared_encoder(public_tokenizers.path("word_bpe_49k.json")).encode
 
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,8 +26,8 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kept = quality.resample(_table(spark, sf_dir, "documents").select("doc_id", "text"), _table(spark, sf_dir, "labels"))
-    return kept.select("doc_id", "log_weight", "gumbel_key")
+    rows = quality.weigh(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+    return rows.filter("kept").select("doc_id", "log_weight", "gumbel_key")
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
