@@ -15,8 +15,11 @@ _BLOCKS = frozenset("address article aside blockquote body caption center dd det
 _SILENT = frozenset("script style title noscript template svg math iframe object select textarea button option canvas audio video noembed noframes".split())
 _BOXES = frozenset("article aside body details dialog div dl fieldset footer form header html li main menu nav ol section table tbody td th tr ul figure blockquote p h1 h2 h3 h4 h5 h6 span".split())
 _ASIDE = frozenset("aside dialog fieldset footer form menu nav".split())
-_SIDE = re.compile(r"(?:^|[\W_])(?:ads?|advert\w*|banner|breadcrumbs?|comments?|consent|cookies?|disqus|foot(?:er)?|form|gdpr|head(?:er)?|login|masthead|menu|modal|nav\w*|newsletter|notice|notification|pagination|popup|promo\w*|related|replies|respond|search|share|sharing|side(?:bar)?|signup|social|sponsor\w*|subscribe|tags?|toolbar|widgets?)(?:$|[\W_])", re.I)
+_SIDE = re.compile(r"(?:^|[\W_])(?:ads?|advert\w*|banner|breadcrumbs?|comments?|consent|cookies?|disqus|foot(?:er)?|form|gdpr|login|menu|modal|nav\w*|newsletter|notice|notification|pagination|popup|promo\w*|related|replies|respond|search|share|sharing|side(?:bar)?|signup|social|sponsor\w*|subscribe|tags?|toolbar|widgets?)(?:$|[\W_])", re.I)
+_TOP = re.compile(r"(?:^|[\W_])(?:head(?:er)?|masthead)(?:$|[\W_])", re.I)
 _MAIN = re.compile(r"(?:^|[\W_])(?:article|content|entry|main|maintext|post|post-?body|story|text)(?:$|[\W_])", re.I)
+#: A name that starts so tells of another part of the page.
+_SAID_OF = ("has-", "with-", "no-", "without-", "is-")
 _ROLES = re.compile(r"""\s(?:class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s>"']+)""", re.I)
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^'">])*)(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)""", re.S)
 
@@ -84,10 +87,11 @@ def blocks(html: str) -> list[tuple[str, float, bool, bool, bool]]:
         elif name in ("p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "tr", "td", "th", "span") and not _ROLES.search(rest):
             continue
         else:
-            names = " ".join(x.strip("\"'") for x in _ROLES.findall(rest))
+            names = [n for x in _ROLES.findall(rest) for n in x.strip("\"'").split() if not n.lower().startswith(_SAID_OF)]
             inside = any(s[2] for s in stack)
-            main = name in ("article", "main") or bool(_MAIN.search(names))
-            side = name in _ASIDE or name == "header" and not inside or bool(_SIDE.search(names)) and not (name in ("body", "html", "article", "main"))
+            main = name in ("article", "main") or any(map(_MAIN.search, names))
+            top = not inside and not main and (name == "header" or any(map(_TOP.search, names)))
+            side = name in _ASIDE or top or any(map(_SIDE.search, names)) and name not in ("body", "html", "article", "main")
             stack.append((name, side, main))
     close()
     return out

@@ -133,3 +133,9 @@ def test_tree_held_out():
 def test_unclosed_markup():
     assert html_text.main_text("<body><p>" + "a sentence of the text, " * 20 + "<script>never closed") == " ".join(["a sentence of the text,"] * 20)
     assert html_text.blocks("<!-- open comment <p>x</p>") == [] and html_text.blocks("1 < 2 and <3") [0][0] == "1 < 2 and <3"
+
+
+def test_page_parts_by_name():
+    text = "word " * 30
+    page = f"<body class='search home'><div class='content with-sidebar'><div class='entry-header'><h1>A title</h1></div><p>{text}</p><div class='post-comments'><p>{text}</p></div></div><div id=site-header><p>{text}</p></div></body>"
+    assert html_text.main_text(page) == "A title\n" + text.strip()
