@@ -28,7 +28,11 @@ def with_rank(rows: DataFrame, name: str, *by: str) -> DataFrame:
 
 
 def cap(rows: DataFrame, limit: int, *by: str) -> DataFrame:
-    """At most `limit` rows of each group, by hash; Spark drops the rest before the shuffle."""
+    """At most `limit` rows of each group, by hash.
+
+    Spark drops the rest before the shuffle while `limit` is below spark.sql.optimizer.windowGroupLimitThreshold (1000
+    by default): raise that for larger limits, or a crowded class is sorted in one task.
+    """
     return with_rank(rows, "__rank", *by).filter(F.col("__rank") <= limit).drop("__rank")
 
 
