@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from skycat.llm import language, line_dedup, packing, quality, simhash
 from skycat.llm.common import cut, fresh_dir, small
-from skycat.llm.queries import word_encoder
+from skycat.llm.token_ids import WordEncoder
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,9 +34,16 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return simhash.drop_near_duplicates(docs, size=5, similarity=0.8)
 
 
+def small_encoder():
+    """An encoder for one task, with a small memo: workers that go on to other stages keep nothing of it."""
+    import public_tokenizers
+
+    return WordEncoder(public_tokenizers.path("word_bpe_49k.json"), memory=150_000).encode
+
+
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of documents in sequences of 4096 tokens."""
-    return packing.pack_documents(docs, word_encoder, end_id=2, capacity=4096)
+    return packing.pack_documents(docs, small_encoder, end_id=2, capacity=4096)
 
 
 STAGES = [
