@@ -145,6 +145,28 @@ def test_near_duplicates(spark, odd, none):
     assert simhash.drop_near_duplicates(none).count() == 0
 
 
+def test_near_duplicates_at_the_threshold(spark):
+    """One template whose pages are mostly just under the similarity: a failed candidate mustn't hide a true pair."""
+    rng = np.random.default_rng(7)
+    base = rng.permutation(100_000)[:204].tolist()
+    texts = {}
+    for i in range(300):
+        text = list(base)
+        for k in rng.permutation(204)[:3].tolist():
+            text[k] = int(rng.integers(100_000, 10**9))
+        texts[i] = " ".join(map(str, text))
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in simhash.near_duplicates(docs).collect()}
+    sets = {k: set(simhash.ShingleSets(5)(t).tolist()) for k, t in texts.items()}
+    likeness = {(a, b): len(sets[a] & sets[b]) / len(sets[a] | sets[b]) for a in sets for b in sets if a < b}
+    linked = [p for p, x in likeness.items() if x >= 0.8]
+    assert 0.7 < np.mean(list(likeness.values())) < 0.82 and 10 < len(linked)
+    want = components(sets, linked)
+    joined = sum(got[a] == got[b] for a, b in linked)
+    assert all(want[k] == want[got[k]] for k in got), "no link without the similarity"
+    assert joined >= 0.99 * len(linked)
+
+
 def test_graph_of_a_long_path(spark):
     path = spark.range(200).selectExpr("id as a", "id + 1 as b")
     rows = graph.components(path.unionByName(path.selectExpr("b as a", "a as b"))).collect()
