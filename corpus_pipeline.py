@@ -16,11 +16,21 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return kept.select(docs.columns)
 
 
+def _row_hash(docs: DataFrame):
+    """128 bits of id, text and evidence. Nulls leave a hash as it is, so they are marked apart."""
+    columns = [docs[c] for c in ("doc_id", "text", "lang", "source")]
+    return F.md5(F.concat_ws("\u0001", *(F.when(c.isNull(), "n").otherwise(F.concat(F.lit("v"), F.md5(c.cast("string")))) for c in columns)))
+
+
 def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language can't be told go."""
-    known = language.identify(docs.withColumn("family", F.regexp_replace("source", "[0-9]+$", "")), declared_col="lang", host_col="source", domain_col="family")
-    gone = cut(known.filter(~F.col("accepted")).select(F.col("doc_id").alias("__gone")).distinct())
-    return docs.join(small(gone), docs["doc_id"].cast("long").eqNullSafe(F.col("__gone")), "left_anti")
+    """Documents whose language can't be told go.
+
+    Rows are told apart by id, text and evidence: one without an id, or of a repeated id, goes by its own verdict alone.
+    """
+    marked = docs.withColumn("family", F.regexp_replace("source", "[0-9]+$", "")).withColumn("__row", _row_hash(docs))
+    known = language.identify(marked, declared_col="lang", host_col="source", domain_col="family", keep_cols=("__row",))
+    gone = cut(known.filter(~F.col("accepted")).select(F.col("__row").alias("__gone")).distinct())
+    return docs.join(small(gone), _row_hash(docs) == F.col("__gone"), "left_anti")
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

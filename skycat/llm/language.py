@@ -99,8 +99,9 @@ def identify(
     buckets: int = 1 << 15,
     strength: float = 20.0,
     least: float = 0.5,
+    keep_cols: tuple[str, ...] = (),
 ) -> DataFrame:
-    """Per row: doc_id, language, posterior, text_language, accepted.
+    """Per row: doc_id, language, posterior, text_language, accepted, and the string columns `keep_cols`.
 
     The posterior multiplies the likelihood of the text (character trigrams, a third of their log sum since they
     overlap), of the declared language and of the address suffix given the language, and the host's prior. Priors and
@@ -119,6 +120,7 @@ def identify(
         F.col(text_col).alias("text"),
         (normal_tag(F.col(declared_col)) if declared_col else nothing).alias("declared"),
         *((F.col(c).cast("string") if c else nothing).alias(a) for c, a in ((suffix_col, "suffix"), (host_col, "host"), (domain_col, "domain"))),
+        *(F.col(c).cast("string").alias(c) for c in keep_cols),
     )
     names, table = fit_models(base, per_language, languages, buckets)
     classes = len(names) + 1
@@ -133,8 +135,9 @@ def identify(
             best = pa.array(found.argmax(1).astype(np.int32))
             yield pa.RecordBatch.from_arrays([batch[0], *batch.columns[2:], pa.array(list(found), pa.list_(pa.float64())), best], names=kept)
 
-    kept = ["doc_id", "declared", "suffix", "host", "domain", "likelihood", "best"]
-    rows = cut(base.mapInArrow(judge, "doc_id long, declared string, suffix string, host string, domain string, likelihood array<double>, best int"))
+    kept = ["doc_id", "declared", "suffix", "host", "domain", *keep_cols, "likelihood", "best"]
+    strings = ", ".join(f"`{c}` string" for c in kept[1:-2])
+    rows = cut(base.mapInArrow(judge, f"doc_id long, {strings}, likelihood array<double>, best int"))
     counts = {r.best: r["count"] for r in rows.groupBy("best").count().collect()}
     total = sum(counts.values())
     overall = F.array(*(F.lit((counts.get(i, 0) + 1.0) / (total + classes)) for i in range(classes)))
@@ -157,5 +160,5 @@ def identify(
     weight = F.aggregate("score", F.lit(0.0), lambda a, x: a + F.exp(x - F.col("top")))
     label = F.array(*map(F.lit, [*names, UNKNOWN]))
     language = F.element_at(label, F.array_position("score", F.col("top")).cast("int"))
-    result = fused.select("doc_id", language.alias("language"), (F.lit(1.0) / weight).alias("posterior"), F.element_at(label, F.col("best") + 1).alias("text_language"))
+    result = fused.select("doc_id", language.alias("language"), (F.lit(1.0) / weight).alias("posterior"), F.element_at(label, F.col("best") + 1).alias("text_language"), *keep_cols)
     return result.withColumn("accepted", (F.col("language") != UNKNOWN) & (F.col("posterior") >= least))

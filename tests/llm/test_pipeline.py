@@ -21,6 +21,19 @@ def test_stages_and_run(spark, tmp_path):
     assert again.count() == docs.count() and set(again.columns) == set(docs.columns)
 
 
+def test_language_stage_judges_each_row(spark):
+    """An empty text among rows of a null or repeated id takes none of the others along."""
+    text = "these are plain words of a common kind that any model of letters can tell"
+    rows = [(i, text + " %d" % i, "en", "src1", 80) for i in range(20)]
+    rows += [(None, text + " a", "en", "src1", 80), (None, text + " b", "en", "src1", 80), (None, "", "en", "src1", 0)]
+    rows += [(50, text + " c", "en", "src1", 80), (50, None, "en", "src1", 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars int")
+    got = corpus_pipeline.keep_languages(spark, docs, SF)
+    key = lambda r: tuple(map(str, r))
+    assert sorted(map(key, got.collect())) == sorted(map(key, [r for r in rows if r[1]]))
+    assert got.columns == docs.columns
+
+
 def test_line_stage_sets_lengths(spark):
     docs = spark.createDataFrame([(i, "a line that three documents share\nown %d" % i, "en", "src1", 40) for i in range(3)], "doc_id long, text string, lang string, source string, n_chars int")
     got = {r.doc_id: (r.text, r.n_chars) for r in corpus_pipeline.drop_lines(spark, docs, SF).collect()}
