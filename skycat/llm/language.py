@@ -43,47 +43,69 @@ def page_evidence(pages: DataFrame, url_col: str = "url", html_col: str = "html"
     return pages.withColumns({"declared": F.when(tag != "", tag), "host": host, "domain": F.regexp_extract(host, r"([^.]+\.[^.]+)$", 1), "suffix": F.regexp_extract(host, r"([^.]+)$", 1)})
 
 
-def fit_models(docs: DataFrame, per_language: int, languages: int, buckets: int) -> tuple[list[str], np.ndarray]:
+def fit_models(docs: DataFrame, per_language: int, buckets: int) -> tuple[list[str], np.ndarray]:
     """(languages, log probabilities by bucket and language, the last column for unknown text).
 
-    docs: text and declared. Each of the commonest `languages` declared languages is counted over at most
-    `per_language` documents, chosen by a hash of the text; unknown text is uniform over the buckets.
+    docs: text and declared. Every declared language is counted over at most about `per_language` documents, chosen by
+    a hash of the text; unknown text is uniform over the buckets. The table goes to every task: 4 bytes a bucket and
+    language, 128 KB a language with 32,768 buckets.
     """
     tagged = docs.filter("declared is not null and text is not null and text <> ''")
-    names = sorted(r.declared for r in tagged.groupBy("declared").count().orderBy(F.desc("count"), "declared").limit(languages).collect())
+    sizes = cut(tagged.groupBy("declared").count())
+    names = sorted(r.declared for r in sizes.collect())
     if not names:
-        return [], np.full((buckets, 1), -np.log(buckets))
-    chosen = tagged.filter(F.col("declared").isin(names)).withColumn("h", F.xxhash64("text"))
+        return [], np.full((buckets, 1), -np.log(buckets), np.float32)
     # the hash below which about per_language documents of a language lie; equal texts fall together
-    sizes = {r.declared: r["count"] for r in chosen.groupBy("declared").count().collect()}
-    limit = F.create_map(*(F.lit(x) for n in names for x in (n, min(1.0, per_language / sizes[n]))))[F.col("declared")]
-    chosen = chosen.filter((F.shiftrightunsigned("h", 11).cast("double") / float(1 << 53)) < limit).select("declared", "text")
+    limits = sizes.select("declared", F.least(F.lit(1.0), per_language / F.col("count")).alias("limit"))
+    chosen = tagged.join(F.broadcast(limits), "declared").withColumn("h", F.xxhash64("text"))
+    chosen = chosen.filter((F.shiftrightunsigned("h", 11).cast("double") / float(1 << 53)) < F.col("limit")).select("declared", "text")
 
     def count(batches):
-        sums = {n: np.zeros(buckets, np.int64) for n in names}
+        sums = {}
+
+        def given():
+            for name, c in sums.items():
+                if len(at := np.flatnonzero(c)):
+                    yield pa.RecordBatch.from_arrays([pa.array([name] * len(at)), pa.array(at), pa.array(c[at])], names=["name", "bucket", "n"])
+            sums.clear()
+
         for batch in batches:
             for name, text in zip(batch[0].to_pylist(), batch[1]):
+                if name not in sums:
+                    if len(sums) >= 64:  # partial counts go on, so that a task holds few languages at a time
+                        yield from given()
+                    sums[name] = np.zeros(buckets, np.int64)
                 sums[name] += np.bincount(trigrams(text.as_py(), buckets), minlength=buckets)
-        for name, c in sums.items():
-            if len(at := np.flatnonzero(c)):
-                yield pa.RecordBatch.from_arrays([pa.array([name] * len(at)), pa.array(at), pa.array(c[at])], names=["name", "bucket", "n"])
-
-    rows = chosen.mapInArrow(count, "name string, bucket long, n long").groupBy("name", "bucket").agg(F.sum("n").alias("n")).toPandas()
-    table = np.zeros((buckets, len(names) + 1))
-    for i, name in enumerate(names):
-        part = rows[rows["name"] == name]
-        table[part["bucket"].to_numpy(), i] = part["n"].to_numpy()
-    table[:, :-1] = np.log((table[:, :-1] + 0.05) / (table[:, :-1].sum(0) + 0.05 * buckets))
+        yield from given()
+
+    rows = chosen.mapInArrow(count, "name string, bucket long, n long").groupBy("name", "bucket").agg(F.sum("n").alias("n"))
+    packed = rows.groupBy("name").agg(F.collect_list(F.struct(F.col("bucket").cast("int").alias("bucket"), "n")).alias("counts"))
+    packed = cut(packed.select("name", F.col("counts.bucket").alias("at"), F.col("counts.n").alias("n")))
+    table, place = np.zeros((buckets, len(names) + 1), np.float32), {n: i for i, n in enumerate(names)}
+    table[:, :-1] = -np.log(buckets)
+    for r in packed.toLocalIterator():
+        c = np.zeros(buckets)
+        c[r.at] = r.n
+        table[:, place[r.name]] = np.log((c + 0.05) / (c.sum() + 0.05 * buckets))
     table[:, -1] = -np.log(buckets)
     return names, table
 
 
-def _shares(rows: DataFrame, by: str, classes: int, parent: Column, strength: float) -> DataFrame:
+def _grouped(rows: DataFrame, by: str, *parent: Column) -> DataFrame:
+    """(by, n, hits): the rows of a group, and a map of the text's best classes among them to their rows; and `parent`."""
+    one = rows.filter(F.col(by).isNotNull()).groupBy(by, "best").agg(F.count("*").alias("hits"), *(F.max(p).alias("parent") for p in parent))
+    hits = F.map_from_entries(F.collect_list(F.struct("best", "hits"))).alias("hits")
+    return one.groupBy(by).agg(F.sum("hits").alias("n"), hits, *(F.max("parent").alias("parent") for _ in parent))
+
+
+def _hits(i: Column) -> Column:
+    return F.coalesce(F.try_element_at("hits", i), F.lit(0))
+
+
+def _shares(rows: DataFrame, by: str, parent: Column, strength: float) -> DataFrame:
     """(by, shares): the smoothed share of each class among the rows of a group; `parent` is its prior, an array."""
-    counts = [F.sum((F.col("best") == i).cast("long")).alias(f"n{i}") for i in range(classes)]
-    sums = rows.filter(F.col(by).isNotNull()).groupBy(by).agg(F.max(parent).alias("parent"), F.count("*").alias("n"), *counts)
-    share = [(F.col(f"n{i}") + strength * F.col("parent")[i]) / (F.col("n") + strength) for i in range(classes)]
-    return sums.select(by, F.array(*share).alias(f"{by}_share"))
+    share = F.transform("parent", lambda p, i: (_hits(i) + strength * p) / (F.col("n") + strength))
+    return _grouped(rows, by, parent).select(by, share.alias(f"{by}_share"))
 
 
 def identify(
@@ -95,7 +117,6 @@ def identify(
     host_col: str | None = None,
     domain_col: str | None = None,
     per_language: int = 2000,
-    languages: int = 60,
     buckets: int = 1 << 15,
     strength: float = 20.0,
     least: float = 0.5,
@@ -107,8 +128,7 @@ def identify(
     overlap), of the declared language and of the address suffix given the language, and the host's prior. Priors and
     likelihoods come from grouped counts of the text's own best language over all rows: hosts are smoothed towards
     their domain, domains towards the whole corpus. Only the trigram models are fitted on bounded samples
-    (`per_language` documents for each of `languages` declared languages). `und` stands for text like none of them;
-    a row is accepted unless it is und or its posterior is under `least`.
+    (`per_language` documents for each declared language). `und` stands for text like none of them; a row is accepted unless it is und or its posterior is under `least`.
 
     Null or empty text, or none with letters: und. Null evidence doesn't count. Repeated rows: each has its row. No
     declared language at all, or no rows: every row is und.
@@ -122,15 +142,19 @@ def identify(
         *((F.col(c).cast("string") if c else nothing).alias(a) for c, a in ((suffix_col, "suffix"), (host_col, "host"), (domain_col, "domain"))),
         *(F.col(c).cast("string").alias(c) for c in keep_cols),
     )
-    names, table = fit_models(base, per_language, languages, buckets)
+    names, table = fit_models(base, per_language, buckets)
     classes = len(names) + 1
 
+    def likelihood(grams: np.ndarray) -> np.ndarray:
+        parts = (grams[i : i + 4096] for i in range(0, len(grams), 4096))
+        return sum(table[p].sum(0, dtype=np.float64) for p in parts)
+
     def judge(batches):
         for batch in batches:
             found = []
             for text in batch[1]:
                 grams = trigrams(text.as_py(), buckets)
-                found.append(table[grams].sum(0) / 3 if len(grams) else np.array([-50.0] * (classes - 1) + [0.0]))
+                found.append(likelihood(grams) / 3 if len(grams) else np.array([-50.0] * (classes - 1) + [0.0]))
             found = np.array(found).reshape(len(batch), classes)
             best = pa.array(found.argmax(1).astype(np.int32))
             yield pa.RecordBatch.from_arrays([batch[0], *batch.columns[2:], pa.array(list(found), pa.list_(pa.float64())), best], names=kept)
@@ -144,13 +168,13 @@ def identify(
 
     def given(column: str) -> DataFrame:
         """(column, column_given): P(value | class), smoothed towards the value's share of all rows."""
-        sums = rows.filter(F.col(column).isNotNull()).groupBy(column).agg(F.count("*").alias("n"), *(F.sum((F.col("best") == i).cast("long")).alias(f"n{i}") for i in range(classes)))
-        share = [(F.col(f"n{i}") + strength * F.col("n") / float(max(total, 1))) / (counts.get(i, 0) + strength) for i in range(classes)]
-        return sums.select(column, F.array(*share).alias(f"{column}_given"))
+        whole = F.array(*(F.lit(counts.get(i, 0)) for i in range(classes)))
+        share = F.transform(whole, lambda c, i: (_hits(i) + strength * F.col("n") / float(max(total, 1))) / (c + strength))
+        return _grouped(rows, column).select(column, share.alias(f"{column}_given"))
 
-    domains = _shares(rows, "domain", classes, overall, strength)
+    domains = _shares(rows, "domain", overall, strength)
     placed = rows.join(domains, "domain", "left")
-    hosts = _shares(placed, "host", classes, F.coalesce("domain_share", overall), strength)
+    hosts = _shares(placed, "host", F.coalesce("domain_share", overall), strength)
     fused = placed.join(hosts, "host", "left").withColumn("prior", F.coalesce("host_share", "domain_share", overall))
     score = F.zip_with("likelihood", "prior", lambda x, p: x + F.log(p))
     for column in ("declared", "suffix"):

@@ -68,6 +68,16 @@ def test_language(spark, odd, none):
     assert language.identify(none, declared_col="value").count() == 0
 
 
+def test_language_models_all_tags(spark):
+    """More tags than 60: the rarest have a model too, and their clean documents stay what they are."""
+    rng, tags = np.random.default_rng(6), [a + b for a in "abcdefghijklmn" for b in "abcde"]
+    alphabets = {t: [chr(0x3B1 + int(i)) for i in rng.integers(0, 400, 6)] for t in tags}
+    rows = [(1000 * n + i, words(rng, alphabets[t], 40), t) for n, t in enumerate(tags) for i in range(3 if n >= 60 else 6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {r.doc_id: r for r in language.identify(docs, declared_col="lang").collect()}
+    assert len(tags) == 70 and all(got[i].language == t and got[i].accepted for i, _, t in rows)
+
+
 def test_page_evidence(spark):
     rows = [("https://u@A.news.Example.de:80/x?y", "<!DOCTYPE html><HTML class=a lang='de-AT'><body>"), (None, None), ("nonsense", "<p lang=fr>")]
     got = language.page_evidence(spark.createDataFrame(rows, "url string, html string")).collect()
