@@ -10,14 +10,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, narrow, partitions
+from .common import cut, narrow, partitions, small
 
 
 class Hashes:
     """`tables` tables of `per_table` functions floor((a.x + b) / width) over vectors scaled into the unit ball.
 
     A vector gets one more component, so that all have length 1 and the nearest by distance has the largest inner
-    product; a query gets a zero there.
+    product; a query gets a zero there. Vectors are scaled by ranges of their lengths, each half as long as the one
+    before, so that one long vector doesn't make all others look alike.
     """
 
     def __init__(self, dim: int, scale: float, tables: int, per_table: int, width: float, seed: int = 17):
@@ -32,7 +33,8 @@ class Hashes:
 
     def index(self, x: np.ndarray) -> np.ndarray:
         """(n, tables, per_table) cells."""
-        x = x / self.scale
+        norm = np.sqrt((x * x).sum(1, keepdims=True))
+        x = x / np.ldexp(self.scale, -np.floor(np.log2(np.maximum(self.scale / norm, 1))).astype(np.int64))
         return np.floor(self._places(x, np.sqrt(np.maximum(0, 1 - (x * x).sum(1))))).astype(np.int64)
 
     def query(self, x: np.ndarray) -> np.ndarray:
@@ -94,8 +96,8 @@ def _rows(column) -> np.ndarray:
     return flat.to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
 
 
-def fit(sample: np.ndarray, k: int, tables: int, per_table: int, width: float, scale: float, recall: float, most: int) -> tuple[Hashes, int]:
-    """The hashes, and about the least number of probes that finds `recall` of the true neighbours.
+def fit(sample: np.ndarray, k: int, tables: int, per_table: int, width: float, scale: float, recall: float, most: int) -> tuple[Hashes, int, bool]:
+    """The hashes, about the least number of probes that finds `recall` of the true neighbours, and whether any does.
 
     Measured on the sample: a part of it asks for its k nearest in the whole sample.
     """
@@ -104,12 +106,13 @@ def fit(sample: np.ndarray, k: int, tables: int, per_table: int, width: float, s
     truth = np.argsort(-(asks @ sample.T), axis=1)[:, : k + 1]
     cells, count = bucket(hashes.index(sample)), 8
     visited = probes(hashes.query(asks), probe_sets(per_table, most))
-    while count < visited.shape[-1]:
+    while True:
+        count = min(count, visited.shape[-1])
         hit = [np.any([np.isin(cells[t, j], visited[i, j, :count]) for j in range(tables)], axis=0) for i, t in enumerate(truth)]
-        if np.mean(np.concatenate(hit)) >= recall:
-            break
+        reached = bool(np.mean(np.concatenate(hit)) >= recall)
+        if reached or count == visited.shape[-1]:
+            return hashes, count, reached
         count = count * 3 // 2
-    return hashes, min(count, visited.shape[-1])
 
 
 def search(
@@ -132,7 +135,9 @@ def search(
     every table; only the number of probes is fitted, on at most `fit_rows` rows. Equal vectors are one entry of the
     index with their k + 1 smallest ids, found by grouped ranks that drop the rest before the shuffle: no more can be
     among any query's nearest. Buckets are dealt to parts of about `block` entries; a query goes to a part once with
-    the buckets it visits there, and each part gives its k best for it. Candidates are scored exactly.
+    the buckets it visits there, and each part gives its k best for it. Candidates are scored exactly. A query whose
+    buckets hold fewer than k others, or than all there are, is compared with every entry, in blocks; so is every query
+    where no number of probes reaches `recall` on the sample.
 
     Vectors that are null, zero, of another length than most, or hold null or non-finite components take no part, nor
     do null ids. Fewer than k others: all found. Repeated ids: one candidate per distinct vector. No rows: no rows.
@@ -147,7 +152,7 @@ def search(
     base = base.filter(F.size("v") == dims["size"]).distinct()
     longest = base.select(F.max(F.sqrt(F.aggregate(F.col("v").cast("array<double>"), F.lit(0.0), lambda a, x: a + x * x)))).first()[0]
     few = base.orderBy(F.xxhash64("id"), "v").limit(fit_rows).select("v").toPandas()["v"]
-    hashes, count = fit(np.array(few.tolist(), dtype=np.float64), k, tables, per_table, width, longest * (1 + 1e-9), recall, most_probes)
+    hashes, count, reached = fit(np.array(few.tolist(), dtype=np.float64), k, tables, per_table, width, longest * (1 + 1e-9), recall, most_probes)
     sets = probe_sets(per_table, count)
 
     nth = F.row_number().over(Window.partitionBy("v").orderBy("id"))
@@ -198,13 +203,33 @@ def search(
                 part, key, row, buckets = zip(*out)
                 yield pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), pa.array(key, pa.int64()), some[1].take(pa.array(row)), pa.nulls(len(out), pa.list_(pa.int64())), pa.array(buckets, pa.list_(pa.int32()))], names=names)
 
+    def visit(index: DataFrame, asked: DataFrame) -> DataFrame:
+        dealt = index.unionByName(asked).repartition(partitions(spark), "part").sortWithinPartitions("part", F.asc_nulls_first("query"))
+        found = dealt.mapInArrow(partial(_visit, k=k), "query_id long, vec_id long, score double")
+        best = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+        order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+        return best.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
     index = entries.select("v", "ids").mapInArrow(put, kinds)
     asked = base.filter(F.col("id") % every == 0).select("id", "v").mapInArrow(ask, kinds)
-    dealt = index.unionByName(asked).repartition(partitions(spark), "part").sortWithinPartitions("part", F.asc_nulls_first("query"))
-    found = dealt.mapInArrow(partial(_visit, k=k), "query_id long, vec_id long, score double")
-    best = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return best.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    queries = base.filter(F.col("id") % every == 0).select("id", "v")
+    whole = F.array(F.lit(0))
+    blocks = entries.select((F.pmod(F.xxhash64("v"), F.lit(parts))).cast("long").alias("part"), F.lit(None).cast("long").alias("query"), "v", "ids", whole.alias("buckets"))
+
+    def compare(some: DataFrame) -> DataFrame:
+        part = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))).alias("part")
+        asked = some.select(part, F.col("id").alias("query"), "v", F.lit(None).cast("array<long>").alias("ids"), whole.alias("buckets"))
+        return visit(blocks, asked)
+
+    if not reached:
+        return compare(queries)
+    near = cut(visit(index, asked))
+    most = min(k, base.select("id").distinct().count() - 1)
+    full = near.groupBy("query_id").agg(F.count("*").alias("n")).filter(F.col("n") >= most).select(F.col("query_id").alias("id"))
+    short = cut(queries.join(full, "id", "left_anti"))
+    if short.isEmpty():
+        return near
+    return near.join(small(short.select(F.col("id").alias("query_id"))), "query_id", "left_anti").unionByName(compare(short))
 
 
 def _visit(batches, k: int):

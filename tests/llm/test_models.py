@@ -113,6 +113,32 @@ def test_nearest_edges(spark):
     assert [(r.rank, r.vec_id) for r in nearest.search(few).orderBy("rank").collect()] == [(1, 2), (2, 1)]
 
 
+def exact(x: np.ndarray, k: int, every: int) -> dict:
+    scores = x @ x.T
+    np.fill_diagonal(scores, -np.inf)
+    return {q: np.argsort(-scores[q], kind="stable")[: min(k, len(x) - 1)].tolist() for q in range(0, len(x), every)}
+
+
+def test_nearest_few_candidates(spark):
+    """Fewer others than k: all of them, however far apart they lie."""
+    x = np.random.default_rng(8).normal(0, 1, (15, 64))
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = nearest.search(table, k=20, every=1).collect()
+    assert {q: [r.vec_id for r in sorted(got, key=lambda r: r.rank) if r.query_id == q] for q in range(15)} == exact(x, 20, 1)
+
+
+def test_nearest_one_long_vector(spark):
+    """One vector 1000 times longer than the rest: every query still has k rows, and most of the right ones."""
+    x = np.random.default_rng(9).normal(0, 1, (2000, 24))
+    x[7] *= 1000
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = nearest.search(table, k=20, every=20, block=300).collect()
+    want = exact(x, 20, 20)
+    mine = {q: {r.vec_id for r in got if r.query_id == q} for q in want}
+    assert all(len(m) == 20 for m in mine.values())
+    assert np.mean([len(mine[q] & set(w)) / 20 for q, w in want.items()]) >= 0.9
+
+
 def test_probe_sets():
     sets = nearest.probe_sets(6, 200)
     assert len(sets) == 200 and sets[0] == [] and sets[1] == [0]
