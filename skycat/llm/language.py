@@ -39,7 +39,7 @@ def page_evidence(pages: DataFrame, url_col: str = "url", html_col: str = "html"
     """`pages` with declared (the lang attribute of the html element), host, domain and suffix (of the address)."""
     host = F.lower(F.regexp_extract(F.col(url_col), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1))
     host = F.when(host != "", host)
-    tag = F.regexp_extract(F.substring(F.col(html_col), 1, 4000), r"(?i)<html\b[^>]*?\slang\s*=\s*[\"']?([A-Za-z0-9_-]+)", 1)
+    tag = F.regexp_extract(F.col(html_col), r"(?i)<html\b[^>]*?\slang\s*=\s*[\"']?([A-Za-z0-9_-]+)", 1)
     return pages.withColumns({"declared": F.when(tag != "", tag), "host": host, "domain": F.regexp_extract(host, r"([^.]+\.[^.]+)$", 1), "suffix": F.regexp_extract(host, r"([^.]+)$", 1)})
 
 

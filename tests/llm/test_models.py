@@ -85,6 +85,11 @@ def test_page_evidence(spark):
     assert got[1].declared is None and got[1].host is None and got[2].declared is None
 
 
+def test_page_evidence_after_a_long_comment(spark):
+    page = "<!DOCTYPE html><!-- " + "licence " * 2000 + "--><html class=a lang='de'><body>"
+    assert language.page_evidence(spark.createDataFrame([("https://a.de/", page)], "url string, html string")).first().declared == "de"
+
+
 def test_nearest_recall(spark):
     rng = np.random.default_rng(4)
     x = rng.normal(0, 1, (2000, 24))
