@@ -2,12 +2,23 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def range_group(key: Column, points: Sequence[float]) -> Column:
+    """How many of the ascending `points` are below or at `key`, found in two steps of about the root of their number."""
+    if not points:
+        return F.lit(0)
+    step = math.isqrt(len(points) - 1) + 1
+    below = lambda some: F.size(F.filter(some, lambda p: p <= key))
+    first = F.greatest(below(F.array(*map(F.lit, points[::step]))) - 1, F.lit(0)) * step
+    return F.coalesce(first + below(F.slice(F.array(*map(F.lit, points)), first + 1, F.lit(step))), F.lit(0)).cast("int")
+
+
 def with_row_number(rows: DataFrame, name: str, order: Sequence[str], first: int = 1) -> DataFrame:
     """`rows` with their place in the order of the columns.
 
@@ -18,8 +29,7 @@ def with_row_number(rows: DataFrame, name: str, order: Sequence[str], first: int
     lead = order[0]
     ranges = max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     points = sorted({p for p in rows.approxQuantile(lead, [i / ranges for i in range(1, ranges)], 0.01) if p is not None})
-    part = F.coalesce(F.size(F.filter(F.array(*map(F.lit, points)), lambda p: p <= F.col(lead))), F.lit(-1)) if points else F.lit(0)
-    rows = rows.withColumn("__part", part)
+    rows = rows.withColumn("__part", F.when(F.col(lead).isNull(), -1).otherwise(range_group(F.col(lead), points)))
     sizes = rows.groupBy("__part").agg(F.count("*").alias("__size"))
     before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
     starts = sizes.select("__part", F.coalesce(F.sum("__size").over(before), F.lit(0)).alias("__start"))
@@ -51,3 +61,39 @@ def percentiles(rows: DataFrame, column: str, shares: Sequence[float], gather: i
         b = values[1].v if len(values) > 1 else a
         out.append(a + (b - a) * (rank - int(rank)))
     return out
+
+
+def group_percentiles(rows: DataFrame, keys: Sequence[str], column: str, shares: Sequence[float], accuracy: int = 10_000) -> DataFrame:
+    """(keys, p): the exact percentiles (linear between neighbours) of a column's known values in each group, an array.
+
+    A mergeable sketch brackets each percentile; rows below the bracket are counted and only those inside it, about
+    1 / 2500 of a large group, are gathered, so that a crowded group is no single task. Groups are matched with null
+    keys too. Groups without a known value have no row.
+    """
+    known = rows.filter(F.col(column).isNotNull()).select(*keys, F.col(column).cast("double").alias("v"))
+    error = 2.0 / accuracy
+    ends = [x for s in shares for x in (max(0.0, s - error), min(1.0, s + error))]
+    sketch = known.groupBy(*keys).agg(F.count("*").alias("n"), F.percentile_approx("v", ends, accuracy).alias("q"))
+    sketch = sketch.toDF(*(f"__{k}" for k in keys), "n", "q")
+    same = None
+    for k in keys:
+        equal = known[k].eqNullSafe(sketch[f"__{k}"])
+        same = equal if same is None else same & equal
+    both = known.join(sketch, same) if keys else known.crossJoin(F.broadcast(sketch))
+    v, sums = F.col("v"), [F.max("n").alias("n")]
+    for i in range(len(shares)):
+        low, high = F.col("q")[2 * i], F.col("q")[2 * i + 1]
+        sums += [F.count_if(v < low).alias(f"below{i}"), F.max(F.when(v < low, v)).alias(f"before{i}"), F.min(F.when(v > high, v)).alias(f"after{i}"), F.sort_array(F.collect_list(F.when(v.between(low, high), v))).alias(f"in{i}")]
+    found = both.groupBy(*keys).agg(*sums)
+
+    def value(i: int, k: Column) -> Column:
+        at = (k - F.col(f"below{i}")).cast("int")
+        return F.when(at < 0, F.col(f"before{i}")).when(at >= F.size(f"in{i}"), F.col(f"after{i}")).otherwise(F.get(f"in{i}", at))
+
+    out = []
+    for i, share in enumerate(shares):
+        rank = share * (F.col("n") - 1)
+        first, part = F.floor(rank), rank - F.floor(rank)
+        a = value(i, first)
+        out.append(F.when(part == 0, a).otherwise(a + (value(i, first + 1) - a) * part))
+    return found.select(*keys, F.array(*out).alias("p"))
