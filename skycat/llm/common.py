@@ -2,29 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.ordering import range_group
+from ..workspace import fresh_dir, shared_dir, written
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a new temporary one where unset (tests)."""
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        where = spark.sparkContext.getCheckpointDir()
-        where = where.rsplit("/", 1)[0] if where else None
-    if not where:
-        where = "file://" + tempfile.mkdtemp(prefix="spark-skycat-")
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(where)
-    return where.rstrip("/")
-
-
-def fresh_dir(spark: SparkSession, label: str) -> str:
-    """A path inside the shared folder that nothing has used yet."""
-    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+__all__ = ["cut", "cut_points", "fresh_dir", "join_hot", "narrow", "partitions", "range_group", "shared_dir", "small", "small_batches", "written"]
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -37,8 +21,18 @@ def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Texts go to Python in batches of 2,000 rows at most and about 8 MB, where the session has no smaller ones: that
+    bounds what both sides hold at a time.
+    """
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > 2000:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 2000)
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
+
+
 def narrow(df: DataFrame, **columns: str) -> DataFrame:
     """Only the named columns under their working names: extra columns of the input can't clash with them."""
+    small_batches(df.sparkSession)
     return df.select(*(df[name].alias(alias) for alias, name in columns.items()))
 
 
@@ -50,14 +44,18 @@ def cut_points(df: DataFrame, key: str, groups: int) -> list[int]:
     return sorted({int(x) for x in df.approxQuantile(key, at, min(0.01, 0.2 / groups)) if x is not None})
 
 
-def range_group(key: Column, points: list[int]) -> Column:
-    """How many of the ascending `points` are below or at `key`."""
-    if not points:
-        return F.lit(0)
-    found = F.lit(len(points)) - F.size(F.filter(F.array(*map(F.lit, points)), lambda p: p > key))
-    return F.coalesce(found, F.lit(0)).cast("int")
-
-
 def small(df: DataFrame, most: int = 1_000_000) -> DataFrame:
     """A frame to join with: `df`, already cut, with a broadcast hint if it has at most `most` (narrow) rows."""
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
+def join_hot(rows: DataFrame, table: DataFrame, key: str, count_col: str, total: int, share: int = 1000) -> DataFrame:
+    """`rows` joined with `table` on `key`, without its `count_col`: how many of the `total` rows hold the key.
+
+    Keys that hold over one row in `share` are broadcast, so their rows stay where they are; there are fewer than
+    `share` of them. All others meet in a shuffle. Both frames should be cut: they are read twice.
+    """
+    often = F.col(count_col) > total / share
+    hot = F.broadcast(table.filter(often).drop(count_col))
+    rest = rows.join(hot.select(key), key, "left_anti").join(table.filter(~often).drop(count_col), key)
+    return rows.join(hot, key).unionByName(rest)

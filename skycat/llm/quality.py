@@ -2,51 +2,34 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
-from zlib import crc32
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, narrow, small
-from .token_ids import _Memo
-
-_TOKENS = re.compile(r"\w+|[^\w\s]+").findall
-_MIX = np.uint64(0x9E3779B97F4A7C15)
-
-
-def _shape(token: str) -> str:
-    """What kind of token it is: number, marks, capitals, capitalised, other."""
-    if token[0].isdigit():
-        return "0"
-    if not token[0].isalpha():
-        return token[:3]
-    if len(token) > 1 and token.isupper():
-        return "AA"
-    return "A" if token[0].isupper() else "a"
-
-
-def _token(token: str) -> int:
-    return crc32(token.lower().encode("utf-8", "surrogatepass")) << 32 | crc32(b"#" + _shape(token).encode("utf-8", "surrogatepass"))
+from .words import tokens
 
+_MIX = np.uint64(0x9FB21C651E98DF25)
 
 class Grams:
     """The hashed n-grams of a whole text: words, pairs of words, and triples of token shapes, in `buckets` buckets."""
 
     def __init__(self, buckets: int):
-        self.buckets, self.memo = np.uint64(buckets), _Memo(_token, 300_000)
+        self.buckets = np.uint64(buckets)
 
-    def __call__(self, text: str | None) -> np.ndarray:
-        tokens = _TOKENS(text or "")
-        both = np.fromiter(map(self.memo.__getitem__, tokens), dtype=np.uint64, count=len(tokens))
-        words, shapes = both >> np.uint64(32), both & np.uint64(0xFFFFFFFF)
-        kinds = [words + np.uint64(1), words[:-1] * np.uint64(31) + words[1:] * np.uint64(7919) + np.uint64(2)]
-        kinds.append(shapes[:-2] * np.uint64(961) + shapes[1:-1] * np.uint64(31) + shapes[2:] + np.uint64(3))
-        return (((np.concatenate(kinds) * _MIX) >> np.uint64(24)) % self.buckets).astype(np.int64)
+    def __call__(self, text: str | None) -> Iterator[np.ndarray]:
+        """Yields bucket numbers, a part of the text at a time; n-grams reach over the parts."""
+        before = np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+        for words, shapes in tokens(text):
+            first, second = (np.concatenate([b, x]) for b, x in zip(before, (words, shapes)))
+            pairs = first[1:] if len(before[0]) == 2 else first
+            kinds = [words + np.uint64(1), pairs[:-1] * np.uint64(31) + pairs[1:] * np.uint64(7919) + np.uint64(2)]
+            kinds.append(second[:-2] * np.uint64(961) + second[1:-1] * np.uint64(31) + second[2:] + np.uint64(3))
+            yield (((np.concatenate(kinds) * _MIX) >> np.uint64(33)) % self.buckets).view(np.int64)
+            before = first[-2:], second[-2:]
 
 
 def labelled_sample(labels: DataFrame, most: int, id_col: str = "doc_id", label_col: str = "quality") -> DataFrame:
@@ -69,16 +52,27 @@ def fit_ratio(docs: DataFrame, sample: DataFrame, buckets: int, smooth: float =
     marked = docs.join(F.broadcast(sample), "doc_id", "left").select("text", F.coalesce(F.col("fits"), F.lit(False)).alias("target"))
 
     def count(batches):
-        grams, raw, target = Grams(buckets), np.zeros(buckets, np.int64), np.zeros(buckets, np.int64)
+        grams, counts = Grams(buckets), np.zeros((2, buckets), np.int64)
+        held: tuple[list, list] = ([], [])
+
+        def add(side: int) -> None:
+            if held[side]:
+                np.add(counts[side], np.bincount(np.concatenate(held[side]), minlength=buckets), out=counts[side])
+                held[side].clear()
+
+        size = 0
         for batch in batches:
-            texts, good = batch[0], batch[1].to_numpy(zero_copy_only=False)
-            for at in range(0, len(batch), 200):
-                found = [grams(t.as_py()) for t in texts[at : at + 200]]
-                raw += np.bincount(np.concatenate(found), minlength=buckets)
-                if some := [g for g, x in zip(found, good[at : at + 200]) if x]:
-                    target += np.bincount(np.concatenate(some), minlength=buckets)
+            for text, good in zip(batch[0], batch[1].to_pylist()):
+                for found in grams(text.as_py()):
+                    held[good].append(found)
+                    size += len(found)
+                    if size > 1 << 18:
+                        add(0), add(1)
+                        size = 0
+        add(0), add(1)
+        raw = counts.sum(0)
         at = np.flatnonzero(raw)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(raw[at]), pa.array(target[at])], names=["bucket", "raw", "target"])
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(raw[at]), pa.array(counts[1][at])], names=["bucket", "raw", "target"])
 
     sums = marked.mapInArrow(count, "bucket long, raw long, target long").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).toPandas()
     raw, target = np.zeros(buckets), np.zeros(buckets)
@@ -89,15 +83,15 @@ def fit_ratio(docs: DataFrame, sample: DataFrame, buckets: int, smooth: float =
     return np.log((target + smooth) / (target.sum() * raw / raw.sum() + smooth))
 
 
-def log_weight(text: Column, ratio: np.ndarray) -> Column:
-    """The log importance weight of a whole text: the sum of its n-grams' log ratios."""
-    @F.pandas_udf("double")
-    def weigh(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+def log_weights(marked: DataFrame, ratio: np.ndarray) -> DataFrame:
+    """`marked` (doc_id, __id, __mark, text) with log_weight in place of text: the sum of its n-grams' log ratios."""
+    def weigh(batches):
         grams = Grams(len(ratio))
-        for part in parts:
-            yield pd.Series([float(ratio[grams(t)].sum()) for t in part], dtype="float64")
+        for batch in batches:
+            found = [sum(float(ratio[g].sum()) for g in grams(t.as_py())) for t in batch[3]]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(found, pa.float64())], names=["doc_id", "__id", "__mark", "log_weight"])
 
-    return weigh(text)
+    return marked.select("doc_id", "__id", "__mark", "text").mapInArrow(weigh, "doc_id long, __id long, __mark long, log_weight double")
 
 
 def best_split(scores: np.ndarray, good: np.ndarray) -> float:
@@ -118,23 +112,30 @@ def gumbel(key: Column, seed: int) -> Column:
     return -F.log(-F.log(uniform))
 
 
-def kth_largest(keys: DataFrame, k: int, step: float = 2.0**-16) -> float | None:
-    """The largest multiple t of `step` such that at least k keys (column key) are at or above it.
+def kth_largest(keys: DataFrame, k: int, step: float = 2.0**-16, bins: int = 4096) -> float | None:
+    """A number t such that at least k keys (column key) are at or above it, and fewer are above t + `step`.
 
-    Two grouped counts, of coarse and then of fine intervals, reach the driver; never the keys.
+    The interval that holds the k-th key is narrowed by grouped counts of `bins` parts at a time; at most that many
+    rows reach the driver, never the keys.
     """
-    if k <= 0:
+    ends = keys.agg(F.min("key").alias("low"), F.max("key").alias("high"), F.count("key").alias("n")).first()
+    if k <= 0 or not ends.n:
         return None
-    fine = keys.select(F.floor(F.col("key") / step).alias("n"))
-    left = k
-    for r in fine.groupBy(F.floor(F.col("n") / 65536).alias("m")).count().orderBy(F.desc("m")).collect():
-        if r["count"] >= left:
-            for x in fine.filter(F.floor(F.col("n") / 65536) == r.m).groupBy("n").count().orderBy(F.desc("n")).collect():
-                left -= x["count"]
-                if left <= 0:
-                    return x.n * step
-        left -= r["count"]
-    return None
+    low, high, left = ends.low, ends.high, min(k, ends.n)
+    if left == ends.n:
+        return low
+    while high - low > step:
+        width = (high - low) / bins
+        part = F.least(F.floor((F.col("key") - low) / width), F.lit(bins - 1))
+        inside = keys.filter((F.col("key") >= low) & (F.col("key") <= high)).groupBy(part.alias("part")).agg(F.count("*").alias("n"), F.min("key").alias("least"), F.max("key").alias("most"))
+        for r in sorted(inside.collect(), key=lambda r: -r.part):
+            if r.n >= left:
+                break
+            left -= r.n
+        if (r.least, r.most) == (low, high):
+            break
+        low, high = r.least, r.most
+    return low
 
 
 def _identity(id_col: str, text_col: str) -> list[Column]:
@@ -157,7 +158,7 @@ def weigh(
     texts = narrow(docs, doc_id=id_col, text=text_col).withColumn("doc_id", F.col("doc_id").cast("long"))
     known = cut(labelled_sample(labels, sample))
     ratio = fit_ratio(texts, known, buckets)
-    marked = texts.select("doc_id", *_identity("doc_id", "text"), log_weight(F.col("text"), ratio).alias("log_weight"))
+    marked = log_weights(texts.select("doc_id", *_identity("doc_id", "text"), "text"), ratio)
     scored = cut(marked.withColumn("gumbel_key", F.col("log_weight") + gumbel(F.col("doc_id"), seed)))
     some = scored.join(F.broadcast(known.filter(~F.col("fits"))), "doc_id").select("log_weight", "label").limit(2 * sample).toPandas()
     if share is None:
