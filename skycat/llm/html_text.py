@@ -10,10 +10,22 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .common import small_batches
+
 # The tag and class names below are those of the HTML standard and of common page templates.
 _BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
-_SILENT = frozenset("script style title noscript template svg math iframe object select textarea button option canvas audio video noembed noframes".split())
-_BOXES = frozenset("article aside body details dialog div dl fieldset footer form header html li main menu nav ol section table tbody td th tr ul figure blockquote p h1 h2 h3 h4 h5 h6 span".split())
+#: Their content is no markup: it ends at their own end tag alone.
+_RAW = frozenset("script style title noscript iframe textarea noembed noframes xmp".split())
+#: Elements whose text is no text of the page.
+_HIDDEN = frozenset("select datalist button template svg math object canvas audio video".split())
+_VOID = frozenset("hr img input meta link wbr col area base embed param source track".split())
+#: A start tag of these ends an open paragraph.
+_ENDS_P = _BLOCKS - frozenset("body caption head html legend tbody td tfoot th thead tr".split())
+#: Elements whose end tag may be left out: what the start tag of each ends, and inside which box it looks for that.
+_OPTIONAL = {"li": (("li",), ("ul", "ol", "menu", "dir")), "dd": (("dd", "dt"), ("dl",)), "dt": (("dd", "dt"), ("dl",)), "td": (("td", "th"), ("table",)), "th": (("td", "th"), ("table",))}
+_OPTIONAL |= {"tr": (("tr",), ("table",))} | {n: (("thead", "tbody", "tfoot"), ("table",)) for n in ("thead", "tbody", "tfoot")}
+_CELLS = frozenset("table caption td th".split())
+_TABLE = frozenset("table caption thead tbody tfoot tr td th".split())
 _ASIDE = frozenset("aside dialog fieldset footer form menu nav".split())
 _SIDE = re.compile(r"(?:^|[\W_])(?:ads?|advert\w*|banner|breadcrumbs?|comments?|consent|cookies?|disqus|foot(?:er)?|form|gdpr|login|menu|modal|nav\w*|newsletter|notice|notification|pagination|popup|promo\w*|related|replies|respond|search|share|sharing|side(?:bar)?|signup|social|sponsor\w*|subscribe|tags?|toolbar|widgets?)(?:$|[\W_])", re.I)
 _TOP = re.compile(r"(?:^|[\W_])(?:head(?:er)?|masthead)(?:$|[\W_])", re.I)
@@ -21,78 +33,140 @@ _MAIN = re.compile(r"(?:^|[\W_])(?:article|content|entry|main|maintext|post|post
 #: A name that starts so tells of another part of the page.
 _SAID_OF = ("has-", "with-", "no-", "without-", "is-")
 _ROLES = re.compile(r"""\s(?:class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s>"']+)""", re.I)
-_TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^'">])*)(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)""", re.S)
+#: A comment, a declaration, or a tag: (slash, name, attributes). Quotes count after an equals sign alone, as in the
+#: standard; no part is tried twice, so the time is linear in the page.
+_TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*+(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>=]++|=\s*+(?:"[^"]*+"|'[^']*+')?+)*+)(?:>|\Z)""", re.S)
+
+SHAPE = ("words", "links", "words_before", "links_before", "words_after", "links_after", "words_before_2", "links_before_2", "words_after_2", "links_after_2")
+NAMES = ("side", "main", "heading")
+FEATURES = SHAPE + NAMES
+
+
+@lru_cache(maxsize=64)
+def _end_of(name: str) -> re.Pattern:
+    return re.compile(rf"</{re.escape(name)}\b[^>]*(?:>|\Z)", re.I)
+
+
+@lru_cache(maxsize=4096)
+def _part(name: str, roles: tuple[str, ...]) -> tuple[bool, bool, bool]:
+    """(a side part, a header, a main part), by the element's name and its class, id and role."""
+    names = [n for x in roles for n in x.strip("\"'").split() if not n.lower().startswith(_SAID_OF)]
+    main = name in ("article", "main") or any(map(_MAIN.search, names))
+    side = name in _ASIDE or any(map(_SIDE.search, names)) and name not in ("body", "html", "article", "main")
+    return side, name == "header" or any(map(_TOP.search, names)), main
+
+
+class _Open:
+    """The open elements, with counts of side, main and hidden ones; every element is put on and taken off once."""
 
-FEATURES = ("words", "links", "words_before", "links_before", "words_after", "links_after", "side", "main", "heading")
+    def __init__(self):
+        self.stack: list[tuple[str, bool, bool, bool]] = []
+        self.at: dict[str, list[int]] = {}
+        self.side = self.main = self.hidden = 0
+
+    def last(self, names) -> int:
+        return max((self.at[n][-1] for n in names if self.at.get(n)), default=-1)
+
+    def put(self, name: str, side: bool, main: bool, hidden: bool) -> None:
+        self.at.setdefault(name, []).append(len(self.stack))
+        self.stack.append((name, side, main, hidden))
+        self.side, self.main, self.hidden = self.side + side, self.main + main, self.hidden + hidden
+
+    def cut(self, size: int) -> None:
+        while len(self.stack) > size:
+            name, side, main, hidden = self.stack.pop()
+            self.at[name].pop()
+            self.side, self.main, self.hidden = self.side - side, self.main - main, self.hidden - hidden
+
+    def start(self, name: str) -> None:
+        """Ends what the start tag of `name` ends: an open paragraph, the list item or cell before."""
+        if name in _OPTIONAL:
+            ended, box = _OPTIONAL[name]
+            if (i := self.last(ended)) > self.last(box):
+                self.cut(i)
+        if name in _ENDS_P and (i := self.last(("p",))) > self.last(_CELLS):
+            self.cut(i)
+
+    def end(self, name: str) -> None:
+        """Ends the last open `name`, unless a table's cell (or, for a list item, its list) lies between."""
+        wall = ("table",) if name in _TABLE and name != "table" else () if name == "table" else ("ul", "ol", "menu", "dir") if name == "li" else _CELLS
+        if (i := self.last((name,))) > self.last(wall):
+            self.cut(i)
 
 
 def blocks(html: str) -> list[tuple[str, float, bool, bool, bool]]:
     """(text, link density, inside a side part, inside a main part, heading) of each text block in page order.
 
     A block ends at any block tag; inline tags and line breaks don't end it. Scripts, styles, comments and controls are
-    left out; character references are decoded and white space becomes single blanks.
+    left out; character references are decoded and white space becomes single blanks. End tags may be missing where the
+    standard lets them. A block is inside a part if over half of its characters are. Linear in the page's length.
     """
-    out, at, n = [], 0, len(html)
-    stack: list[tuple[str, bool, bool]] = []
+    out, at, n, opened = [], 0, len(html), _Open()
     text: list[str] = []
     linked: list[str] = []
+    inside = [0, 0, 0]  # characters, of side parts, of main parts
     anchor, heading = 0, False
 
     def close():
         words = "".join(text).split()
         if words:
             share = min(1.0, len("".join(linked).split()) / len(words))
-            out.append((" ".join(words), share, any(s[1] for s in stack), any(s[2] for s in stack), heading))
+            out.append((" ".join(words), share, inside[1] * 2 > inside[0], inside[2] * 2 > inside[0], heading))
         text.clear()
         linked.clear()
+        inside[:] = 0, 0, 0
 
     while at < n:
         m = _TAG.search(html, at)
         run = html[at : m.start()] if m else html[at:]
-        if run:
+        if run and not opened.hidden:
             run = unescape(run)
             text.append(run)
+            if size := len(run.strip()):
+                inside[0] += size
+                inside[1] += size * (opened.side > 0)
+                inside[2] += size * (opened.main > 0)
             if anchor:
                 linked.append(run)
         if not m:
             break
         at = m.end()
-        name = (m[2] or m[5] or "").lower()
+        name = (m[2] or "").lower()
         if not name:
             continue
-        ending, rest = bool(m[1] or m[4]), m[3] or m[6] or ""
-        if name in _SILENT:
-            if not ending and not rest.endswith("/"):
-                end = re.compile(rf"</{re.escape(name)}\b[^>]*(?:>|\Z)", re.I).search(html, at)
+        ending, rest = bool(m[1]), m[3]
+        if name in _RAW:
+            if not ending:
+                end = _end_of(name).search(html, at)
                 at = end.end() if end else n
-            continue
-        if name == "br":
+        elif name == "br":
             text.append(" ")
-            continue
-        if name == "a":
+        elif name == "a":
             anchor = 0 if ending else 1
             linked.append(" ")
-            continue
-        if name in _BLOCKS:
+        elif name in _HIDDEN:
+            if ending:
+                opened.end(name)
+            elif not (rest.endswith("/") and name in ("svg", "math")):
+                opened.put(name, False, False, True)
+            text.append(" ")
+        elif name in _BLOCKS:
             close()
             anchor = anchor if name == "li" else 0
             heading = not ending and len(name) == 2 and name[0] == "h" and name[1].isdigit()
-        if name not in _BOXES:
-            continue
-        if ending:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == name:
-                    del stack[i:]
-                    break
-        elif name in ("p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "tr", "td", "th", "span") and not _ROLES.search(rest):
-            continue
-        else:
-            names = [n for x in _ROLES.findall(rest) for n in x.strip("\"'").split() if not n.lower().startswith(_SAID_OF)]
-            inside = any(s[2] for s in stack)
-            main = name in ("article", "main") or any(map(_MAIN.search, names))
-            top = not inside and not main and (name == "header" or any(map(_TOP.search, names)))
-            side = name in _ASIDE or top or any(map(_SIDE.search, names)) and name not in ("body", "html", "article", "main")
-            stack.append((name, side, main))
+            if ending:
+                opened.end(name)
+            else:
+                opened.start(name)
+                if name not in _VOID:
+                    side, top, main = _part(name, tuple(_ROLES.findall(rest)))
+                    opened.put(name, side or top and not main and not opened.main, main, False)
+        elif name == "span":
+            if ending:
+                opened.end(name)
+            else:
+                side, top, main = _part(name, tuple(_ROLES.findall(rest)))
+                opened.put(name, side or top and not main and not opened.main, main, False)
     close()
     return out
 
@@ -101,8 +175,19 @@ def features(found: list[tuple]) -> np.ndarray:
     """One row for each block; FEATURES names the columns. Missing neighbours have no words and no links."""
     words = np.array([len(b[0].split()) for b in found], dtype=np.float64)
     links = np.array([b[1] for b in found], dtype=np.float64)
-    pad = lambda x, shift: np.concatenate([[0.0], x[:-1]]) if shift > 0 else np.concatenate([x[1:], [0.0]])
-    return np.stack([words, links, pad(words, 1), pad(links, 1), pad(words, -1), pad(links, -1), *(np.array([b[i] for b in found], dtype=np.float64) for i in (2, 3, 4))], 1)
+
+    def shifted(x: np.ndarray, by: int) -> np.ndarray:
+        out = np.zeros(len(x))
+        if by > 0:
+            out[by:] = x[:-by]
+        elif by < 0:
+            out[:by] = x[-by:]
+        else:
+            out[:] = x
+        return out
+
+    shape = [shifted(x, by) for by in (0, 1, -1, 2, -2) for x in (words, links)]
+    return np.stack([*shape, *(np.array([b[i] for b in found], dtype=np.float64) for i in (2, 3, 4))], 1)
 
 
 #: The labelled table, as pages: a block that starts with § is main text, any other is not.
@@ -152,13 +237,18 @@ def labelled_table() -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(rows), np.array(labels)
 
 
-def grow(x: np.ndarray, y: np.ndarray, depth: int = 8, least: int = 1):
-    """A decision tree by Gini impurity: a share of positives, or (column, threshold, lower, higher)."""
+def grow(x: np.ndarray, y: np.ndarray, depth: int = 10, shape_depth: int = 3, shape_least: int = 12):
+    """A decision tree by Gini impurity: a share of positives, or (column, threshold, lower, higher).
+
+    The first `shape_depth` levels may ask for words and links alone, in parts of at least `shape_least` rows; only
+    what those leave mixed is asked for names as well.
+    """
     share = float(y.mean())
-    if depth == 0 or share in (0.0, 1.0) or len(y) < 2 * least:
+    if depth == 0 or share in (0.0, 1.0) or len(y) < 2:
         return share
     best = None
-    for column in range(x.shape[1]):
+    columns, least = (range(len(SHAPE)), shape_least) if shape_depth > 0 else (range(x.shape[1]), 1)
+    for column in columns:
         values = np.unique(x[:, column])
         for threshold in (values[:-1] + values[1:]) / 2:
             low = x[:, column] <= threshold
@@ -168,9 +258,9 @@ def grow(x: np.ndarray, y: np.ndarray, depth: int = 8, least: int = 1):
                 if best is None or impurity < best[0] - 1e-12:
                     best = (impurity, column, float(threshold), low)
     if best is None:
-        return share
+        return grow(x, y, depth, 0) if shape_depth > 0 else share
     _, column, threshold, low = best
-    return column, threshold, grow(x[low], y[low], depth - 1, least), grow(x[~low], y[~low], depth - 1, least)
+    return (column, threshold, *(grow(x[part], y[part], depth - 1, shape_depth - 1, shape_least) for part in (low, ~low)))
 
 
 @lru_cache(maxsize=1)
@@ -185,6 +275,16 @@ def score(tree, row) -> float:
     return tree
 
 
+def by_shape(tree, row) -> bool:
+    """Whether the tree's answer for the row rests on words and links alone."""
+    while isinstance(tree, tuple):
+        column, threshold, low, high = tree
+        if column >= len(SHAPE):
+            return False
+        tree = low if row[column] <= threshold else high
+    return True
+
+
 def main_text(html: str | None, tree=None) -> str:
     """The blocks that the tree calls main text, in page order, joined by one newline; empty if there are none."""
     found = blocks(html or "")
@@ -201,6 +301,7 @@ def extract(pages: DataFrame, html_col: str = "html", out: str = "text") -> Data
     no rows.
     """
     kept = [c for c in pages.columns if c not in (html_col, out, "n_chars")]
+    small_batches(pages.sparkSession)
     tree = default_tree()
     schema = pages.select(*kept).schema.add(out, "string").add("n_chars", "long")
 
