@@ -9,7 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, narrow
+from .common import cut, small_batches
+from .words import pieces
 
 UNKNOWN = "und"
 
@@ -20,13 +21,19 @@ def _letters() -> np.ndarray:
 
 
 def trigrams(text: str | None, buckets: int) -> np.ndarray:
-    """Hashed character triples of the lower-cased whole text; all but letters count as one separator."""
-    points = np.frombuffer((text or "").lower().encode("utf-32-le", "surrogatepass"), dtype="<u4")
-    points = np.where(_letters()[np.minimum(points, 65535)], points, 0).astype(np.uint64)
-    points = np.concatenate([[0], points, [0]]).astype(np.uint64)
-    points = points[np.concatenate([[True], (points[1:] != 0) | (points[:-1] != 0)])]
-    mixed = (points[:-2] * np.uint64(961) + points[1:-1] * np.uint64(31) + points[2:]) * np.uint64(0x9E3779B97F4A7C15)
-    return ((mixed >> np.uint64(24)) % np.uint64(buckets))[points[1:-1] != 0].astype(np.int64)
+    """Hashed character triples of the lower-cased whole text; all but letters count as one separator.
+
+    Works piece by piece, cut before white space, across which no triple reaches.
+    """
+    found = []
+    for piece in pieces(text or ""):
+        points = np.frombuffer(piece.lower().encode("utf-32-le", "surrogatepass"), dtype="<u4")
+        points = np.where(_letters()[np.minimum(points, 65535)], points, 0).astype(np.uint64)
+        points = np.concatenate([[0], points, [0]]).astype(np.uint64)
+        points = points[np.concatenate([[True], (points[1:] != 0) | (points[:-1] != 0)])]
+        mixed = (points[:-2] * np.uint64(961) + points[1:-1] * np.uint64(31) + points[2:]) * np.uint64(0x9E3779B97F4A7C15)
+        found.append(((mixed >> np.uint64(24)) % np.uint64(buckets))[points[1:-1] != 0].astype(np.int64))
+    return np.concatenate(found) if found else np.zeros(0, np.int64)
 
 
 def normal_tag(tag: Column) -> Column:
@@ -43,6 +50,12 @@ def page_evidence(pages: DataFrame, url_col: str = "url", html_col: str = "html"
     return pages.withColumns({"declared": F.when(tag != "", tag), "host": host, "domain": F.regexp_extract(host, r"([^.]+\.[^.]+)$", 1), "suffix": F.regexp_extract(host, r"([^.]+)$", 1)})
 
 
+def page_words(pages: DataFrame, html_col: str = "html", out: str = "page_words") -> DataFrame:
+    """`pages` with the page's words: its html without scripts, styles, comments, tags and character references."""
+    bare = F.regexp_replace(html_col, r"(?is)<(script|style|title)\b[^>]*>.*?</\1\s*>|<!--.*?-->|<[a-z!/?][^>]*>", " ")
+    return pages.withColumn(out, F.regexp_replace(bare, r"(?i)&(?:[a-z]+|#x?[0-9a-f]+);?", " "))
+
+
 def fit_models(docs: DataFrame, per_language: int, buckets: int) -> tuple[list[str], np.ndarray]:
     """(languages, log probabilities by bucket and language, the last column for unknown text).
 
@@ -120,21 +133,26 @@ def identify(
     buckets: int = 1 << 15,
     strength: float = 20.0,
     least: float = 0.5,
+    observations: float = 20.0,
     keep_cols: tuple[str, ...] = (),
 ) -> DataFrame:
     """Per row: doc_id, language, posterior, text_language, accepted, and the string columns `keep_cols`.
 
-    The posterior multiplies the likelihood of the text (character trigrams, a third of their log sum since they
-    overlap), of the declared language and of the address suffix given the language, and the host's prior. Priors and
+    The posterior multiplies the likelihood of the text, of the declared language and of the address suffix given the
+    language, and the host's prior. A text's log likelihood is a third of the sum over its character trigrams, as they
+    overlap, and counts for at most `observations` trigrams of the text's mean: a text repeats its own words and
+    topics, so that more of it is no more independent evidence, and the other evidence keeps a say. Priors and
     likelihoods come from grouped counts of the text's own best language over all rows: hosts are smoothed towards
     their domain, domains towards the whole corpus. Only the trigram models are fitted on bounded samples
     (`per_language` documents for each declared language). `und` stands for text like none of them; a row is accepted unless it is und or its posterior is under `least`.
 
-    Null or empty text, or none with letters: und. Null evidence doesn't count. Repeated rows: each has its row. No
-    declared language at all, or no rows: every row is und.
+    Null or empty text, or none with letters: und, unless all other evidence together is very strong. Null evidence
+    doesn't count. Ties: the first language by name. Very long texts are read piece by piece. Repeated rows: each has
+    its row. No declared language at all, or no rows: every row is und.
     """
     spark = docs.sparkSession
     nothing = F.lit(None).cast("string")
+    small_batches(docs.sparkSession)
     base = docs.select(
         F.col(id_col).cast("long").alias("doc_id"),
         F.col(text_col).alias("text"),
@@ -147,14 +165,14 @@ def identify(
 
     def likelihood(grams: np.ndarray) -> np.ndarray:
         parts = (grams[i : i + 4096] for i in range(0, len(grams), 4096))
-        return sum(table[p].sum(0, dtype=np.float64) for p in parts)
+        return sum(table[p].sum(0, dtype=np.float64) for p in parts) * min(1 / 3, observations / len(grams))
 
     def judge(batches):
         for batch in batches:
             found = []
             for text in batch[1]:
                 grams = trigrams(text.as_py(), buckets)
-                found.append(likelihood(grams) / 3 if len(grams) else np.array([-50.0] * (classes - 1) + [0.0]))
+                found.append(likelihood(grams) if len(grams) else np.array([-50.0] * (classes - 1) + [0.0]))
             found = np.array(found).reshape(len(batch), classes)
             best = pa.array(found.argmax(1).astype(np.int32))
             yield pa.RecordBatch.from_arrays([batch[0], *batch.columns[2:], pa.array(list(found), pa.list_(pa.float64())), best], names=kept)
