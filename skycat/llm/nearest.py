@@ -99,17 +99,21 @@ def _rows(column) -> np.ndarray:
 def fit(sample: np.ndarray, k: int, tables: int, per_table: int, width: float, scale: float, recall: float, most: int) -> tuple[Hashes, int, bool]:
     """The hashes, about the least number of probes that finds `recall` of the true neighbours, and whether any does.
 
-    Measured on the sample: a part of it asks for its k nearest in the whole sample.
+    Measured on the sample: a part of it asks for its k nearest others in the whole sample.
     """
     hashes = Hashes(sample.shape[1], scale, tables, per_table, width)
-    asks = sample[:: max(1, len(sample) // 200)]
-    truth = np.argsort(-(asks @ sample.T), axis=1)[:, : k + 1]
+    own = np.arange(0, len(sample), max(1, len(sample) // 200))
+    asks = sample[own]
+    scores = asks @ sample.T
+    scores[np.arange(len(own)), own] = -np.inf
+    truth = np.argsort(-scores, axis=1)[:, : min(k, len(sample) - 1)]
     cells, count = bucket(hashes.index(sample)), 8
     visited = probes(hashes.query(asks), probe_sets(per_table, most))
     while True:
         count = min(count, visited.shape[-1])
         hit = [np.any([np.isin(cells[t, j], visited[i, j, :count]) for j in range(tables)], axis=0) for i, t in enumerate(truth)]
-        reached = bool(np.mean(np.concatenate(hit)) >= recall)
+        found = np.concatenate(hit)
+        reached = not len(found) or bool(np.mean(found) >= recall)
         if reached or count == visited.shape[-1]:
             return hashes, count, reached
         count = count * 3 // 2
@@ -124,7 +128,7 @@ def search(
     tables: int = 4,
     per_table: int = 6,
     width: float = 1.6,
-    recall: float = 0.96,
+    recall: float = 0.95,
     fit_rows: int = 4000,
     most_probes: int = 2048,
     block: int = 20_000,
@@ -167,7 +171,14 @@ def search(
 
     # buckets of over half a block are spread over several parts; there are at most 2 * tables * entries / block of them
     big = entries.select("v").mapInArrow(sizes, "t int, cell int").groupBy("t", "cell").count().filter(F.col("count") > block // 2).collect()
-    spread = {(r.t, r.cell): -(-r["count"] // (block // 2)) for r in big}
+    spread = [sorted((r.cell, -(-r["count"] // (block // 2))) for r in big if r.t == t) for t in range(tables)]
+    spread = [np.array(x or [(0, 1)], dtype=np.int64) for x in spread]
+
+    def over(t: int, cells: np.ndarray) -> np.ndarray:
+        """Over how many parts each bucket of the table is spread."""
+        at = np.minimum(np.searchsorted(spread[t][:, 0], cells), len(spread[t]) - 1)
+        return np.where(spread[t][at, 0] == cells, spread[t][at, 1], 1)
+
     kind = entries.schema["v"].dataType.simpleString()
     kinds = f"part long, query long, v {kind}, ids array<long>, buckets array<int>"
     names = [x.split()[0] for x in kinds.split(", ")]
@@ -178,9 +189,7 @@ def search(
             salt = np.array([x.as_py()[0] for x in batch[1]])
             for t in range(tables):
                 at = cells[:, t].astype(np.int64)
-                for (u, cell), n in spread.items():
-                    if u == t:
-                        at = np.where(cells[:, t] == cell, cell + salt % n, at)
+                at += salt % over(t, at)
                 part = pa.array(at % parts * tables + t, pa.int64())
                 yield pa.RecordBatch.from_arrays([part, pa.nulls(len(batch), pa.int64()), batch[0], batch[1], pa.array(cells[:, t : t + 1].tolist(), pa.list_(pa.int32()))], names=names)
 
@@ -192,11 +201,10 @@ def search(
                 for i, key in enumerate(keys):
                     for t in range(tables):
                         buckets = np.unique(visited[i, t])
-                        where = buckets.astype(np.int64) % parts
-                        for (u, cell), n in spread.items():
-                            if u == t and (buckets == cell).any():
-                                more = (cell + np.arange(1, n)) % parts
-                                buckets, where = np.concatenate([buckets, np.full(n - 1, cell, np.int32)]), np.concatenate([where, more])
+                        times = over(t, buckets)
+                        nth = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+                        buckets = np.repeat(buckets, times)
+                        where = (buckets + nth) % parts
                         order = np.argsort(where, kind="stable")
                         for group in np.split(order, np.flatnonzero(np.diff(where[order])) + 1):
                             out.append((int(where[group[0]]) * tables + t, key, i, np.unique(buckets[group])))
@@ -245,7 +253,7 @@ def _visit(batches, k: int):
         rows = np.concatenate(spans)
         score = x[rows] @ v
         if len(rows) > k + 1:
-            rows = rows[score >= np.partition(score, -k - 1)[-k - 1] - 1e-9]
+            rows = rows[score >= np.partition(score, -k - 1)[-k - 1] - 1e-12 * np.abs(x[rows]).max() * np.abs(v).sum()]
         exact = (x[rows] * v).sum(1)
         return sorted(((-s, m) for s, r in zip(exact.tolist(), rows.tolist()) for m in members[order[r]] if m != key))[:k]
 
