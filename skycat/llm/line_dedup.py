@@ -7,7 +7,7 @@ import string
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import narrow
+from .common import cut, join_hot, narrow, written
 
 #: The characters stripped from both ends of a line: blank and \t to \r.
 BLANKS = " \t\n\x0b\f\r"
@@ -35,34 +35,39 @@ def dedup_lines(
     hold; keys under `min_chars` code points stay. Returns the input's columns with the new text, and n_lines (before)
     and n_dropped.
 
-    Lines are hashed once per document; counts are partial sums before their shuffle, and only hashes of shared lines
-    come back to the documents, so a line that a third of the corpus holds is no large group. Texts move once, to
-    meet their dropped hashes.
+    Lines are exploded with their positions once and kept as hashes in the shared folder; counts are partial sums before
+    their shuffle. Lines that over a thousandth of all rows hold are found again by a broadcast of those few, all
+    others by a join. The lost positions of each text come back to it, in one shuffle of the texts, and the rest is
+    put together by position, in time linear in the number of lines.
 
     Null or empty text: one empty line, result an empty text. A null doc_id counts as one document before all others.
     Repeated doc_ids are one document: each row loses the lines that its id loses. Ties can't occur. No rows: no rows.
     """
-    made = {"__key", "__drop", "n_lines", "n_dropped"}
+    made = {"__key", "__mark", "__drop", "n_lines", "n_dropped"}
     kept = [c for c in docs.columns if c not in made]
-    lines = F.split(F.coalesce(F.col("text"), F.lit("")), "\n", -1)
-    base = narrow(docs, doc_id=id_col, text=text_col).withColumn("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))))
-    keyed = base.select("doc_id", F.explode(lines).alias("line")).select("doc_id", line_key(F.col("line")).alias("key"))
-    held = keyed.filter(F.length("key") >= min_chars).select("doc_id", _hash(F.col("key")).alias("h")).distinct()
-    shared = held.groupBy("h").agg(F.count("*").alias("n"), F.max("doc_id").alias("keeper")).filter(F.col("n") >= min_docs)
-    lost = held.join(shared.select("h", "keeper"), "h").filter(F.col("doc_id") < F.col("keeper"))
-    drops = lost.groupBy("doc_id").agg(F.collect_list("h").alias("__drop")).withColumnRenamed("doc_id", "__key")
-    whole = docs.select(*kept).withColumn("__key", F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63))))
-    joined = whole.join(drops, "__key", "left")
     text = F.coalesce(F.col(text_col), F.lit(""))
-    parts = F.split(text, "\n", -1)
-    stays = F.array_join(F.filter(parts, lambda x: ~((F.length(line_key(x)) >= min_chars) & F.array_contains(F.col("__drop"), _hash(line_key(x))))), "\n")
+    # a row is known by its id and its text: positions hold for that text alone
+    marks = [F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63))).alias("__key"), F.xxhash64(text).alias("__mark")]
+    lines = narrow(docs, **{id_col: id_col, text_col: text_col}).select(*marks, F.posexplode(F.split(text, "\n", -1)).alias("pos", "line"))
+    keyed = lines.select("__key", "__mark", "pos", line_key(F.col("line")).alias("key")).filter(F.length("key") >= min_chars)
+    keyed = written(keyed.select("__key", "__mark", "pos", _hash(F.col("key")).alias("h")), "lines")
+    held = keyed.select("__key", "h").distinct().groupBy("h").agg(F.count("*").alias("n"), F.max("__key").alias("keeper"))
+    shared = cut(held.filter(F.col("n") >= min_docs))
+    lost = join_hot(keyed, shared, "h", "n", keyed.count()).filter(F.col("__key") < F.col("keeper"))
+    drops = lost.groupBy("__key", "__mark").agg(F.collect_list("pos").alias("__drop"))
+    joined = docs.select(*kept, *marks).join(drops, ["__key", "__mark"], "left")
+
+    def together(x: Column) -> Column:
+        stays = F.array_except(F.sequence(F.lit(0), F.size(x.parts) - 1), x.gone)
+        return F.array_join(F.transform(stays, lambda i: F.get(x.parts, i)), "\n")
+
+    # an array of one, so that the text is split once and not for each line
+    once = F.array(F.struct(F.split(text, "\n", -1).alias("parts"), F.col("__drop").alias("gone")))
+    new = F.when(F.col("__drop").isNull(), text).otherwise(F.get(F.transform(once, together), F.lit(0)))
     count = F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1
-    result = joined.withColumn("n_lines", count.cast("long")).withColumn("__new", F.when(F.col("__drop").isNull(), text).otherwise(stays))
-    # an empty result is one empty line that stays, or no line at all
-    parts_left = F.size(F.filter(parts, lambda x: ~((F.length(line_key(x)) >= min_chars) & F.array_contains(F.col("__drop"), _hash(line_key(x))))))
-    result = result.withColumn("n_dropped", F.when(F.col("__drop").isNull(), 0).otherwise(F.col("n_lines") - parts_left).cast("long"))
-    columns = [F.col("__new").alias(c) if c == text_col else F.col(c) for c in kept]
-    return result.select(*columns, "n_lines", "n_dropped")
+    gone = F.when(F.col("__drop").isNull(), 0).otherwise(F.size(F.array_distinct("__drop")))
+    columns = [new.alias(c) if c == text_col else F.col(c) for c in kept]
+    return joined.select(*columns, count.cast("long").alias("n_lines"), gone.cast("long").alias("n_dropped"))
 
 
 ORACLE = r"""
