@@ -6,6 +6,8 @@ import base64
 import hashlib
 import re
 import struct
+from collections.abc import Callable
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -58,9 +60,12 @@ def make_model(ranks: dict[bytes, int]) -> bytes:
 
 
 class ByteBPE:
-    """Encodes by sentencepiece, pre-token by pre-token, and decodes by the inverse map."""
+    """Encodes by sentencepiece, pre-token by pre-token, and decodes by the inverse map.
 
-    def __init__(self, path: str, pattern: str, memory: int = 500_000):
+    memory: about the bytes that each of the two memos, of pre-tokens and of words, may take.
+    """
+
+    def __init__(self, path: str, pattern: str, memory: int = 128 << 20):
         import regex
         import sentencepiece
 
@@ -100,26 +105,34 @@ class ByteBPE:
         return b"".join(map(self.token_of.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
 
-def encode_documents(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = True) -> DataFrame:
+@lru_cache(maxsize=1)
+def shared_bpe(path: str, pattern: str) -> ByteBPE:
+    """The worker process's encoder: the model is made once, what it remembers serves the tasks that follow."""
+    return ByteBPE(path, pattern)
+
+
+def encode_documents(docs: DataFrame, path: str | Callable[[], str], pattern: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = True) -> DataFrame:
     """Per document: doc_id, n_tokens, ids_sha256, decoded_sha256 and, with_ids, the ids and the decoded text.
 
     The ids are those of byte-level BPE with the ranks at `path` over each match of `pattern`; digests are of the ids
     as little-endian unsigned 32-bit integers and of the decoded bytes. One pass over the input, without a shuffle.
+    path: of a file that executors have, or a function that tells it in a task.
 
     Null or empty text: no tokens. Null and repeated doc_ids: each row keeps its own. No rows: no rows.
     """
 
     def run(batches):
-        bpe = ByteBPE(path, pattern)
+        bpe = shared_bpe(path() if callable(path) else path, pattern)
         for batch in batches:
-            keys, texts = batch[0], batch[1].to_pylist()
-            for at in range(0, len(texts), 500):
-                ids = [bpe.encode(t) for t in texts[at : at + 500]]
-                back = [bpe.decode(x) for x in ids]
-                columns = [keys[at : at + 500], pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array([hashlib.sha256(x).hexdigest() for x in ids]), pa.array([hashlib.sha256(x).hexdigest() for x in back])]
+            for at in range(0, len(batch), 500):
+                part = batch.slice(at, 500)
+                ids = [bpe.encode(t.as_py()) for t in part[1]]
+                decoded = [bpe.decode(x) if with_ids else hashlib.sha256(bpe.decode(x)).hexdigest() for x in ids]
+                digests = [hashlib.sha256(x).hexdigest() for x in decoded] if with_ids else decoded
+                columns = [part[0], pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array([hashlib.sha256(x).hexdigest() for x in ids]), pa.array(digests)]
                 names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
                 if with_ids:
-                    columns += [pa.array([np.frombuffer(x, "<u4").astype(np.int64) for x in ids], pa.list_(pa.int64())), pa.array([x.decode("utf-8", "replace") for x in back])]
+                    columns += [pa.array([np.frombuffer(x, "<u4").astype(np.int64) for x in ids], pa.list_(pa.int64())), pa.array([x.decode("utf-8", "replace") for x in decoded])]
                     names += ["ids", "decoded"]
                 yield pa.RecordBatch.from_arrays(columns, names=names)
 

@@ -161,8 +161,8 @@ def pack_documents(
 
         number = 0
         for batch in batches:
-            for key, text in zip(batch[0].to_pylist(), batch[1].to_pylist()):
-                data = encode(text) + end
+            for key, text in zip(batch[0].to_pylist(), batch[1]):
+                data = encode(text.as_py()) + end
                 ids[number] = (key, data)
                 if found := rows(packer.add((number, 0, len(data) // 4))):
                     yield found

@@ -42,7 +42,7 @@ def op4_fuzzy_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = fresh_dir(spark, "token-shards")
     token_files.write_token_shards(_table(spark, sf_dir, "documents"), folder, word_encoder, end_id=2)
-    return token_files.read_token_shards(spark, folder)
+    return token_files.read_token_shards(spark, folder, count_id=2)
 
 
 def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -50,6 +50,12 @@ def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(docs, declared_col="lang", host_col="source", domain_col="family")
 
 
+def op6_page_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages, with all the evidence: the markup's language, the address suffix, hosts smoothed by their domains."""
+    pages = language.page_words(language.page_evidence(_table(spark, sf_dir, "pages")))
+    return language.identify(pages, "page_id", "page_words", "declared", "suffix", "host", "domain").withColumnRenamed("doc_id", "page_id")
+
+
 def op7_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest.search(_table(spark, sf_dir, "embeddings"), k=20, every=20)
 
@@ -58,11 +64,17 @@ def op8_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(_table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
 
 
-def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+def byte_ranks() -> str:
+    """Called in a task: where byte_bpe_multi_50k.tiktoken is."""
     import public_tokenizers
 
-    path, pattern = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
-    return byte_bpe.encode_documents(_table(spark, sf_dir, "documents"), path, pattern, with_ids=False)
+    return public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+
+
+def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from public_tokenizers import PATTERN
+
+    return byte_bpe.encode_documents(_table(spark, sf_dir, "documents"), byte_ranks, PATTERN, with_ids=False)
 
 
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -76,6 +88,7 @@ QUERIES = {
     "op4_fuzzy_hash": op4_fuzzy_hash,
     "op5_token_files": op5_token_files,
     "op6_language": op6_language,
+    "op6_page_language": op6_page_language,
     "op7_nearest": op7_nearest,
     "op8_html_text": op8_html_text,
     "op9_byte_bpe": op9_byte_bpe,

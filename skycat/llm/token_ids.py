@@ -20,22 +20,27 @@ _TAIL = ".,!?;:|#$%&*()"
 
 
 class _Memo(dict):
-    """Computes what it lacks; holds at most `most` entries, so that it stays bounded.
+    """Computes what it lacks; remembers strings of at most `longest` characters, in about `most` bytes.
 
-    When half of them are new, they become the old half: an old entry that is asked for again is new, the others go.
+    When new entries take half of that, they become the old half: an old entry that is asked for again is new, the
+    others go.
     """
 
-    def __init__(self, compute, most: int):
+    def __init__(self, compute, most: int, longest: int = 256):
         super().__init__()
-        self.compute, self.half, self.old = compute, max(1, most // 2), {}
+        self.compute, self.half, self.longest, self.used, self.old = compute, most // 2, longest, 0, {}
 
     def __missing__(self, key):
-        if len(self) >= self.half:
-            self.old = dict(self)
-            self.clear()
         value = self.old.get(key)
         if value is None:
             value = self.compute(key)
+            if len(key) > self.longest:
+                return value
+        if self.used > self.half:
+            self.old, self.used = dict(self), 0
+            self.clear()
+        # a character takes at most four bytes; 200 for the two objects and the table's entry
+        self.used += 4 * len(key) + len(value) + 200
         self[key] = value
         return value
 
@@ -45,10 +50,10 @@ class WordEncoder:
 
     Texts are lower-cased first, as the tokenizer would do. A new word is a word core and the marks after it; every new
     core goes through the library once, letters alone straight to its BPE model. A text for which this could differ
-    goes to the library whole. `memory` bounds the words and, twice that, the cores that a worker remembers.
+    goes to the library whole. `memory` is about the bytes of the words that a worker remembers; cores take twice that.
     """
 
-    def __init__(self, path: str, memory: int = 400_000):
+    def __init__(self, path: str, memory: int = 96 << 20):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
