@@ -4,8 +4,9 @@ import hashlib
 
 import duckdb
 import numpy as np
+from pyspark.sql import functions as F
 
-from skycat.llm import fuzzy_hash, graph, line_dedup, simhash
+from skycat.llm import common, fuzzy_hash, graph, line_dedup, simhash
 
 
 def components(nodes, linked):
@@ -22,6 +23,37 @@ def components(nodes, linked):
     return {n: find(n) for n in nodes}
 
 
+def plain_lines(rows, min_chars=20, min_docs=3):
+    """Rows (doc_id, text) to (doc_id, n_lines, n_dropped, kept text), by dictionaries."""
+    blank, key = " \t\n\x0b\f\r", lambda x: "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in x)
+    number = lambda i: -(2**63) if i is None else i
+    holders = {}
+    for i, text in rows:
+        for line in (text or "").split("\n"):
+            holders.setdefault(key(line.strip(blank)), set()).add(number(i))
+    out = []
+    for i, text in rows:
+        lines, stays = (text or "").split("\n"), []
+        for line in lines:
+            held = holders[k := key(line.strip(blank))]
+            if len(k) < min_chars or len(held) < min_docs or number(i) == max(held):
+                stays.append(line)
+        out.append((i, len(lines), len(lines) - len(stays), "\n".join(stays)))
+    return out
+
+
+def test_lines_brute_force(spark, odd):
+    """Repeated ids with other texts, a document of 100,000 lines, lines held by a third of the rows and by all."""
+    rng, shared = np.random.default_rng(2), ["a shared line number %d of many" % i for i in range(300)]
+    rows = [(i // 2 if i % 40 == 1 else i, "\n".join(rng.choice(shared, int(rng.integers(0, 12))).tolist() + ["own line of document %d" % i, "short"] + ["The Very Common Line Of All  "] * (i % 3))) for i in range(300)]
+    rows += [(1000, "\n".join(f"line number {i % 70_000} of a very long document" for i in range(100_000))), (1001, "\n".join(f"line number {i} of a very long document" for i in range(0, 70_000, 7))), (1002, "\n".join(f"line number {i} of a very long document" for i in range(0, 70_000, 5)))]
+    rows += [tuple(r) for r in odd.select("doc_id", "text").collect()] + [rows[5], rows[5]]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = [(r.doc_id, r.n_lines, r.n_dropped, r.text) for r in line_dedup.dedup_lines(docs).collect()]
+    want = plain_lines(rows)
+    assert sorted(got, key=str) == sorted(want, key=str) and sum(r[2] for r in want) > 5000
+
+
 def test_lines_against_sql(spark, odd):
     rows = odd.filter("doc_id is not null").dropDuplicates(["doc_id"]).select("doc_id", "text")
     documents = rows.toPandas()  # noqa: F841
@@ -65,6 +97,74 @@ def test_fuzzy_hash_likeness():
     assert fuzzy_hash.likeness("1::", "1::") == 1.0 and fuzzy_hash.likeness("1::", x) == 0.0
 
 
+def plain_fingerprint(text):
+    """Piecewise hashing by loops over bytes, with the module's table of random words."""
+    data, full, table = text.encode("utf-8", "surrogatepass"), 2**64 - 1, fuzzy_hash._BYTES.tolist()
+    if not data:
+        return "1::"
+    turn = lambda v, by: (v << by | v >> (32 - by)) & 0xFFFFFFFF if by else v
+    rolling = []
+    for i in range(len(data)):
+        h = 0
+        for back in range(min(7, i + 1)):
+            h ^= turn(table[data[i - back]], 4 * back)
+        rolling.append(h)
+    mixed = [(h * 0xD6E8FEB86659FD93 & full) >> 16 for h in rolling]
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+
+    def signature(block):
+        out, at = "", 0
+        while at < len(data):
+            end = min(at + max(1, block // 4), len(data))
+            while end < min(at + 4 * block, len(data)) and rolling[end - 1] % block != block - 1:
+                end += 1
+            out += letters[(sum(mixed[at:end]) * 0x9E3779B97F4A7C15 & full) >> 58]
+            at = end
+        return out
+
+    block = 1
+    while 64 * block <= len(data):
+        block *= 2
+    return f"{block}:{signature(block)}:{signature(2 * block)}"
+
+
+def plain_likeness(x, y):
+    """Edit distance of insertions and deletions by the usual table, at block sizes that agree."""
+    def alike(a, b):
+        row = list(range(len(b) + 1))
+        for i, c in enumerate(a, 1):
+            old, row = row, [i]
+            for j, d in enumerate(b, 1):
+                row.append(old[j - 1] if c == d else 1 + min(old[j], row[-1]))
+        return 1 - row[-1] / (len(a) + len(b)) if a or b else 1.0
+
+    (bx, x1, x2), (by, y1, y2) = x.split(":"), y.split(":")
+    if x == y:
+        return 1.0
+    if not x1 or not y1 or int(bx) not in (int(by), 2 * int(by), int(by) // 2):
+        return 0.0
+    if bx == by:
+        return max(alike(x1, y1), alike(x2, y2)) if min(len(x2), len(y2)) >= 16 else alike(x1, y1)
+    return alike(x1, y2) if int(bx) > int(by) else alike(x2, y1)
+
+
+def test_fuzzy_hash_brute_force(spark):
+    """Fingerprints and likeness of every row by loops, over whole texts, as the registered query gives them."""
+    rng = np.random.default_rng(8)
+    texts = ["", "a", "aaaa " * 300, "Ünï 漢字 " * 20, *(" ".join(rng.choice(["alpha", "beta", "gamma", "delta", "of", "the"], int(n))) for n in rng.integers(1, 400, 25))]
+    texts += [texts[9], texts[10][: len(texts[10]) * 2 // 3] + texts[12]]
+    rows = list(enumerate(texts))
+    got = {r.doc_id: r for r in fuzzy_hash.fingerprint_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i, text in rows:
+        after = texts[i - 1]  # descending ids; after the last (0) comes the first
+        third = len(text) // 3
+        edited = text[: len(text) - third] + after[:third]
+        r, own, other, nxt = got[i], plain_fingerprint(text), plain_fingerprint(edited), plain_fingerprint(after)
+        assert (r.n_chars, r.fingerprint, r.edited_fingerprint) == (len(text), own, other)
+        assert r.edited_sha256 == hashlib.sha256(edited.encode()).hexdigest()
+        assert abs(r.near_edited - plain_likeness(own, other)) < 1e-12 and abs(r.near_next - plain_likeness(own, nxt)) < 1e-12
+
+
 def test_forest_joins_what_all_links_join():
     rng = np.random.default_rng(0)
     values = set()
@@ -123,6 +223,31 @@ def test_split_shards_lose_no_link(spark):
     assert all(roots.get(v, v) == want[v] for v in values)
 
 
+def test_narrowed_keys_lose_no_link(spark):
+    """Fingerprints that all share two blocks of bits: narrower keys, the same components, fewer rows than pairs."""
+    rng = np.random.default_rng(4)
+    values = {int(v) << 26 for v in rng.integers(0, 2**37, 400)}
+    for v in list(values)[:200]:
+        for k in rng.integers(26, 63, int(rng.integers(1, 4))).tolist():
+            v ^= 1 << k
+        values.add(v)
+    values = sorted(values)
+    nodes = spark.createDataFrame([(v,) for v in values], "value long")
+    keyed = nodes.select(F.explode(simhash.block_keys(F.col("value"), 3, 5)).alias("key"), F.col("value").alias("node"), "value")
+    finer = simhash.split_keys(keyed, 3, 5, most=40)
+    largest = lambda df: df.groupBy("key").count().agg(F.max("count")).first()[0]
+    assert largest(keyed) == len(values) and largest(finer) < 40
+    want = components(values, [(a, b) for a in values for b in values if (a ^ b).bit_count() <= 3])
+    assert components(values, [tuple(r) for r in simhash.shard_links(finer, 3).collect()]) == want
+
+
+def test_range_groups(spark):
+    for n in (0, 1, 2, 5, 30):
+        points = sorted({int(x) for x in np.random.default_rng(n).integers(-50, 50, n)})
+        keys = spark.range(-60, 60).select(F.col("id").alias("k"), common.range_group(F.col("id"), points).alias("g"))
+        assert all(r.g == sum(p <= r.k for p in points) for r in keys.collect())
+
+
 def test_near_duplicates(spark, odd, none):
     rng = np.random.default_rng(5)
     words = ["w%d" % i for i in range(500)]
@@ -167,6 +292,44 @@ def test_near_duplicates_at_the_threshold(spark):
     assert joined >= 0.99 * len(linked)
 
 
+def groups_by_brute_force(texts):
+    sets = {k: set(simhash.ShingleSets(5)(t).tolist()) for k, t in texts.items()}
+    linked = [(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    return components(sets, linked)
+
+
+def test_near_duplicates_of_short_texts(spark):
+    """Texts of 1 to 40 shingles: every pair at or over the similarity is found, as prefixes are exact."""
+    rng, texts = np.random.default_rng(11), {}
+    for i in range(60):
+        n = int(rng.integers(5, 40))
+        base = rng.integers(0, 10**6, n).tolist()
+        for j in range(4):
+            text = base + rng.integers(0, 10**6, int(rng.integers(0, 2 + n // 8))).tolist()
+            texts[4 * i + j] = " ".join(map(str, text))
+    texts |= {1000: "a b c d e f g h", 1001: "a b c d e f g h i", 1002: "a b c", 1003: "A  B c", 1004: "", 1005: " \t"}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in simhash.near_duplicates(docs).collect()}
+    assert got == groups_by_brute_force(texts) and got[1001] == 1000 and got[1003] == 1002 and got[1005] == 1004
+
+
+def test_near_duplicates_over_blocks(spark):
+    """A family larger than a block: pairs of blocks are checked as well; repeated ids are one document."""
+    rng = np.random.default_rng(13)
+    base = rng.permutation(100_000)[:150].tolist()
+    texts = {}
+    for i in range(200):
+        text = list(base)
+        for k in rng.permutation(150)[: int(rng.integers(0, 6))].tolist():
+            text[k] = int(rng.integers(100_000, 10**9))
+        texts[i] = " ".join(map(str, text))
+    rows = list(texts.items()) + [(0, "another text of the same id"), (500, "another text of the same id"), (None, texts[3])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in simhash.near_duplicates(docs, block=3000).collect()}
+    want = groups_by_brute_force(texts)
+    assert {k: got[k] for k in texts} == want and got[500] == got[0] == 0 and len(got) == 201
+
+
 def test_graph_of_a_long_path(spark):
     path = spark.range(200).selectExpr("id as a", "id + 1 as b")
     rows = graph.components(path.unionByName(path.selectExpr("b as a", "a as b"))).collect()

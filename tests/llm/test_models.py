@@ -1,10 +1,17 @@
 """Quality, language, nearest neighbours and page text: held-out accuracy, recall and edge rows."""
 
+import math
+import re
+import time
+from collections import Counter
+from html.parser import HTMLParser
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from skycat.llm import html_text, language, nearest, quality
+from skycat.llm.queries import QUERIES
 
 
 def words(rng, letters, n):
@@ -30,6 +37,55 @@ def test_quality_held_out(corpus):
     assert half.count() == 100
 
 
+def plain_grams(text):
+    """(kind, n-gram) of a text by plain loops: words, pairs of words, triples of token shapes."""
+    found = re.findall(r"\w+|[^\w\s]+", text or "")
+
+    def shape(t):
+        if t[0].isdigit():
+            return "0"
+        if not t[0].isalpha():
+            return t[:3]
+        return "AA" if len(t) > 1 and t.isupper() else "A" if t[0].isupper() else "a"
+
+    low, shapes = [t.lower() for t in found], [shape(t) for t in found]
+    return [("w", t) for t in low] + [("p", *p) for p in zip(low, low[1:])] + [("s", *p) for p in zip(shapes, shapes[1:], shapes[2:])]
+
+
+def test_quality_brute_force(spark, corpus):
+    """Log weights by Counter arithmetic over plain n-grams; with so many buckets hardly any two share one."""
+    labels = corpus.filter("doc_id % 2 = 0").select("doc_id", F.col("good").alias("quality"))
+    fits = {r.doc_id for r in quality.labelled_sample(labels, 20_000).collect() if r.fits}
+    rows = {r.doc_id: plain_grams(r.text) for r in corpus.collect()}
+    raw, target = Counter(), Counter()
+    for i, grams in rows.items():
+        raw.update(grams)
+        if i in fits:
+            target.update(grams)
+    n, m = sum(raw.values()), sum(target.values())
+    weight = {i: sum(math.log((target[g] + 3) / (m * raw[g] / n + 3)) for g in grams) for i, grams in rows.items()}
+    got = quality.weigh(corpus, labels, buckets=1 << 22).collect()
+    error = [abs(r.log_weight - weight[r.doc_id]) for r in got]
+    assert np.mean(error) < 0.05 and max(error) < 1 and np.std(list(weight.values())) > 5
+    # the k largest keys are kept, with k the number of documents over the line that parts the labelled rest best
+    keys = sorted((r.gumbel_key for r in got), reverse=True)
+    kept = sum(r.kept for r in got)
+    assert 0 < kept < len(got) and all(r.kept == (r.gumbel_key >= keys[kept - 1]) for r in got)
+    held = [(r.log_weight, bool(x.good)) for r in got for x in corpus.filter("doc_id % 2 = 0").collect() if x.doc_id == r.doc_id and r.doc_id not in fits]
+    best = max(sum(w >= line for w, g in held if g) / sum(g for _, g in held) + sum(w < line for w, g in held if not g) / sum(not g for _, g in held) for line, _ in held)
+    line = quality.best_split(np.array([w for w, _ in held]), np.array([g for _, g in held]))
+    mine = sum(w >= line for w, g in held if g) / sum(g for _, g in held) + sum(w < line for w, g in held if not g) / sum(not g for _, g in held)
+    assert abs(mine - best) < 1e-9 and kept == sum(r.log_weight >= line for r in got)
+
+
+def test_quality_of_a_text_in_pieces():
+    """A text longer than a piece gives the n-grams of one pass over it, and words above 65,535 too."""
+    text = "Ab cd, 12 EF! \U0001F600 " * 4000
+    whole = Counter(np.concatenate(list(quality.Grams(1 << 30)(text))).tolist())
+    assert len(whole) == len(Counter(plain_grams(text))) and sum(whole.values()) == len(plain_grams(text))
+    assert list(quality.Grams(8)(None)) == list(quality.Grams(8)(" \t")) == []
+
+
 def test_quality_edges(spark, odd, none):
     labels = spark.createDataFrame([(1, 1), (4, 1), (9, 0), (None, 1), (4, 1), (5, None), (77, 0)], "doc_id long, quality int")
     got = quality.resample(odd, labels)
@@ -45,7 +101,9 @@ def test_kth_largest(spark):
     for k in (1, 7, 1000, 2000):
         bound = quality.kth_largest(keys, k)
         assert (values >= bound).sum() == k
-    assert quality.kth_largest(keys, 0) is None
+    assert quality.kth_largest(keys, 0) is None and quality.kth_largest(keys.limit(0), 3) is None
+    tied = spark.createDataFrame([(1.0,), (1.0,), (1.0,), (-1e300,), (5.0,)], "key double")
+    assert [quality.kth_largest(tied, k) for k in (1, 2, 4, 5, 9)] == [5.0, 1.0, 1.0, -1e300, -1e300]
 
 
 def test_gumbel_is_gumbel(spark):
@@ -68,6 +126,97 @@ def test_language(spark, odd, none):
     assert language.identify(none, declared_col="value").count() == 0
 
 
+def plain_trigrams(text):
+    """The character triples around each letter of each run of letters; outside it is a blank."""
+    runs = "".join(c if c.isalpha() else " " for c in (text or "").lower()).split()
+    return [f" {r} "[i - 1 : i + 2] for r in runs for i in range(1, len(r) + 1)]
+
+
+def plain_posteriors(rows, buckets, strength=20.0, observations=20.0):
+    """{id: (language, posterior, text language)} by dictionaries and loops. rows: (id, text, declared, suffix, host, domain)."""
+    names = sorted({r[2] for r in rows if r[2] and r[1]})
+    classes = [*names, "und"]
+    counts = {n: Counter(t for r in rows if r[2] == n for t in plain_trigrams(r[1])) for n in names}
+    size = {n: sum(c.values()) for n, c in counts.items()}
+
+    def text_evidence(text):
+        grams = plain_trigrams(text)
+        if not grams:
+            return {**dict.fromkeys(names, -50.0), "und": 0.0}
+        scale = min(1 / 3, observations / len(grams))
+        known = {n: scale * sum(math.log((counts[n][g] + 0.05) / (size[n] + 0.05 * buckets)) for g in grams) for n in names}
+        return {**known, "und": -scale * len(grams) * math.log(buckets)}
+
+    evidence = {r[0]: text_evidence(r[1]) for r in rows}
+    best = {i: max(classes, key=lambda c: (e[c], -classes.index(c))) for i, e in evidence.items()}
+    whole = Counter(best.values())
+    overall = {c: (whole[c] + 1) / (len(rows) + len(classes)) for c in classes}
+
+    def smoothed(column, parent):
+        out = {}
+        for value in {r[column] for r in rows if r[column] is not None}:
+            hits = Counter(best[r[0]] for r in rows if r[column] == value)
+            up = parent(value)
+            out[value] = {c: (hits[c] + strength * up[c]) / (sum(hits.values()) + strength) for c in classes}
+        return out
+
+    domains = smoothed(5, lambda value: overall)
+    domain_of = {r[4]: r[5] for r in rows}
+    hosts = smoothed(4, lambda value: domains.get(domain_of[value], overall))
+    found = {}
+    for r in rows:
+        score = {c: evidence[r[0]][c] + math.log(hosts.get(r[4], domains.get(r[5], overall))[c]) for c in classes}
+        for column in (2, 3):
+            if r[column] is not None:
+                held = Counter(best[x[0]] for x in rows if x[column] == r[column])
+                for c in classes:
+                    score[c] += math.log((held[c] + strength * sum(held.values()) / len(rows)) / (whole[c] + strength))
+        top = max(classes, key=lambda c: (score[c], -classes.index(c)))
+        found[r[0]] = top, 1 / sum(math.exp(x - score[top]) for x in score.values()), best[r[0]]
+    return found
+
+
+def test_language_brute_force(spark):
+    """Posteriors of all rows equal plain arithmetic, and on some of them the evidence beside the text decides."""
+    rng, rows = np.random.default_rng(12), []
+    letters = {"en": "thewandios", "de": "schungewi", "fr": "auxoilethe"}
+    for i in range(240):
+        tongue = ["en", "de", "fr"][i % 3]
+        text = words(rng, letters[tongue], int(rng.integers(1, 40)) if i % 4 else 1)
+        if i % 7 == 0:
+            text = "the win"[: int(rng.integers(2, 8))]
+        host = f"h{i % 5}.{tongue}{i % 2}.example"
+        rows.append((i, text, tongue if i % 10 else None, {"en": "com", "de": "de", "fr": "fr"}[tongue] if i % 6 else None, host if i % 8 else None, host.split(".", 1)[1] if i % 8 else None))
+    rows += [(900, "12 !!", "en", "com", None, None), (901, None, "de", "de", "h1.de1.example", "de1.example"), (902, "漢字かな " * 20, None, None, None, None)]
+    buckets = 1 << 20
+    grams = {g for r in rows for g in plain_trigrams(r[1])}
+    assert len({int(b) for r in rows for b in language.trigrams(r[1], buckets)}) == len(grams), "no two triples share a bucket"
+    want = plain_posteriors(rows, buckets)
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, tld string, host string, site string")
+    got = {r.doc_id: r for r in language.identify(docs, declared_col="lang", suffix_col="tld", host_col="host", domain_col="site", buckets=buckets).collect()}
+    assert set(got) == set(want)
+    for i, (name, posterior, by_text) in want.items():
+        assert (got[i].language, got[i].text_language) == (name, by_text) and abs(got[i].posterior - posterior) < 1e-4
+    changed = [i for i in want if want[i][0] != want[i][2]]
+    right = lambda i, k: want[i][k] == ["en", "de", "fr"][i % 3]
+    assert len(changed) >= 5 and sum(right(i, 0) for i in changed if i < 240) > sum(right(i, 2) for i in changed if i < 240)
+
+
+def test_page_languages(spark):
+    """Markup, suffix and host decide where a page's few words don't; pages without any words are und."""
+    rng = np.random.default_rng(5)
+    page = lambda tag, body: f"<!DOCTYPE html><html lang='{tag}'><title>x</title><script>var a = 'nonsense';</script><body><p>{body}</p>"
+    rows = [(i, f"https://www.a{i % 3}.{('de', 'fr')[i % 2]}/{i}", page(("de", "fr")[i % 2], words(rng, ("schungewi", "auxoilethe")[i % 2], 40))) for i in range(80)]
+    rows += [(100, "https://www.a1.de/x", page("de", "ie")), (101, "https://www.a1.fr/x", page("fr", "ie")), (102, None, None), (103, "https://www.a1.de/y", "<html lang=de><script>var words = 1</script>")]
+    pages = language.page_words(language.page_evidence(spark.createDataFrame(rows, "page_id long, url string, html string")))
+    got = {r.doc_id: r for r in language.identify(pages, "page_id", "page_words", "declared", "suffix", "host", "domain").collect()}
+    assert all(got[i].language == ("de", "fr")[i % 2] and got[i].accepted for i in range(80))
+    assert got[100].language == "de" and got[101].language == "fr" and got[100].text_language == got[101].text_language
+    assert got[102].language == got[103].language == "und"
+    whole = QUERIES["op6_page_language"](spark, "/root/testdata/sf0.001")
+    assert whole.count() == spark.read.parquet("/root/testdata/sf0.001/pages.parquet").count() and "page_id" in whole.columns
+
+
 def test_language_models_all_tags(spark):
     """More tags than 60: the rarest have a model too, and their clean documents stay what they are."""
     rng, tags = np.random.default_rng(6), [a + b for a in "abcdefghijklmn" for b in "abcde"]
@@ -161,6 +310,79 @@ def test_page_text(spark):
     assert set(got[0].asDict()) == {"page_id", "url", "text", "n_chars"}
 
 
+class PlainArticle(HTMLParser):
+    """The blocks of a well-formed page's article, by the standard library's parser: another way to the same text."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.depth, self.silent, self.parts, self.found = 0, 0, [], []
+
+    def close_block(self):
+        if text := " ".join("".join(self.parts).split()):
+            self.found.append(text)
+        self.parts.clear()
+
+    def handle_starttag(self, tag, attrs):
+        self.depth += tag == "article"
+        self.silent += tag in ("script", "style")
+        if tag in ("p", "h1", "div", "li"):
+            self.close_block()
+        if tag == "br":
+            self.parts.append(" ")
+
+    def handle_endtag(self, tag):
+        if tag in ("p", "h1", "article", "div", "li"):
+            self.close_block()
+        self.depth -= tag == "article"
+        self.silent -= tag in ("script", "style")
+
+    def handle_data(self, data):
+        if self.depth and not self.silent:
+            self.parts.append(data)
+
+
+def test_pages_against_a_plain_parser(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
+    got = {r.page_id: r for r in QUERIES["op8_html_text"](spark, "/root/testdata/sf0.001").collect()}
+    rows = pages.collect()
+    assert len(got) == len(rows) > 20
+    for r in rows:
+        plain = PlainArticle()
+        plain.feed(r.html)
+        plain.close_block()
+        assert got[r.page_id].text == "\n".join(plain.found) and got[r.page_id].n_chars == len(got[r.page_id].text)
+
+
+def test_missing_end_tags():
+    text = "word " * 30 + "end."
+    assert html_text.main_text(f"<body><datalist><option value=a></datalist><select><option>no<option>none</select><article><p>{text}</article>") == text
+    # a paragraph that is never closed ends at the sidebar, and the sidebar's own paragraphs stay in it
+    page = f"<body><article><p class=x>{text}<div class=sidebar><p>{text}</p><p>{text}</p></div><p>{text}</p></article>"
+    assert html_text.main_text(page) == f"{text}\n{text}"
+    assert [b[2] for b in html_text.blocks(page)] == [False, True, True, False]
+    cells = html_text.blocks("<table><tr><td class=ad>one<td>two<tr><td>three</table><ul><li class=menu>a<ul><li>b</ul><li>c</ul>")
+    assert [(b[0], b[2]) for b in cells] == [("one", True), ("two", False), ("three", False), ("a", True), ("b", True), ("c", False)]
+    assert html_text.blocks("<article><span class=ad>Buy</span><p>x")[0][2] and html_text.blocks("<div><table><td></div>a</table>b</div>")[-1][0] == "b"
+    assert [b[0] for b in html_text.blocks("<p title=don't>a<p title='b>c'>d<p x=\"e>f")] == ["a", "d", "f"]
+
+
+def test_open_tags_take_linear_time():
+    """100,000 tags of each kind, never closed, and 100,000 quotes: seconds, not hours."""
+    n = 100_000
+    for piece in ("<div>", "<p class=x>a", "<ul><li class=menu>", "</div>", "<a href='x>", '<a href="x>', "<!-", "<td><p>", "<b", "<select>", "= <i ="):
+        began = time.perf_counter()
+        html_text.main_text(piece * n)
+        assert time.perf_counter() - began < 30, piece
+
+
+def test_share_decided_by_shape():
+    """Words and links of the block and its neighbours decide first; names only what those leave mixed."""
+    tree = html_text.default_tree()
+    assert html_text.FEATURES[tree[0]] in html_text.SHAPE
+    x, _ = html_text.labelled_table()
+    assert 0.2 < np.mean([html_text.by_shape(tree, r) for r in x.tolist()]) < 1
+
+
 def test_tree_held_out():
     x, y = html_text.labelled_table()
     hits = 0

@@ -9,7 +9,7 @@ import pytest
 
 P = pytest.importorskip("public_tokenizers")
 
-from skycat.llm import byte_bpe, packing, token_files, wavelet  # noqa: E402
+from skycat.llm import byte_bpe, packing, token_files, token_ids, wavelet  # noqa: E402
 from skycat.llm.common import fresh_dir  # noqa: E402
 from skycat.llm.queries import word_encoder  # noqa: E402
 from skycat.llm.token_ids import WordEncoder  # noqa: E402
@@ -34,6 +34,31 @@ def test_word_encoder_equals_library(library):
         assert np.frombuffer(encoder.encode(t), "<u4").tolist() == expected(library, t)[:-1]
 
 
+def test_memo_is_bounded_by_bytes():
+    """2,000 texts of 4,000 characters without a blank are not remembered; short words take their share of bytes."""
+    asked = []
+    memo = token_ids._Memo(lambda w: asked.append(w) or w.encode(), 1 << 20)
+    for i in range(2000):
+        assert memo["漢字" * 2000 + str(i)] is not None
+    assert not memo and not memo.old
+    for i in range(20_000):
+        assert memo[str(i)] == str(i).encode()
+    held = sum(len(k) + len(v) + 200 for m in (memo, memo.old) for k, v in m.items())
+    assert held < 1.1 * (1 << 20) and len(memo) + len(memo.old) > 1000
+    memo["7"], n = memo["7"], len(asked)
+    assert memo["7"] == b"7" and len(asked) == n
+
+
+def test_texts_without_blanks(library):
+    texts = ["".join(chr(0x4E00 + (i * 7 + k * k) % 20_000) for k in range(4000)) for i in range(20)]
+    encoder = WordEncoder(P.path("word_bpe_49k.json"))
+    bpe = byte_bpe.ByteBPE(P.path("byte_bpe_multi_50k.tiktoken"), P.PATTERN)
+    for t in texts:
+        assert np.frombuffer(encoder.encode(t), "<u4").tolist() == expected(library, t)[:-1]
+        assert bpe.decode(bpe.encode(t)) == t.encode()
+    assert all(len(k) <= 256 for m in (encoder.words, encoder.cores, bpe.pieces, bpe.parts) for k in m)
+
+
 def test_fill_window_is_optimal():
     rng = random.Random(4)
     for _ in range(40):
@@ -89,20 +114,58 @@ def test_token_files(spark, odd, none, library):
 def test_wavelet_matrix():
     ids = np.random.default_rng(0).integers(0, 49000, 3000).astype(np.uint32)
     ids[100:200], ids[2999] = 7, 65535
-    data = wavelet.dump([1, None, 3], [1000, 1000, 1000], ids, 16)
-    keys, lengths, n, planes = wavelet.load(data)
-    matrix = wavelet.open_matrix(data)
-    assert keys == [1, None, 3] and lengths.tolist() == [1000] * 3 and (wavelet.join_planes(n, planes) == ids).all()
+    shard = wavelet.load(wavelet.dump([1, None, 3], [1000, 1000, 1000], ids, 16))
+    matrix = shard.matrix
+    assert shard.doc_ids == [1, None, 3] and shard.lengths.tolist() == [1000] * 3
     assert (matrix.decode() == ids).all() and (matrix.access(range(3000)) == ids).all()
     for token in (7, 65535, int(ids[5]), 48_999, 70_000):
         where = np.flatnonzero(ids == token).tolist()
         assert matrix.count(token) == len(where) and matrix.occurrences(token) == where
         assert matrix.rank(token, 150) == sum(w < 150 for w in where)
-    with pytest.raises(IndexError):
-        matrix.select(7, 100)
+    for bad in (lambda: matrix.select(7, 100), lambda: matrix.access([3000]), lambda: matrix.access([-1])):
+        with pytest.raises(IndexError):
+            bad()
     assert wavelet.WaveletMatrix.build(np.zeros(0, np.uint16), 16).count(3) == 0
 
 
+def test_wavelet_parts():
+    """Several parts a plane: all answers by brute force, each from few reads of the file."""
+    ids = (np.random.default_rng(1).zipf(1.3, 1_000_000) % 5000).astype(np.uint32)
+    data, reads = wavelet.dump([9], [len(ids)], ids, 16), []
+    matrix = wavelet.Shard(lambda at, n: reads.append(n) or data[at : at + n]).matrix
+    before = sum(reads)
+    assert matrix.count(17) == (ids == 17).sum() and sum(reads) - before < 0.4 * len(data)
+    places = [0, 65_535, 65_536, 131_071, 999_999]
+    assert matrix.access(places).tolist() == ids[places].tolist()
+    where = np.flatnonzero(ids == 3)
+    assert matrix.occurrences(3) == where.tolist() and matrix.ranks(3, [0, 70_000, 3_000_000]).tolist() == [0, (where < 70_000).sum(), len(where)]
+    assert (matrix.decode() == ids).all()
+
+
+def test_wavelet_rejects_wide_ids():
+    with pytest.raises(ValueError):
+        wavelet.dump([1], [3], np.array([1, 65536, 70000], np.uint32), 16)
+    assert wavelet.load(wavelet.dump([1], [3], np.array([1, 65536, 70000], np.uint32), 17)).matrix.decode().tolist() == [1, 65536, 70000]
+
+
+def test_token_lookups(spark, odd, library):
+    """Counts, places and access over the files equal plain loops over the ids."""
+    folder = fresh_dir(spark, "test-shards")
+    token_files.write_token_shards(odd, folder, word_encoder, end_id=2, shard_tokens=500)
+    ids = [(r.doc_id, expected(library, r.text)) for r in odd.select("doc_id", "text").collect()]
+    tokens = [2, ids[4][1][0], ids[9][1][0], 40_000]
+    counts = {r.token: r.n for r in token_files.token_counts(spark, folder, tokens).collect()}
+    assert counts == {t: sum(x.count(t) for _, x in ids) for t in tokens}
+    places = sorted((r.token, str(r.doc_id), r["at"]) for r in token_files.token_occurrences(spark, folder, tokens, step=1000).collect())
+    assert places == sorted((t, str(i), at) for t in tokens for i, x in ids for at, y in enumerate(x) if y == t)
+    wanted = spark.createDataFrame([(4, 0), (4, 3), (9, 777), (9, 10**6), (None, 0), (77, 0), (4, None), (4, -1), (4, 3)], "doc_id long, at long")
+    got = sorted((r.doc_id, r["at"], r.token) for r in token_files.tokens_at(spark, folder, wanted).collect())
+    own = {i: x for i, x in ids if i in (4, 9)}
+    assert got == [(4, 0, own[4][0]), (4, 3, own[4][3]), (9, 777, own[9][777])]
+    ends = token_files.read_token_shards(spark, folder, count_id=2).agg({"n_counted": "sum"}).first()[0]
+    assert ends == counts[2]
+
+
 def test_byte_bpe_equals_tiktoken(spark, odd, none):
     import hashlib
 
