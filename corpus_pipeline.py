@@ -36,7 +36,9 @@ def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that at least three documents share stay in one of them."""
     kept = line_dedup.dedup_lines(docs)
-    return kept.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(docs.columns)
+    if "n_chars" in docs.columns:
+        kept = kept.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return kept.select(docs.columns)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,7 +50,7 @@ def small_encoder():
     """An encoder for one task, with a small memo: workers that go on to other stages keep nothing of it."""
     import public_tokenizers
 
-    return WordEncoder(public_tokenizers.path("word_bpe_49k.json"), memory=150_000).encode
+    return WordEncoder(public_tokenizers.path("word_bpe_49k.json"), memory=24 << 20).encode
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
