@@ -156,6 +156,49 @@ def ecliptic_to_icrs(lon: Column, lat: Column) -> tuple[Column, Column]:
     return _rotate(lon, lat, ((1.0, 0.0, 0.0), (0.0, c, -s), (0.0, s, c)))
 
 
+def icrs_to_ecliptic(ra: Column, dec: Column) -> tuple[Column, Column]:
+    c, s = math.cos(math.radians(OBLIQUITY)), math.sin(math.radians(OBLIQUITY))
+    return _rotate(ra, dec, ((1.0, 0.0, 0.0), (0.0, c, s), (0.0, -s, c)))
+
+
+# Names of coordinate frames.
+FRAMES = {"g": "galactic", "gal": "galactic", "galactic": "galactic", "c": "icrs", "celestial": "icrs", "equatorial": "icrs", "j2000": "icrs", "icrs": "icrs", "fk5": "fk5", "e": "ecliptic", "ecliptic": "ecliptic", "geocentrictrueecliptic": "ecliptic"}
+
+
+def frame_name(name: str | None) -> str:
+    """The frame that a name stands for; galactic without one."""
+    value = (name or "galactic").strip().lower()
+    return FRAMES.get(value, value)
+
+
+def guess_frame(header: dict[str, str] | None = None, columns: Sequence[str] = (), fallback: str = "galactic") -> str:
+    """The frame of a file, by its header's COORDSYS, COORDTYPE or CTYPE, or by its columns' names."""
+    header = header or {}
+    if code := str(header.get("COORDSYS") or header.get("COORDTYPE") or "").strip():
+        return frame_name(code)
+    axes = " ".join(str(header.get(k, "")).upper() for k in ("CTYPE1", "CTYPE2"))
+    names = {c.lower() for c in columns}
+    if "GLON" in axes or "GLAT" in axes or names & {"l", "glon", "galactic_longitude"}:
+        return "galactic"
+    if "RA" in axes or "DEC" in axes or names & {"ra", "ra_deg", "raj2000", "dec", "dec_deg"}:
+        return "icrs"
+    if "ELON" in axes or "ELAT" in axes or names & {"elon", "elat", "ecl_lon"}:
+        return "ecliptic"
+    return frame_name(fallback)
+
+
+def to_galactic(lon: Column, lat: Column, frame: str) -> tuple[Column, Column]:
+    """Galactic coordinates of positions in a named frame; FK5 counts as ICRS."""
+    kind = frame_name(frame)
+    if kind == "galactic":
+        return lon, lat
+    if kind in ("icrs", "fk5"):
+        return icrs_to_galactic(lon, lat)
+    if kind == "ecliptic":
+        return icrs_to_galactic(*ecliptic_to_icrs(lon, lat))
+    raise ValueError(f"unknown frame: {frame}")
+
+
 def _quarters(l: Column) -> Column:
     return F.pmod(F.radians(l), F.lit(2.0 * math.pi)) / (0.5 * math.pi)
 

@@ -117,6 +117,12 @@ def hex_colour(red: Column, green: Column, blue: Column) -> Column:
     return F.concat(F.lit("#"), part(red), part(green), part(blue))
 
 
+def css_colour(red: Column, green: Column, blue: Column) -> Column:
+    """rgb(r, g, b) of channels in [0, 1]; halves are rounded to even."""
+    part = lambda c: F.bround(clip(c, 0, 1) * 255.0, 0).cast("int").cast("string")
+    return F.concat(F.lit("rgb("), part(red), F.lit(", "), part(green), F.lit(", "), part(blue), F.lit(")"))
+
+
 def to_parsecs(value: Column, unit: Column) -> Column:
     """A distance in parsecs; null for an unknown unit."""
     out = F.when(F.lower(unit) == "pc", value)

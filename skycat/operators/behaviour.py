@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.curves import TAU, display_size, light_curve, relative_flux
 from ..functions.hashing import uniform
 from ..functions.photometry import clip, positive, vivid_rgb
+from .ordering import with_row_number
 
 COLUMNS = "cls string, model string, flux_mode string, period_default double, amplitude_default double, amplitude_floor double, irregularity double, temperature_response double, size_scale double, size_response double, intensity_scale double, brightness_response double, amplitude_ceiling double, width_low double, width_high double"
 
@@ -84,6 +85,62 @@ def with_parameters(stars: DataFrame) -> DataFrame:
     })
 
 
+# How long stars wait before they appear, the lengths of the ramps (shares of the video), the seeds of the
+# two delays, and the star sizes of a map of one class and of a map of all.
+APPEARANCE, FADE_IN, FADE_OUT, INTRO, OUTRO, SEED_APPEAR, SEED_FADE = 0.20, 0.04, 0.04, 0.0, 0.0, 42, 43
+ONE_CLASS_SIZE, ALL_CLASSES_SIZE = 2.20 * 1.65, 1.0
+HOT = ("LBV", "BE", "GCAS", "SDOR", "WR", "UNKNOWN_HOT")
+
+
+def with_fallbacks(stars: DataFrame, class_col: str = "cls") -> DataFrame:
+    """`stars` with an unusable period replaced by alternate_period and, in hot classes, an unusable amplitude by the
+    trimmed range, then the full range. Columns that the table lacks replace nothing.
+    """
+    have = set(stars.columns)
+    of = lambda c: F.col(c).cast("double") if c in have else F.lit(None).cast("double")
+    usable = lambda c: F.when(of(c) >= 0, of(c))
+    period = F.coalesce(positive(of("period")), positive(of("alternate_period")), of("period"))
+    ranges = F.coalesce(usable("amplitude"), usable("trimmed_range_mag_g_fov"), usable("range_mag_g_fov"), of("amplitude"))
+    return stars.withColumns({"period": period, "amplitude": F.when(F.col(class_col).isin(*HOT), ranges).otherwise(of("amplitude"))})
+
+
+def with_surrogate_ids(stars: DataFrame, catalogue: int, order: str = "input_seq") -> DataFrame:
+    """`stars` with ids (catalogue + 1) * 10^12 + row number (from 0, in the order of `order`) where source_id is missing
+    or negative. Rows are numbered by ranges; catalogue counts the catalogues from 0.
+    """
+    rows = with_row_number(stars, "__row", [order], 0)
+    missing = F.coalesce(F.col("source_id") < 0, F.lit(True))
+    key = F.lit((catalogue + 1) * 10**12).cast("long") + F.col("__row").cast("long")
+    return rows.withColumn("source_id", F.when(missing, key).otherwise(F.col("source_id"))).drop("__row")
+
+
+def default_counts(stars: DataFrame) -> DataFrame:
+    """One row: how many stars take a default period and amplitude, and how many have each physical value."""
+    lacks = lambda c, low: F.count_if(F.coalesce(~(F.col(c) > 0) if low else ~(F.col(c) >= 0), F.lit(True)))
+    has = lambda c: F.count_if(F.col(c) > 0)
+    return stars.agg(
+        lacks("period", True).alias("missing_period"), lacks("amplitude", False).alias("missing_amplitude"), has("lum_flame").alias("luminosity"),
+        has("radius_gspphot").alias("radius"), has("mass_flame").alias("mass"), F.count("classification_score").alias("classification_score"),
+    )
+
+
+def with_map_size(stars: DataFrame, all_classes: bool) -> DataFrame:
+    """`stars` with one size_scale for all: small on a dense map of all classes, larger on a map of one."""
+    return stars.withColumn("size_scale", F.lit(ALL_CLASSES_SIZE if all_classes else ONE_CLASS_SIZE))
+
+
+def visibility(progress: Column, star: Column, appearance: float = APPEARANCE, intro: float = INTRO, outro: float = OUTRO) -> Column:
+    """0 to 1: a star's ramps of appearance, after a delay by its id's hash, and of fading out towards the end."""
+    appear = clip((progress - intro - appearance * uniform(star, SEED_APPEAR)) / FADE_IN, 0.0, 1.0)
+    late = max(outro - FADE_OUT, 0.0)
+    return appear * clip((1.0 - outro + late * uniform(star, SEED_FADE) - progress) / FADE_OUT, 0.0, 1.0)
+
+
+def subtype_set(present: set[str], parts: tuple[str, ...] = ("BE", "GCAS", "SDOR", "WR", "UNKNOWN"), parent: str = "LBV") -> tuple[str, ...]:
+    """The split catalogues if all of them exist, else their parent."""
+    return parts if set(parts) <= present else (parent,)
+
+
 def frames(stars: DataFrame, epochs: DataFrame, height: float = 8192.0) -> DataFrame:
     """One row for each star and epoch at which it is visible: flux, sigma, alpha and colour.
 

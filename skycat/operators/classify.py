@@ -11,6 +11,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .ordering import group_percentiles
+
 CLASSES = ("BE", "GCAS", "SDOR", "WR")
 # Names in the literature for each class, words that mean no label, and columns that may hold one.
 LABELS = {
@@ -287,9 +289,23 @@ def classify(df: DataFrame, t: Thresholds = Thresholds()) -> DataFrame:
     return rows.drop("__ag", "__literature", "__spectral", "__order", "__winner", "__top", "__confidence", "__why", "__pair")
 
 
+# The columns whose medians the report gives.
+REPORTED = ("teff_gspphot", "logg_gspphot", "lum_flame", "radius_gspphot", "mass_flame", "vbroad", "trimmed_range_mag_g_fov", "std_dev_mag_g_fov")
+
+
 def report(rows: DataFrame) -> DataFrame:
-    """(class, n, median_teff, median_logg): rows and medians of each class."""
-    return rows.groupBy("resolved_class").agg(F.count("*").alias("n"), F.median("teff_gspphot").alias("median_teff"), F.median("logg_gspphot").alias("median_logg"))
+    """(class, n, a median for each of REPORTED): rows and medians of each class."""
+    have = [c for c in REPORTED if c in rows.columns]
+    long = rows.select("resolved_class", F.explode(F.array(*(F.struct(F.lit(c).alias("of"), F.col(c).cast("double").alias("v")) for c in have))).alias("x")).select("resolved_class", "x.of", "x.v")
+    medians = group_percentiles(long, ["resolved_class", "of"], "v", [0.5])
+    wide = medians.groupBy("resolved_class").agg(*(F.max(F.when(F.col("of") == c, F.col("p")[0])).alias(f"median_{c}") for c in have))
+    return rows.groupBy("resolved_class").agg(F.count("*").alias("n")).join(wide, "resolved_class", "left")
+
+
+def report_counts(rows: DataFrame) -> DataFrame:
+    """(what, value, n): rows of each class, method and reddening quality, in one pass."""
+    pairs = F.array(*(F.struct(F.lit(what).alias("what"), F.col(c).alias("value")) for what, c in (("class", "resolved_class"), ("method", "classification_method"), ("reddening", "reddening_quality"))))
+    return rows.select(F.explode(pairs).alias("x")).groupBy("x.what", "x.value").agg(F.count("*").alias("n"))
 
 
 def invariants(before: DataFrame, after: DataFrame) -> DataFrame:

@@ -77,6 +77,11 @@ def coverage(stars: DataFrame) -> DataFrame:
     return valid.agg(F.count("*").alias("valid"), F.count_if(has_t).alias("with_teff"), F.count_if(has_c).alias("with_colour"), F.count_if(~has_t & ~has_c).alias("with_neither"))
 
 
+def nonzero_cells(cells: DataFrame, column: str = "flux") -> DataFrame:
+    """One row: how many cells hold anything."""
+    return cells.agg(F.count_if(F.col(column) != 0).alias("nonzero"))
+
+
 def dense(spark: SparkSession, cells: DataFrame, width: int, height: int, zeros: Sequence[str]) -> DataFrame:
     """Every cell of the grid; the named columns are 0 where `cells` has none."""
     grid = spark.range(width * height).select((F.col("id") % width).alias("x"), F.floor(F.col("id") / width).alias("y"))
@@ -143,8 +148,8 @@ def star_kernel() -> dict[tuple[int, int], float]:
 def convolve(cells: DataFrame, kernel: dict[tuple[int, int], float], width: int, height: int, columns: Sequence[str]) -> DataFrame:
     """`columns` spread by a small kernel; what falls off the grid is lost, longitude does not wrap.
 
-    The kernel is an array literal of its offsets, so each cell becomes its neighbours without a join; partial sums
-    precede the shuffle. For kernels of over about a thousand offsets use convolve_tiles.
+    The kernel's offsets are a broadcast table that every cell meets, so cells don't move before they are spread, and
+    partial sums precede the shuffle. For kernels of over about a thousand offsets use convolve_tiles.
     """
     spark = cells.sparkSession
     offsets = spark.createDataFrame([(dx, dy, w) for (dx, dy), w in kernel.items()], "dx long, dy long, weight double")
@@ -221,18 +226,22 @@ def layer_limits(values: DataFrame, column: str, low: float, high: float, scale:
     """One row (lower, upper): percentiles of the scaled values; their range if those coincide; one more if that does."""
     kept = values.filter(F.col(column).isNotNull())
     kept = kept.filter(F.col(column) != 0) if ignore_zeros else kept
-    sums = kept.select((F.col(column) * scale + offset).alias("v")).agg(F.expr(f"percentile(v, {low / 100})").alias("p"), F.expr(f"percentile(v, {high / 100})").alias("q"), F.min("v").alias("least"), F.max("v").alias("most"))
+    scaled = kept.select((F.col(column) * scale + offset).alias("v"))
+    p, q = percentiles(scaled, "v", [low / 100, high / 100])
+    sums = scaled.agg(F.lit(p).cast("double").alias("p"), F.lit(q).cast("double").alias("q"), F.min("v").alias("least"), F.max("v").alias("most"))
     lower = F.when(F.col("q") > F.col("p"), F.col("p")).otherwise(F.col("least"))
     upper = F.when(F.col("q") > F.col("p"), F.col("q")).when(F.col("most") > F.col("least"), F.col("most")).otherwise(F.col("least") + 1)
     return sums.select(lower.alias("lower"), upper.alias("upper"))
 
 
-def palette(value: Column, kind: str = "grey", colour: tuple[int, int, int] = (255, 255, 255), reverse: bool = False) -> tuple[Column, Column, Column]:
-    """Red, green and blue (0 to 255) of a value in [0, 1]: 256 steps of grey, of a colour, or blue-white-red."""
+def palette(value: Column, kind: str = "grey", colour: tuple[int, int, int] = (255, 255, 255), reverse: bool = False, first: tuple[int, int, int] = (0, 0, 0)) -> tuple[Column, Column, Column]:
+    """Red, green and blue (0 to 255) of a value in [0, 1]: 256 steps of grey, of a colour, between two colours, or blue-white-red."""
     i = F.floor(clip(value, 0.0, 1.0) * 255.0 + 0.5)
     i = (255 - i) if reverse else i
     if kind == "grey":
         return i.cast("int"), i.cast("int"), i.cast("int")
+    if kind == "two_colours":
+        return tuple(F.floor(F.lit(a) + i * (c - a) / 255.0 + 0.5).cast("int") for a, c in zip(first, colour))
     if kind == "colour":
         return tuple(F.floor(i * c / 255.0 + 0.5).cast("int") for c in colour)
     if kind == "blue_white_red":

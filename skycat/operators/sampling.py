@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,13 +29,48 @@ def with_rank(rows: DataFrame, name: str, *by: str) -> DataFrame:
     return rows.withColumn(name, F.row_number().over(order))
 
 
+def first_ranks(rows: DataFrame, name: str, limit: int, *by: str, shares: int = 64) -> DataFrame:
+    """with_rank, of the rows up to `limit` alone. A group's rows are ranked in `shares` parts first, which keep `limit`
+    each, so that a crowded group is sorted by many tasks and at most shares * limit of its rows meet in one.
+    """
+    dealt = rows.withColumn("__share", F.pmod(F.xxhash64("source_id"), F.lit(shares)))
+    dealt = with_rank(dealt, name, *by, "__share").filter(F.col(name) <= limit).drop("__share", name)
+    return with_rank(dealt, name, *by).filter(F.col(name) <= limit)
+
+
 def cap(rows: DataFrame, limit: int, *by: str) -> DataFrame:
-    """At most `limit` rows of each group, by hash.
+    """At most `limit` rows of each group, by hash."""
+    return first_ranks(rows, "__rank", limit, *by).drop("__rank")
+
 
-    Spark drops the rest before the shuffle while `limit` is below spark.sql.optimizer.windowGroupLimitThreshold (1000
-    by default): raise that for larger limits, or a crowded class is sorted in one task.
+def window_sample(rows: DataFrame, column: str, size: int, windows: int = 64, order: str = "input_seq") -> DataFrame:
+    """(input_seq, column): known values of up to `windows` evenly spaced runs of neighbouring rows, in all about `size`:
+    the first `size` of them in the input's order. order numbers the rows from 0 without gaps.
+    """
+    n = rows.count()
+    if n <= 0 or size <= 0:
+        return rows.select(order, column).limit(0)
+    each = max(1, math.ceil(size / max(windows, 1)))
+    last = n - min(each, n)
+    starts = [0] if n <= size else [int(last * i / (windows - 1)) if windows > 1 else 0 for i in range(max(1, windows))]
+    each = n if n <= size else min(each, n)
+    inside = F.lit(False)
+    for s in sorted(set(starts)):
+        inside = inside | F.col(order).between(s, s + each - 1)
+    known = rows.filter(inside & F.col(column).isNotNull() & ~F.isnan(F.col(column).cast("double")))
+    return known.select(order, column).orderBy(order).limit(size)
+
+
+def stride_sample(cells: DataFrame, column: str, size: int, total: int, index: str = "cell", ignore_zeros: bool = True, least: int = 1000) -> DataFrame:
+    """(cell, column): known values of every step-th cell, about `size` of `total`; if hardly any are found there, of
+    all cells in order instead.
     """
-    return with_rank(rows, "__rank", *by).filter(F.col("__rank") <= limit).drop("__rank")
+    step = max(1, total // max(size, 1))
+    known = F.col(column).isNotNull() & ((F.col(column) != 0) if ignore_zeros else F.lit(True))
+    good = cells.filter(known).select(index, column)
+    some = good.filter(F.pmod(F.col(index), F.lit(step)) == 0)
+    enough = step == 1 or some.limit(min(least, size)).count() >= min(least, size)
+    return (some if enough else good).orderBy(index).limit(size)
 
 
 def quotas(limit: int) -> list[int]:
@@ -55,7 +92,7 @@ def sky_balanced(rows: DataFrame, limit: int, group: str = "cls") -> DataFrame:
     c, d, m, h = quotas(limit)
     rows = rows.withColumn("zone", zone)
     # the quotas need only the first rows of each zone, and the fill at most `limit` of each
-    rows = with_rank(rows, "r0", group, "zone").filter(F.col("r0") <= limit + c)
+    rows = first_ranks(rows, "r0", limit + c, group, "zone")
     taken = F.col("r0") <= c
     rows = rows.withColumn("take", F.when((F.col("zone") == "centre") & taken, 0))
     rows = rows.withColumn("in_disk", F.col("take").isNull() & (F.abs("b") <= 15.0))

@@ -7,10 +7,21 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ordering import group_percentiles
+
 
 def envelope(samples: DataFrame, keys: Sequence[str], value: str, shares: Sequence[float] = (0.05, 0.5, 0.95)) -> DataFrame:
     """Percentiles of the samples of each key."""
-    return samples.groupBy(*keys).agg(*(F.expr(f"percentile({value}, {s})").alias(f"p{round(s * 100):02d}") for s in shares))
+    rows = group_percentiles(samples, keys, value, shares)
+    return rows.select(*keys, *(F.col("p")[i].alias(f"p{round(s * 100):02d}") for i, s in enumerate(shares)))
+
+
+def peak_percentiles(samples: DataFrame, keys: Sequence[str], sample: str, time: str, value: str, shares: Sequence[float] = (0.05, 0.5, 0.95)) -> DataFrame:
+    """Percentiles, over the samples of each key, of the time and the value of a sample's peak."""
+    rows = peaks(samples, [*keys, sample], time, value)
+    both = rows.select(*keys, F.explode(F.array(F.struct(F.lit("time").alias("of"), F.col("peak_time").alias("v")), F.struct(F.lit("value").alias("of"), F.col("peak_value").alias("v")))).alias("x")).select(*keys, "x.of", "x.v")
+    found = group_percentiles(both, [*keys, "of"], "v", shares)
+    return found.select(*keys, "of", *(F.col("p")[i].alias(f"p{round(s * 100):02d}") for i, s in enumerate(shares)))
 
 
 def peaks(samples: DataFrame, keys: Sequence[str], time: str, value: str) -> DataFrame:

@@ -146,7 +146,7 @@ def light_curve_frames(spark, sf_dir):
 
 
 def schema_union(spark, sf_dir):
-    """Two catalogues of different columns in one, with keys for the rows of unknown sources."""
+    """Two catalogues of different columns in one."""
     a = view(spark, sf_dir, "vari_rrlyrae").select("source_id", "pf", F.lit("rr").alias("origin"))
     b = view(spark, sf_dir, "vari_cepheid").select("source_id", "p1_o", F.lit("cep").alias("origin"))
     return catalogue.aligned_union([a, b]).groupBy("origin").agg(F.count("*").alias("n"), F.count("pf").alias("n_pf"), F.count("p1_o").alias("n_p1"))
@@ -230,7 +230,9 @@ _SM = lambda v: f"(least(greatest({v},0e0),1e0)*least(greatest({v},0e0),1e0)*(3-
 _NOISE = lambda pos, seed: f"({_lattice(f'floor({pos})', seed)} + ({_lattice(f'floor({pos})+1', seed)} - {_lattice(f'floor({pos})', seed)})*{_SM(f'({pos})-floor({pos})')})"
 _FR = f"""e as (select i as frame, i*1.725e1 as el, i/7e0 as pr from range(8) r(i)),
 c as (select par.*, e.*, (ph/(2*pi()) + el/per) % 1 as x, floor(q1/(2*pi())*16777216e0)::bigint as sd from par, e),
-pos as (select *, q2/(2*pi())*4096e0 + pr*(12+20*es) as s1, q2/(2*pi())*4096e0*1.731e0 + pr*(12+20*es)*2.37e0 as s2, xor(sd::uhugeint, 15111116437519069933::uhugeint) as sd2 from c),
+pos as (select *, q2/(2*pi())*4096e0 + pr*(12+20*es) as s1, q2/(2*pi())*4096e0*1.731e0 + pr*(12+20*es)*2.37e0 as s2, xor(sd::uhugeint, 15111065706836454659::uhugeint) as sd2 from c),
+ev as (select *, (pr-ec)/ew as rel, el/greatest(per,1e-4) as sc, pow(1.2e-1+5.8e-1*es,2) as i2 from pos),
+lev as (select *, 7.2e-1*{_NOISE('s1', 'sd')}+2.8e-1*{_NOISE('s2', 'sd2')} as lv, (i2+rel*rel+2)/sqrt((i2+rel*rel)*(i2+rel*rel+4)) as nw, (i2+2)/sqrt(i2*(i2+4)) as pk from ev),
 sig as (select *, case model
  when 'rr_lyrae' then case when x < 1.6e-1 then {_SM('x/1.6e-1')} else pow(greatest(1-(x-1.6e-1)/8.4e-1,0e0),7.2e-1) end
  when 'cepheid' then {_SM(f"(case when x < 3.2e-1 then {_SM('x/3.2e-1')} else pow(greatest(1-(x-3.2e-1)/6.8e-1,0e0),9e-1) end)")}
@@ -239,10 +241,20 @@ sig as (select *, case model
  when 'eclipsing' then least(greatest(exp(-5e-1*pow(((x+5e-1)%1-5e-1)/4.5e-2,2))+4.8e-1*exp(-5e-1*pow((x%1-5e-1)/6.5e-2,2)),0e0),1e0)
  when 'long_period' then least(greatest(5e-1+5e-1*(sin(2*pi()*x)+2.2e-1*sin(4*pi()*x+q1)+ir*1.8e-1*sin(2*pi()*4.7e-1*x+q2))/1.4e0,0e0),1e0)
  when 'yso_irregular' then least(greatest(2.8e-1*sin(2*pi()*x+q1)+1.6e-1*sin(2*pi()*4.3e-1*x+q2)+7.5e-1*exp(-5e-1*pow(((x-(q1/(2*pi()))%1+1.5e0)%1-5e-1)/3.5e-2,2))-8.5e-1*exp(-5e-1*pow(((x-(q2/(2*pi()))%1+1.5e0)%1-5e-1)/7.5e-2,2)),-1e0),1e0)
- when 'conservative' then 5e-1+5e-1*sin(2*pi()*x)
- when 'lbv' then null when 'stochastic_hot' then null end as sg from pos),
-dr as (select *, case when model in ('zz_ceti','eclipsing','conservative') then 0e0 when model = 'cataclysmic' then sg when model = 'yso_irregular' then exp(-5e-1*pow(((x-(q2/(2*pi()))%1+1.5e0)%1-5e-1)/7.5e-2,2)) else 2*sg-1 end as cd, pow(10e0, 4e-1*least(greatest(am,0e0),8e0)) as fr from sig),
-fl as (select *, case flux_mode when 'range' then exp((sg-5e-1)*ln(fr)) when 'outburst' then 1+(fr-1)*least(greatest(sg,0e0),1e0) when 'dimming' then 1-(1-1/fr)*least(greatest(sg,0e0),1e0) when 'signed' then exp(5e-1*sg*ln(fr)) end as rf from dr),
+ when 'conservative' then 5e-1+5e-1*sin(2*pi()*x) when 'solar_like' then 5e-1+5e-1*sin(2*pi()*x)
+ when 'lbv' then least(greatest(5e-1+5e-1*sin(2*pi()*x-5e-1*pi())*(1+ir*2.5e-1*sin(2*pi()*3.7e-1*x+q2))+1e-1*sin(2*pi()*7.3e0*x+q1)+6e-2*sin(2*pi()*1.17e1*x+q2),0e0),1e0)
+ when 'stochastic_hot' then {_SM('lv')}
+ when 'ellipsoidal' then 5e-1+5e-1*cos(4*pi()*x)
+ when 'multimode' then least(greatest(5e-1+5e-1*(sin(2*pi()*x)+2.8e-1*sin(2*pi()*1.043e0*x+q1)+1.6e-1*sin(2*pi()*9.68e-1*x+q2))/1.44e0,0e0),1e0)
+ when 'rotational' then least(greatest(5e-1+5e-1*(sin(2*pi()*x)+2.4e-1*sin(4*pi()*x+q1))/1.24e0,0e0),1e0)
+ when 'gentle_pulsation' then least(greatest(5e-1+5e-1*(sin(2*pi()*x)+1.2e-1*sin(4*pi()*x+q1))/1.12e0,0e0),1e0)
+ when 'rcb_decline' then case when rel < 0 then 0e0 else {_SM('rel/1e-1')}*exp(-greatest(rel-1e-1,0e0)/8e-1) end
+ when 'microlensing_event' then least(greatest((nw-1)/(pk-1),0e0),1e0)
+ when 'supernova_event' then case when rel < 0 then exp(least(greatest(rel/1.2e-1,-3e1),0e0)) else exp(-greatest(rel,0e0)/1.35e0) end
+ when 'agn_noise' then least(greatest(6.2e-1*sin(2*pi()*1.73e-1*sc+q1)+2.7e-1*sin(2*pi()*7.1e-2*sc+q2)+1.1e-1*sin(2*pi()*1.9e-2*sc+q1+q2),-1e0),1e0)
+ when 'planet_transit' then exp(-5e-1*pow(((x+5e-1)%1-5e-1)/2.5e-2,2)) end as sg from lev),
+dr as (select *, case when model in ('zz_ceti','eclipsing','conservative','ellipsoidal','microlensing_event','rotational','solar_like','agn_noise','planet_transit') then 0e0 when model in ('cataclysmic','rcb_decline') then sg when model = 'supernova_event' then case when rel < 0 then sg else least(greatest(1-7.5e-1*rel,-5.5e-1),1e0) end when model = 'yso_irregular' then exp(-5e-1*pow(((x-(q2/(2*pi()))%1+1.5e0)%1-5e-1)/7.5e-2,2)) else 2*sg-1 end as cd, pow(10e0, 4e-1*least(greatest(am,0e0),8e0)) as fr from sig),
+fl as (select *, case flux_mode when 'range' then exp((sg-5e-1)*ln(fr)) when 'outburst' then 1+(fr-1)*least(greatest(sg,0e0),1e0) when 'dimming' then 1-(1-1/fr)*least(greatest(sg,0e0),1e0) when 'signed' then exp(5e-1*sg*ln(fr)) when 'supernova' then 3.5e-2+(fr-3.5e-2)*least(greatest(sg,0e0),1e0) end as rf from dr),
 fin as (select *, least(greatest(3.2e0*ss*exp(least(greatest(sr*ln(least(greatest(rf,1e-2),1e2)),-6.5e-1),7.5e-1)),2.2e0),1.25e1) as sigma, least(greatest(5.2e-1*ii*exp(5e-1*least(greatest(br,2.5e-1),6e0)*ln(least(greatest(rf,1e-2),1e2))),1.2e-2),9.5e-1) as alpha,
  least(greatest({_TEMP('5.8e3')}*least(greatest(1+tr*cd,5.2e-1),1.45e0),2500e0),10000e0) as tt from fl)"""
 _GREEN = "(case when tt <= 2500 then 0.25e0" + "".join(f" when tt <= {b[0]} then {a[2]}e0 + (tt - {a[0]}e0) * ({b[2] - a[2]:.17g}e0/{b[0] - a[0]}e0)" for a, b in zip(photometry.VIVID, photometry.VIVID[1:])) + " end)"

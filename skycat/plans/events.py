@@ -6,8 +6,10 @@ from pyspark.sql import functions as F
 
 from ..fixtures import ctes, view
 from ..functions import lensing
-from ..operators import behaviour, events, series
-from .catalogues import _tidy
+from ..operators import behaviour, events, scenarios, series
+from ..sources import sinks
+from ..workspace import fresh_dir
+from .catalogues import _tidy, _uniform
 
 
 def _events(spark, sf_dir):
@@ -36,6 +38,71 @@ def ml_meta(spark, sf_dir):
     return _tidy(events.summary(events.accepted(_events(spark, sf_dir))), 7)
 
 
+def ml_set_summary(spark, sf_dir):
+    """What is accepted and why the rest isn't; every fifth event comes twice, and some carry a catalogue mass."""
+    rows = _events(spark, sf_dir).withColumn("lens_mass", F.when(F.col("source_id") % 3 == 0, F.col("paczynski1_bp0") - 16.0))
+    rows = rows.unionByName(rows.filter("source_id % 5 = 0").withColumn("input_seq", F.col("input_seq") + 1))
+    return _tidy(events.set_summary(rows).withColumn("reasons", F.to_json("reasons")), 7)
+
+
+def ml_filters(spark, sf_dir):
+    """Every quick filter, with and without a search text."""
+    rows = _events(spark, sf_dir).withColumn("mass", F.when(F.col("source_id") % 3 == 0, F.col("paczynski1_bp0") - 16.0))
+    rows = events.with_index(events.accepted(rows)).select("source_id", "name", "a_max", "te", "mass_status")
+    found = None
+    for kind in ("all", "strong", "short", "long", "catalogue_mass", "model_mass"):
+        for text in ("", " 7 ", "ml–00"):
+            one = events.quick_filter(rows, kind, text).agg(F.lit(kind).alias("kind"), F.lit(text.strip().lower().replace("–", "-")).alias("text"), F.count("*").alias("n"), F.sum("source_id").alias("ids"))
+            found = one if found is None else found.unionByName(one)
+    return found
+
+
+def ml_masses(spark, sf_dir):
+    """Catalogue and model masses, the status and the drawn mass."""
+    rows = _events(spark, sf_dir).withColumn("paczynski_mass", F.when(F.col("source_id") % 3 == 0, F.col("paczynski1_bp0") - 16.0))
+    kept = events.accepted(rows).withColumn("drawn", events.display_mass(rows))
+    digits = lambda c: F.round(F.log10(c), 8)
+    return kept.select("source_id", "mass_status", "mass_origin", "lens_category", digits("lens_mass").alias("mass"), F.round("drawn", 9).alias("drawn"), events.temperature_origin(F.col("teff_gspphot"), F.col("bp_rp")).alias("temperature_origin"))
+
+
+def ml_export_csv(spark, sf_dir):
+    """The CSV export, written and read again."""
+    rows = events.export_rows(events.with_index(events.accepted(_events(spark, sf_dir))))
+    sinks.save_csv(rows, path := fresh_dir(spark, "events-csv"), rows.columns)
+    back = spark.read.option("header", True).schema("name string, sourceId long, l double, b double, tmax double, te double, u0 double, aMax double, parallax double, parallaxError double, distancePc double, lensMass double, massStatus string").csv(path)
+    return _tidy(back.withColumn("lensMass", F.log10("lensMass")), 7)
+
+
+def ml_export_json(spark, sf_dir):
+    """The JSON payload of each event, read again."""
+    rows = events.payload(events.accepted(_events(spark, sf_dir)))
+    body = F.from_json("json", "source_id long, te double, date struct<date: string>, lens struct<mass_status: string>")
+    return _tidy(rows.select(body.alias("x")).select("x.source_id", "x.te", F.col("x.date.date").alias("date"), F.col("x.lens.mass_status").alias("mass_status")), 9)
+
+
+def comparison_csv(spark, sf_dir):
+    """The long comparison table of light curves, written and read again."""
+    rows = view(spark, sf_dir, "photometry_samples").withColumns({"temperature_k": 5000.0 + F.col("t_days"), "photospheric_radius_m": F.col("t_days") * 1e9})
+    sinks.save_comparison(rows, path := fresh_dir(spark, "comparison"), "series", "t_days", "band", "mag", "flux", 100.0)
+    back = spark.read.option("header", True).schema("scenario string, observer_time_days double, filter string, apparent_magnitude double, absolute_magnitude double, observed_flux_w_m2 double, temperature_k double, photospheric_radius_m double").csv(path)
+    return back.groupBy("scenario", "filter", "observer_time_days").agg(F.count("*").alias("n"), F.round(F.avg("apparent_magnitude"), 7).alias("mag"), F.round(F.avg("absolute_magnitude"), 7).alias("abs_mag"), F.round(F.avg("observed_flux_w_m2"), 6).alias("flux"), F.round(F.max("temperature_k"), 6).alias("temperature_k"), F.round(F.max(F.col("photospheric_radius_m") / 1e9), 6).alias("radius_gm"))
+
+
+def peak_percentiles(spark, sf_dir):
+    rows = view(spark, sf_dir, "photometry_samples")
+    return _tidy(series.peak_percentiles(rows, ["series", "band"], "sample", "t_days", "mag"), 7)
+
+
+def scenario_draws(spark, sf_dir):
+    """Parameters of each scenario's samples: drawn by hashes, limited, and put right where the final mass is too large."""
+    rows = view(spark, sf_dir, "photometry_samples").select("series", "sample").distinct()
+    base = rows.withColumns({"progenitor.initial_mass_solar": F.lit(18.0), "progenitor.final_mass_solar": F.lit(15.0), "model.energy_foe": F.lit(1.0)})
+    key = F.substring("series", 4, 9).cast("long") * 100_000 + F.col("sample")
+    drawn = scenarios.override(base, {"progenitor.initial_mass_solar": {"distribution": "uniform", "min": 10.0, "max": 20.0}, "progenitor.final_mass_solar": {"distribution": "uniform", "min": 9.0, "max": 18.0}, "model.energy_foe": {"distribution": "uniform", "min": 0.5, "max": 1.5}}, key)
+    fixed = scenarios.repair(drawn)
+    return fixed.select("series", "sample", *(F.round(F.col(f"`{c}`"), 9).alias(c.split(".")[1]) for c in fixed.columns if "." in c))
+
+
 def ml_filter_strong(spark, sf_dir):
     rows = events.accepted(_events(spark, sf_dir)).withColumn("name", F.lit(""))
     return events.quick_filter(rows, "strong", "7").select("source_id")
@@ -111,9 +178,11 @@ def polyline_seams(spark, sf_dir):
 
 
 def great_circle_points(spark, sf_dir):
-    rows = view(spark, sf_dir, "sources").filter("source_id % 97 = 0")
+    """Points from each source's equatorial to its galactic position as on one sphere, summed up by their number."""
+    rows = view(spark, sf_dir, "sources")
     segments = rows.select(F.col("source_id").alias("segment_id"), F.col("ra").alias("ra1"), F.col("dec").alias("dec1"), F.col("l").alias("ra2"), F.col("b").alias("dec2"))
-    return _tidy(series.great_circle(segments, 10.0), 5)
+    points = series.great_circle(segments, 10.0)
+    return points.groupBy("seq").agg(F.count("*").alias("n"), F.round(F.avg("dec"), 6).alias("mean_dec"), F.round(F.avg(F.sin(F.radians("ra"))), 8).alias("mean_sin"), F.round(F.avg(F.cos(F.radians("ra"))), 8).alias("mean_cos"))
 
 
 def editorial_axis(spark, sf_dir):
@@ -124,7 +193,7 @@ def editorial_axis(spark, sf_dir):
     return _tidy(rows.select("frame", "seconds", "progress", "opacity", "day"), 6)
 
 
-QUERIES = {f.__name__: f for f in (ml_rejects, ml_events, ml_index, ml_meta, ml_filter_strong, ml_mass_scenarios, ml_level_choice, ml_source_colour, ml_activity_window, ml_frames, ml_images, envelope, peaks, bright_phase, interp_at, polyline_seams, great_circle_points, editorial_axis)}
+QUERIES = {f.__name__: f for f in (ml_set_summary, ml_filters, ml_masses, ml_export_csv, ml_export_json, comparison_csv, peak_percentiles, scenario_draws, ml_rejects, ml_events, ml_index, ml_meta, ml_filter_strong, ml_mass_scenarios, ml_level_choice, ml_source_colour, ml_activity_window, ml_frames, ml_images, envelope, peaks, bright_phase, interp_at, polyline_seams, great_circle_points, editorial_axis)}
 
 _E = ctes("sources", "vari_microlensing") + """, ev as (select v.*, l, b, parallax, parallax_error, phot_g_mean_mag, bp_rp, teff_gspphot, ebpminrp_gspphot, v.source_id as seq from vari_microlensing v left join sources s using (source_id)),
 ok as (select *, abs(paczynski0_u0) as u0, paczynski0_te as te, paczynski0_tmax as tmax, case when parallax > 0 then parallax end as p, case when parallax_error > 0 then parallax_error end as e from ev
@@ -144,7 +213,32 @@ _PS = ctes("photometry_samples")
 _MN = _PS + ", mn as (select series, band, t_days, min(mag) as mag from photometry_samples group by all)"
 _CT = lambda c: f"(4.6e3*(1/(9.2e-1*least(greatest({c},-5e-1),4e0)+1.7e0)+1/(9.2e-1*least(greatest({c},-5e-1),4e0)+6.2e-1)))"
 
+_CM = _E.replace("ev as (select v.*,", "ev as (select v.*, case when v.source_id % 3 = 0 then paczynski1_bp0 - 16 end as cat,") + """, cm as (select *, case when cat > 0 then cat end as cmass, case when cat > 0 then 'catalog' when dist is not null then 'model' else 'missing' end as st, case when cat > 0 then cat when dist is not null then mass end as lm from ms)"""
+_RJ = """al as (select *, seq as k from ev union all select *, seq + 1 as k from ev where source_id % 5 = 0),
+r as (select *, case when l is null or b is null or paczynski0_tmax is null or paczynski0_te is null or paczynski0_u0 is null then 'missing parameter' when not (l between 0 and 360 and b between -90 and 90) then 'coordinates out of range' when paczynski0_te <= 0 then 'timescale not positive' end as bad from al),
+s as (select coalesce(bad, case when row_number() over (partition by source_id, bad is null order by k) > 1 then 'duplicate id' else 'accepted' end) as reason from r)"""
+_CATEGORY = "case when lm between 1e-6 and 1.3e-2 then 'free-floating-planet' when lm between 1 and 2.5e0 then 'neutron-star' when lm between 2.5e0 and 120 then 'black-hole' end"
+
+
+def _filters_sql() -> str:
+    rules = {"all": "true", "strong": "a_max >= 2", "short": "te <= 30", "long": "te >= 100", "catalogue_mass": "st = 'catalog'", "model_mass": "st = 'model'"}
+    one = "select '{k}' as kind, '{t}' as text, count(*) as n, sum(source_id)::bigint as ids from nm where {r} and (source_id::varchar like '%{t}%' or lower(name) like '%{t}%')"
+    return _CM + ", nm as (select *, 'ML-' || lpad(i::varchar, greatest(3, length(i::varchar))::int, '0') as name from (select *, row_number() over (order by tmax, seq) as i from cm)) " + " union all ".join(one.format(k=k, t=t, r=r) for k, r in rules.items() for t in ("", "7", "ml-00"))
+
+
 ORACLE = {
+    "ml_set_summary": _CM + ", " + _RJ + f""", rs as (select reason, count(*) as n from s where reason <> 'accepted' group by 1)
+select count(*) as n, min({_DAY}) as first_date, max({_DAY}) as last_date, round(quantile_cont(te, 0.5),7) as median_te, count(*) filter (where a_max >= 2) as strong, count(*) filter (where st = 'catalog') as mass_catalog, count(*) filter (where st = 'model') as mass_model, count(*) filter (where st = 'missing') as mass_missing, count(e) as with_parallax_error,
+ (select count(*) from s) as n_input, (select sum(n)::bigint from rs) as n_rejected, (select '{{' || string_agg('"' || reason || '":' || n, ',' order by reason) || '}}' from rs) as reasons from cm""",
+    "ml_filters": _filters_sql(),
+    "ml_masses": _CM + f" select source_id, st as mass_status, case when cmass is not null then 'paczynski_mass' end as mass_origin, {_CATEGORY} as lens_category, round(log10(lm),8) as mass, round(coalesce(cat, 1e0),9) as drawn, case when teff_gspphot is not null then 'Gaia teff_gspphot' when bp_rp is not null then 'estimate from BP-RP' end as temperature_origin from cm",
+    "ml_export_csv": _E + " select 'ML-' || lpad(i::varchar, greatest(3, length(i::varchar))::int, '0') as name, source_id as sourceId, round(l,7) as l, round(b,7) as b, round(tmax,7) as tmax, round(te,7) as te, round(u0,7) as u0, round(a_max,7) as aMax, round(p,7) as parallax, round(e,7) as parallaxError, round(dist,7) as distancePc, round(log10(case when dist is not null then mass end),7) as lensMass, status as massStatus from (select *, row_number() over (order by tmax, seq) as i from ms)",
+    "ml_export_json": _E + f" select source_id, round(te,9) as te, {_DAY} as date, status as mass_status from ms",
+    "comparison_csv": _PS + "select series as scenario, band as filter, t_days as observer_time_days, count(*) as n, round(avg(mag),7) as mag, round(avg(mag - 5*log10(1e2) + 5),7) as abs_mag, round(avg(flux),6) as flux, round(5e3 + t_days,6) as temperature_k, round(t_days,6) as radius_gm from photometry_samples group by series, band, t_days",
+    "peak_percentiles": _PS + """, p as (select series, band, sample, arg_min(t_days, row(mag, t_days)) as t, min(mag) as m from photometry_samples group by all),
+u as (select series, band, 'time' as of, t as v from p union all select series, band, 'value', m from p) select series, band, of, round(quantile_cont(v,0.05),7) as p05, round(quantile_cont(v,0.5),7) as p50, round(quantile_cont(v,0.95),7) as p95 from u group by series, band, of""",
+    "scenario_draws": _PS + f"""k as (select distinct series, sample, cast(substr(series, 4) as bigint) * 100000 + sample as hk from photometry_samples), d as (select series, sample, 1e1 + 1e1*{_uniform('hk', 1000)} as a, 9e0 + 9e0*{_uniform('hk', 1002)} as b, 5e-1 + {_uniform('hk', 1004)} as e from k)
+select series, sample, round(a,9) as initial_mass_solar, round(case when b > a then 9.7e-1*a else b end,9) as final_mass_solar, round(e,9) as energy_foe from d""".replace("k as (", ", k as (", 1),
     "ml_rejects": _E + """, al as (select *, seq as k from ev union all select *, seq + 1 as k from ev where source_id % 5 = 0),
 r as (select *, case when l is null or b is null or paczynski0_tmax is null or paczynski0_te is null or paczynski0_u0 is null then 'missing parameter' when not (l between 0 and 360 and b between -90 and 90) then 'coordinates out of range' when paczynski0_te <= 0 then 'timescale not positive' end as bad from al),
 s as (select coalesce(bad, case when row_number() over (partition by source_id, bad is null order by k) > 1 then 'duplicate id' else 'accepted' end) as reason from r) select reason, count(*) as n from s group by 1""",
@@ -153,7 +247,7 @@ select source_id, round(te,7) as te, round(tmax,7) as tmax, round(u0,7) as u0, r
  case when mass between 1e-6 and 1.3e-2 then 'free-floating-planet' when mass between 1 and 2.5e0 then 'neutron-star' when mass between 2.5e0 and 120 then 'black-hole' end as lens_category,
  case when teff_gspphot is null then null when teff_gspphot >= 30000 then 'O' when teff_gspphot >= 10000 then 'B' when teff_gspphot >= 7500 then 'A' when teff_gspphot >= 6000 then 'F' when teff_gspphot >= 5200 then 'G' when teff_gspphot >= 3700 then 'K' else 'M' end as spectral, {_DAY} as peak_date from hx""",
     "ml_index": _E + "select source_id, i as catalogue_index, 'ML-' || lpad(i::varchar, greatest(3, length(i::varchar))::int, '0') as name from (select source_id, row_number() over (order by tmax, seq) as i from ok)",
-    "ml_meta": _E + f"select count(*) as n, min({_DAY}) as first_date, max({_DAY}) as last_date, round(quantile_cont(te, 0.5),7) as median_te, count(*) filter (where a_max >= 2) as strong, count(*) filter (where status = 'model') as mass_model, count(*) filter (where status = 'missing') as mass_missing, count(e) as with_parallax_error from ms",
+    "ml_meta": _E + f"select count(*) as n, min({_DAY}) as first_date, max({_DAY}) as last_date, round(quantile_cont(te, 0.5),7) as median_te, count(*) filter (where a_max >= 2) as strong, 0::bigint as mass_catalog, count(*) filter (where status = 'model') as mass_model, count(*) filter (where status = 'missing') as mass_missing, count(e) as with_parallax_error from ms",
     "ml_filter_strong": _E + "select source_id from am where a_max >= 2 and source_id::varchar like '%7%'",
     "ml_mass_scenarios": _E + f"select source_id, round(log10(mass),8) as mass, round(log10({_MASS('5e1','5e-1')}),8) as low, round(log10({_MASS('2e2','2.5e-1')}),8) as high, round(log10(mass*pow(1.5e0,2)*(2.5e-1/(3e-1*7e-1))),8) as scaled from ms where dist is not null",
     "ml_level_choice": _LV + " select source_id, level, round(tmax,9) as tmax, round(te,9) as te, round(u0,9) as u0, round(share,9) as share from cl",
@@ -179,11 +273,11 @@ select x.series, x.band, round(t,6) as at, round(case when lo is null then b.mag
 from x left join mn a on a.series = x.series and a.band = x.band and a.t_days = lo left join mn b on b.series = x.series and b.band = x.band and b.t_days = hi""",
     "polyline_seams": ctes("sources") + """, p as (select source_id // 64 as line_id, source_id as seq, floor(l*10)::bigint as x from sources), j as (select *, case when abs(x - lag(x) over (partition by line_id order by seq)) > 900 then 1 else 0 end as jump from p),
 k as (select *, (sum(jump) over (partition by line_id order by seq))::bigint as piece from j) select line_id, seq, x, piece from (select *, count(*) over (partition by line_id, piece) as n from k) where n >= 2""",
-    "great_circle_points": ctes("sources") + """, s as (select source_id as segment_id, radians(ra) as a1, radians(dec) as d1, radians(l) as a2, radians(b) as d2 from sources where source_id % 97 = 0),
+    "great_circle_points": ctes("sources") + """, s as (select source_id as segment_id, radians(ra) as a1, radians(dec) as d1, radians(l) as a2, radians(b) as d2 from sources),
 g as (select *, acos(least(greatest(sin(d1)*sin(d2)+cos(d1)*cos(d2)*cos(a1-a2),-1e0),1e0)) as w from s), n as (select *, greatest(1, ceil(degrees(w)/10))::bigint as m from g),
 q as (select *, unnest(range(m+1)) as seq from n), u as (select *, sin((1-seq/m::double)*w)/sin(w) as k1, sin(seq/m::double*w)/sin(w) as k2 from q),
 v as (select *, k1*cos(d1)*cos(a1)+k2*cos(d2)*cos(a2) as x, k1*cos(d1)*sin(a1)+k2*cos(d2)*sin(a2) as y, k1*sin(d1)+k2*sin(d2) as z from u)
-select segment_id, seq::int as seq, round((degrees(atan2(y,x))+360)%360,5) as ra, round(degrees(asin(least(greatest(z/sqrt(x*x+y*y+z*z),-1e0),1e0))),5) as dec from v""",
+select seq::int as seq, count(*) as n, round(avg(degrees(asin(least(greatest(z/sqrt(x*x+y*y+z*z),-1e0),1e0)))),6) as mean_dec, round(avg(y/sqrt(x*x+y*y)),8) as mean_sin, round(avg(x/sqrt(x*x+y*y)),8) as mean_cos from v group by seq""",
     "editorial_axis": _LV + _WIN + """ select i::int as frame, round(i/25e0,6) as seconds, round(p,6) as progress, round(case when i/25e0 >= 3 and i/25e0 < 38 then least(least(greatest((i/25e0-3)/5e-1,0e0),1e0), least(greatest((38-i/25e0)/5e-1,0e0),1e0)) else 0e0 end,6) as opacity, round(start + p*(stop-start),6) as day
 from (select i, least(greatest((i/25e0-3)/35,0e0),1e0) as p from range(1000) r(i)), win""",
 }

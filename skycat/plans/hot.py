@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..fixtures import ctes, view
 from ..operators import behaviour, classify
+from ..workspace import fresh_dir
 
 
 def _candidates(spark, sf_dir):
@@ -30,7 +31,38 @@ def hot_classify(spark, sf_dir):
 
 def class_report(spark, sf_dir):
     rows = classify.report(classify.classify(_candidates(spark, sf_dir)))
-    return rows.select("resolved_class", "n", F.round("median_teff", 6).alias("median_teff"), F.round("median_logg", 6).alias("median_logg"))
+    return rows.select("resolved_class", "n", *(F.round(f"median_{c}", 6).alias(f"median_{c}") for c in classify.REPORTED))
+
+
+def class_counts(spark, sf_dir):
+    return classify.report_counts(classify.classify(_candidates(spark, sf_dir)))
+
+
+#: Texts that name classes in several ways, or none.
+LABELS = ("WN5", "Wolf Rayet", "LBV", "S Dor", "gamma Cas", "B[e]", "Be", "--", "", "unknown", "WC7", "star of Be2 type", "lbv candidate", "B [ e ]", "OB", "nan", "gamma  cassiopeiae", "Emission-line B")
+
+
+def hot_labels(spark, sf_dir):
+    """Literature and spectral texts dealt to the candidates by their ids, and what the classifier makes of them."""
+    pick = lambda step: F.element_at(F.array(*map(F.lit, LABELS)), (F.pmod(F.floor(F.col("source_id") / step), F.lit(len(LABELS))) + 1).cast("int"))
+    rows = _candidates(spark, sf_dir).withColumns({"spectraltype_esphs": pick(1), "literature_class": F.when(F.col("source_id") % 2 == 0, pick(2))})
+    rows = classify.classify(rows)
+    return rows.filter("classification_method in ('literature_label', 'spectral_type')").select("source_id", "resolved_class", "classification_method", F.round("classification_score", 9).alias("classification_score"))
+
+
+def insufficient_data(spark, sf_dir):
+    """Candidates without any measurement but their magnitude: none can be told."""
+    rows = _candidates(spark, sf_dir).select("source_id", "phot_g_mean_mag", "best_class_score")
+    rows = classify.classify(rows)
+    return rows.groupBy("resolved_class", "classification_method").agg(F.count("*").alias("n"))
+
+
+def written_by_class(spark, sf_dir):
+    """A folder for each class, read back by class and as a whole."""
+    rows = classify.classify(_candidates(spark, sf_dir)).select("source_id", "resolved_class", "phot_g_mean_mag")
+    classify.write_by_class(rows, path := fresh_dir(spark, "classes"))
+    back = spark.read.schema("source_id long, phot_g_mean_mag double, resolved_class string").parquet(path)
+    return back.groupBy("resolved_class").agg(F.count("*").alias("n"), F.sum("source_id").alias("ids"), F.round(F.sum("phot_g_mean_mag"), 6).alias("sum_g"))
 
 
 def dq_invariants(spark, sf_dir):
@@ -49,7 +81,7 @@ def physical_scaling(spark, sf_dir):
     return rows.select("source_id", F.round(F.col("intensity_scale") + 1e-10, 8).alias("intensity_scale"), F.round(F.col("size_scale") + 1e-10, 8).alias("size_scale"))
 
 
-QUERIES = {f.__name__: f for f in (reddening_quality, hot_scores, hot_classify, class_report, dq_invariants, colour_inputs, physical_scaling)}
+QUERIES = {f.__name__: f for f in (class_counts, hot_labels, insufficient_data, written_by_class, reddening_quality, hot_scores, hot_classify, class_report, dq_invariants, colour_inputs, physical_scaling)}
 
 _AW, _EW = "(ag_gspphot_upper - ag_gspphot_lower)/2", "(ebpminrp_gspphot_upper - ebpminrp_gspphot_lower)/2"
 _E, _A = "ebpminrp_gspphot", "ag_gspphot"
@@ -108,6 +140,22 @@ cf as (select *, least(greatest((0.65*least(top/9, 1e0) + 0.35*least((top-second
 fn as (select *, nf < 3 as few, (win = 'GCAS' and vv < 2) or (win = 'SDOR' and gs < 2) or (win = 'SDOR' and not hot) or (win = 'WR' and gw < 2) or top < 4 or top - second < 1 or conf < 0.48 as weak from cf),
 cl as materialized (select *, case when sc0 is not null then sc0 when few or weak then 'UNKNOWN' else win end as cls from fn)"""
 
+_TEXTS = "[" + ", ".join(f"'{t}'" for t in LABELS) + "]"
+
+
+def _named(c: str) -> str:
+    u = f"(case when upper(trim({c})) in ('', '--', 'NAN', 'NONE', 'NULL', 'UNKNOWN') then null else regexp_replace(upper(trim({c})), '[^A-Z0-9]+', '', 'g') end)"
+    sets = {n: "(" + ", ".join(f"'{x}'" for x in v) + ")" for n, v in classify.LABELS.items()}
+    return f"(case when {u} in {sets['WR']} or regexp_full_match({u}, 'W[CNOR][A-Z]*[0-9]*[A-Z]*') then 'WR' when {u} in {sets['SDOR']} then 'SDOR' when {u} in {sets['GCAS']} then 'GCAS' when {u} in {sets['BE']} then 'BE' end)"
+
+
+def _free(c: str) -> str:
+    known = f"{c} is not null and upper(trim({c})) not in ('', '--', 'NAN', 'NONE', 'NULL', 'UNKNOWN')"
+    has = lambda p: f"regexp_matches(lower({c}), '{p}')"
+    first, second, third, last = (has(p) for p in (r"\b(lbv|s\s*dor(adus)?)\b", r"\bgamma\s*cas(siopeiae)?\b", r"\bb\s*\[\s*e\s*\]", r"\bbe([0-9]|\b)"))
+    return f"(case when {known} then case when {first} then 'SDOR' when {second} then 'GCAS' when {third} then 'BE' when {last} then 'BE' end end)"
+
+
 ORACLE = {
     "reddening_quality": _BASE + f""" select source_id, rqual as reddening_quality, round(bri, 9) + 0e0 as bp_rp_intrinsic, array_to_string(list_distinct_keep(fl), ';') as flags from (
  select *, list_filter([case when {_E} is null then 'missing_reddening' end, case when {_E} < 0 then 'invalid_reddening' end, case when oe or we then 'uncertain_reddening' end, case when oe then 'missing_reddening_interval' end,
@@ -115,7 +163,14 @@ ORACLE = {
  case when {_A} >= 0 and aw is null then 'missing_extinction_interval' end, case when (eu and {_E} >= 0.5) or coalesce({_A} >= 1, false) then 'strong_extinction' end, case when bp_rp is null then 'missing_bp_rp' end], lambda x: x is not null) as fl from rq)""",
     "hot_scores": _SCORED + " select source_id, round(sbe, 8) as score_be, round(sgc, 8) as score_gcas, round(ssd, 8) as score_sdor, round(swr, 8) as score_wr, nf::bigint as n_features, gs::bigint as groups_sdor, gw::bigint as groups_wr, round(vv, 6) as variability from sc",
     "hot_classify": _FINAL + " select source_id, cls as resolved_class, round(case when sc0 = 'BE' then 0.9 when sc0 is not null then 0.95 else conf end, 10) as classification_score, round(top - second, 8) as classification_margin, case when sc0 is not null then 'spectral_type' when few then 'insufficient_data' when weak then 'ambiguous' else 'multi_feature_score' end as classification_method from cl",
-    "class_report": _FINAL + " select cls as resolved_class, count(*) as n, round(median(teff_gspphot), 6) as median_teff, round(median(logg_gspphot), 6) as median_logg from cl group by cls",
+    "class_report": _FINAL + " select cls as resolved_class, count(*) as n, " + ", ".join(f"round(median({c}), 6) as median_{c}" for c in classify.REPORTED) + " from cl group by cls",
+    "class_counts": _FINAL + """, m as (select *, case when sc0 is not null then 'spectral_type' when few then 'insufficient_data' when weak then 'ambiguous' else 'multi_feature_score' end as method from cl)
+select 'class' as what, cls as value, count(*) as n from m group by cls union all select 'method', method, count(*) from m group by method union all select 'reddening', rqual, count(*) from m group by rqual""",
+    "hot_labels": _SCORED + f""", k as (select source_id, vv, {_TEXTS}[(source_id % {len(LABELS)} + 1)::int] as sp, case when source_id % 2 = 0 then {_TEXTS}[((source_id // 2) % {len(LABELS)} + 1)::int] end as li from sc),
+v as (select *, {_named('li')} as lc, coalesce({_named('sp')}, {_free('sp')}) as s0 from k), w as (select *, case when s0 = 'BE' and vv >= 2 then 'GCAS' else s0 end as s1 from v)
+select source_id, coalesce(lc, s1) as resolved_class, case when lc is not null then 'literature_label' else 'spectral_type' end as classification_method, case when lc is not null then 1e0 when s1 = 'BE' then 9e-1 else 9.5e-1 end as classification_score from w where lc is not null or s1 is not null""",
+    "insufficient_data": ctes("sources", "vari_classifier_result") + "select 'UNKNOWN' as resolved_class, 'insufficient_data' as classification_method, count(*) as n from sources join vari_classifier_result using (source_id) where best_class_name = 'BE|GCAS|SDOR|WR'",
+    "written_by_class": _FINAL + " select cls as resolved_class, count(*) as n, sum(source_id)::bigint as ids, round(sum(phot_g_mean_mag), 6) as sum_g from cl group by cls",
     "dq_invariants": _FINAL + " select (select count(*) from cand) as n_in, count(*) as n_out, count(distinct source_id) as n_ids, count(*) filter (where cls not in ('BE','GCAS','SDOR','WR','UNKNOWN')) as n_wrong, (select count(*) from cand) = count(*) and count(*) = count(distinct source_id) as ok from cl",
 }
 ORACLE["reddening_quality"] = ORACLE["reddening_quality"].replace("list_distinct_keep(fl)", "list_filter(fl, lambda x, i: list_position(fl, x) = i)")

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from ..fixtures import ctes, view
 from ..functions import coords, photometry
 from ..operators import grid
+from ..sources import tables
+from ..workspace import written
 
 W, H = 64, 32
 REGION = coords.Region()
@@ -22,7 +24,7 @@ def _rounded(df: DataFrame, places: int, *columns: str) -> DataFrame:
 
 
 def sky_histogram(spark, sf_dir):
-    stars = _sources(spark, sf_dir)
+    stars = written(_sources(spark, sf_dir).select("l", "b", "phot_g_mean_mag", "teff_gspphot", "bp_rp"), "stars")
     cells = grid.mean_temperature(grid.sky_histogram(stars, W, H, grid.flux_ceiling(stars)))
     return _rounded(cells, 9, "flux", "temp_flux").withColumn("mean_temperature", F.round("mean_temperature", 4))
 
@@ -45,7 +47,8 @@ def coverage_counts(spark, sf_dir):
 
 def _dense(spark, sf_dir):
     cells = grid.sky_histogram(_sources(spark, sf_dir), W, H)
-    return grid.dense(spark, cells, W, H, ["flux", "temp_flux", "n"])
+    # every limit and the last stretch read the whole grid: it is made once
+    return written(grid.dense(spark, cells, W, H, ["flux", "temp_flux", "n"]), "grid")
 
 
 def tone_limits(spark, sf_dir):
@@ -63,6 +66,46 @@ def psf_convolve(spark, sf_dir):
     return _rounded(grid.convolve(cells, kernel, W, H, ["flux"]), 9, "flux")
 
 
+def star_psf(spark, sf_dir):
+    """The real point spread, 81 pixels wide, on a map of faint and bright stars, by tiles."""
+    cells = grid.hammer_histogram(_sources(spark, sf_dir), 256, 128, "phot_g_mean_mag", "count")
+    spread = grid.convolve_tiles(cells, grid.star_kernel(), 256, 128, "value", tile=64)
+    return spread.groupBy(F.floor(F.col("x") / 16).alias("bx"), F.floor(F.col("y") / 16).alias("by")).agg(F.round(F.sum("value"), 6).alias("value"), F.round(F.max("value"), 6).alias("top"))
+
+
+def hammer_modes(spark, sf_dir):
+    """The same map of each value mode."""
+    rows = _sources(spark, sf_dir).withColumn("tenth", F.col("phot_g_mean_mag") / 10.0)
+    found = None
+    for mode in ("intensity", "log10", "count", "magnitude"):
+        one = grid.hammer_histogram(rows, W, H, "tenth", mode).select(F.lit(mode).alias("mode"), "x", "y", F.round("value", 8).alias("value"))
+        found = one if found is None else found.unionByName(one)
+    return found
+
+
+def nonzero_cells(spark, sf_dir):
+    return grid.nonzero_cells(_dense(spark, sf_dir))
+
+
+def palettes(spark, sf_dir):
+    """Every palette, plain and reversed, over the cells' shares of the greatest value."""
+    cells = grid.hammer_histogram(_sources(spark, sf_dir), W, H, "phot_g_mean_mag", "count")
+    rows = cells.crossJoin(F.broadcast(cells.agg(F.max("value").alias("top")))).withColumn("u", F.col("value") / F.col("top"))
+    found = None
+    for kind in ("grey", "two_colours", "blue_white_red"):
+        for back in (False, True):
+            r, g, b = grid.palette(photometry.stretch(F.col("u"), "sqrt"), kind, (255, 128, 0), back, (0, 0, 64))
+            one = rows.groupBy(F.lit(kind).alias("kind"), F.lit(back).alias("back")).agg(F.sum(r).cast("long").alias("red"), F.sum(g).cast("long").alias("green"), F.sum(b).cast("long").alias("blue"))
+            found = one if found is None else found.unionByName(one)
+    return found
+
+
+def raster_cells(spark, sf_dir):
+    """An equirectangular raster of three channels as a cell table with positions and luminance."""
+    cells = grid.sky_histogram(_sources(spark, sf_dir), W, H).select(F.col("x").alias("ix"), F.col("y").alias("iy"), F.col("n").cast("double").alias("red"), (F.col("n") % 7).cast("double").alias("green"), F.lit(1.0).alias("blue"))
+    return _rounded(tables.raster_cells(cells, W, H, order="south_to_north"), 9, "l", "b", "value")
+
+
 def gauss_smooth(spark, sf_dir):
     cells = grid.hammer_histogram(_sources(spark, sf_dir), W, H, "phot_g_mean_mag", "count")
     return _rounded(grid.smooth(cells, 1.2, W, H, "value"), 6, "value")
@@ -110,15 +153,15 @@ def bilinear_lookup(spark, sf_dir):
 
 
 def splat_pixels(spark, sf_dir):
-    """Bright stars as spots on a Hammer image."""
-    stars = _sources(spark, sf_dir).filter("phot_g_mean_mag < 8")
+    """Stars as spots on a Hammer image."""
+    stars = _sources(spark, sf_dir)
     x, y = coords.hammer_xy(F.col("l"), F.col("b"))
     r, g, b = photometry.vivid_rgb(photometry.temperature(F.col("teff_gspphot"), F.col("bp_rp"), photometry.VARIABLE_FALLBACK_K))
-    spots = stars.select((x * 128).alias("x"), (y * 64).alias("y"), (2.0 - F.col("phot_g_mean_mag") / 8.0).alias("sigma"), F.lit(0.3).alias("alpha"), r.alias("red"), g.alias("green"), b.alias("blue"))
+    spots = stars.select((x * 128).alias("x"), (y * 64).alias("y"), (2.0 - F.col("phot_g_mean_mag") / 8.0).alias("sigma"), F.lit(0.05).alias("alpha"), r.alias("red"), g.alias("green"), b.alias("blue"))
     return grid.splat(spots, 128, 64)
 
 
-QUERIES = {f.__name__: f for f in (sky_histogram, region_histogram, hammer_weighted, flux_ceiling, coverage_counts, tone_limits, tone_mapped_cells, psf_convolve, gauss_smooth, hammer_resample, layer_limits, layer_palette, healpix_ring_density, healpix_nested_density, healpix_lookup, bilinear_lookup, splat_pixels)}
+QUERIES = {f.__name__: f for f in (star_psf, hammer_modes, nonzero_cells, palettes, raster_cells, sky_histogram, region_histogram, hammer_weighted, flux_ceiling, coverage_counts, tone_limits, tone_mapped_cells, psf_convolve, gauss_smooth, hammer_resample, layer_limits, layer_palette, healpix_ring_density, healpix_nested_density, healpix_lookup, bilinear_lookup, splat_pixels)}
 
 _S = ctes("sources")
 _FLUX = "pow(10e0, -4e-1 * phot_g_mean_mag)"
@@ -193,7 +236,40 @@ _LAYER = "lim as (select case when q > p then p else mn end as lower, case when
 _UP, _DOWN = f"cast(floor(8*(0.5+{_TT})-8*{_Z}*0.75) as bigint)", f"cast(floor(8*(0.5+{_TT})+8*{_Z}*0.75) as bigint)"
 _SPREAD = lambda c: "(" + " + ".join(f"(({c} >> {i}) & 1) * {4**i}" for i in range(3)) + ")"
 
+def _kernel_sql() -> str:
+    """The point spread of a star by sums over pixels: two Moffat profiles, blurred along each axis inside the square."""
+    span = "range(-40, 41)"
+    return f"""ga as (select d, exp(-5e-1*d*d/6.4e-1) as w from range(-3, 4) r(d)), gn as (select d, w/(select sum(w) from ga) as w from ga),
+m0 as (select i, j, pow(1 + (i*i+j*j)/3.6e1, -2.8e0) as wide, case when abs(i) <= 15 and abs(j) <= 15 then pow(1 + (i*i+j*j)/4e0, -2.8e0) else 0e0 end as thin from {span} a(i), {span} c(j)),
+m1 as (select i, j, 2e-1*wide/(select sum(wide) from m0) + 8e-1*thin/(select sum(thin) from m0) as w from m0),
+m2 as (select i + d as i, j, sum(m1.w*gn.w) as w from m1, gn where abs(i + d) <= 40 group by 1, 2),
+m3 as (select i, j + d as j, sum(m2.w*gn.w) as w from m2, gn where abs(j + d) <= 40 group by 1, 2), ker as (select i, j, w/(select sum(w) from m3) as w from m3)"""
+
+
+def _modes_sql() -> str:
+    v = {"intensity": "v", "log10": "pow(1e1, v)", "count": "1e0", "magnitude": "pow(1e1, -4e-1*v)"}
+    return " union all ".join(f"select '{m}' as mode, x, y, round(sum({e}), 8) as value from hm where v is not null group by x, y" for m, e in v.items())
+
+
+def _palettes_sql() -> str:
+    out = []
+    for kind, r, g, b in (("grey", "i", "i", "i"), ("two_colours", "floor(255*i/255e0+5e-1)", "floor(128*i/255e0+5e-1)", "floor(64+(-64)*i/255e0+5e-1)"), ("blue_white_red", "least(255,2*i)", "least(least(255,2*i),least(255,2*(255-i)))", "least(255,2*(255-i))")):
+        for back in (False, True):
+            i = "(255 - q)" if back else "q"
+            sums = ", ".join(f"sum({e})::bigint as {n}" for n, e in (("red", r), ("green", g), ("blue", b)))
+            out.append(f"select '{kind}' as kind, {back} as back, {sums} from (select {i} as i from qs)")
+    return " union all ".join(out)
+
+
+_BIG = f"big as (select least(greatest(cast(floor({_HX}*256) as bigint), 0), 255) as x, least(greatest(cast(floor({_HY}*128) as bigint), 0), 127) as y, count(*)::double as v from sources where l is not null and b is not null and phot_g_mean_mag is not null group by 1, 2)"
+
 ORACLE = {
+    "star_psf": _S + f""", {_BIG}, {_kernel_sql()}, sp as (select x + i as x, y + j as y, sum(v*w) as v from big, ker where x + i between 0 and 255 and y + j between 0 and 127 group by 1, 2)
+select x // 16 as bx, y // 16 as "by", round(sum(v), 6) as value, round(max(v), 6) as top from sp group by 1, 2""",
+    "hammer_modes": _S + f", hm as (select least(greatest(cast(floor({_HX}*{W}) as bigint), 0), {W-1}) as x, least(greatest(cast(floor({_HY}*{H}) as bigint), 0), {H-1}) as y, phot_g_mean_mag/1e1 as v from sources where l is not null and b is not null) " + _modes_sql(),
+    "nonzero_cells": _S + f", {_CELLS} select count(*) filter (where flux <> 0) as nonzero from cells",
+    "palettes": _S + f", {_hammer('1e0')}, qs as (select floor(least(greatest(sqrt(value/(select max(value) from ham)),0e0),1e0)*255+5e-1) as q from ham) " + _palettes_sql(),
+    "raster_cells": _S + f", {_CELLS} select x as ix, y as iy, round((-180 + (x + 5e-1)*(360e0/{W}) + 360) % 360, 9) as l, round((y + 5e-1)*(180e0/{H}) - 90, 9) as b, round(2.126e-1*n + 7.152e-1*(n % 7) + 7.22e-2, 9) as value from cells",
     "sky_histogram": _S + f""", top as (select pow(10e0, -4e-1*quantile_cont(phot_g_mean_mag, 0.001)) as m from sources)
 select x, y, round(sum(f), 9) as flux, round(sum(f*t), 9) as temp_flux, count(*) as n, round(least(greatest(sum(f*t)/greatest(sum(f), 1e-8), 2.5e3), 2.5e4), 4) as mean_temperature from (
  select {_CELL}, least({_FLUX}, m) as f, {_TEMP} as t from sources, top where l is not null and b between -90 and 90 and phot_g_mean_mag is not null) group by x, y""",
@@ -230,9 +306,10 @@ p as (select px, py, ((180 - l) % 360 + 360) % 360 * ({W}/360e0) - 0.5e0 as fx,
 c as (select px, py, (cast(floor(fx) as bigint) + dx + {W}) % {W} as x, least(greatest(cast(floor(fy) as bigint) + dy, 0), {H-1}) as y,
  (case when dx = 1 then fx - floor(fx) else 1 - (fx - floor(fx)) end) * (case when dy = 1 then fy - floor(fy) else 1 - (fy - floor(fy)) end) as w from p, range(2) a(dx), range(2) b(dy))
 select px, py, case when count(flux) = 4 then round(sum(w*flux), 9) end as value from c left join cells using (x, y) group by px, py""",
-    "splat_pixels": _S + f""", s as (select {_HX}*128 as x, {_HY}*64 as y, greatest(2e0 - phot_g_mean_mag/8e0, 1e0) as s, {_VT} as t from sources where phot_g_mean_mag < 8),
-p as (select px, py, least(exp(-((px-x)*(px-x)+(py-y)*(py-y))/(2*s*s))*2, 1e0)*3e-1 as k, {_VR} as r, {_VG} as g, {_VB} as b from s, range(128) a(px), range(64) c(py)
- where px between trunc(x) - floor(3.5e0*s) - 1 and trunc(x) + floor(3.5e0*s) + 1 and py between trunc(y) - floor(3.5e0*s) - 1 and trunc(y) + floor(3.5e0*s) + 1)
+    "splat_pixels": _S + f""", s as (select {_HX}*128 as x, {_HY}*64 as y, greatest(2e0 - phot_g_mean_mag/8e0, 1e0) as s, {_VT} as t from sources where l is not null and b is not null),
+c as (select *, (trunc(x) - floor(3.5e0*s) - 1)::int as x0, (trunc(x) + floor(3.5e0*s) + 1)::int as x1, (trunc(y) - floor(3.5e0*s) - 1)::int as y0, (trunc(y) + floor(3.5e0*s) + 1)::int as y1 from s),
+d as (select *, unnest(range(greatest(x0, 0), least(x1, 127) + 1)) as px from c), e as (select *, unnest(range(greatest(y0, 0), least(y1, 63) + 1)) as py from d),
+p as (select px, py, least(exp(-((px-x)*(px-x)+(py-y)*(py-y))/(2*s*s))*2, 1e0)*5e-2 as k, {_VR} as r, {_VG} as g, {_VB} as b from e)
 select px, py, cast(least(255, sum(floor(least(k*r*255,255e0)))) as int) as red, cast(least(255, sum(floor(least(k*g*255,255e0)))) as int) as green, cast(least(255, sum(floor(least(k*b*255,255e0)))) as int) as blue
 from p group by px, py having sum(floor(least(k*r*255,255e0))) + sum(floor(least(k*g*255,255e0))) + sum(floor(least(k*b*255,255e0))) > 0""",
 }

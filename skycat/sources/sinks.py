@@ -6,6 +6,7 @@ import re
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def save(rows: DataFrame, path: str, mode: str = "errorifexists", kind: str = "parquet") -> None:
@@ -17,6 +18,17 @@ def save_csv(rows: DataFrame, path: str, columns: Sequence[str], mode: str = "er
     rows.select(*columns).write.mode(mode).option("header", True).csv(path)
 
 
+# The columns of the comparison table.
+COMPARISON = ("scenario", "observer_time_days", "filter", "apparent_magnitude", "absolute_magnitude", "observed_flux_w_m2", "temperature_k", "photospheric_radius_m")
+
+
+def save_comparison(rows: DataFrame, path: str, scenario: str, time: str, band: str, magnitude: str, flux: str, distance_pc: float, mode: str = "errorifexists") -> None:
+    """The long comparison table of light curves as CSV; rows also hold temperature_k and photospheric_radius_m."""
+    absolute = F.col(magnitude) - 5.0 * F.log10(F.lit(float(distance_pc))) + 5.0
+    out = rows.select(F.col(scenario).alias("scenario"), F.col(time).alias("observer_time_days"), F.col(band).alias("filter"), F.col(magnitude).alias("apparent_magnitude"), absolute.alias("absolute_magnitude"), F.col(flux).alias("observed_flux_w_m2"), "temperature_k", "photospheric_radius_m")
+    save_csv(out, path, COMPARISON, mode)
+
+
 def slug(text: str) -> str:
     """Lower-case letters and digits joined by single dashes."""
     return re.sub(r"[^a-z0-9]+", "-", text.lower()).strip("-")

@@ -72,6 +72,29 @@ def luminance(red: Column, green: Column, blue: Column) -> Column:
     return 0.2126 * red + 0.7152 * green + 0.0722 * blue
 
 
+def raster_cells(rows: DataFrame, width: int, height: int, channel: str = "luminance", longitudes: tuple[float, float] = (-180.0, 180.0), order: str = "north_to_south") -> DataFrame:
+    """(ix, iy, l, b, value) of an equirectangular raster (ix, iy, and value or red, green, blue).
+
+    channel: red, green, blue, or Rec. 709 luminance; ignored for a raster of values. l and b are a cell's centre; order
+    says whether row 0 is the northernmost or the southernmost.
+    """
+    if "value" in rows.columns:
+        value = F.col("value")
+    elif channel in ("red", "green", "blue"):
+        value = F.col(channel)
+    elif channel == "luminance":
+        value = luminance(F.col("red"), F.col("green"), F.col("blue"))
+    else:
+        raise ValueError(f"unknown channel: {channel}")
+    if order not in ("north_to_south", "south_to_north"):
+        raise ValueError(f"unknown order of rows: {order}")
+    first, last = longitudes
+    l = F.pmod(first + (F.col("ix") + 0.5) * ((last - first) / width), F.lit(360.0))
+    up = (F.col("iy") + 0.5) * (180.0 / height)
+    b = 90.0 - up if order == "north_to_south" else up - 90.0
+    return rows.select("ix", "iy", l.alias("l"), b.alias("b"), value.cast("double").alias("value"))
+
+
 def star_list(rows: DataFrame) -> DataFrame:
     """(l, b, magnitude, temperature_k) of a user's stars; the last two have defaults, in rows and as columns."""
     out = resolve_columns(rows, {"l": ("l", "glon", "longitude"), "b": ("b", "glat", "latitude"), "magnitude": ("magnitude", "mag", "g_mag"), "temperature_k": ("temperature_k", "teff", "temperature")}, {"magnitude": None, "temperature_k": None})
@@ -89,6 +112,20 @@ def pull_ranges(spark: SparkSession, url: str, table: str, column: str, total: i
     return spark.read.jdbc(url, table, column=column, lowerBound=0, upperBound=total, numPartitions=count, properties=properties or {})
 
 
+def pull_missing(rows: DataFrame, bounds: Sequence[tuple[int, int]], done: DataFrame | None, column: str = "random_index", most: int | None = None) -> DataFrame:
+    """The rows of the ranges that `done` (range_id) lacks, with range_id; at most `most` of each range, the first by
+    `column` (a cap is a feature of the pull). Finished ranges are filtered before anything is read of them.
+    """
+    todo = unfinished(range(len(bounds)), done)
+    found = None
+    for i in todo:
+        low, high = bounds[i]
+        part = rows.filter((F.col(column) >= low) & (F.col(column) < high)).withColumn("range_id", F.lit(i))
+        part = part if most is None else part.orderBy(column).limit(most)
+        found = part if found is None else found.unionByName(part)
+    return rows.limit(0).withColumn("range_id", F.lit(0)) if found is None else found
+
+
 def unfinished(every: Iterable[int], done: DataFrame | None, column: str = "range_id") -> list[int]:
     """The ranges that a resumable pull still has to read; both lists are as short as the number of ranges."""
     finished = set() if done is None else {r[0] for r in done.select(column).distinct().collect()}
