@@ -11,6 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.hashing import let
 from .ordering import group_percentiles
 
 CLASSES = ("BE", "GCAS", "SDOR", "WR")
@@ -58,30 +59,41 @@ def known_text(text: Column) -> Column:
 
 def normal_label(text: Column) -> Column:
     """Capitals and digits alone; null without a label."""
-    up = F.upper(known_text(text))
-    bare = F.regexp_replace(F.when(up != "UNKNOWN", up), "[^A-Z0-9]+", "")
-    return F.when(bare != "", bare)
+    bare = lambda up: F.when(~up.isin(*NO_TEXT, "UNKNOWN"), F.regexp_replace(up, "[^A-Z0-9]+", ""))
+    return let(let(F.upper(F.trim(text)), bare), lambda label: F.when(label != "", label))
 
 
 def label_class(text: Column) -> Column:
     """The class that a label names, alone or as a Wolf-Rayet subtype."""
-    label = normal_label(text)
-    out = F.when(label.isin(*LABELS["WR"]) | label.rlike("^W[CNOR][A-Z]*[0-9]*[A-Z]*$"), "WR")
-    for name in ("SDOR", "GCAS", "BE"):
-        out = out.when(label.isin(*LABELS[name]), name)
-    return out
+
+    def named(label: Column) -> Column:
+        out = F.when(label.isin(*LABELS["WR"]) | label.rlike("^W[CNOR][A-Z]*[0-9]*[A-Z]*$"), "WR")
+        for name in ("SDOR", "GCAS", "BE"):
+            out = out.when(label.isin(*LABELS[name]), name)
+        return out
+
+    return let(normal_label(text), named)
+
+
+# Patterns of free spectral texts and the classes they name, in order.
+SPECTRAL = (
+    ("SDOR", r"\b(lbv|s\s*dor(adus)?)\b"),
+    ("GCAS", r"\bgamma\s*cas(siopeiae)?\b|γ\s*cas(siopeiae)?\b"),
+    ("BE", r"\bb\s*\[\s*e\s*\]"),
+    ("BE", r"\bbe([0-9]|\b)"),
+)
 
 
 def spectral_class(text: Column) -> Column:
     """The class that a free spectral text names."""
-    low = F.when(normal_label(text).isNotNull(), F.lower(text))
-    free = (
-        F.when(low.rlike(r"\b(lbv|s\s*dor(adus)?)\b"), "SDOR")
-        .when(low.rlike(r"\bgamma\s*cas(siopeiae)?\b|γ\s*cas(siopeiae)?\b"), "GCAS")
-        .when(low.rlike(r"\bb\s*\[\s*e\s*\]"), "BE")
-        .when(low.rlike(r"\bbe([0-9]|\b)"), "BE")
-    )
-    return F.coalesce(label_class(text), free)
+
+    def free(low: Column) -> Column:
+        out = F.when(low.isNull(), None)
+        for name, pattern in SPECTRAL:
+            out = out.when(low.rlike(pattern), name)
+        return out
+
+    return F.coalesce(label_class(text), let(F.when(normal_label(text).isNotNull(), F.lower(text)), free))
 
 
 def _col(df: DataFrame, name: str) -> Column:

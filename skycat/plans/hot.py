@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..fixtures import ctes, view
 from ..operators import behaviour, classify
-from ..workspace import fresh_dir
+from ..workspace import fresh_dir, written
 
 
 def _candidates(spark, sf_dir):
@@ -46,8 +46,9 @@ def hot_labels(spark, sf_dir):
     """Literature and spectral texts dealt to the candidates by their ids, and what the classifier makes of them."""
     pick = lambda step: F.element_at(F.array(*map(F.lit, LABELS)), (F.pmod(F.floor(F.col("source_id") / step), F.lit(len(LABELS))) + 1).cast("int"))
     rows = _candidates(spark, sf_dir).withColumns({"spectraltype_esphs": pick(1), "literature_class": F.when(F.col("source_id") % 2 == 0, pick(2))})
-    rows = classify.classify(rows)
-    return rows.filter("classification_method in ('literature_label', 'spectral_type')").select("source_id", "resolved_class", "classification_method", F.round("classification_score", 9).alias("classification_score"))
+    # written before and after: a filter pushed into the rules, or the choice repeated in each, would be a plan of thousands of terms
+    rows = classify.classify(written(rows, "labels")).select("source_id", "resolved_class", "classification_method", F.round("classification_score", 9).alias("classification_score"))
+    return written(rows, "labelled").filter("classification_method in ('literature_label', 'spectral_type')")
 
 
 def insufficient_data(spark, sf_dir):

@@ -41,7 +41,7 @@ def src_ecsv(spark, sf_dir):
     parts = rows.repartition(n).withColumn("part", F.spark_partition_id())
     head = spark.range(n).select(F.explode(F.array(F.lit("# %ECSV 1.0"), F.lit("# ---"), F.lit("source_id l"))).alias("value"), F.col("id").cast("int").alias("part"))
     both = head.withColumn("o", F.when(F.col("value").startswith("#"), 0).otherwise(1)).unionByName(parts.withColumn("o", F.lit(2)))
-    both.repartition(n, "part").sortWithinPartitions("part", "o").write.partitionBy("part").text(path := fresh_dir(spark, "ecsv"))
+    both.repartition(n, "part").sortWithinPartitions("part", "o").select("part", "value").write.partitionBy("part").text(path := fresh_dir(spark, "ecsv"))
     back = tables.read_ecsv(spark, f"{path}/part=*")
     return back.select(F.col("source_id").cast("long").alias("source_id"), F.col("l").cast("double").alias("l"))
 
