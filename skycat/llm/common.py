@@ -22,12 +22,12 @@ def partitions(spark: SparkSession) -> int:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Texts go to Python in batches of 2,000 rows at most and about 8 MB, where the session has no smaller ones: that
+    """Texts go to Python in batches of 1,000 rows at most and about 4 MB, where the session has no smaller ones: that
     bounds what both sides hold at a time.
     """
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > 2000:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 2000)
-        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > 1000:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 1000)
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "4m")
 
 
 def narrow(df: DataFrame, **columns: str) -> DataFrame:
