@@ -275,7 +275,7 @@ from x left join mn a on a.series = x.series and a.band = x.band and a.t_days =
 k as (select *, (sum(jump) over (partition by line_id order by seq))::bigint as piece from j) select line_id, seq, x, piece from (select *, count(*) over (partition by line_id, piece) as n from k) where n >= 2""",
     "great_circle_points": ctes("sources") + """, s as (select source_id as segment_id, radians(ra) as a1, radians(dec) as d1, radians(l) as a2, radians(b) as d2 from sources),
 g as (select *, acos(least(greatest(sin(d1)*sin(d2)+cos(d1)*cos(d2)*cos(a1-a2),-1e0),1e0)) as w from s), n as (select *, greatest(1, ceil(degrees(w)/10))::bigint as m from g),
-q as (select *, unnest(range(m+1)) as seq from n), u as (select *, sin((1-seq/m::double)*w)/sin(w) as k1, sin(seq/m::double*w)/sin(w) as k2 from q),
+q as (select *, unnest(range(m+1)) as seq from n), u as (select *, case when w >= 1e-9 then sin((1-seq/m::double)*w)/sin(w) else 1-seq/m::double end as k1, case when w >= 1e-9 then sin(seq/m::double*w)/sin(w) else seq/m::double end as k2 from q),
 v as (select *, k1*cos(d1)*cos(a1)+k2*cos(d2)*cos(a2) as x, k1*cos(d1)*sin(a1)+k2*cos(d2)*sin(a2) as y, k1*sin(d1)+k2*sin(d2) as z from u)
 select seq::int as seq, count(*) as n, round(avg(degrees(asin(least(greatest(z/sqrt(x*x+y*y+z*z),-1e0),1e0)))),6) as mean_dec, round(avg(y/sqrt(x*x+y*y)),8) as mean_sin, round(avg(x/sqrt(x*x+y*y)),8) as mean_cos from v group by seq""",
     "editorial_axis": _LV + _WIN + """ select i::int as frame, round(i/25e0,6) as seconds, round(p,6) as progress, round(case when i/25e0 >= 3 and i/25e0 < 38 then least(least(greatest((i/25e0-3)/5e-1,0e0),1e0), least(greatest((38-i/25e0)/5e-1,0e0),1e0)) else 0e0 end,6) as opacity, round(start + p*(stop-start),6) as day
