@@ -7,7 +7,7 @@ import string
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, join_hot, narrow, written
+from .common import cut, join_hot, written
 
 #: The characters stripped from both ends of a line: blank and \t to \r.
 BLANKS = " \t\n\x0b\f\r"
@@ -43,30 +43,30 @@ def dedup_lines(
     Null or empty text: one empty line, result an empty text. A null doc_id counts as one document before all others.
     Repeated doc_ids are one document: each row loses the lines that its id loses. Ties can't occur. No rows: no rows.
     """
-    made = {"__key", "__mark", "__drop", "n_lines", "n_dropped"}
-    kept = [c for c in docs.columns if c not in made]
-    text = F.coalesce(F.col(text_col), F.lit(""))
+    kept = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
+    text = F.coalesce(docs[text_col], F.lit(""))
     # a row is known by its id and its text: positions hold for that text alone
-    marks = [F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63))).alias("__key"), F.xxhash64(text).alias("__mark")]
-    lines = narrow(docs, **{id_col: id_col, text_col: text_col}).select(*marks, F.posexplode(F.split(text, "\n", -1)).alias("pos", "line"))
+    key, mark = F.coalesce(docs[id_col].cast("long"), F.lit(-(2**63))), F.xxhash64(text)
+    lines = docs.select(key.alias("__key"), mark.alias("__mark"), F.posexplode(F.split(text, "\n", -1)).alias("pos", "line"))
     keyed = lines.select("__key", "__mark", "pos", line_key(F.col("line")).alias("key")).filter(F.length("key") >= min_chars)
     keyed = written(keyed.select("__key", "__mark", "pos", _hash(F.col("key")).alias("h")), "lines")
     held = keyed.select("__key", "h").distinct().groupBy("h").agg(F.count("*").alias("n"), F.max("__key").alias("keeper"))
     shared = cut(held.filter(F.col("n") >= min_docs))
     lost = join_hot(keyed, shared, "h", "n", keyed.count()).filter(F.col("__key") < F.col("keeper"))
     drops = lost.groupBy("__key", "__mark").agg(F.collect_list("pos").alias("__drop"))
-    joined = docs.select(*kept, *marks).join(drops, ["__key", "__mark"], "left")
+    joined = docs.join(drops, (key == drops["__key"]) & (mark == drops["__mark"]), "left")
+    lost_at = drops["__drop"]
 
     def together(x: Column) -> Column:
         stays = F.array_except(F.sequence(F.lit(0), F.size(x.parts) - 1), x.gone)
         return F.array_join(F.transform(stays, lambda i: F.get(x.parts, i)), "\n")
 
     # an array of one, so that the text is split once and not for each line
-    once = F.array(F.struct(F.split(text, "\n", -1).alias("parts"), F.col("__drop").alias("gone")))
-    new = F.when(F.col("__drop").isNull(), text).otherwise(F.get(F.transform(once, together), F.lit(0)))
+    once = F.array(F.struct(F.split(text, "\n", -1).alias("parts"), lost_at.alias("gone")))
+    new = F.when(lost_at.isNull(), text).otherwise(F.get(F.transform(once, together), F.lit(0)))
     count = F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1
-    gone = F.when(F.col("__drop").isNull(), 0).otherwise(F.size(F.array_distinct("__drop")))
-    columns = [new.alias(c) if c == text_col else F.col(c) for c in kept]
+    gone = F.when(lost_at.isNull(), 0).otherwise(F.size(F.array_distinct(lost_at)))
+    columns = [new.alias(c) if c == text_col else docs[c] for c in kept]
     return joined.select(*columns, count.cast("long").alias("n_lines"), gone.cast("long").alias("n_dropped"))
 
 

@@ -138,10 +138,10 @@ def kth_largest(keys: DataFrame, k: int, step: float = 2.0**-16, bins: int = 409
     return low
 
 
-def _identity(id_col: str, text_col: str) -> list[Column]:
+def _identity(doc_id: Column, text: Column) -> list[Column]:
     """What tells rows apart: the id (null: the least number) and a hash of id and text."""
-    key = F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63)))
-    return [key.alias("__id"), F.xxhash64(key, F.col(text_col)).alias("__mark")]
+    key = F.coalesce(doc_id.cast("long"), F.lit(-(2**63)))
+    return [key, F.xxhash64(key, text)]
 
 
 def weigh(
@@ -158,7 +158,8 @@ def weigh(
     texts = narrow(docs, doc_id=id_col, text=text_col).withColumn("doc_id", F.col("doc_id").cast("long"))
     known = cut(labelled_sample(labels, sample))
     ratio = fit_ratio(texts, known, buckets)
-    marked = log_weights(texts.select("doc_id", *_identity("doc_id", "text"), "text"), ratio)
+    marks = [c.alias(name) for c, name in zip(_identity(F.col("doc_id"), F.col("text")), ("__id", "__mark"))]
+    marked = log_weights(texts.select("doc_id", *marks, "text"), ratio)
     scored = cut(marked.withColumn("gumbel_key", F.col("log_weight") + gumbel(F.col("doc_id"), seed)))
     some = scored.join(F.broadcast(known.filter(~F.col("fits"))), "doc_id").select("log_weight", "label").limit(2 * sample).toPandas()
     if share is None:
@@ -183,6 +184,6 @@ def resample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     alike; rows tied with the k-th are kept. No labels of a class: the threshold is 0. No rows: no rows.
     """
     scored = weigh(docs, labels, id_col=id_col, text_col=text_col, **options)
-    gone = cut(scored.filter(~F.col("kept")).select("__id", "__mark").distinct())
-    marked = docs.select("*", *_identity(id_col, text_col))
-    return marked.join(small(gone), ["__id", "__mark"], "left_anti").select(docs.columns)
+    gone = small(cut(scored.filter(~F.col("kept")).select("__id", "__mark").distinct()))
+    key, mark = _identity(docs[id_col], docs[text_col])
+    return docs.join(gone, (key == gone["__id"]) & (mark == gone["__mark"]), "left_anti")

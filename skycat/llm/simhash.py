@@ -448,5 +448,5 @@ def near_duplicates(docs: DataFrame, size: int = 5, similarity: float = 0.8, ban
 def drop_near_duplicates(docs: DataFrame, size: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """`docs` with one document, that of the smallest id, of each group of near duplicates. Rows without an id stay."""
     groups = near_duplicates(docs, size, similarity, id_col=id_col, text_col=text_col)
-    gone = cut(groups.filter(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("__gone")))
-    return docs.join(small(gone), docs[id_col].cast("long") == F.col("__gone"), "left_anti")
+    gone = small(cut(groups.filter(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("__gone"))))
+    return docs.join(gone, docs[id_col].cast("long") == gone["__gone"], "left_anti")

@@ -40,5 +40,32 @@ def test_line_stage_sets_lengths(spark):
     assert got[0] == ("own 0", 5) and got[2][1] == len("a line that three documents share\nown 2")
 
 
+def test_stages_on_odd_rows(spark, odd, none):
+    """Null, empty and very long texts, null and repeated ids and clashing columns: every stage keeps the input's columns
+    (and the last gives pieces), and an empty table gives no rows. Rows of no text and no words go in the language stage.
+    """
+    from pyspark.sql import functions as F
+
+    more = {"lang": F.lit("en"), "source": F.when(F.col("doc_id") % 2 == 0, F.lit("src1")), "family": F.lit("x"), "__row": F.lit("y"), "component_id": F.lit(1), "__gone": F.lit(2)}
+    docs, empty = odd.withColumns(more), none.withColumns(more)
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, SF)
+        assert stage(spark, empty, SF).count() == 0
+        if name == "packing":
+            assert out.count() >= docs.count()
+        else:
+            assert out.columns == docs.columns and out.count() <= docs.count()
+    spoken = corpus_pipeline.keep_languages(spark, docs, SF)
+    assert spoken.filter("text is null or trim(text) = ''").count() == 0 and spoken.count() > 0
+    assert corpus_pipeline.drop_copies(spark, docs, SF).filter("text like 'The same text twice%'").select("doc_id").distinct().count() == 1
+
+
+def test_registered_queries_on_given_tables(spark):
+    """Every registered query runs over a whole small table and gives a row for each of its rows."""
+    documents = spark.read.parquet(f"{SF}/documents.parquet").count()
+    for name in ("op3_line_dedup", "op4_fuzzy_hash", "op5_token_files", "op6_language", "op9_byte_bpe", "op10_simhash"):
+        assert QUERIES[name](spark, SF).count() == documents, name
+
+
 def test_ten_operators_are_registered():
     assert sorted({int(n[2:].split("_")[0]) for n in QUERIES}) == list(range(1, 11))
