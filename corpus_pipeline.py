@@ -29,13 +29,15 @@ def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     """
     marked = docs.withColumn("family", F.regexp_replace("source", "[0-9]+$", "")).withColumn("__row", _row_hash(docs))
     known = language.identify(marked, declared_col="lang", host_col="source", domain_col="family", keep_cols=("__row",))
-    gone = cut(known.filter(~F.col("accepted")).select(F.col("__row").alias("__gone")).distinct())
-    return docs.join(small(gone), _row_hash(docs) == F.col("__gone"), "left_anti")
+    gone = small(cut(known.filter(~F.col("accepted")).select(F.col("__row").alias("__gone")).distinct()))
+    return docs.join(gone, _row_hash(docs) == gone["__gone"], "left_anti")
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that at least three documents share stay in one of them."""
-    kept = line_dedup.dedup_lines(docs)
+    own = {f"__own_{c}": c for c in ("n_lines", "n_dropped") if c in docs.columns}
+    kept = line_dedup.dedup_lines(docs.withColumnsRenamed({c: k for k, c in own.items()}))
+    kept = kept.drop("n_lines", "n_dropped").withColumnsRenamed(own)
     if "n_chars" in docs.columns:
         kept = kept.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return kept.select(docs.columns)
