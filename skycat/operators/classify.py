@@ -50,6 +50,44 @@ class Thresholds:
     least_confidence: float = 0.48
     hot_low: float = 8_000.0
     hot_high: float = 35_000.0
+    # where the rules' ranges begin and end
+    be_teff_low: float = 10000.0
+    be_teff_high: float = 30000.0
+    wr_teff: float = 35000.0
+    wr_teff_strong: float = 50000.0
+    logg_high: float = 3.2
+    logg_low: float = 3.0
+    logg_very_low: float = 2.0
+    lum_low: float = 20.0
+    lum_high: float = 10000.0
+    lum_very_high: float = 100000.0
+    mag_bright: float = -4.0
+    mag_faint: float = 2.0
+    mag_very_bright: float = -7.0
+    radius_low: float = 1.0
+    radius_high: float = 20.0
+    radius_large: float = 25.0
+    radius_very_large: float = 50.0
+    mass_low: float = 3.0
+    mass_high: float = 20.0
+    mass_wr: float = 10.0
+    mass_sdor: float = 20.0
+    mass_very_high: float = 40.0
+    blue_intrinsic: float = 0.2
+    blue_observed: float = -0.1
+    broad: float = 50.0
+    very_broad: float = 100.0
+    rv_high: float = 50.0
+    range_small: float = 0.15
+    range_middle: float = 0.5
+    range_large: float = 1.0
+    deviation_small: float = 0.05
+    deviation_large: float = 0.15
+    skew_high: float = 1.0
+    skew_very_high: float = 2.0
+    kurtosis_high: float = 3.0
+    kurtosis_very_high: float = 6.0
+    sharp_parallax: float = 5.0
 
 
 def known_text(text: Column) -> Column:
@@ -167,62 +205,60 @@ def _steps(df: DataFrame, t: Thresholds) -> list[tuple[Column, Column, dict, dic
     text = F.col("spectraltype_esphs") if "spectraltype_esphs" in df.columns else F.lit(None).cast("string")
     spectral, said = normal_label(text), known_text(text).isNotNull()
     p, e, g = c("parallax"), c("parallax_error"), c("phot_g_mean_mag")
-    sharp = (p > 0) & (e > 0) & (p / e >= 5.0)
+    sharp = (p > 0) & (e > 0) & (p / e >= t.sharp_parallax)
     m = F.when(sharp, g + 5.0 * F.log10(p / 1000.0) + 5.0 - F.coalesce(F.col("__ag"), F.lit(0.0)))
     rv = c("rv_amplitude_robust")
     span, deviation = c("trimmed_range_mag_g_fov"), c("std_dev_mag_g_fov")
     skew, kurt = F.abs(c("skewness_mag_g_fov")), c("kurtosis_mag_g_fov")
     intrinsic = F.when(F.col("reddening_quality") == "good", F.col("bp_rp_intrinsic"))
     colour = c("bp_rp")
+    # The points of each rule and the order of the rules. The last entry names the classes for which a rule
+    # is a group of evidence by itself, and what it adds to the variability.
     rules: list = []
     add = lambda counts, when, points, groups=(): rules.append((counts, when, points, groups))
     add(said, spectral == "B", {"BE": 1.5, "GCAS": 1.2, "SDOR": 0.4})
     add(no, spectral == "O", {"WR": 1.2, "SDOR": 0.4}, ("WR",))
     known = teff.isNotNull() & ~_poor(df, "teff_gspphot", t)
-    add(known, known & teff.between(10_000, 30_000), {"BE": 2 * wt, "GCAS": 1.7 * wt})
+    add(known, known & teff.between(t.be_teff_low, t.be_teff_high), {"BE": 2 * wt, "GCAS": 1.7 * wt})
     add(no, known & teff.between(t.hot_low, t.hot_high), {"SDOR": 0.7 * wt})
-    add(no, known & (teff >= 35_000), {"WR": 2 * wt, "BE": -0.8 * wt, "GCAS": -0.5 * wt}, ("WR",))
-    add(no, known & (teff >= 50_000), {"WR": 1 * wt})
-    add(logg.isNotNull(), logg >= 3.2, {"BE": 0.8 * wg, "GCAS": 0.6 * wg})
-    add(no, logg <= 3, {"SDOR": 2 * wg}, ("SDOR",))
-    add(no, logg <= 2, {"SDOR": 1 * wg})
-    add(lum.isNotNull(), (lum >= 20) & (lum < 1e4), {"BE": 1 * wl, "GCAS": 0.8 * wl})
-    add(no, lum >= 1e4, {"SDOR": 1.3 * wl, "WR": 1 * wl}, ("SDOR", "WR"))
-    add(no, lum >= 1e5, {"SDOR": 2 * wl, "WR": 1 * wl})
-    add(no, lum < 20, {"SDOR": -1 * wl, "WR": -0.8 * wl})
-    add(m.isNotNull(), m <= -4, {"SDOR": 1.0, "WR": 0.7}, ("SDOR", "WR"))
-    add(no, (m > -4) & (m <= 2), {"BE": 0.5, "GCAS": 0.4})
-    add(no, m <= -7, {"SDOR": 1.0, "WR": 0.5})
-    add(radius.isNotNull(), radius.between(1, 20), {"BE": 0.7 * wr, "GCAS": 0.6 * wr, "WR": 1 * wr}, ("WR",))
-    add(no, radius >= 25, {"SDOR": 2.5 * wr, "WR": -1 * wr}, ("SDOR",))
-    add(no, radius >= 50, {"SDOR": 1 * wr})
-    add(mass.isNotNull(), (mass >= 3) & (mass < 20), {"BE": 0.7 * wm, "GCAS": 0.5 * wm})
-    add(no, mass >= 10, {"WR": 1 * wm}, ("WR",))
-    add(no, mass >= 20, {"SDOR": 2 * wm}, ("SDOR",))
-    add(no, mass >= 40, {"SDOR": 1 * wm})
-    add(intrinsic.isNotNull(), intrinsic <= 0.20, {"BE": 0.8, "GCAS": 0.7, "SDOR": 0.3, "WR": 0.5})
-    add(no, intrinsic.isNull() & (colour <= -0.10), {"BE": 0.2, "GCAS": 0.2, "SDOR": 0.1, "WR": 0.1})
-    add(vb.isNotNull(), vb >= 50, {"BE": 1.5 * wv, "GCAS": 0.7 * wv})
-    add(no, vb >= 100, {"BE": 1.2 * wv, "GCAS": 0.5 * wv, "WR": 0.8 * wv}, ("WR",))
-    add(rv.isNotNull(), rv >= 50, {"GCAS": 0.5, "WR": 0.3})
-    add(span.isNotNull(), span <= 0.15, {"BE": 1.5, "WR": 0.7})
-    add(no, (span > 0.15) & (span < 0.5), {"GCAS": 1.5, "SDOR": 0.5}, ("VAR1.5",))
-    add(no, span >= 0.5, {"GCAS": 1.5, "SDOR": 1.5}, ("VAR1.5",))
-    add(no, span >= 1.0, {"GCAS": 0.5, "SDOR": 1.5}, ("VAR0.5",))
-    add(deviation.isNotNull(), deviation <= 0.05, {"BE": 1.0, "WR": 0.5})
-    add(no, (deviation > 0.05) & (deviation < 0.15), {"GCAS": 1.0}, ("VAR1",))
-    add(no, deviation >= 0.15, {"GCAS": 1.0, "SDOR": 1.0}, ("VAR1",))
-    add(skew.isNotNull(), skew >= 1, {"GCAS": 1.2}, ("VAR1.2",))
-    add(no, skew >= 2, {"GCAS": 0.7}, ("VAR0.7",))
-    add(kurt.isNotNull(), kurt >= 3, {"GCAS": 1.2}, ("VAR1.2",))
-    add(no, kurt >= 6, {"GCAS": 0.7}, ("VAR0.7",))
+    add(no, known & (teff >= t.wr_teff), {"WR": 2 * wt, "BE": -0.8 * wt, "GCAS": -0.5 * wt}, ("WR",))
+    add(no, known & (teff >= t.wr_teff_strong), {"WR": 1 * wt})
+    add(logg.isNotNull(), logg >= t.logg_high, {"BE": 0.8 * wg, "GCAS": 0.6 * wg})
+    add(no, logg <= t.logg_low, {"SDOR": 2 * wg}, ("SDOR",))
+    add(no, logg <= t.logg_very_low, {"SDOR": 1 * wg})
+    add(lum.isNotNull(), (lum >= t.lum_low) & (lum < t.lum_high), {"BE": 1 * wl, "GCAS": 0.8 * wl})
+    add(no, lum >= t.lum_high, {"SDOR": 1.3 * wl, "WR": 1 * wl}, ("SDOR", "WR"))
+    add(no, lum >= t.lum_very_high, {"SDOR": 2 * wl, "WR": 1 * wl})
+    add(no, lum < t.lum_low, {"SDOR": -1 * wl, "WR": -0.8 * wl})
+    add(m.isNotNull(), m <= t.mag_bright, {"SDOR": 1.0, "WR": 0.7}, ("SDOR", "WR"))
+    add(no, (m > t.mag_bright) & (m <= t.mag_faint), {"BE": 0.5, "GCAS": 0.4})
+    add(no, m <= t.mag_very_bright, {"SDOR": 1.0, "WR": 0.5})
+    add(radius.isNotNull(), radius.between(t.radius_low, t.radius_high), {"BE": 0.7 * wr, "GCAS": 0.6 * wr, "WR": 1 * wr}, ("WR",))
+    add(no, radius >= t.radius_large, {"SDOR": 2.5 * wr, "WR": -1 * wr}, ("SDOR",))
+    add(no, radius >= t.radius_very_large, {"SDOR": 1 * wr})
+    add(mass.isNotNull(), (mass >= t.mass_low) & (mass < t.mass_high), {"BE": 0.7 * wm, "GCAS": 0.5 * wm})
+    add(no, mass >= t.mass_wr, {"WR": 1 * wm}, ("WR",))
+    add(no, mass >= t.mass_sdor, {"SDOR": 2 * wm}, ("SDOR",))
+    add(no, mass >= t.mass_very_high, {"SDOR": 1 * wm})
+    add(intrinsic.isNotNull(), intrinsic <= t.blue_intrinsic, {"BE": 0.8, "GCAS": 0.7, "SDOR": 0.3, "WR": 0.5})
+    add(no, intrinsic.isNull() & (colour <= t.blue_observed), {"BE": 0.2, "GCAS": 0.2, "SDOR": 0.1, "WR": 0.1})
+    add(vb.isNotNull(), vb >= t.broad, {"BE": 1.5 * wv, "GCAS": 0.7 * wv})
+    add(no, vb >= t.very_broad, {"BE": 1.2 * wv, "GCAS": 0.5 * wv, "WR": 0.8 * wv}, ("WR",))
+    add(rv.isNotNull(), rv >= t.rv_high, {"GCAS": 0.5, "WR": 0.3})
+    add(span.isNotNull(), span <= t.range_small, {"BE": 1.5, "WR": 0.7})
+    add(no, (span > t.range_small) & (span < t.range_middle), {"GCAS": 1.5, "SDOR": 0.5}, ("VAR1.5",))
+    add(no, span >= t.range_middle, {"GCAS": 1.5, "SDOR": 1.5}, ("VAR1.5",))
+    add(no, span >= t.range_large, {"GCAS": 0.5, "SDOR": 1.5}, ("VAR0.5",))
+    add(deviation.isNotNull(), deviation <= t.deviation_small, {"BE": 1.0, "WR": 0.5})
+    add(no, (deviation > t.deviation_small) & (deviation < t.deviation_large), {"GCAS": 1.0}, ("VAR1",))
+    add(no, deviation >= t.deviation_large, {"GCAS": 1.0, "SDOR": 1.0}, ("VAR1",))
+    add(skew.isNotNull(), skew >= t.skew_high, {"GCAS": 1.2}, ("VAR1.2",))
+    add(no, skew >= t.skew_very_high, {"GCAS": 0.7}, ("VAR0.7",))
+    add(kurt.isNotNull(), kurt >= t.kurtosis_high, {"GCAS": 1.2}, ("VAR1.2",))
+    add(no, kurt >= t.kurtosis_very_high, {"GCAS": 0.7}, ("VAR0.7",))
     return rules
 
 
-#: Which rules give independent groups of evidence: a group counts once however many of its rules apply.
-_GROUPS = {"WR": {1: "spectral", 4: "teff", 10: "lum", 13: "mag", 16: "radius", 20: "mass", 26: "broad"}, "SDOR": {7: "logg", 10: "lum", 13: "mag", 17: "radius", 21: "mass"}}
-
-
 def scores(df: DataFrame, t: Thresholds = Thresholds()) -> DataFrame:
     """Adds score_be, score_gcas, score_sdor, score_wr (clamped at 0 after every rule), n_features, groups_wr,
     groups_sdor and variability. Expects reddening's columns.
@@ -236,8 +272,8 @@ def scores(df: DataFrame, t: Thresholds = Thresholds()) -> DataFrame:
         out = out.withColumn(f"score_{name.lower()}", total)
     features = sum((F.coalesce(counts, F.lit(False)).cast("int") for counts, _, _, _ in rules), F.lit(0))
     extra = {"n_features": features}
-    for name, groups in _GROUPS.items():
-        extra[f"groups_{name.lower()}"] = sum((ok[i].cast("int") for i in groups), F.lit(0))
+    for name in ("WR", "SDOR"):
+        extra[f"groups_{name.lower()}"] = sum((on.cast("int") for on, (_, _, _, groups) in zip(ok, rules) if name in groups), F.lit(0))
     extra["variability"] = sum((F.when(on, float(g[3:])).otherwise(0.0) for on, (_, _, _, groups) in zip(ok, rules) for g in groups if g.startswith("VAR")), F.lit(0.0))
     return out.withColumns(extra)
 
