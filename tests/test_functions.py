@@ -158,3 +158,30 @@ def test_empty_tables(spark):
     none = spark.createDataFrame([], "source_id long, l double, b double, phot_g_mean_mag double, teff_gspphot double, bp_rp double")
     assert grid.sky_histogram(none, 8, 4).count() == 0
     assert grid.coverage(none).first().valid == 0
+
+
+def test_frames_and_sets():
+    from skycat.functions import coords
+    from skycat.operators import behaviour
+
+    assert coords.frame_name("J2000") == "icrs" and coords.frame_name(None) == "galactic" and coords.frame_name("X") == "x"
+    assert coords.guess_frame({"COORDSYS": "C"}) == "icrs" and coords.guess_frame({"CTYPE1": "GLON-CAR"}) == "galactic"
+    assert coords.guess_frame({}, ["RA", "dec"]) == "icrs" and coords.guess_frame({"CTYPE1": "ELON"}) == "ecliptic" and coords.guess_frame({}, [], "g") == "galactic"
+    parts = {"BE", "GCAS", "SDOR", "WR", "UNKNOWN"}
+    assert set(behaviour.subtype_set(parts)) == parts and behaviour.subtype_set(parts - {"WR"}) == ("LBV",)
+
+
+def test_scenario_overrides(spark):
+    import pytest
+    from pyspark.sql import functions as F
+
+    from skycat.operators import scenarios
+
+    rows = spark.range(4000).selectExpr("id", "18.0D as `progenitor.initial_mass_solar`", "15.0D as `progenitor.final_mass_solar`")
+    spec = {"progenitor.initial_mass_solar": {"mean": 15.0, "sigma": 2.0, "min": 10.0, "max": 18.0}, "progenitor.final_mass_solar": {"distribution": "lognormal", "log_mean": 2.5, "log_sigma": 0.3}}
+    out = scenarios.repair(scenarios.override(rows, spec, F.col("id"))).toDF("id", "a", "b").agg(F.avg("a"), F.stddev("a"), F.min("a"), F.max("a"), F.max(F.col("b") / F.col("a"))).first()
+    assert abs(out[0] - 14.9) < 0.2 and 1.5 < out[1] < 2.1 and out[2] >= 10 and out[3] <= 18 and out[4] <= 1.0
+    with pytest.raises(KeyError):
+        scenarios.override(rows, {"nothing": {"mean": 1, "sigma": 1}}, F.col("id"))
+    with pytest.raises(ValueError):
+        scenarios.override(rows, {"progenitor.final_mass_solar": {"distribution": "cauchy"}}, F.col("id"))

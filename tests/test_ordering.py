@@ -3,6 +3,9 @@
 import numpy as np
 import pytest
 
+from pyspark.sql import functions as F
+
+from skycat.operators import ordering
 from skycat.operators.ordering import percentiles, with_row_number
 
 
@@ -20,3 +23,25 @@ def test_row_numbers(spark):
     got = [r.id for r in with_row_number(rows, "i", ["x", "id"]).orderBy("i").collect()]
     assert got == [r.id for r in rows.orderBy("x", "id").collect()]
     assert with_row_number(rows.limit(0), "i", ["x"]).count() == 0
+
+
+def test_group_percentiles(spark):
+    """Exact for tiny, tied, hot and null groups, as numpy's linear interpolation."""
+    rng = np.random.default_rng(3)
+    groups = {"a": rng.normal(0, 1, 30_000).tolist(), "b": [1.0], "c": [2.0, 2.0, 2.0, 7.0], None: rng.integers(0, 5, 501).tolist(), "d": rng.normal(0, 1e6, 22).tolist(), "e": [None, None], "f": [None, 3.0, 4.0]}
+    rows = [(k, None if v is None else float(v)) for k, values in groups.items() for v in values]
+    shares = [0.0, 0.05, 0.5, 0.9985, 0.95, 1.0]
+    got = {r.k: r.p for r in ordering.group_percentiles(spark.createDataFrame(rows, "k string, v double"), ["k"], "v", shares, accuracy=1000).collect()}
+    known = {k: [float(x) for x in v if x is not None] for k, v in groups.items()}
+    assert set(got) == {k for k, v in known.items() if v}
+    for k, p in got.items():
+        assert np.allclose(p, np.quantile(known[k], shares), rtol=0, atol=1e-9 * max(1.0, max(map(abs, known[k])))), k
+
+
+def test_range_groups_equal_bisect(spark):
+    from bisect import bisect_right
+
+    points = [1.5, 2.0, 2.5, 7.0, 9.0, 9.5, 20.0]
+    rows = spark.range(-2, 25).select(F.col("id").cast("double").alias("x"))
+    got = rows.select("x", ordering.range_group(F.col("x"), points).alias("g")).collect()
+    assert all(r.g == bisect_right(points, r.x) for r in got)
