@@ -331,9 +331,20 @@ def test_near_duplicates_over_blocks(spark):
 
 
 def test_graph_of_a_long_path(spark):
+    """By one task and by rounds."""
     path = spark.range(200).selectExpr("id as a", "id + 1 as b")
-    rows = graph.components(path.unionByName(path.selectExpr("b as a", "a as b"))).collect()
-    assert len(rows) == 201 and {r.root for r in rows} == {0}
-    assert graph.components(path.limit(0)).count() == 0
-
-
+    for few in (0, 1000):
+        rows = graph.components(path.unionByName(path.selectExpr("b as a", "a as b")), few=few).collect()
+        assert len(rows) == 201 and {r.root for r in rows} == {0}
+        assert graph.components(path.limit(0), few=few).count() == 0
+
+
+def test_graph_both_ways(spark):
+    """Random links, loops, repeats and nulls, negative nodes: both ways give what joining sets gives."""
+    rng = np.random.default_rng(6)
+    pairs = rng.integers(-300, 300, (220, 2)).tolist() + [[5, 5], [None, 3], [7, None], [1, 2], [2, 1]]
+    links = spark.createDataFrame([tuple(p) for p in pairs], "a long, b long")
+    known = [(a, b) for a, b in pairs if a is not None and b is not None and a != b]
+    want = components({x for p in known for x in p}, known)
+    for few in (0, 1000):
+        assert {r.node: r.root for r in graph.components(links, few=few).collect()} == want
