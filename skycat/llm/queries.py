@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, fuzzy_hash, html_text, language, line_dedup, nearest, packing, quality, simhash, token_files
+from . import alignment, byte_bpe, fuzzy_hash, html_text, language, line_dedup, nearest, packing, quality, simhash, token_files
 from .common import fresh_dir
 from .token_ids import shared_encoder
 
@@ -81,6 +81,17 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.link_documents(_table(spark, sf_dir, "documents"), size=3, radius=3)
 
 
+def tokenizer_pair() -> tuple[str, str]:
+    """Called in a task: where byte_bpe_50k.json and piece_bpe_32k.model are."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
+
+
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.summarize(_table(spark, sf_dir, "documents"), tokenizer_pair)
+
+
 QUERIES = {
     "op1_packing": op1_packing,
     "op2_quality": op2_quality,
@@ -93,6 +104,7 @@ QUERIES = {
     "op8_html_text": op8_html_text,
     "op9_byte_bpe": op9_byte_bpe,
     "op10_simhash": op10_simhash,
+    "op13_alignment": op13_alignment,
 }
 
 ORACLE = {"op3_line_dedup": line_dedup.ORACLE}
