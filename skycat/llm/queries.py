@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import alignment, byte_bpe, fuzzy_hash, html_text, language, line_dedup, nearest, packing, quality, simhash, token_files
+from . import alignment, byte_bpe, fuzzy_hash, html_text, language, line_dedup, merkle, nearest, packing, quality, sharding, simhash, token_files
 from .common import fresh_dir
 from .token_ids import shared_encoder
 
@@ -81,6 +81,14 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.link_documents(_table(spark, sf_dir, "documents"), size=3, radius=3)
 
 
+def op11_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard_documents(_table(spark, sf_dir, "documents"), shards=24)
+
+
+def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest(_table(spark, sf_dir, "documents"))
+
+
 def tokenizer_pair() -> tuple[str, str]:
     """Called in a task: where byte_bpe_50k.json and piece_bpe_32k.model are."""
     import public_tokenizers
@@ -104,6 +112,8 @@ QUERIES = {
     "op8_html_text": op8_html_text,
     "op9_byte_bpe": op9_byte_bpe,
     "op10_simhash": op10_simhash,
+    "op11_sharding": op11_sharding,
+    "op12_merkle": op12_merkle,
     "op13_alignment": op13_alignment,
 }
 
