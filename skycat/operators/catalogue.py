@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.photometry import first_positive
+from .ordering import first_rows
 
 TAU = 2.0 * math.pi
 
@@ -89,8 +90,8 @@ def microlensing_catalogue(events: DataFrame, sources: DataFrame, parameters: Da
 
 
 def first_by(rows: DataFrame, order: str, n: int) -> DataFrame:
-    """The first `n` rows in an order (0: all of them)."""
-    return rows.orderBy(order, "source_id").limit(n) if n else rows
+    """The first `n` rows in an order, a number's, then by id (0: all of them); see first_rows."""
+    return first_rows(rows, n, [order, "source_id"]) if n else rows
 
 
 def index_range(sources: DataFrame, low: int, high: int) -> DataFrame:

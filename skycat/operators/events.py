@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from ..functions import lensing
 from ..functions.coords import hammer_xy
 from ..functions.photometry import distance_columns, positive, spectral_letter
-from .ordering import percentiles
-
+from ..workspace import written
+from .ordering import percentiles, with_row_number
 
 # Columns that may hold a lens mass, in order, and those of the CSV export.
 MASS_COLUMNS = ("paczynski0_mass", "paczynski_mass", "lens_mass", "mass")
@@ -85,8 +85,6 @@ def with_index(events: DataFrame) -> DataFrame:
 
     The numbering is by ranges: rows are counted per range, so the order over all events is no single task.
     """
-    from .ordering import with_row_number
-
     numbered = with_row_number(events, "catalogue_index", ["tmax", "input_seq"])
     return numbered.withColumn("name", F.concat(F.lit("ML-"), F.lpad(F.col("catalogue_index").cast("string"), F.greatest(F.lit(3), F.length(F.col("catalogue_index").cast("string"))), F.lit("0"))))
 
@@ -133,9 +131,11 @@ def choose_level(events: DataFrame) -> DataFrame:
 
 def activity_window(events: DataFrame, least: float = 0.05, cap_share: float = 0.95) -> DataFrame:
     """One row (cap, start, stop): the time in which events with a visible peak are active; all events if none is."""
-    marked = events.withColumn("visible", lensing.peak_excess(F.col("u0"), F.col("share")) >= least)
-    some = marked.agg(F.max(F.col("visible").cast("int")).alias("any"))
-    kept = marked.crossJoin(F.broadcast(some)).filter(F.col("visible") | (F.col("any") == 0))
+    marked = events.select("te", "tmax", (lensing.peak_excess(F.col("u0"), F.col("share")) >= least).alias("visible"))
+    # three answers are read from these three columns, which cost a join to make
+    marked = written(marked, "window")
+    some = marked.agg(F.max("visible")).first()[0]
+    kept = marked.filter("visible") if some else marked
     limit = F.lit(percentiles(kept, "te", [cap_share])[0]).cast("double")
     margin = F.least(F.col("te"), limit)
     return kept.agg(F.max(limit).alias("cap"), F.min(F.col("tmax") - margin).alias("start"), F.max(F.col("tmax") + margin).alias("stop"))

@@ -42,7 +42,7 @@ def chunked(rows: DataFrame, by: Sequence[str], order: Sequence[str]) -> DataFra
 class Step:
     """A column that runs on over the sorted rows of a group.
 
-    kind: sum (up to the row itself), total (of the group), lag (the value of the row before), last and next (the
+    kind: sum (up to the row itself), total and least (of the group), lag (the value of the row before), last and next (the
     nearest known value up to, or from, the row), or changes (rows up to this one that `differs` from the row before).
     """
 
@@ -68,8 +68,8 @@ def scan(chunks: DataFrame, by: Sequence[str], **steps: Step) -> DataFrame:
         boxed = F.struct(v.alias("v"))
         if s.kind == "sum":
             local, sums = local.withColumn(name, F.sum(v).over(before)), [*sums, F.sum(v).alias(f"__s_{name}")]
-        elif s.kind == "total":
-            sums.append(F.sum(v).alias(f"__s_{name}"))
+        elif s.kind in ("total", "least"):
+            sums.append((F.sum(v) if s.kind == "total" else F.min(v)).alias(f"__s_{name}"))
         elif s.kind == "lag":
             # the value is boxed, so that a null of the row before isn't taken for no row
             local, sums = local.withColumn(name, F.lag(boxed).over(inside)), [*sums, F.max_by(boxed, "__at").alias(f"__s_{name}")]
@@ -90,8 +90,8 @@ def scan(chunks: DataFrame, by: Sequence[str], **steps: Step) -> DataFrame:
         c = F.col(f"__s_{name}")
         if s.kind == "sum":
             given = F.sum(c).over(earlier)
-        elif s.kind == "total":
-            given = F.sum(c).over(Window.partitionBy(*by))
+        elif s.kind in ("total", "least"):
+            given = (F.sum(c) if s.kind == "total" else F.min(c)).over(Window.partitionBy(*by))
         elif s.kind == "lag":
             given = F.lag(c).over(over)
         elif s.kind == "last":
@@ -112,7 +112,7 @@ def scan(chunks: DataFrame, by: Sequence[str], **steps: Step) -> DataFrame:
         given = F.col(f"__g_{name}")
         if s.kind in ("sum", "changes"):
             out = out.withColumn(name, F.when(given.isNull(), F.col(name)).when(F.col(name).isNull(), given).otherwise(F.col(name) + given))
-        elif s.kind == "total":
+        elif s.kind in ("total", "least"):
             out = out.withColumn(name, given)
         elif s.kind == "lag":
             out = out.withColumn(name, F.coalesce(F.col(name), given)["v"])

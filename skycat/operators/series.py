@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .ordering import group_percentiles
+from .ordering import Step, chunked, group_percentiles, scan
 
 
 def envelope(samples: DataFrame, keys: Sequence[str], value: str, shares: Sequence[float] = (0.05, 0.5, 0.95)) -> DataFrame:
@@ -31,13 +31,14 @@ def peaks(samples: DataFrame, keys: Sequence[str], time: str, value: str) -> Dat
 
 
 def bright_phase(samples: DataFrame, keys: Sequence[str], time: str, value: str, window: float) -> DataFrame:
-    """Start and end of the unbroken run around the peak that stays within `window` magnitudes of it."""
-    order = Window.partitionBy(*keys).orderBy(time)
-    peak = F.min(F.struct(F.col(value).alias("v"), F.col(time).alias("t"))).over(Window.partitionBy(*keys))
-    rows = samples.filter(F.col(value).isNotNull()).withColumn("peak", peak).withColumn("bright", F.col(value) <= F.col("peak.v") + window)
-    change = F.coalesce((F.col("bright") != F.lag("bright").over(order)).cast("int"), F.lit(0))
-    rows = rows.withColumn("change", change).withColumn("run", F.sum("change").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    runs = rows.filter("bright").groupBy(*keys, "run").agg(F.min(time).alias("start"), F.max(time).alias("stop"), F.max((F.col(time) == F.col("peak.t")).cast("int")).alias("holds_peak"))
+    """Start and end of the unbroken run around the peak that stays within `window` magnitudes of it.
+
+    Series are read in sorted chunks, so one of any length is no single task; the same holds for the operators below.
+    """
+    known = samples.filter(F.col(value).isNotNull()).select(*keys, F.col(time).alias("t"), F.col(value).alias("v"))
+    rows = scan(chunked(known, keys, ["t"]), keys, peak=Step("least", F.struct("v", "t")))
+    rows = scan(rows.withColumn("bright", F.col("v") <= F.col("peak.v") + window), keys, run=Step("changes", F.col("bright"), lambda a, b: a != b))
+    runs = rows.filter("bright").groupBy(*keys, "run").agg(F.min("t").alias("start"), F.max("t").alias("stop"), F.max((F.col("t") == F.col("peak.t")).cast("int")).alias("holds_peak"))
     return runs.filter("holds_peak = 1").select(*keys, "start", "stop")
 
 
@@ -45,34 +46,33 @@ def interpolate(samples: DataFrame, at: DataFrame, keys: Sequence[str], time: st
     """(keys, at, value) for each series and each time of `at` (key columns and at): linear between samples, constant
     beyond the ends.
 
-    One window over the union of samples and wanted times finds the neighbours, so there is no range join.
+    One scan of the union of samples and wanted times finds the neighbours, so there is no range join.
     """
     rows = samples.filter(F.col(value).isNotNull()).select(*keys, F.col(time).alias("t"), F.col(value).alias("v"), F.lit(0).alias("asked"))
     wanted = at.select(*keys, F.col("at").alias("t"), F.lit(None).cast("double").alias("v"), F.lit(1).alias("asked"))
-    order = Window.partitionBy(*keys).orderBy("t", "asked")
-    before, after = order.rowsBetween(Window.unboundedPreceding, 0), order.rowsBetween(0, Window.unboundedFollowing)
     known = F.when(F.col("asked") == 0, F.struct("t", "v"))
-    both = rows.unionByName(wanted).withColumn("known", known).withColumn("lo", F.last("known", True).over(before)).withColumn("hi", F.first("known", True).over(after))
+    both = scan(chunked(rows.unionByName(wanted), keys, ["t", "asked"]), keys, lo=Step("last", known), hi=Step("next", known))
     span = F.col("hi.t") - F.col("lo.t")
     between = F.col("lo.v") + (F.col("hi.v") - F.col("lo.v")) * F.try_divide(F.col("t") - F.col("lo.t"), span)
     result = F.when(F.col("lo").isNull(), F.col("hi.v")).when(F.col("hi").isNull() | (span == 0), F.col("lo.v")).otherwise(between)
     return both.filter("asked = 1").select(*keys, F.col("t").alias("at"), result.alias("value"))
 
 
+def _pieces(points: DataFrame, line: str, seq: str, step: Step, kept: Column) -> DataFrame:
+    """The kept points of the pieces, numbered from 0, into which a step cuts lines; pieces of one point go."""
+    rows = scan(chunked(points, [line], [seq]), [line], piece=step).filter(kept)
+    rows = scan(rows, [line, "piece"], __size=Step("total", F.lit(1)))
+    return rows.filter("__size >= 2").select(*points.columns, "piece")
+
+
 def split_seams(points: DataFrame, width: float, line: str = "line_id", seq: str = "seq", x: str = "x") -> DataFrame:
     """Polylines cut where neighbours are over a quarter of the image apart; pieces of one point go. Adds piece."""
-    order = Window.partitionBy(line).orderBy(seq)
-    jump = F.coalesce((F.abs(F.col(x) - F.lag(x).over(order)) > width / 4).cast("int"), F.lit(0))
-    rows = points.withColumn("jump", jump).withColumn("piece", F.sum("jump").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    return rows.withColumn("size", F.count("*").over(Window.partitionBy(line, "piece"))).filter("size >= 2").drop("jump", "size")
+    return _pieces(points, line, seq, Step("changes", F.col(x), lambda a, b: F.abs(b - a) > width / 4), F.lit(True))
 
 
 def visible_runs(points: DataFrame, inside: str, line: str = "line_id", seq: str = "seq") -> DataFrame:
     """The runs of at least two points of a polyline for which `inside` holds. Adds piece."""
-    order = Window.partitionBy(line).orderBy(seq)
-    change = F.coalesce((F.col(inside) != F.lag(inside).over(order)).cast("int"), F.lit(0))
-    rows = points.withColumn("change", change).withColumn("piece", F.sum("change").over(order.rowsBetween(Window.unboundedPreceding, 0))).filter(inside)
-    return rows.withColumn("size", F.count("*").over(Window.partitionBy(line, "piece"))).filter("size >= 2").drop("change", "size")
+    return _pieces(points, line, seq, Step("changes", F.col(inside), lambda a, b: a != b), F.col(inside))
 
 
 def line_vertices(lines: DataFrame, stars: DataFrame) -> DataFrame:

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from ..fixtures import ctes, view
 from ..functions import coords, photometry
 from ..functions.hashing import uniform
-from ..operators import behaviour, catalogue, sampling
+from ..operators import behaviour, catalogue, coverage, sampling
+from ..workspace import fresh_dir
 
 TAU = 2.0 * math.pi
 
@@ -78,6 +79,24 @@ def cone_membership(spark, sf_dir):
     return rows.groupBy(coords.in_cones(F.col("l"), F.col("b")).alias("in_cone"), coords.magellanic_member(F.col("l"), F.col("b"), F.col("parallax")).alias("member")).agg(F.count("*").alias("n"))
 
 
+def _sorted_sky(spark, sf_dir):
+    rows = view(spark, sf_dir, "sources").select("source_id", "l", "b", "phot_g_mean_mag")
+    coverage.save_sorted(rows, path := fresh_dir(spark, "sky"), group_bytes=1 << 20)
+    return path
+
+
+def region_scan(spark, sf_dir):
+    """region_filter over a table sorted by pixel: only the ranges of the region's cover are read."""
+    box = coverage.Box(coords.Region())
+    return _tidy(coverage.read_inside(spark, _sorted_sky(spark, sf_dir), [box]).select("source_id", "l", "b"))
+
+
+def cone_scan(spark, sf_dir):
+    """The stars of both clouds' cones and of a small one around a pole, from the same kind of table."""
+    cones = [*(coverage.Cone(*c) for c in coords.MAGELLANIC), coverage.Cone(0.0, 90.0, 5.0)]
+    return _tidy(coverage.read_inside(spark, _sorted_sky(spark, sf_dir), cones).select("source_id", "l", "b", "phot_g_mean_mag"))
+
+
 def observability(spark, sf_dir):
     return view(spark, sf_dir, "sources").groupBy(coords.observability(F.col("dec")).alias("class")).agg(F.count("*").alias("n"))
 
@@ -157,7 +176,7 @@ def missing_ids(spark, sf_dir):
     return catalogue.select_ids(stars, view(spark, sf_dir, "vari_microlensing").select("source_id"))[1]
 
 
-QUERIES = {f.__name__: f for f in (cat_rr_lyrae, cat_cepheids, cat_lbv, cat_cataclysmic, cat_zz_ceti, cat_other, cat_microlensing, top_by_random_index, index_range, region_filter, cone_membership, observability, frame_transform, distances, star_colours, stable_uniform, bucket_caps, sky_balanced_sample, magellanic_cap, behaviour_params, light_curve_frames, schema_union, missing_ids)}
+QUERIES = {f.__name__: f for f in (cat_rr_lyrae, cat_cepheids, cat_lbv, cat_cataclysmic, cat_zz_ceti, cat_other, cat_microlensing, top_by_random_index, index_range, region_filter, region_scan, cone_membership, cone_scan, observability, frame_transform, distances, star_colours, stable_uniform, bucket_caps, sky_balanced_sample, magellanic_cap, behaviour_params, light_curve_frames, schema_union, missing_ids)}
 
 _S = ctes("sources")
 _SRC = "s.source_id, round(l,7) as l, round(b,7) as b, round(parallax,7) as parallax, round(parallax_error,7) as parallax_error, round(phot_g_mean_mag,7) as phot_g_mean_mag, round(teff_gspphot,7) as teff_gspphot, round(bp_rp,7) as bp_rp, random_index"
@@ -279,6 +298,8 @@ from vari_microlensing v join sources s using (source_id) left join astrophysica
     "top_by_random_index": _S + "select source_id, random_index from sources order by random_index, source_id limit 500",
     "index_range": _S + "select source_id, random_index, round(l,9) as l, round(b,9) as b, round(phot_g_mean_mag,9) as phot_g_mean_mag from sources where random_index >= 200000 and random_index < 400000 and l is not null and b is not null and phot_g_mean_mag is not null",
     "region_filter": _S + "select source_id, round(l,9) as l, round(b,9) as b from sources where abs(((l - 3.23e0 + 180) % 360 + 360) % 360 - 180) <= 5.635e1 and b between 5.9e-1 - 2.819e1 and 5.9e-1 + 2.819e1",
+    "region_scan": _S + "select source_id, round(l,9) as l, round(b,9) as b from sources where abs(((l - 3.23e0 + 180) % 360 + 360) % 360 - 180) <= 5.635e1 and b between 5.9e-1 - 2.819e1 and 5.9e-1 + 2.819e1",
+    "cone_scan": _S + f"select source_id, round(l,9) as l, round(b,9) as b, round(phot_g_mean_mag,9) as phot_g_mean_mag from sources where {_CONE} or b >= 85",
     "cone_membership": _S + f"select {_CONE} as in_cone, {_MEMBER} as member, count(*) as n from sources group by 1, 2",
     "observability": _S + "select case when dec < -38 then 'never' when dec < -28 then 'low' when dec is not null then 'good' end as class, count(*) as n from sources group by 1",
     "frame_transform": _S + f"select source_id, round(degrees(atan2({_XYZ[1]}, {_XYZ[0]})) + case when atan2({_XYZ[1]}, {_XYZ[0]}) < 0 then 360 else 0 end, 6) as gl, round(degrees(asin(least(greatest({_XYZ[2]}, -1e0), 1e0))), 6) as gb from sources",

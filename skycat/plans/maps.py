@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..fixtures import ctes, view
 from ..functions import coords, photometry
-from ..operators import grid
+from ..operators import coverage, grid
 from ..sources import tables
 from ..workspace import written
 
@@ -141,8 +141,7 @@ def healpix_nested_density(spark, sf_dir):
 
 def healpix_lookup(spark, sf_dir):
     """Hammer pixels that read a HEALPix map."""
-    pixels = grid.hammer_pixels(spark, W, H).withColumn("pix", coords.healpix_ring(8, F.col("l"), F.col("b")))
-    return pixels.join(healpix_ring_density(spark, sf_dir), "pix", "left").select("px", "py", "pix", "n")
+    return coverage.lookup(grid.hammer_pixels(spark, W, H), healpix_ring_density(spark, sf_dir), 8).select("px", "py", "pix", "n")
 
 
 def bilinear_lookup(spark, sf_dir):

@@ -7,6 +7,7 @@ from collections.abc import Iterable, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.ordering import first_rows
 from ..schema import clean, find_column, require, resolve_columns
 
 #: HEALPix values at or below the first, or near the second, stand for a missing one.
@@ -114,16 +115,18 @@ def pull_ranges(spark: SparkSession, url: str, table: str, column: str, total: i
 
 def pull_missing(rows: DataFrame, bounds: Sequence[tuple[int, int]], done: DataFrame | None, column: str = "random_index", most: int | None = None) -> DataFrame:
     """The rows of the ranges that `done` (range_id) lacks, with range_id; at most `most` of each range, the first by
-    `column` (a cap is a feature of the pull). Finished ranges are filtered before anything is read of them.
+    `column` (a cap is a feature of the pull). The wanted ranges are one filter, which reaches the scan; the rows of a
+    range over its cap are chosen by counted intervals.
     """
     todo = unfinished(range(len(bounds)), done)
-    found = None
-    for i in todo:
-        low, high = bounds[i]
-        part = rows.filter((F.col(column) >= low) & (F.col(column) < high)).withColumn("range_id", F.lit(i))
-        part = part if most is None else part.orderBy(column).limit(most)
-        found = part if found is None else found.unionByName(part)
-    return rows.limit(0).withColumn("range_id", F.lit(0)) if found is None else found
+    if not todo:
+        return rows.limit(0).withColumn("range_id", F.lit(0))
+    inside = {i: (F.col(column) >= bounds[i][0]) & (F.col(column) < bounds[i][1]) for i in todo}
+    wanted, number = inside[todo[0]], F.when(inside[todo[0]], F.lit(todo[0]))
+    for i in todo[1:]:
+        wanted, number = wanted | inside[i], number.when(inside[i], F.lit(i))
+    found = rows.filter(wanted).withColumn("range_id", number)
+    return found if most is None else first_rows(found, most, [column], ["range_id"])
 
 
 def unfinished(every: Iterable[int], done: DataFrame | None, column: str = "range_id") -> list[int]:
