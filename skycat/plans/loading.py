@@ -86,11 +86,15 @@ def src_chunks(spark, sf_dir):
 
 
 def sink_modes(spark, sf_dir):
-    """Saving anew, keeping what is there, and replacing it."""
+    """Saving anew, keeping what is there, and replacing it; a job that fails while it replaces leaves the old rows."""
     rows, path = _stars(spark, sf_dir).select("source_id"), fresh_dir(spark, "modes")
     sinks.save(rows, path)
     sinks.save(rows.limit(0), path, "ignore")
     first = spark.read.parquet(path).count()
+    try:
+        sinks.save(rows.select(F.assert_true(F.col("source_id") < 0).cast("long").alias("source_id")), path, "overwrite")
+    except Exception:
+        first = spark.read.parquet(path).count() if first else 0
     sinks.save(rows.filter("source_id % 2 = 0"), path, "overwrite")
     return spark.read.parquet(path).agg(F.count("*").alias("n"), F.lit(first).cast("long").alias("kept"))
 
@@ -125,10 +129,9 @@ def stream_histogram(spark, sf_dir):
     """The sky histogram kept up to date over two arrivals of chunks equals that of all rows at once."""
     rows, folder, target, state = _stars(spark, sf_dir), fresh_dir(spark, "chunks"), fresh_dir(spark, "cells"), fresh_dir(spark, "state")
     for batch in (0, 1):
-        rows.filter(F.pmod("source_id", F.lit(2)) == batch).write.mode("append").parquet(folder)
-        cells = ingest.histogram_stream(ingest.chunks(spark, folder, rows.schema), W, H)
-        ingest.write_histogram(cells, target, state).awaitTermination()
-    return _tidy(spark.read.parquet(target).select("x", "y", "flux", "temp_flux", "n"))
+        rows.filter(F.pmod("source_id", F.lit(2)) == batch).repartition(3).write.mode("append").parquet(folder)
+        ingest.keep_histogram(ingest.chunks(spark, folder, rows.schema, 1), W, H, target, state, most=3).awaitTermination()
+    return _tidy(ingest.read_histogram(spark, target))
 
 
 QUERIES = {f.__name__: f for f in (src_scan, src_delimited, src_ecsv, src_healpix, src_star_list, src_ranges, src_chunks, sink_modes, sink_map_batch, stream_chunks, stream_histogram)}

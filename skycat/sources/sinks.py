@@ -8,10 +8,17 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import versions
+
 
 def save(rows: DataFrame, path: str, mode: str = "errorifexists", kind: str = "parquet") -> None:
-    """Modes: errorifexists, ignore (keep what is there) and overwrite. Files appear when the job is committed."""
-    rows.write.mode(mode).format(kind).save(path)
+    """Modes: errorifexists, ignore (keep what is there) and overwrite. Files appear when the job is committed; what is
+    overwritten stays until then, and if the job fails.
+    """
+    if mode == "overwrite":
+        versions.replace(rows, path, kind)
+    else:
+        rows.write.mode(mode).format(kind).save(path)
 
 
 def save_csv(rows: DataFrame, path: str, columns: Sequence[str], mode: str = "errorifexists") -> None:
@@ -61,8 +68,8 @@ def run_maps(spark: SparkSession, specs: Sequence[dict], build: Callable[[dict],
     done = []
     for spec in choose(specs, selection):
         try:
-            build(spec).write.mode("overwrite").parquet(f"{folder}/{spec['id']}")
-            done.append((spec["id"], spark.read.parquet(f"{folder}/{spec['id']}").count(), None))
+            save(build(spec), path := f"{folder}/{spec['id']}", "overwrite")
+            done.append((spec["id"], spark.read.parquet(path).count(), None))
         except Exception as e:  # a map's own fault is its result
             done.append((spec["id"], None, str(e).splitlines()[0][:300] if str(e) else type(e).__name__))
     return spark.createDataFrame(done, "id string, rows long, error string")
