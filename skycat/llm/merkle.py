@@ -163,3 +163,35 @@ def _ends(leaves: DataFrame, nodes: DataFrame, tree: str, turn: Column) -> DataF
     path = F.when(F.col("lone"), F.col("path")).otherwise(F.array_append("path", segment))
     turns = F.when(F.col("lone"), F.col("turns")).otherwise(F.array_append("turns", at))
     return both.withColumns({"path": path, "turns": turns}).drop("__tree", "__run", "children", "lone")
+
+
+def _oracle(levels: int = 9, upper: int = 4) -> str:
+    """The manifest of `documents` in SQL, for groups of up to 8**levels rows and 8**upper groups."""
+    value = lambda c: f"case when {c} is null then '-' else strlen({c}::varchar)::varchar || ':' || {c}::varchar end"
+    leaf = lambda text: "sha256(" + " || ".join(f"({value(text if c == 'text' else c)})" for c in FIELDS) + ")"
+    low = f"translate(text, '{string.ascii_uppercase}', '{string.ascii_lowercase}')"
+    parts = [
+        "with tab as (select list(list_reduce([i] || range(8), lambda c, k: xor(c >> 1, 3988292384 * (c & 1))) order by i) as t from range(256) r(i))",
+        "crc as (select doc_id, xor(list_reduce([4294967295] || list_transform(string_split(doc_id::varchar, ''), lambda x: ascii(x)::bigint), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) as crc from (select distinct doc_id from documents where doc_id is not null), tab)",
+        f"leaves as (select d.doc_id, coalesce('v' || lang, 'n') as tree, {leaf('text')} as leaf, case when crc % 3 = 0 then {leaf(low)} end as other from documents d left join crc on d.doc_id = crc.doc_id)".replace("doc_id is null", "d.doc_id is null").replace("doc_id::varchar)::varchar || ':' || doc_id::varchar", "d.doc_id::varchar)::varchar || ':' || d.doc_id::varchar"),
+        "d0 as (select *, row_number() over (partition by tree order by doc_id nulls first, leaf) - 1 as place, coalesce(other, leaf) as cur, '' as proof from leaves)",
+        "n0 as (select tree, place, leaf as digest, count(*) over (partition by tree) as n from d0)",
+    ]
+
+    def climb(prefix: str, count: int) -> None:
+        d, n = f"d{prefix}", f"n{prefix}"
+        for k in range(count):
+            parts.append(f"r{prefix}{k} as (select tree, place // 8 as run, list(digest order by place) as l, n from {n}{k} group by tree, place // 8, n)")
+            parts.append(f"{n}{k + 1} as (select tree, run as place, case when n = 1 then l[1] else sha256(array_to_string(l, '')) end as digest, (n + 7) // 8 as n from r{prefix}{k})")
+            parts.append(f"""{d}{k + 1} as (select d.* replace (d.place // 8 as place, case when n = 1 then cur else sha256(array_to_string(list_transform(l, lambda x, i: case when i = d.place % 8 + 1 then cur else x end), '')) end as cur,
+ proof || case when n = 1 then '' else array_to_string(list_filter(l, lambda x, i: i <> d.place % 8 + 1), '') end as proof) from {d}{k} d join r{prefix}{k} r on d.tree = r.tree and d.place // 8 = r.run)""")
+
+    climb("", levels)
+    parts.append(f"tops as (select tree, digest, row_number() over (order by tree) - 1 as place from n{levels})")
+    parts.append(f"du0 as (select d.* replace ('' as tree, t.place as place), t.digest as subroot from d{levels} d join tops t on d.tree = t.tree)")
+    parts.append("nu0 as (select '' as tree, place, digest, count(*) over () as n from tops)")
+    climb("u", upper)
+    return ",\n".join(parts) + f"\nselect doc_id, leaf, subroot, digest as root, sha256(proof) as proof_sha256, cur as folded_root, cur = digest as verified from du{upper}, nu{upper}"
+
+
+ORACLE = _oracle()

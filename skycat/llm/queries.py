@@ -117,4 +117,4 @@ QUERIES = {
     "op13_alignment": op13_alignment,
 }
 
-ORACLE = {"op3_line_dedup": line_dedup.ORACLE}
+ORACLE = {"op3_line_dedup": line_dedup.ORACLE, "op12_merkle": merkle.ORACLE}
