@@ -296,16 +296,16 @@ def pair_counts(aligned: DataFrame) -> DataFrame:
     return counts.withColumn("best", F.col("count") == F.max("count").over(Window.partitionBy("b_id")))
 
 
-def count_links(aligned: DataFrame, counts: DataFrame) -> DataFrame:
+def count_links(aligned: DataFrame, counts: DataFrame, most: int = 500_000) -> DataFrame:
     """(row, n_best, count_sum) of the documents with links: links whose pair is its B id's most frequent one, and the
     sum of the links' counts. Both frames should be cut.
 
-    Pairs that over a thousandth of the (document, pair) rows hold are broadcast, fewer than a thousand; the others
-    meet in a shuffle.
+    Pairs that over one in `most` of the (document, pair) rows hold are broadcast, so fewer than `most`, about 100 bytes
+    each; their rows are summed where they are. The others, the rare ones, meet in a shuffle.
     """
     rows = aligned.select("row", F.explode(F.arrays_zip("pairs", "times")).alias("x")).select("row", F.col("x.pairs").alias("pair"), F.col("x.times").cast("long").alias("times"))
     total = counts.agg(F.sum("rows")).first()[0] or 0
-    both = join_hot(rows, counts.select("pair", "count", "best", "rows"), "pair", "rows", total)
+    both = join_hot(rows, counts.select("pair", "count", "best", "rows"), "pair", "rows", total, most)
     n = F.col("times")
     return both.groupBy("row").agg(F.sum(F.when(F.col("best"), n).otherwise(0)).alias("n_best"), F.sum(n * F.col("count")).alias("count_sum"))
 
