@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from .. import schema
 from ..fixtures import ctes, view
-from ..sources import sinks, tables
+from ..sources import archive, fits, sinks, tables
 from ..streaming import ingest
 from ..workspace import fresh_dir, written
 from . import maps
@@ -75,6 +75,59 @@ def src_ranges(spark, sf_dir):
     return tables.pull_missing(rows, bounds, done, "random_index", 500).groupBy("range_id").agg(F.count("*").alias("n"), F.max("random_index").alias("last"))
 
 
+def flaky_archive(path: str):
+    """A database connection to the Parquet files of a folder, called in a task; for range 5 it fails the first time."""
+    import os
+
+    import duckdb
+
+    class Archive:
+        def __init__(self):
+            self.db = duckdb.connect()
+            self.db.execute(f"create view stars as select * from '{path}/*.parquet'")
+
+        def cursor(self):
+            return self
+
+        def execute(self, sql, values):
+            if values[0] == 5 * 83_333 and not os.path.exists(f"{path}.failed"):
+                open(f"{path}.failed", "w").close()
+                raise ConnectionError("the archive went away")
+            self.db.execute(sql, list(values))
+
+        def fetchmany(self, n):
+            return self.db.fetchmany(n)
+
+        def close(self):
+            self.db.close()
+
+    return Archive()
+
+
+def src_pull(spark, sf_dir):
+    """A pull of twelve ranges, at most 500 rows each, that is broken off once and goes on with what is missing."""
+    rows, path = _stars(spark, sf_dir).select("source_id", "random_index", "phot_g_mean_mag"), fresh_dir(spark, "archive")
+    rows.write.parquet(path)
+    schema, target = "source_id long, random_index long, phot_g_mean_mag double", fresh_dir(spark, "pulled")
+    place = "/" + path.removeprefix("file:").lstrip("/")
+    archive.pull_or_keep(spark, target, schema, place, "stars", "random_index", 1_000_003, 12, 500, f"{__name__}:flaky_archive")
+    return archive.pulled(spark, target, schema).groupBy("range_id").agg(F.count("*").alias("n"), F.min("random_index").alias("first"), F.max("random_index").alias("last"), F.countDistinct("source_id").alias("ids"))
+
+
+def src_fits(spark, sf_dir):
+    """FITS tables written by tasks and read back by ranges, with filters that the reader applies to packed rows."""
+    rows = _stars(spark, sf_dir).withColumn("name", F.concat(F.lit("star "), F.col("source_id").cast("string"))).withColumn("index", F.when(F.col("source_id") % 7 != 0, F.col("random_index").cast("int")))
+    fits.save(rows.drop("random_index"), path := fresh_dir(spark, "fits"), 20_000)
+    key, old = "spark.sql.python.filterPushdown.enabled", spark.conf.get("spark.sql.python.filterPushdown.enabled", "false")
+    spark.conf.set(key, "true")
+    try:
+        back = fits.load(spark, path, ["source_id", "index", "l", "teff_gspphot", "phot_g_mean_mag", "name"], 7_000)
+        back = written(back.filter("phot_g_mean_mag < 12.5 and index >= 100000").drop("phot_g_mean_mag"), "fits-back")
+    finally:
+        spark.conf.set(key, old)
+    return _tidy(schema.clean(back))
+
+
 def src_chunks(spark, sf_dir):
     """Chunks of one schema, put together again; the whole has the fingerprint of the input in any order."""
     rows = _stars(spark, sf_dir)
@@ -134,7 +187,7 @@ def stream_histogram(spark, sf_dir):
     return _tidy(ingest.read_histogram(spark, target))
 
 
-QUERIES = {f.__name__: f for f in (src_scan, src_delimited, src_ecsv, src_healpix, src_star_list, src_ranges, src_chunks, sink_modes, sink_map_batch, stream_chunks, stream_histogram)}
+QUERIES = {f.__name__: f for f in (src_scan, src_delimited, src_ecsv, src_healpix, src_star_list, src_ranges, src_pull, src_fits, src_chunks, sink_modes, sink_map_batch, stream_chunks, stream_histogram)}
 
 _S = ctes("sources")
 _N = f"select count(*) from (select distinct least(greatest(cast(floor((-(case when l > 180 then l - 360 else l end) + 180) * ({W}e0/360)) as bigint), 0), {W - 1}), least(greatest(cast(floor((b + 90) * ({H}e0/180)) as bigint), 0), {H - 1}) from sources where l is not null and b between -90 and 90 and "
@@ -148,6 +201,9 @@ ORACLE = {
     "src_star_list": _S + "select count(*) as n, round(sum(case when source_id % 3 <> 0 then phot_g_mean_mag else 1.2e1 end),6) as sum_mag, 5.8e3 as mean_t, round(sum(b),6) as sum_b from sources",
     "src_ranges": _S + """, r as (select random_index, least(random_index // 83333, 11) as g from sources), q as (select *, row_number() over (partition by g order by random_index) as i from r where g <> 1)
 select g::int as range_id, count(*) as n, max(random_index) as last from q where i <= 500 group by g""",
+    "src_pull": _S + """, r as (select source_id, random_index, least(random_index // 83333, 11) as g from sources), q as (select *, row_number() over (partition by g order by random_index) as i from r)
+select g::int as range_id, count(*) as n, min(random_index) as first, max(random_index) as last, count(*) as ids from q where i <= 500 group by g""",
+    "src_fits": _S + "select source_id, random_index::int as index, round(l,9) as l, round(teff_gspphot,9) as teff_gspphot, 'star ' || source_id as name from sources where phot_g_mean_mag < 12.5 and random_index >= 100000 and source_id % 7 <> 0",
     "src_chunks": _S + "select count(*) as n, true as same, true as differs from sources",
     "sink_modes": _S + "select count(*) filter (where source_id % 2 = 0) as n, count(*) as kept from sources",
     "sink_map_batch": _S + f"select 'bright-stars' as id, ({_N} phot_g_mean_mag < 8)) as rows, null::varchar as error union all select 'broken', null, 'least is no number' union all select 'faint', ({_N} phot_g_mean_mag >= 8 and phot_g_mean_mag < 99)), null",
