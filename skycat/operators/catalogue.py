@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -33,9 +33,37 @@ CATACLYSMIC = CatalogueSpec("cataclysmic", ("CV",), "CATACLYSMIC", 0.2)
 ZZ_CETI = CatalogueSpec("zz_ceti", ("WD",), "ZZ_CETI", 0.01)
 OTHER = CatalogueSpec("other", (), "OTHER", 1.0)
 CORE_LABELS = tuple(label for s in (RR_LYRAE, CEPHEIDS, LBV, CATACLYSMIC, ZZ_CETI) for label in s.labels)
+CATALOGUES = {s.name: s for s in (RR_LYRAE, CEPHEIDS, LBV, CATACLYSMIC, ZZ_CETI, OTHER)}
 SOURCE_COLUMNS = ("source_id", "l", "b", "parallax", "parallax_error", "phot_g_mean_mag", "teff_gspphot", "bp_rp")
 
 
+def choose_catalogues(names: Sequence[str] = (), include_other: bool = False) -> list[CatalogueSpec]:
+    """The named catalogues, each once, in the order given; without names the core ones. include_other adds the rest."""
+    if unknown := [n for n in names if n not in CATALOGUES]:
+        raise ValueError(f"unknown catalogues: {', '.join(unknown)}")
+    keys = list(names) or [n for n in CATALOGUES if n != OTHER.name]
+    return [CATALOGUES[k] for k in dict.fromkeys([*keys, *([OTHER.name] if include_other else [])])]
+
+
+def build_catalogues(specs: Sequence[CatalogueSpec], tables: Mapping[str, DataFrame], least_score: float = 0.0, limit: int = 0) -> dict[str, DataFrame]:
+    """Each chosen catalogue from the archive's tables (by name), not yet computed: a dry run explains or counts them.
+
+    limit: rows of a catalogue at most, the first by random index (0: all).
+    """
+    if limit < 0 or not 0.0 <= least_score <= 1.0:
+        raise ValueError("limit below 0, or least_score outside 0 to 1")
+    studies = {RR_LYRAE.name: ("vari_rrlyrae", "best_classification"), CEPHEIDS.name: ("vari_cepheid", "type_best_classification")}
+    out = {}
+    for spec in specs:
+        if spec.name in studies:
+            table, subclass = studies[spec.name]
+            rows = study_catalogue(tables[table], tables["sources"], tables["vari_summary"], spec, subclass)
+        else:
+            rows = classifier_catalogue(tables["vari_classifier_result"], tables["sources"], tables["vari_summary"], spec, least_score)
+        out[spec.name] = first_by(rows, "random_index", limit)
+    return out
+
+
 def text_or(c: Column, default: str) -> Column:
     """Trimmed text, or the default if missing or empty."""
     bare = F.trim(c)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import lensing
-from ..functions.coords import hammer_xy
+from ..functions.coords import Region, hammer_xy
 from ..functions.photometry import distance_columns, positive, spectral_letter
 from ..workspace import written
 from .ordering import percentiles, with_row_number
@@ -121,8 +121,11 @@ def quick_filter(events: DataFrame, kind: str, text: str = "") -> DataFrame:
     return kept.filter(F.contains(plain(F.col("source_id").cast("string")), wanted) | F.contains(plain(F.col("name")), wanted)) if text.strip() else kept
 
 
-def choose_level(events: DataFrame) -> DataFrame:
-    """The blended fit where it is valid, else the simple one: tmax, te, u0, share, level."""
+def choose_level(events: DataFrame, region: Region | None = None) -> DataFrame:
+    """The blended fit where it is valid, else the simple one: tmax, te, u0, share, level. region: events inside it alone;
+    its test stands before the fits are looked at, so it reaches a scan.
+    """
+    events = events if region is None else events.filter(region.inside(F.col("l"), F.col("b")))
     ok = lensing.level_one_valid(F.col("paczynski1_tmax"), F.col("paczynski1_te"), F.col("paczynski1_u0"), F.col("paczynski1_fs_g"))
     pick = lambda name: F.when(ok, F.col(f"paczynski1_{name}")).otherwise(F.col(f"paczynski0_{name}"))
     rows = events.withColumns({"level": F.when(ok, 1).otherwise(0), "tmax": pick("tmax"), "te": pick("te"), "u0": F.abs(pick("u0")), "share": F.when(ok, F.least(F.col("paczynski1_fs_g"), F.lit(1.0))).otherwise(1.0)})

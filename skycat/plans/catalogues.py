@@ -60,6 +60,16 @@ def cat_microlensing(spark, sf_dir):
     return _tidy(rows.select("source_id", "l", "b", "parallax", "paczynski0_tmax", "paczynski0_te", "paczynski0_u0", "azero_gspphot", "abp_gspphot", "arp_gspphot"), 7)
 
 
+def cat_selection(spark, sf_dir):
+    """Three catalogues chosen by name, one of them twice, and the rest: rows and least and greatest ids of each."""
+    tables = {n: view(spark, sf_dir, n) for n in ("sources", "vari_summary", "vari_rrlyrae", "vari_cepheid", "vari_classifier_result")}
+    found = None
+    for name, rows in catalogue.build_catalogues(catalogue.choose_catalogues(["lbv", "rr_lyrae", "lbv", "zz_ceti"], include_other=True), tables, 0.2, 400).items():
+        one = rows.groupBy(F.lit(name).alias("catalogue"), "variable_class").agg(F.count("*").alias("n"), F.sum("source_id").alias("ids"), F.max("random_index").alias("last"))
+        found = one if found is None else found.unionByName(one)
+    return found
+
+
 def top_by_random_index(spark, sf_dir):
     return catalogue.first_by(view(spark, sf_dir, "sources").select("source_id", "random_index"), "random_index", 500)
 
@@ -176,7 +186,7 @@ def missing_ids(spark, sf_dir):
     return catalogue.select_ids(stars, view(spark, sf_dir, "vari_microlensing").select("source_id"))[1]
 
 
-QUERIES = {f.__name__: f for f in (cat_rr_lyrae, cat_cepheids, cat_lbv, cat_cataclysmic, cat_zz_ceti, cat_other, cat_microlensing, top_by_random_index, index_range, region_filter, region_scan, cone_membership, cone_scan, observability, frame_transform, distances, star_colours, stable_uniform, bucket_caps, sky_balanced_sample, magellanic_cap, behaviour_params, light_curve_frames, schema_union, missing_ids)}
+QUERIES = {f.__name__: f for f in (cat_rr_lyrae, cat_cepheids, cat_lbv, cat_cataclysmic, cat_zz_ceti, cat_other, cat_microlensing, cat_selection, top_by_random_index, index_range, region_filter, region_scan, cone_membership, cone_scan, observability, frame_transform, distances, star_colours, stable_uniform, bucket_caps, sky_balanced_sample, magellanic_cap, behaviour_params, light_curve_frames, schema_union, missing_ids)}
 
 _S = ctes("sources")
 _SRC = "s.source_id, round(l,7) as l, round(b,7) as b, round(parallax,7) as parallax, round(parallax_error,7) as parallax_error, round(phot_g_mean_mag,7) as phot_g_mean_mag, round(teff_gspphot,7) as teff_gspphot, round(bp_rp,7) as bp_rp, random_index"
@@ -326,3 +336,14 @@ def _star_colour_sql() -> str:
 
 
 ORACLE["star_colours"] = _star_colour_sql()
+
+
+def _selection_sql() -> str:
+    """The same from the statements of the single catalogues, which name their sources."""
+    parts = []
+    for name in ("lbv", "rr_lyrae", "zz_ceti", "other"):
+        parts.append(f"select '{name}' as catalogue, variable_class, source_id, random_index from ({ORACLE['cat_' + name]})")
+    return f"select catalogue, variable_class, count(*) as n, sum(source_id)::bigint as ids, max(random_index) as last from (select *, row_number() over (partition by catalogue order by random_index, source_id) as i from ({' union all '.join(parts)})) where i <= 400 group by catalogue, variable_class"
+
+
+ORACLE["cat_selection"] = _selection_sql()

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..fixtures import ctes, view
-from ..functions import lensing
+from ..functions import coords, lensing
 from ..operators import behaviour, events, scenarios, series
 from ..sources import sinks
 from ..workspace import fresh_dir
@@ -141,6 +141,15 @@ def ml_frames(spark, sf_dir):
     return both.groupBy("frame").agg(F.count("*").alias("n"), F.round(F.avg("sigma"), 6).alias("mean_sigma"), F.round(F.avg("alpha"), 6).alias("mean_alpha"))
 
 
+def ml_region_frames(spark, sf_dir):
+    """Events inside the regional map at three times, drawn with their own lens mass where a catalogue gives one."""
+    rows = _events(spark, sf_dir).withColumn("lens_mass", F.when(F.col("source_id") % 3 == 0, F.col("paczynski1_bp0") - 14.0))
+    rows = events.choose_level(rows, coords.Region()).withColumn("drawn", events.display_mass(rows))
+    both = rows.withColumn("t", F.explode(F.array(F.col("tmax") - F.col("te"), F.col("tmax"), F.lit(2200.0))))
+    shown = lensing.display(F.col("t"), F.col("tmax"), F.col("te"), F.col("u0"), F.col("drawn"), F.col("share"), 4320.0)
+    return _tidy(both.withColumns(shown).select("source_id", "t", "drawn", "strength", "sigma", "alpha"), 6)
+
+
 def ml_images(spark, sf_dir):
     rows = events.choose_level(_events(spark, sf_dir)).filter("u0 > 0").withColumns(lensing.image_pair(F.col("u0")))
     return _tidy(rows.select("source_id", "theta_plus", "theta_minus", "mu_plus", "mu_minus", "mu_total"), 7)
@@ -193,7 +202,7 @@ def editorial_axis(spark, sf_dir):
     return _tidy(rows.select("frame", "seconds", "progress", "opacity", "day"), 6)
 
 
-QUERIES = {f.__name__: f for f in (ml_set_summary, ml_filters, ml_masses, ml_export_csv, ml_export_json, comparison_csv, peak_percentiles, scenario_draws, ml_rejects, ml_events, ml_index, ml_meta, ml_filter_strong, ml_mass_scenarios, ml_level_choice, ml_source_colour, ml_activity_window, ml_frames, ml_images, envelope, peaks, bright_phase, interp_at, polyline_seams, great_circle_points, editorial_axis)}
+QUERIES = {f.__name__: f for f in (ml_set_summary, ml_filters, ml_masses, ml_export_csv, ml_export_json, comparison_csv, peak_percentiles, scenario_draws, ml_rejects, ml_events, ml_index, ml_meta, ml_filter_strong, ml_mass_scenarios, ml_level_choice, ml_source_colour, ml_activity_window, ml_frames, ml_region_frames, ml_images, envelope, peaks, bright_phase, interp_at, polyline_seams, great_circle_points, editorial_axis)}
 
 _E = ctes("sources", "vari_microlensing") + """, ev as (select v.*, l, b, parallax, parallax_error, phot_g_mean_mag, bp_rp, teff_gspphot, ebpminrp_gspphot, v.source_id as seq from vari_microlensing v left join sources s using (source_id)),
 ok as (select *, abs(paczynski0_u0) as u0, paczynski0_te as te, paczynski0_tmax as tmax, case when parallax > 0 then parallax end as p, case when parallax_error > 0 then parallax_error end as e from ev
@@ -226,7 +235,14 @@ def _filters_sql() -> str:
     return _CM + ", nm as (select *, 'ML-' || lpad(i::varchar, greatest(3, length(i::varchar))::int, '0') as name from (select *, row_number() over (order by tmax, seq) as i from cm)) " + " union all ".join(one.format(k=k, t=t, r=r) for k, r in rules.items() for t in ("", "7", "ml-00"))
 
 
+_SIZE = "least(greatest(sqrt((10 + 1e4*ln(1+m))/pi())*(200e0/72)/3*least(greatest(drawn,3e-1),5e0)*(4320e0/4320), 2e0), 4320*8e-2)"
+
 ORACLE = {
+    "ml_region_frames": _LV + f""", rg as (select p.*, coalesce(case when p.source_id % 3 = 0 then v.paczynski1_bp0 - 14 end, 1e0) as drawn from pk p join vari_microlensing v using (source_id) where abs(((l - 3.23e0 + 180) % 360 + 360) % 360 - 180) <= 5.635e1 and b between 5.9e-1 - 2.819e1 and 5.9e-1 + 2.819e1),
+f as (select *, unnest([tmax - te, tmax, 2200e0]) as t from rg), g as (select *, (w+2)/sqrt(w*(w+4)) as a from (select *, greatest(u0*u0 + pow((t-tmax)/te,2), 2.2250738585072014e-308) as w from f)),
+h as (select *, least(greatest(share,0e0),1e0)*greatest(a-1,0e0) as s, greatest(least(greatest(share,0e0),1e0)*(pa-1),0e0) as m from g),
+k as (select *, case when m > 0 then least(greatest(ln(1+s)/ln(1+m),0e0),1e0) else 0e0 end as p, 2e0*4320/8192 as base, least(greatest(5e-1 + 5e-1*ln(1+m)/ln(1e1),5e-1),1e0) as top from h)
+select source_id, round(t,6) as t, round(drawn,6) as drawn, round(s,6) as strength, round(base + ({_SIZE} - base)*p,6) as sigma, round(2e-1 + (top - 2e-1)*p,6) as alpha from k""",
     "ml_set_summary": _CM + ", " + _RJ + f""", rs as (select reason, count(*) as n from s where reason <> 'accepted' group by 1)
 select count(*) as n, min({_DAY}) as first_date, max({_DAY}) as last_date, round(quantile_cont(te, 0.5),7) as median_te, count(*) filter (where a_max >= 2) as strong, count(*) filter (where st = 'catalog') as mass_catalog, count(*) filter (where st = 'model') as mass_model, count(*) filter (where st = 'missing') as mass_missing, count(e) as with_parallax_error,
  (select count(*) from s) as n_input, (select sum(n)::bigint from rs) as n_rejected, (select '{{' || string_agg('"' || reason || '":' || n, ',' order by reason) || '}}' from rs) as reasons from cm""",

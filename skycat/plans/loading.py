@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from .. import schema
 from ..fixtures import ctes, view
-from ..sources import archive, fits, sinks, tables
+from ..sources import archive, fits, kinds, sinks, tables
 from ..streaming import ingest
 from ..workspace import fresh_dir, written
 from . import maps
@@ -35,15 +35,34 @@ def src_delimited(spark, sf_dir):
 
 
 def src_ecsv(spark, sf_dir):
-    """Files with a commented header above the names."""
-    rows = _stars(spark, sf_dir).select(F.concat_ws(" ", "source_id", F.round("l", 6).cast("string")).alias("value"))
+    """Files with a commented header above the names, whose types the columns have."""
+    text = F.concat_ws(",", "source_id", F.round("l", 6).cast("string"), F.when(F.col("source_id") % 4 != 0, F.col("random_index").cast("string")).otherwise(""), F.when(F.col("source_id") % 2 == 0, "True").otherwise("False"))
+    rows = _stars(spark, sf_dir).select(text.alias("value"))
     n = spark.sparkContext.defaultParallelism
     parts = rows.repartition(n).withColumn("part", F.spark_partition_id())
-    head = spark.range(n).select(F.explode(F.array(F.lit("# %ECSV 1.0"), F.lit("# ---"), F.lit("source_id l"))).alias("value"), F.col("id").cast("int").alias("part"))
-    both = head.withColumn("o", F.when(F.col("value").startswith("#"), 0).otherwise(1)).unionByName(parts.withColumn("o", F.lit(2)))
+    lines = ("# %ECSV 1.0", "# ---", "# delimiter: ','", "# datatype:", "# - {name: source_id, datatype: int64}", "# - {name: l, unit: deg, datatype: float64, description: 'longitude, galactic'}", "# - {name: random_index,", "#    datatype: int32}", "# - {name: even, datatype: bool}", "source_id,l,random_index,even")
+    head = spark.range(n).select(F.posexplode(F.array(*map(F.lit, lines))).alias("o", "value"), F.col("id").cast("int").alias("part"))
+    both = head.unionByName(parts.withColumn("o", F.lit(len(lines))))
     both.repartition(n, "part").sortWithinPartitions("part", "o").select("part", "value").write.partitionBy("part").text(path := fresh_dir(spark, "ecsv"))
-    back = tables.read_ecsv(spark, f"{path}/part=*")
-    return back.select(F.col("source_id").cast("long").alias("source_id"), F.col("l").cast("double").alias("l"))
+    return tables.read_ecsv(spark, f"{path}/part=*")
+
+
+def src_kinds(spark, sf_dir):
+    """The same catalogue in five formats, each known by its content and read by one reader."""
+    rows = _stars(spark, sf_dir).select("source_id", F.round("l", 6).alias("l"), F.round("phot_g_mean_mag", 6).alias("g"))
+    found = None
+    for form in ("parquet", "fits", "csv", "tsv", "json"):
+        path = fresh_dir(spark, "kind")
+        if form == "fits":
+            fits.save(rows, path)
+        else:
+            out = rows.write.format("csv" if form == "tsv" else form)
+            (out.option("header", True).option("sep", "\t" if form == "tsv" else ",") if form in ("csv", "tsv") else out).save(path)
+        kind, known = kinds.detect(spark, path)
+        back = kinds.read_catalogue(spark, path).select(*(F.col(c).cast(t).alias(c) for c, t in rows.dtypes))
+        one = back.agg(F.lit(kind).alias("kind"), F.lit(known).alias("format"), F.count("*").alias("n"), F.sum("source_id").alias("ids"), F.round(F.sum("l"), 3).alias("sum_l"), F.round(F.sum("g"), 3).alias("sum_g"))
+        found = one if found is None else found.unionByName(one)
+    return found
 
 
 def src_healpix(spark, sf_dir):
@@ -187,7 +206,7 @@ def stream_histogram(spark, sf_dir):
     return _tidy(ingest.read_histogram(spark, target))
 
 
-QUERIES = {f.__name__: f for f in (src_scan, src_delimited, src_ecsv, src_healpix, src_star_list, src_ranges, src_pull, src_fits, src_chunks, sink_modes, sink_map_batch, stream_chunks, stream_histogram)}
+QUERIES = {f.__name__: f for f in (src_scan, src_delimited, src_ecsv, src_kinds, src_healpix, src_star_list, src_ranges, src_pull, src_fits, src_chunks, sink_modes, sink_map_batch, stream_chunks, stream_histogram)}
 
 _S = ctes("sources")
 _N = f"select count(*) from (select distinct least(greatest(cast(floor((-(case when l > 180 then l - 360 else l end) + 180) * ({W}e0/360)) as bigint), 0), {W - 1}), least(greatest(cast(floor((b + 90) * ({H}e0/180)) as bigint), 0), {H - 1}) from sources where l is not null and b between -90 and 90 and "
@@ -196,7 +215,8 @@ _N = f"select count(*) from (select distinct least(greatest(cast(floor((-(case w
 ORACLE = {
     "src_scan": _S + "select source_id, round(l,9) as l, round(teff_gspphot,9) as teff_gspphot from sources",
     "src_delimited": _S + "select count(*) as n, count(*) filter (where source_id % 10 <> 0) as known, round(sum(l) filter (where source_id % 10 <> 0),5) as sum_l, round(sum(b) filter (where source_id % 10 <> 0),5) as sum_b, round(sum(phot_g_mean_mag) filter (where source_id % 10 <> 0),5) as sum_v from sources",
-    "src_ecsv": _S + "select source_id, round(l,6) as l from sources",
+    "src_ecsv": _S + "select source_id, round(l,6) as l, case when source_id % 4 <> 0 then random_index::int end as random_index, source_id % 2 = 0 as even from sources",
+    "src_kinds": _S + "select 'catalog' as kind, f as format, count(*) as n, sum(source_id)::bigint as ids, round(sum(round(l,6)),3) as sum_l, round(sum(round(phot_g_mean_mag,6)),3) as sum_g from sources, (values ('parquet'), ('fits'), ('csv'), ('tsv'), ('json')) v(f) group by f",
     "src_healpix": f"select r.pix, d.n::double as value from range(768) r(pix) left join ({maps.ORACLE['healpix_ring_density']}) d on d.pix = r.pix",
     "src_star_list": _S + "select count(*) as n, round(sum(case when source_id % 3 <> 0 then phot_g_mean_mag else 1.2e1 end),6) as sum_mag, 5.8e3 as mean_t, round(sum(b),6) as sum_b from sources",
     "src_ranges": _S + """, r as (select random_index, least(random_index // 83333, 11) as g from sources), q as (select *, row_number() over (partition by g order by random_index) as i from r where g <> 1)

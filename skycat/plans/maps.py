@@ -129,6 +129,14 @@ def layer_palette(spark, sf_dir):
     return rows.select("x", "y", r.alias("red"), g.alias("green"), b.alias("blue"))
 
 
+def stretches(spark, sf_dir):
+    """Every display curve over the cells' shares of the greatest value."""
+    cells = grid.hammer_histogram(_sources(spark, sf_dir), W, H, "phot_g_mean_mag", "count")
+    rows = cells.crossJoin(F.broadcast(cells.agg(F.max("value").alias("top")))).withColumn("u", F.col("value") / F.col("top"))
+    curves = {k: photometry.stretch(F.col("u"), k, 6.0, 0.7) for k in ("linear", "asinh", "log", "sqrt", "power")}
+    return rows.select("x", "y", *(F.round(c, 9).alias(k) for k, c in curves.items()))
+
+
 def healpix_ring_density(spark, sf_dir):
     stars = _sources(spark, sf_dir).filter("l is not null and b is not null")
     return stars.groupBy(coords.healpix_ring(8, F.col("l"), F.col("b")).alias("pix")).agg(F.count("*").alias("n"), F.round(F.avg("phot_g_mean_mag"), 10).alias("mean_g"))
@@ -160,7 +168,7 @@ def splat_pixels(spark, sf_dir):
     return grid.splat(spots, 128, 64)
 
 
-QUERIES = {f.__name__: f for f in (star_psf, hammer_modes, nonzero_cells, palettes, raster_cells, sky_histogram, region_histogram, hammer_weighted, flux_ceiling, coverage_counts, tone_limits, tone_mapped_cells, psf_convolve, gauss_smooth, hammer_resample, layer_limits, layer_palette, healpix_ring_density, healpix_nested_density, healpix_lookup, bilinear_lookup, splat_pixels)}
+QUERIES = {f.__name__: f for f in (star_psf, hammer_modes, nonzero_cells, palettes, raster_cells, sky_histogram, region_histogram, hammer_weighted, flux_ceiling, coverage_counts, tone_limits, tone_mapped_cells, psf_convolve, gauss_smooth, hammer_resample, layer_limits, layer_palette, stretches, healpix_ring_density, healpix_nested_density, healpix_lookup, bilinear_lookup, splat_pixels)}
 
 _S = ctes("sources")
 _FLUX = "pow(10e0, -4e-1 * phot_g_mean_mag)"
@@ -293,6 +301,7 @@ p as (select px, py, least(greatest(cast(floor((-radians(case when l > 180 then
 select px, py, round(flux, 9) as flux, n from p left join cells using (x, y)""",
     "layer_limits": _S + f", {_hammer(_FLUX)}, {_LAYER.format(s='1e3', o='1e0')} select round(lower, 6) as lower, round(upper, 6) as upper from lim",
     "layer_palette": _S + f", {_hammer(_FLUX)}, {_LAYER.format(s='1e0', o='0e0')} select x, y, cast(least(255, 2*{_I}) as int) as red, cast(least(255, 2*{_I}, 2*(255-{_I})) as int) as green, cast(least(255, 2*(255-{_I})) as int) as blue from ham, lim",
+    "stretches": _S + f", {_hammer('1e0')}, q as (select x, y, value/(select max(value) from ham) as u from ham) select x, y, round(u,9) as linear, round(asinh(6*u)/asinh(6e0),9) as asinh, round(ln(1+6*u)/ln(7e0),9) as log, round(sqrt(u),9) as sqrt, round(pow(u,7e-1),9) as power from q",
     "healpix_ring_density": _S + f", {_DENSITY} select * from dens",
     "healpix_nested_density": _S + f""", q as (select *, {_TT} as t, {_Z} as z, {_UP} as up, {_DOWN} as dn, 8*sqrt(3*(1-abs({_Z}))) as rad, cast(least(floor({_TT}), 3) as bigint) as qu from sources where l is not null and b is not null),
 f as (select *, cast(least(floor((t-qu)*rad), 7) as bigint) as pa, cast(least(floor((1-(t-qu))*rad), 7) as bigint) as pd from q),

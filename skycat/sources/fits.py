@@ -61,19 +61,42 @@ def _header(file, at: int) -> tuple[dict[str, str], int]:
                 cards[card[:8].strip()] = text[1].rstrip() if text else value.split("/")[0].strip()
 
 
-def _table(path: str) -> tuple[dict[str, str], int]:
-    """The first binary table's header and the offset of its rows."""
+def headers(path: str) -> Iterator[tuple[dict[str, str], int]]:
+    """(cards, offset of the data) of each part of a file."""
     with _open(path) as file:
         at = 0
         while True:
-            cards, data = _header(file, at)
-            if cards.get("XTENSION") == "BINTABLE":
-                return cards, data
+            try:
+                cards, data = _header(file, at)
+            except EOFError:
+                return
+            yield cards, data
             axes = [int(cards[f"NAXIS{i}"]) for i in range(1, int(cards.get("NAXIS", 0)) + 1)]
-            size = abs(int(cards.get("BITPIX", 8))) // 8 * math.prod(axes) if axes else 0
+            size = abs(int(cards.get("BITPIX", 8))) // 8 * (math.prod(axes) + int(cards.get("PCOUNT", 0))) if axes else 0
             at = data + -(-size // _BLOCK) * _BLOCK
 
 
+def _table(path: str) -> tuple[dict[str, str], int]:
+    """The first binary table's header and the offset of its rows."""
+    for cards, data in headers(path):
+        if cards.get("XTENSION") == "BINTABLE":
+            return cards, data
+    raise EOFError("no table")
+
+
+def kind(path: str) -> str:
+    """healpix if a table says so, else fits_image if any part has an image, else catalog if there is a table."""
+    parts = [cards for cards, _ in headers(path)]
+    tables = [c for c in parts if c.get("XTENSION") in ("BINTABLE", "TABLE")]
+    if any(c.get("PIXTYPE", "").upper() == "HEALPIX" or "NSIDE" in c or "ORDERING" in c for c in tables):
+        return "healpix"
+    if any(c not in tables and int(c.get("NAXIS", 0)) for c in parts):
+        return "fits_image"
+    if tables:
+        return "catalog"
+    raise ValueError(f"no data in {path}")
+
+
 class _Column:
     """One column: its name, its place in the row type, Spark's type, how often it is repeated, scale, zero and null."""
 

@@ -37,9 +37,11 @@ def read_delimited(spark: SparkSession, path: str, longitude: Sequence[str], lat
     return rows.select(*(F.when(whole, n).alias(c) for c, n in numbers.items()), *([] if value else [F.when(whole, 1.0).alias("value")]))
 
 
-def read_ecsv(spark: SparkSession, path: str, sep: str = " ") -> DataFrame:
-    """A table with a commented header, all columns as text."""
-    return spark.read.option("comment", "#").option("header", True).option("sep", sep).csv(path)
+def read_ecsv(spark: SparkSession, path: str) -> DataFrame:
+    """A table with a commented header, columns typed as that says, else as text; see kinds.read_typed."""
+    from .kinds import read_typed
+
+    return read_typed(spark, path)
 
 
 def healpix_values(rows: DataFrame, value: str, pixel: str | None = None, position: str | None = None, width: int = 1, nside: int | None = None) -> DataFrame:
