@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.photometry import first_positive
+from ..workspace import written
 from .ordering import first_rows
 
 TAU = 2.0 * math.pi
@@ -46,9 +47,10 @@ def choose_catalogues(names: Sequence[str] = (), include_other: bool = False) ->
 
 
 def build_catalogues(specs: Sequence[CatalogueSpec], tables: Mapping[str, DataFrame], least_score: float = 0.0, limit: int = 0) -> dict[str, DataFrame]:
-    """Each chosen catalogue from the archive's tables (by name), not yet computed: a dry run explains or counts them.
+    """Each chosen catalogue from the archive's tables (by name).
 
-    limit: rows of a catalogue at most, the first by random index (0: all).
+    limit: rows of a catalogue at most, the first by random index. Without one nothing is computed yet: a dry run explains
+    or counts what it gets.
     """
     if limit < 0 or not 0.0 <= least_score <= 1.0:
         raise ValueError("limit below 0, or least_score outside 0 to 1")
@@ -60,7 +62,8 @@ def build_catalogues(specs: Sequence[CatalogueSpec], tables: Mapping[str, DataFr
             rows = study_catalogue(tables[table], tables["sources"], tables["vari_summary"], spec, subclass)
         else:
             rows = classifier_catalogue(tables["vari_classifier_result"], tables["sources"], tables["vari_summary"], spec, least_score)
-        out[spec.name] = first_by(rows, "random_index", limit)
+        # the choice reads its rows several times, so the joins are done once before it
+        out[spec.name] = first_by(written(rows, spec.name), "random_index", limit) if limit else rows
     return out
 
 

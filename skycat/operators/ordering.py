@@ -143,7 +143,7 @@ def first_rows(rows: DataFrame, n: int, order: Sequence[str], by: Sequence[str]
 
     Every group's span of that column is cut into intervals, which are counted. Intervals that lie whole among the first
     n rows are taken by a filter; only the rows of the one in which the n-th row falls are sorted, by chunks, however
-    many they are. So no task keeps n rows.
+    many they are. So no task keeps n rows. `rows` is read four times: write it first if it is costly to make.
     """
     lead = F.col(order[0]).cast("double")
     known = F.when(lead.isNotNull() & ~F.isnan(lead), lead)

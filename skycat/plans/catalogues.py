@@ -11,7 +11,7 @@ from ..fixtures import ctes, view
 from ..functions import coords, photometry
 from ..functions.hashing import uniform
 from ..operators import behaviour, catalogue, coverage, sampling
-from ..workspace import fresh_dir
+from ..workspace import fresh_dir, written
 
 TAU = 2.0 * math.pi
 
@@ -71,7 +71,8 @@ def cat_selection(spark, sf_dir):
 
 
 def top_by_random_index(spark, sf_dir):
-    return catalogue.first_by(view(spark, sf_dir, "sources").select("source_id", "random_index"), "random_index", 500)
+    rows = written(view(spark, sf_dir, "sources").select("source_id", "random_index"), "indexed")
+    return catalogue.first_by(rows, "random_index", 500)
 
 
 def index_range(spark, sf_dir):
