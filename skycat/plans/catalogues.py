@@ -148,12 +148,12 @@ def bucket_caps(spark, sf_dir):
 
 def sky_balanced_sample(spark, sf_dir):
     rows = _classes(spark, sf_dir).withColumn("bucket", sampling.bucket()).filter("bucket = 'galactic'")
-    return sampling.sky_balanced(rows, 300).groupBy("cls", "zone").agg(F.count("*").alias("n"), F.min("source_id").alias("least_id"))
+    return sampling.sky_balanced(rows, 300).select("source_id", "cls", "zone")
 
 
 def magellanic_cap(spark, sf_dir):
     rows = _classes(spark, sf_dir).withColumn("bucket", sampling.bucket()).filter("bucket is not null")
-    return sampling.magellanic_cap(rows).groupBy("cls", "bucket").agg(F.count("*").alias("n"))
+    return sampling.magellanic_cap(rows).select("source_id", "cls", "bucket")
 
 
 def _stars(spark, sf_dir):
@@ -318,8 +318,8 @@ from vari_microlensing v join sources s using (source_id) left join astrophysica
 from (select *, case when parallax > 0 then parallax end as p, case when parallax_error > 0 then parallax_error end as e from sources)""",
     "stable_uniform": _S + f"select source_id, {_uniform('source_id', 42)} as u42, {_uniform('source_id', 57721)} as u57721 from sources",
     "bucket_caps": _C + f", {_CLASSES}, q as (select *, {_BUCKET} as bucket from k), r as (select *, row_number() over (partition by cls, bucket order by {_uniform('source_id', 42)}, source_id) as n from q where bucket is not null) select cls, bucket, source_id from r where n <= 60",
-    "sky_balanced_sample": _C + f", {_CLASSES}, {_BAL} select cls, zone, count(*) as n, min(source_id) as least_id from t6 where t5 or r3 <= 300 - got group by cls, zone",
-    "magellanic_cap": _C + f", {_CLASSES}, q as (select *, {_BUCKET} as bucket from k), r as (select *, row_number() over (partition by bucket order by {_uniform('source_id', 42)}, source_id) as n from q where bucket is not null) select cls, bucket, count(*) as n from r where bucket <> 'magellanic' or n <= 80 group by cls, bucket",
+    "sky_balanced_sample": _C + f", {_CLASSES}, {_BAL} select source_id, cls, zone from t6 where t5 or r3 <= 300 - got",
+    "magellanic_cap": _C + f", {_CLASSES}, q as (select *, {_BUCKET} as bucket from k), r as (select *, row_number() over (partition by bucket order by {_uniform('source_id', 42)}, source_id) as n from q where bucket is not null) select source_id, cls, bucket from r where bucket <> 'magellanic' or n <= 80",
     "behaviour_params": _P + " select source_id, bc as behaviour_class, model, flux_mode, round(per,7) as used_period, round(am,7) as used_amplitude, round(ph,7) as used_phase, round(ec,7) as event_centre, round(ir,7) as used_irregularity, round(ew,7) as event_width, round(es,7) as event_shape from par",
     "light_curve_frames": _P + f", {_FR} select bc as behaviour_class, frame::int as frame, count(*) as n, round(avg(rf),6) as mean_flux, round(avg(sigma),6) as mean_sigma, round(avg(alpha),6) as mean_alpha, round(avg({_GREEN}),6) as mean_green from fin group by bc, frame",
     "schema_union": ctes("vari_rrlyrae", "vari_cepheid") + "select 'rr' as origin, count(*) as n, count(pf) as n_pf, 0::bigint as n_p1 from vari_rrlyrae union all select 'cep', count(*), 0::bigint, count(p1_o) from vari_cepheid",

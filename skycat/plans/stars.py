@@ -97,7 +97,7 @@ def stride_sample(spark, sf_dir):
 def class_sample(spark, sf_dir):
     """Samples of every class, in both buckets, with more rows wanted than one zone has."""
     rows = _all_classes(spark, sf_dir)
-    return sampling.class_sample(rows, 1500).groupBy("cls", "bucket", "zone").agg(F.count("*").alias("n"))
+    return sampling.class_sample(rows, 1500).select("source_id", "cls", "bucket", "zone")
 
 
 def frame_ecliptic(spark, sf_dir):
@@ -179,7 +179,7 @@ select case when coalesce(source_id < 0, true) then 3000000000000 + i else sourc
     "window_sample": _S + _WS + """ select input_seq, round(teff_gspphot,7) as teff_gspphot from o where teff_gspphot is not null and (n <= 640 or exists (select 1 from w where input_seq between trunc(a) and trunc(a) + 9)) order by input_seq limit 640""",
     "stride_sample": _S + _CELLS + " select cell, round(flux,12) as flux from c where flux <> 0 and (cell % 4 = 0 or (select count(*) from c where flux <> 0 and cell % 4 = 0) < 1000) order by cell limit 2000",
     "class_sample": _S + f""", {_K}, {_BAL}, mg as (select *, row_number() over (partition by cls order by hh, source_id) as r from kb where bucket = 'magellanic')
-select cls, bucket, zone, count(*) as n from (select cls, bucket, zone from mg where r <= 1500 union all select cls, bucket, zone from t6 where t5 or r3 <= 1500 - got) group by all""",
+select source_id, cls, bucket, zone from mg where r <= 1500 union all select source_id, cls, bucket, zone from t6 where t5 or r3 <= 1500 - got""",
     "frame_ecliptic": _S + f""", v as (select source_id, l, b, ra, dec, cos(radians(dec))*cos(radians(ra)) as x, {_CO}*cos(radians(dec))*sin(radians(ra)) + {_SI}*sin(radians(dec)) as y, {_CO}*sin(radians(dec)) - {_SI}*cos(radians(dec))*sin(radians(ra)) as z from sources)
 select source_id, round(degrees(asin(least(greatest(z,-1e0),1e0))),6) as ecl_lat, round(x/sqrt(x*x+y*y),7)+0e0 as ecl_cos, round({base._XYZ[0]}/sqrt(pow({base._XYZ[0]},2)+pow({base._XYZ[1]},2)),7)+0e0 as gal_cos, round(degrees(asin(least(greatest({base._XYZ[2]},-1e0),1e0))),6) as gal_b from v""",
     "sexagesimal": _S + "select source_id, round(case when dec < 0 then -1 else 1 end * round(abs(dec)*3600)/3600,9) as degrees from sources",
