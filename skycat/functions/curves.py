@@ -60,6 +60,7 @@ def smooth_noise(position: Column, seed: Column) -> Column:
     return let(position, at)
 
 
+# The amplitudes, frequencies, widths and times of the models below and of the flux modes.
 def models(c: dict[str, Column]) -> dict[str, tuple[Column, Column]]:
     """(signal, colour driver) of every model; without a colour driver it is 2 * signal - 1.
 

@@ -76,6 +76,7 @@ def peak_excess(impact: Column, share: Column) -> Column:
     return share * F.greatest(peak_amplification(impact) - 1.0, F.lit(0.0))
 
 
+# The numbers by which an event's size, width and opacity follow from its magnification.
 def display(t: Column, peak: Column, timescale: Column, impact: Column, mass: Column, share: Column, height: float, base_sigma: float = 2.0, base_alpha: float = 0.2) -> dict[str, Column]:
     """Display width and opacity of an event at a time."""
     share = clip(share, 0.0, 1.0)

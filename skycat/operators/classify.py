@@ -113,12 +113,13 @@ def label_class(text: Column) -> Column:
     return let(normal_label(text), named)
 
 
-# Patterns of free spectral texts and the classes they name, in order.
+# Patterns of free spectral texts and the classes they name, in order. γ is a letter at a word's edge only
+# under Unicode rules, which Java's patterns have to be asked for: (?U).
 SPECTRAL = (
-    ("SDOR", r"\b(lbv|s\s*dor(adus)?)\b"),
-    ("GCAS", r"\bgamma\s*cas(siopeiae)?\b|γ\s*cas(siopeiae)?\b"),
+    ("SDOR", r"\b(lbv|s\s*dor(?:adus)?)\b"),
+    ("GCAS", r"\b(?:gamma|γ)\s*cas(?:siopeiae)?\b"),
     ("BE", r"\bb\s*\[\s*e\s*\]"),
-    ("BE", r"\bbe([0-9]|\b)"),
+    ("BE", r"\bbe(?:\d|\b)"),
 )
 
 
@@ -128,7 +129,7 @@ def spectral_class(text: Column) -> Column:
     def free(low: Column) -> Column:
         out = F.when(low.isNull(), None)
         for name, pattern in SPECTRAL:
-            out = out.when(low.rlike(pattern), name)
+            out = out.when(low.rlike("(?U)" + pattern), name)
         return out
 
     return F.coalesce(label_class(text), let(F.when(normal_label(text).isNotNull(), F.lower(text)), free))

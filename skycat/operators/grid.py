@@ -89,6 +89,8 @@ def dense(spark: SparkSession, cells: DataFrame, width: int, height: int, zeros:
     return joined.withColumns({c: F.coalesce(F.col(c), F.lit(0).cast(cells.schema[c].dataType)) for c in zeros})
 
 
+# The shares of the percentiles here, the strengths and powers of the stretches in tone_map, and the profiles
+# of star_kernel.
 def tone_limits(grid: DataFrame) -> DataFrame:
     """One row of the display limits, over all cells, empty ones too. Percentiles are exact and found at once."""
     flux_low, flux_high = percentiles(grid.select(F.log1p("flux").alias("v")), "v", [0.001, 0.9999])
