@@ -398,6 +398,51 @@ def test_unclosed_markup():
     assert html_text.blocks("<!-- open comment <p>x</p>") == [] and html_text.blocks("1 < 2 and <3") [0][0] == "1 < 2 and <3"
 
 
+_LONG = "The keeper of the lighthouse wrote down the wind, the clouds and the ships of every watch in a book that is still kept."
+_NEXT = "From it we know that the winter was mild, and that the ice never reached the outer harbour in those years."
+_SAID = "My aunt lived there as a child and still tells of the horn that sounded all night when there was fog."
+#: Pages as common software lays them out; none was used to grow the tree. A block that starts with § is main text.
+LAYOUTS = {
+    "theme with a wrapper": f"<body><div class='site-container'><header class='site-header'><p>Notes from the coast</p></header><div class='content-sidebar-wrap'><main class=content><article class=entry><header class='entry-header'><h1>§The light</h1></header><p>§{_LONG}</p><p>§{_NEXT}</p></article></main><aside class='sidebar widget-area'><p>{_SAID}</p></aside></div></div></body>",
+    "tagged post": f"<body><div id=nav><a href=1>Home</a></div><div class='post hentry tag-politics category-news'><h2>§The light</h2><p>§{_LONG}</p><p>§{_NEXT}</p></div><div id=footer>Powered by a blog</div></body>",
+    "form around the page": f"<body><form id=aspnetForm method=post><div class=menu><a href=1>Home</a> <a href=2>Maps</a></div><main><article><h1>§The light</h1><p>§{_LONG}</p><p>§{_NEXT}</p></article></main><div class=footer>Made by the county</div></form></body>",
+    "form around named parts": f"<body><form id=f><div id=header>County</div><div id=content><h1>§The light</h1><p>§{_LONG}</p><p>§{_NEXT}</p></div></form></body>",
+    "reviews": f"<body><div id=content><h1>§The light</h1><p>§{_LONG}</p><p>§{_NEXT}</p></div><div class='user-reviews'><p>{_SAID}</p></div></body>",
+    "discussion": f"<body><main><h1>§The light</h1><p>§{_LONG}</p><section id=discussion><p>{_SAID}</p><p>{_SAID}</p></section></main></body>",
+    "comments as articles": f"<body><article><p>§{_LONG}</p><p>§{_NEXT}</p></article><section class=comments-area><article class=comment-body><div class=comment-content><p>{_SAID}</p></div></article></section></body>",
+    "related teasers": f"<body><article><p>§{_LONG}</p><p>§{_NEXT}</p></article><section class=related-posts><article><h3>More lights</h3><p>{_SAID}</p></article></section></body>",
+    "no names at all": f"<body><p><a href=1>Home</a> <a href=2>All of the letters</a></p><h1>§The light</h1><p>§{_LONG}</p><p>§{_NEXT}</p><p><a href=3>Back to the list</a> <a href=4>Next letter of the keeper</a></p></body>",
+    "plain boxes": f"<body><div><div><a href=1>Start</a> <a href=2>Towers</a> <a href=3>Keepers</a></div></div><div><div><p>§{_LONG}</p><p>§{_NEXT}</p></div></div><div><div><a href=4>Imprint</a></div></div></body>",
+    "table": f"<body><table><tr><td><a href=1>One</a><br><a href=2>Two</a></td><td><p>§{_LONG}</p><p>§{_NEXT}</p></td></tr></table></body>",
+}
+
+
+@pytest.mark.parametrize("layout", LAYOUTS)
+def test_layouts(layout):
+    page = LAYOUTS[layout]
+    want = "\n".join(b[0][1:] for b in html_text.blocks(page) if b[0].startswith("§"))
+    assert want and html_text.main_text(page.replace("§", "")) == want
+
+
+def test_names_alone_would_differ():
+    """Over the pages above and the labelled ones, the tree's answer isn't the side parts' names turned round."""
+    tree, side, main = html_text.default_tree(), html_text.FEATURES.index("side"), html_text.FEATURES.index("main")
+    pages = [page.replace("§", "") for page in (*LAYOUTS.values(), *html_text.LABELLED)]
+    rows = [r for page in pages for r in html_text.features(html_text.blocks(page)).tolist()]
+    taken = np.array([html_text.score(tree, r) > 0.5 for r in rows])
+    x = np.array(rows)
+    assert np.mean(taken == (x[:, side] == 0)) < 0.95 and np.mean(taken == ((x[:, main] == 1) & (x[:, side] == 0))) < 0.95
+
+
+def test_innermost_part_counts():
+    kinds = lambda page: [(b[2], b[3]) for b in html_text.blocks(page)]
+    assert kinds("<div class=sidebar><main><p>a</main><p>b</div>") == [(False, True), (True, False)]
+    assert kinds("<nav><article><p>a</article></nav><div class=comments><main><p>b</main></div>") == [(True, True), (True, True)]
+    assert kinds("<form><p>a<div class=post><p>b</div></form><div class=search><article><p>c</article></div>") == [(True, False), (False, True), (False, True)]
+    assert kinds("<div class='sidebar'><div class=text><p>a</div></div><div class='tags'>b</div>") == [(True, True), (True, False)]
+    assert kinds("<div class='ad'><form class=post><p>a</form></div>") == [(True, True)]
+
+
 def test_page_parts_by_name():
     text = "word " * 30
     page = f"<body class='search home'><div class='content with-sidebar'><div class='entry-header'><h1>A title</h1></div><p>{text}</p><div class='post-comments'><p>{text}</p></div></div><div id=site-header><p>{text}</p></div></body>"
