@@ -340,7 +340,7 @@ def extract(pages: DataFrame, html_col: str = "html", out: str = "text") -> Data
     """`pages` without `html_col`, and `out` (the main text) and n_chars (its code points). One pass, no shuffle.
 
     Null or empty html: an empty text. Columns of these names in the input are replaced; repeated rows stay. No rows:
-    no rows. A page is read whole by one task whatever its length, in linear time and about ten times its memory. A block
+    no rows. A page is read whole by one task whatever its length, in linear time. A block
     for which the tree's leaf is undecided (one half) is left out.
     """
     kept = [c for c in pages.columns if c not in (html_col, out, "n_chars")]
