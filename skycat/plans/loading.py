@@ -6,10 +6,11 @@ from pyspark.sql import functions as F
 
 from .. import schema
 from ..fixtures import ctes, view
+from ..functions import coords
 from ..sources import archive, fits, kinds, sinks, tables
 from ..streaming import ingest
 from ..workspace import fresh_dir, written
-from . import maps
+from . import maps, stars
 from .catalogues import _tidy
 from .maps import H, W
 
@@ -67,8 +68,6 @@ def src_kinds(spark, sf_dir):
 
 def src_healpix(spark, sf_dir):
     """Density per pixel as an implicit table of four values a row and as an explicit one, with sentinels and strays."""
-    from ..functions import coords
-
     dense = spark.range(768).select(F.col("id").alias("pix"))
     n = _stars(spark, sf_dir).groupBy(coords.healpix_ring(8, F.col("l"), F.col("b")).alias("pix")).agg(F.count("*").alias("n"))
     rows = dense.join(n, "pix", "left").withColumn("v", F.coalesce(F.col("n").cast("double"), F.lit(tables.BAD_DATA)))
@@ -206,7 +205,31 @@ def stream_histogram(spark, sf_dir):
     return _tidy(ingest.read_histogram(spark, target))
 
 
-QUERIES = {f.__name__: f for f in (src_scan, src_delimited, src_ecsv, src_kinds, src_healpix, src_star_list, src_ranges, src_pull, src_fits, src_chunks, sink_modes, sink_map_batch, stream_chunks, stream_histogram)}
+#: Names under which catalogues give positions, and what a header says where the names don't.
+LAYOUTS = {"equatorial": ("RA", "Dec", None), "galactic": ("GLON", "GLAT", None), "ecliptic": ("ELON", "ELAT", None), "header": ("lon", "lat", {"COORDSYS": "C"})}
+
+
+def frame_guess(spark, sf_dir):
+    """The same stars written in four layouts, each read back into galactic coordinates by its names or its header."""
+    rows, found = view(spark, sf_dir, "sources").select("source_id", "ra", "dec"), None
+    for layout, (lon, lat, header) in LAYOUTS.items():
+        change = {"galactic": coords.icrs_to_galactic, "ecliptic": coords.icrs_to_ecliptic}.get(layout, lambda a, d: (a, d))
+        a, d = change(F.col("ra"), F.col("dec"))
+        rows.select("source_id", a.alias(lon), d.alias(lat)).write.parquet(path := fresh_dir(spark, "frame"))
+        back = tables.galactic_positions(spark.read.parquet(path), header)
+        one = back.select(F.lit(layout).alias("layout"), "source_id", (F.round(F.cos(F.radians("l")), 7) + 0.0).alias("gal_cos"), F.round("b", 6).alias("gal_b"))
+        found = one if found is None else found.unionByName(one)
+    return found
+
+
+def contract_report(spark, sf_dir):
+    """A catalogue with texts for magnitudes, NaN for temperatures and no parallax, held against a contract."""
+    text = F.when(F.col("source_id") % 10 == 0, "n/a").otherwise(F.col("phot_g_mean_mag").cast("string"))
+    rows = _stars(spark, sf_dir).select(F.col("source_id").alias("SOURCE_ID"), "l", text.alias("mag"), F.coalesce("teff_gspphot", F.lit(float("nan"))).alias("teff"))
+    return schema.contract_report(rows, {"source_id": ("long", 1, None), "l": ("double", 0.0, 180.0), "mag": ("double", None, 12.0), "teff": ("double", 3000.0, 9000.0), "parallax": ("double", None, None)})
+
+
+QUERIES = {f.__name__: f for f in (src_scan, src_delimited, src_ecsv, src_kinds, src_healpix, src_star_list, src_ranges, src_pull, src_fits, src_chunks, sink_modes, sink_map_batch, stream_chunks, stream_histogram, frame_guess, contract_report)}
 
 _S = ctes("sources")
 _N = f"select count(*) from (select distinct least(greatest(cast(floor((-(case when l > 180 then l - 360 else l end) + 180) * ({W}e0/360)) as bigint), 0), {W - 1}), least(greatest(cast(floor((b + 90) * ({H}e0/180)) as bigint), 0), {H - 1}) from sources where l is not null and b between -90 and 90 and "
@@ -227,6 +250,12 @@ select g::int as range_id, count(*) as n, min(random_index) as first, max(random
     "src_chunks": _S + "select count(*) as n, true as same, true as differs from sources",
     "sink_modes": _S + "select count(*) filter (where source_id % 2 = 0) as n, count(*) as kept from sources",
     "sink_map_batch": _S + f"select 'bright-stars' as id, ({_N} phot_g_mean_mag < 8)) as rows, null::varchar as error union all select 'broken', null, 'least is no number' union all select 'faint', ({_N} phot_g_mean_mag >= 8 and phot_g_mean_mag < 99)), null",
+    "frame_guess": f"select layout, source_id, gal_cos, gal_b from ({stars.ORACLE['frame_ecliptic']}), (values {', '.join(f"('{x}')" for x in LAYOUTS)}) v(layout)",
+    "contract_report": _S + """, q as (select count(*) as n, count(*) filter (where l is null) as l0, count(*) filter (where l > 180) as l1, count(*) filter (where source_id % 10 <> 0 and phot_g_mean_mag is null) as m0,
+ count(*) filter (where source_id % 10 = 0) as m1, count(*) filter (where source_id % 10 <> 0 and phot_g_mean_mag > 12) as m2, count(*) filter (where teff_gspphot is null) as t0, count(*) filter (where teff_gspphot not between 3000 and 9000) as t2,
+ count(*) filter (where source_id < 1) as s2 from sources)
+select 'source_id' as "column", true as present, n as rows, 0 as missing, 0 as unreadable, s2 as outside from q union all select 'l', true, n, l0, 0, l1 from q union all select 'mag', true, n, m0, m1, m2 from q
+union all select 'teff', true, n, t0, 0, t2 from q union all select 'parallax', false, n, null, null, null from q""",
     "stream_chunks": _S + "select count(*) as n, count(distinct source_id) as ids, round(sum(phot_g_mean_mag),5) as sum_g from sources where l is not null and b between -90 and 90 and phot_g_mean_mag is not null",
     "stream_histogram": _S + f", {maps._CELLS} select x, y, round(flux,9) as flux, round(temp_flux,9) as temp_flux, n from cells",
 }

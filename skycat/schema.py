@@ -33,6 +33,32 @@ def require(df: DataFrame, required: Sequence[str]) -> DataFrame:
     return df
 
 
+def contract_report(df: DataFrame, contract: Mapping[str, tuple[str, float | None, float | None]]) -> DataFrame:
+    """(column, present, rows, missing, unreadable, outside): how `df` keeps a contract of column: (type, low, high).
+
+    missing: null or NaN; unreadable: a value that the type can't hold; outside: readable, but below low or above high
+    (None: no limit). One pass with partial counts over the columns that are there; an absent column has nulls for its
+    counts, and no rows give counts of 0. Names are matched whatever their case.
+    """
+    count = lambda c: F.coalesce(F.count_if(c), F.lit(0))
+    rows = []
+    for name, (kind, low, high) in contract.items():
+        if (found := find_column(df, [name])) is None:
+            counts = [F.lit(None).cast("long")] * 3
+        else:
+            value = F.col(f"`{found}`")
+            if dict(df.dtypes)[found] in ("float", "double"):
+                value = F.nanvl(value, F.lit(None))
+            read = value.try_cast(kind)
+            beyond = [read < F.lit(low)] * (low is not None) + [read > F.lit(high)] * (high is not None)
+            outside = F.lit(False)
+            for b in beyond:
+                outside = outside | b
+            counts = [count(value.isNull()), count(value.isNotNull() & read.isNull()), count(F.coalesce(outside, F.lit(False)))]
+        rows.append(F.struct(F.lit(name).alias("column"), F.lit(found is not None).alias("present"), F.count("*").alias("rows"), *(c.alias(n) for c, n in zip(counts, ("missing", "unreadable", "outside")))))
+    return df.agg(F.array(*rows).alias("r")).select(F.inline("r"))
+
+
 def resolve_columns(df: DataFrame, wanted: Mapping[str, Sequence[str]], optional: Mapping[str, object] | None = None) -> DataFrame:
     """`df` projected to canonical names: the first alias found of each; `optional` gives constants for absent ones."""
     optional, columns, gone = dict(optional or {}), [], []

@@ -7,8 +7,9 @@ from collections.abc import Iterable, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import coords
 from ..operators.ordering import first_rows
-from ..schema import clean, find_column, require, resolve_columns
+from ..schema import POINT_ALIASES, clean, find_column, require, resolve_columns
 
 #: HEALPix values at or below the first, or near the second, stand for a missing one.
 BAD_LIMIT, BAD_DATA = -1e29, -1.6375e30
@@ -150,3 +151,16 @@ def fingerprint(rows: DataFrame) -> DataFrame:
     """One row that depends on the content but not on its order: count, xor and sum of row hashes."""
     h = F.xxhash64(*rows.columns)
     return rows.agg(F.count("*").alias("n"), F.expr(f"bit_xor(xxhash64({', '.join(f'`{c}`' for c in rows.columns)}))").alias("xor"), F.sum(F.shiftrightunsigned(h, 33)).alias("sum"))
+
+
+def galactic_positions(df: DataFrame, header: dict[str, str] | None = None, fallback: str = "galactic") -> DataFrame:
+    """`df` with galactic l and b in place of its positions, in whatever frame its header or its columns' names tell of.
+
+    Null positions stay null. A frame that isn't known is a ValueError, a missing column a KeyError.
+    """
+    frame = coords.guess_frame(header, df.columns, fallback)
+    lon, lat = (find_column(df, (*POINT_ALIASES[axis], *more)) for axis, more in (("longitude", ("elon", "ecl_lon")), ("latitude", ("elat", "ecl_lat"))))
+    if lon is None or lat is None:
+        raise KeyError("no columns of positions")
+    l, b = coords.to_galactic(F.col(f"`{lon}`"), F.col(f"`{lat}`"), frame)
+    return df.select(*(F.col(f"`{c}`") for c in df.columns if c not in (lon, lat)), l.alias("l"), b.alias("b"))

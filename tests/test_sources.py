@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from skycat.operators import grid
+from skycat.schema import contract_report
 from skycat.sources import fits, sinks, tables
 from skycat.streaming import ingest
 
@@ -97,3 +98,24 @@ def test_stream_resumes(spark, tmp_path):
     ingest.write_histogram(cells, str(tmp_path / "hist"), str(tmp_path / "check2")).awaitTermination()
     got = sorted(map(tuple, spark.read.parquet(str(tmp_path / "hist")).collect()))
     assert got == sorted(map(tuple, grid.sky_histogram(spark.read.parquet(folder), 8, 4).collect()))
+
+
+def test_galactic_positions(spark):
+    rows = spark.createDataFrame([(1, 266.405, -28.936), (2, None, None)], "id int, `RA` double, `Dec` double")
+    one, none = tables.galactic_positions(rows).orderBy("id").collect()
+    assert min(one.l, 360 - one.l) < 0.01 and abs(one.b) < 0.01 and none.l is None and none.b is None
+    assert tables.galactic_positions(rows).columns == ["id", "l", "b"]
+    plain = spark.createDataFrame([(10.0, 20.0)], "lon double, lat double")
+    assert tables.galactic_positions(plain).first() == (10.0, 20.0)
+    assert abs(tables.galactic_positions(plain, {"CTYPE1": "RA---CAR"}).first().b - 20.0) > 1
+    with pytest.raises(KeyError):
+        tables.galactic_positions(spark.createDataFrame([(1.0,)], "ra double"))
+    with pytest.raises(ValueError):
+        tables.galactic_positions(plain, {"COORDSYS": "Mars"})
+
+
+def test_contract_report(spark):
+    contract = {"id": ("long", 1, 3), "Mag": ("double", None, 2.0), "gone": ("double", None, None)}
+    rows = spark.createDataFrame([("1", 1.0), ("x", float("nan")), (None, None), ("4", 3.0), ("4", 3.0)], "ID string, mag double")
+    assert [tuple(r) for r in contract_report(rows, contract).collect()] == [("id", True, 5, 1, 1, 2), ("Mag", True, 5, 2, 0, 2), ("gone", False, 5, None, None, None)]
+    assert [tuple(r) for r in contract_report(rows.limit(0), contract).collect()] == [("id", True, 0, 0, 0, 0), ("Mag", True, 0, 0, 0, 0), ("gone", False, 0, None, None, None)]
