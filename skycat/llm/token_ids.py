@@ -50,10 +50,10 @@ class WordEncoder:
 
     Texts are lower-cased first, as the tokenizer would do. A new word is a word core and the marks after it; every new
     core goes through the library once, letters alone straight to its BPE model. A text for which this could differ
-    goes to the library whole. `memory` is about the bytes of the words that a worker remembers; cores take twice that.
+    goes to the library whole. `memory` is about the bytes of the words and cores that a worker remembers, in one table.
     """
 
-    def __init__(self, path: str, memory: int = 96 << 20):
+    def __init__(self, path: str, memory: int = 160 << 20):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -66,7 +66,7 @@ class WordEncoder:
         self.plain = steps == ["NFC", "Replace", "Lowercase"] and splits == ["Split", "ByteLevel"]
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
         self.shown = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in shown)}
-        self.words, self.cores = _Memo(self._word, memory), _Memo(self._core, 2 * memory)
+        self.words = _Memo(self._word, memory)
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
@@ -78,10 +78,12 @@ class WordEncoder:
         return self.whole(core)
 
     def _word(self, word: str) -> bytes:
-        if not self.plain or word.isalpha():
-            return self.cores[word]
-        core = word.rstrip(_TAIL)
-        return self.cores[core] + self.cores[word[len(core) :]] if core.isalpha() else self.cores[word]
+        """A word by its core and the marks after it, which are words of their own; any other as a core."""
+        if self.plain and not word.isalpha():
+            core = word.rstrip(_TAIL)
+            if core.isalpha():
+                return self.words[core] + self.words[word[len(core) :]]
+        return self._core(word)
 
     def encode(self, text: str | None) -> bytes:
         """The ids of a whole text; none for a null or empty one."""
