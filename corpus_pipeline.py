@@ -52,7 +52,7 @@ def small_encoder():
     """An encoder for one task, with a small memo: workers that go on to other stages keep nothing of it."""
     import public_tokenizers
 
-    return WordEncoder(public_tokenizers.path("word_bpe_49k.json"), memory=24 << 20).encode
+    return WordEncoder(public_tokenizers.path("word_bpe_49k.json"), memory=48 << 20).encode
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
