@@ -166,5 +166,29 @@ def test_registered_queries_on_given_tables(spark):
         assert QUERIES[name](spark, SF).count() == documents, name
 
 
+def test_registered_packing_quality_and_nearest(spark):
+    """Three registered queries on whole small tables: every id in one piece, resampling as a threshold on keys, recall."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    pieces = QUERIES["op1_packing"](spark, SF).groupBy("doc_id").agg(F.sum("length").alias("got"), F.max("doc_tokens").alias("all"), F.sum(F.col("start") * 2 * F.col("length") + F.col("length") * F.col("length")).alias("square"))
+    # pieces that begin where others end add up to the square of the whole
+    assert pieces.count() == docs.count() and pieces.filter("got <> all or square <> all * all").count() == 0
+    kept, weighed = QUERIES["op2_quality"](spark, SF).collect(), quality.weigh(docs, spark.read.parquet(f"{SF}/labels.parquet")).collect()
+    least = min(r.gumbel_key for r in kept)
+    assert 0 < len(kept) < docs.count() and Counter(r.doc_id for r in kept) == Counter(r.doc_id for r in weighed if r.gumbel_key >= least)
+    rows = spark.read.parquet(f"{SF}/embeddings.parquet").collect()
+    found = defaultdict(list)
+    for r in QUERIES["op7_nearest"](spark, SF).collect():
+        found[r.query_id].append((r["rank"], r.vec_id, r.score))
+    ids, x = np.array([r.vec_id for r in rows]), np.array([r.embedding for r in rows], np.float64)
+    hits = 0
+    for q in np.flatnonzero(ids % 20 == 0):
+        score = x @ x[q]
+        best = sorted((i for i in range(len(ids)) if i != q), key=lambda i: (-score[i], ids[i]))[:20]
+        mine = sorted(found[ids[q]])
+        assert [r[0] for r in mine] == list(range(1, 21)) and all(abs(s - score[np.flatnonzero(ids == v)[0]]) < 1e-9 for _, v, s in mine)
+        hits += len({v for _, v, _ in mine} & {ids[i] for i in best})
+    assert hits >= 0.9 * 20 * len(found) and set(found) == set(ids[ids % 20 == 0].tolist())
+
+
 def test_thirteen_operators_are_registered():
     assert sorted({int(n[2:].split("_")[0]) for n in QUERIES}) == list(range(1, 14))
