@@ -203,6 +203,11 @@ def _quarters(l: Column) -> Column:
     return F.pmod(F.radians(l), F.lit(2.0 * math.pi)) / (0.5 * math.pi)
 
 
+def sphere(l: Column, b: Column) -> tuple[Column, Column]:
+    """Longitude in quarter turns and sine of latitude, from which HEALPix pixels follow."""
+    return _quarters(l), F.sin(F.radians(b))
+
+
 def _div(a: Column, n: int) -> Column:
     return F.floor(a / n)
 
@@ -226,19 +231,18 @@ def healpix_ring(nside: int, l: Column, b: Column) -> Column:
     return F.when(F.abs(z) <= 2.0 / 3.0, belt).otherwise(pole).cast("long")
 
 
-def _spread(c: Column, bits: int) -> Column:
-    """The bits of a number, each followed by a zero."""
-    out = F.lit(0).cast("long")
-    for i in range(bits):
-        out = out + F.shiftleft(F.shiftright(c, i).bitwiseAND(F.lit(1)), 2 * i)
-    return out
+def _spread(c: Column) -> Column:
+    """The bits of a number that isn't negative, each followed by a zero: its binary digits, read to the base of four.
 
+    The argument stands there once, so a long one is evaluated once.
+    """
+    return F.conv(F.bin(c), 4, 10).cast("long")
 
-def healpix_nested(nside: int, l: Column, b: Column) -> Column:
-    """HEALPix pixel in NESTED order; nside is a power of two."""
+
+def nested_place(nside: int, t: Column, z: Column) -> tuple[Column, Column, Column]:
+    """(face, x, y) of the NESTED pixel at a longitude in quarter turns and a sine of latitude."""
     if nside < 1 or nside & (nside - 1):
         raise ValueError("nside must be a power of two")
-    t, z = _quarters(l), F.sin(F.radians(b))
     up = F.floor(nside * (t + 0.5) - nside * z * 0.75).cast("long")
     down = F.floor(nside * (t + 0.5) + nside * z * 0.75).cast("long")
     face_up, face_down = _div(up, nside), _div(down, nside)
@@ -248,11 +252,20 @@ def healpix_nested(nside: int, l: Column, b: Column) -> Column:
     a = F.least(F.floor((t - quarter) * radius), F.lit(nside - 1)).cast("long")
     d = F.least(F.floor((1.0 - (t - quarter)) * radius), F.lit(nside - 1)).cast("long")
     belt, north = F.abs(z) <= 2.0 / 3.0, z >= 0
-    face = F.when(belt, belt_face).when(north, quarter).otherwise(quarter + 8)
+    face = F.when(belt, belt_face).when(north, quarter).otherwise(quarter + 8).cast("long")
     x = F.when(belt, F.pmod(down, F.lit(nside))).when(north, nside - 1 - d).otherwise(a).cast("long")
     y = F.when(belt, nside - 1 - F.pmod(up, F.lit(nside))).when(north, nside - 1 - a).otherwise(d).cast("long")
-    bits = nside.bit_length() - 1
-    return (face.cast("long") * (nside * nside) + _spread(x, bits) + 2 * _spread(y, bits)).cast("long")
+    return face, x, y
+
+
+def nested_pixel(nside: int, face: Column, x: Column, y: Column) -> Column:
+    """The NESTED pixel at a place (x, y) on a face."""
+    return (face * (nside * nside) + _spread(x) + 2 * _spread(y)).cast("long")
+
+
+def healpix_nested(nside: int, l: Column, b: Column) -> Column:
+    """HEALPix pixel in NESTED order; nside is a power of two."""
+    return nested_pixel(nside, *nested_place(nside, *sphere(l, b)))
 
 
 def sexagesimal(text: Column) -> Column:

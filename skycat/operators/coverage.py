@@ -10,7 +10,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.coords import Region, healpix_nested, healpix_ring, in_cones, valid_position
+from ..functions.coords import Region, healpix_nested, healpix_ring, in_cones, nested_pixel, nested_place, sphere, valid_position
 
 #: Order of the pixels by which tables are sorted: 12 * 4**12 pixels, about 0.9 arc minutes wide.
 ORDER = 12
@@ -149,8 +149,16 @@ def within(pixel: Column, ranges: Sequence[tuple[int, int]]) -> Column:
 
 
 def with_pixel(rows: DataFrame, l: str = "l", b: str = "b", order: int = ORDER, name: str = PIXEL) -> DataFrame:
-    """`rows` with the nested pixel of their position; null without a valid one."""
-    return rows.withColumn(name, F.when(valid_position(F.col(l), F.col(b)), healpix_nested(1 << order, F.col(l), F.col(b))))
+    """`rows` with the nested pixel of their position; null without a valid one.
+
+    Sines and places are columns of their own: inside a condition, Spark would compute them for each mention.
+    """
+    n, (t, z) = 1 << order, sphere(F.col(l), F.col(b))
+    placed = rows.withColumns({"__valid": valid_position(F.col(l), F.col(b)), "__t": t, "__z": z})
+    face, x, y = nested_place(n, F.when(F.col("__valid"), F.col("__t")), F.when(F.col("__valid"), F.col("__z")))
+    placed = placed.withColumns({"__face": face, "__x": x, "__y": y})
+    pixel = F.when(F.col("__valid"), nested_pixel(n, F.col("__face"), F.col("__x"), F.col("__y")))
+    return placed.withColumn(name, pixel).select(*(c for c in rows.columns if c != name), name)
 
 
 def save_sorted(rows: DataFrame, path: str, l: str = "l", b: str = "b", order: int = ORDER, name: str = PIXEL, files: int | None = None, group_bytes: int = 128 << 20) -> None:

@@ -114,3 +114,9 @@ def test_lookup(spark, sky):
     assert rows.filter("(pix % 2 = 0 and v <> pix * 3) or (pix % 2 = 1 and v is not null)").count() == 0 and rows.count() == 40_000
     some = coverage.points_inside(values, SHAPES["cone"], 3)
     assert 0 < some.count() < 60 and math.isclose(coverage.radius(3), 6.0, rel_tol=0.3)
+
+
+def test_pixels_are_found_with_few_sines(sky):
+    """Conditions that repeat the place of a pixel for each of its bits cost most of a sorted table's time."""
+    plan = coverage.with_pixel(sky)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("SIN(") <= 3
