@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.curves import TAU, display_size, light_curve, relative_flux
-from ..functions.hashing import uniform
+from ..functions.hashing import uniform, with_uniforms
 from ..functions.photometry import clip, positive, vivid_rgb
 from .ordering import with_row_number
 
@@ -71,18 +71,20 @@ def with_parameters(stars: DataFrame) -> DataFrame:
     Expects with_behaviour's columns and source_id, period, amplitude, phase.
     """
     amplitude = F.coalesce(F.when(F.col("amplitude") >= 0, F.col("amplitude")), F.col("amplitude_default"))
-    u = lambda seed: uniform(F.col("source_id"), seed)
-    return stars.withColumns({
+    seeds = {"phase": SEED_PHASE, "mode": SEED_MODE, "irregular": SEED_IRREGULAR, "event": SEED_EVENT, "width": SEED_EVENT ^ SEED_IRREGULAR, "shape": SEED_EVENT ^ SEED_MODE}
+    drawn = with_uniforms(stars, F.col("source_id"), **{f"__u_{what}": seed for what, seed in seeds.items()})
+    u = lambda what: F.col(f"__u_{what}")
+    return drawn.withColumns({
         "used_period": F.coalesce(positive(F.col("period")), F.col("period_default")),
         "used_amplitude": F.least(F.greatest(amplitude, F.col("amplitude_floor")), F.col("amplitude_ceiling")),
-        "used_phase": F.pmod(F.coalesce(F.col("phase"), F.lit(0.0)) + TAU * u(SEED_PHASE), F.lit(TAU)),
-        "mode_phase_1": TAU * u(SEED_MODE),
-        "mode_phase_2": TAU * u(SEED_IRREGULAR),
-        "event_centre": 0.24 + 0.52 * u(SEED_EVENT),
-        "used_irregularity": F.col("irregularity") * (0.75 + 0.5 * u(SEED_IRREGULAR)),
-        "event_width": F.col("width_low") + (F.col("width_high") - F.col("width_low")) * u(SEED_EVENT ^ SEED_IRREGULAR),
-        "event_shape": u(SEED_EVENT ^ SEED_MODE),
-    })
+        "used_phase": F.pmod(F.coalesce(F.col("phase"), F.lit(0.0)) + TAU * u("phase"), F.lit(TAU)),
+        "mode_phase_1": TAU * u("mode"),
+        "mode_phase_2": TAU * u("irregular"),
+        "event_centre": 0.24 + 0.52 * u("event"),
+        "used_irregularity": F.col("irregularity") * (0.75 + 0.5 * u("irregular")),
+        "event_width": F.col("width_low") + (F.col("width_high") - F.col("width_low")) * u("width"),
+        "event_shape": u("shape"),
+    }).drop(*(f"__u_{what}" for what in seeds))
 
 
 # How long stars wait before they appear, the lengths of the ramps (shares of the video), the seeds of the
@@ -131,9 +133,19 @@ def with_map_size(stars: DataFrame, all_classes: bool) -> DataFrame:
 
 def visibility(progress: Column, star: Column, appearance: float = APPEARANCE, intro: float = INTRO, outro: float = OUTRO) -> Column:
     """0 to 1: a star's ramps of appearance, after a delay by its id's hash, and of fading out towards the end."""
-    appear = clip((progress - intro - appearance * uniform(star, SEED_APPEAR)) / FADE_IN, 0.0, 1.0)
+    return ramps(progress, uniform(star, SEED_APPEAR), uniform(star, SEED_FADE), appearance, intro, outro)
+
+
+def ramps(progress: Column, appears: Column, fades: Column, appearance: float = APPEARANCE, intro: float = INTRO, outro: float = OUTRO) -> Column:
+    """`visibility` of a star whose two delays, in [0, 1), are known: they are the same at all times."""
+    appear = clip((progress - intro - appearance * appears) / FADE_IN, 0.0, 1.0)
     late = max(outro - FADE_OUT, 0.0)
-    return appear * clip((1.0 - outro + late * uniform(star, SEED_FADE) - progress) / FADE_OUT, 0.0, 1.0)
+    return appear * clip((1.0 - outro + late * fades - progress) / FADE_OUT, 0.0, 1.0)
+
+
+def with_delays(stars: DataFrame) -> DataFrame:
+    """`stars` with the delays (appears, fades) that `ramps` asks for, once a star."""
+    return with_uniforms(stars, F.col("source_id"), appears=SEED_APPEAR, fades=SEED_FADE)
 
 
 def subtype_set(present: set[str], parts: tuple[str, ...] = ("BE", "GCAS", "SDOR", "WR", "UNKNOWN"), parent: str = "LBV") -> tuple[str, ...]:

@@ -41,8 +41,9 @@ def light_curve_models(spark, sf_dir):
 
 def star_ramps(spark, sf_dir):
     """How many stars are visible, and how far, at eight times of a video that fades out."""
-    both = view(spark, sf_dir, "sources").select("source_id").crossJoin(F.broadcast(_epochs(spark).select("frame", "progress")))
-    shown = both.withColumn("a", behaviour.visibility(F.col("progress"), F.col("source_id"), outro=0.2))
+    stars = behaviour.with_delays(view(spark, sf_dir, "sources").select("source_id"))
+    both = stars.crossJoin(F.broadcast(_epochs(spark).select("frame", "progress")))
+    shown = both.withColumn("a", behaviour.ramps(F.col("progress"), F.col("appears"), F.col("fades"), outro=0.2))
     return shown.groupBy("frame").agg(F.count_if(F.col("a") > 0).alias("visible"), F.round(F.avg("a"), 8).alias("mean_alpha"))
 
 

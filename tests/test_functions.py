@@ -185,3 +185,20 @@ def test_scenario_overrides(spark):
         scenarios.override(rows, {"nothing": {"mean": 1, "sigma": 1}}, F.col("id"))
     with pytest.raises(ValueError):
         scenarios.override(rows, {"progenitor.final_mass_solar": {"distribution": "cauchy"}}, F.col("id"))
+
+
+def test_uniforms_as_columns_equal_the_expression(spark):
+    ids = [0, 1, -1, 7, 123_456_789, 2**62 + 5, 2**63 - 1, -(2**63), None]
+    rows = spark.createDataFrame([(i,) for i in ids], "source_id long")
+    seeds = {"a": 42, "b": 57_721, "c": 27_182 ^ 16_180}
+    both = hashing.with_uniforms(rows, F.col("source_id"), **seeds).select(*seeds, *(hashing.uniform(F.col("source_id"), s).alias(f"x{n}") for n, s in seeds.items()))
+    assert [tuple(r[:3]) for r in both.collect()] == [tuple(r[3:]) for r in both.collect()]
+
+
+def test_delays_are_drawn_once_a_star(spark):
+    """Bound values are interpreted one by one; columns that read each other are compiled."""
+    from skycat.operators import behaviour
+
+    stars = behaviour.with_delays(spark.range(5).select(F.col("id").alias("source_id")))
+    plan = stars._jdf.queryExecution().optimizedPlan().toString()
+    assert "transform(" not in plan and plan.count("Project") > 4
