@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.curves import TAU, display_size, light_curve, relative_flux
 from ..functions.hashing import uniform, with_uniforms
 from ..functions.photometry import clip, positive, vivid_rgb
+from ..workspace import compile_in_parts
 from .ordering import with_row_number
 
 COLUMNS = "cls string, model string, flux_mode string, period_default double, amplitude_default double, amplitude_floor double, irregularity double, temperature_response double, size_scale double, size_response double, intensity_scale double, brightness_response double, amplitude_ceiling double, width_low double, width_high double"
@@ -70,6 +71,7 @@ def with_parameters(stars: DataFrame) -> DataFrame:
 
     Expects with_behaviour's columns and source_id, period, amplitude, phase.
     """
+    compile_in_parts(stars.sparkSession)
     amplitude = F.coalesce(F.when(F.col("amplitude") >= 0, F.col("amplitude")), F.col("amplitude_default"))
     seeds = {"phase": SEED_PHASE, "mode": SEED_MODE, "irregular": SEED_IRREGULAR, "event": SEED_EVENT, "width": SEED_EVENT ^ SEED_IRREGULAR, "shape": SEED_EVENT ^ SEED_MODE}
     drawn = with_uniforms(stars, F.col("source_id"), **{f"__u_{what}": seed for what, seed in seeds.items()})
@@ -157,9 +159,12 @@ def frames(stars: DataFrame, epochs: DataFrame, height: float = 8192.0) -> DataF
     """One row for each star and epoch at which it is visible: flux, sigma, alpha and colour.
 
     epochs (frame, elapsed, progress, opacity) are few by construction (a video's frames) and are broadcast; stars stay
-    where they are, without a shuffle. Expects with_parameters' columns and temperature.
+    where they are, without a shuffle. alpha is at least 0.012 times the opacity, so an epoch shows all stars or none.
+    Expects with_parameters' columns and temperature.
     """
-    both = stars.crossJoin(F.broadcast(epochs))
+    compile_in_parts(stars.sparkSession)
+    # a filter by alpha would be pushed below and compute every curve a second time
+    both = stars.crossJoin(F.broadcast(epochs.filter(F.col("opacity") > 0)))
     cycle = F.pmod(F.col("used_phase") / TAU + F.col("elapsed") / F.col("used_period"), F.lit(1.0))
     both = both.withColumn("cycle", cycle)
     c = {"cycle": F.col("cycle"), "elapsed": F.col("elapsed"), "period": F.col("used_period"), "progress": F.col("progress"), "irregularity": F.col("used_irregularity"), "p1": F.col("mode_phase_1"), "p2": F.col("mode_phase_2"), "centre": F.col("event_centre"), "width": F.col("event_width"), "shape": F.col("event_shape")}
@@ -167,10 +172,10 @@ def frames(stars: DataFrame, epochs: DataFrame, height: float = 8192.0) -> DataF
     both = both.withColumn("signal", F.col("curve.signal")).withColumn("colour_driver", F.coalesce("curve.colour", 2.0 * F.col("signal") - 1.0))
     both = both.withColumn("relative_flux", relative_flux(F.col("signal"), F.col("used_amplitude"), F.col("flux_mode")))
     sigma, alpha = display_size(F.col("relative_flux"), F.col("size_scale"), F.col("size_response"), F.col("intensity_scale"), F.col("brightness_response"), height)
-    both = both.withColumns({"sigma": sigma, "alpha": alpha * F.col("opacity")}).filter(F.col("alpha") > 0)
+    both = both.withColumns({"sigma": sigma, "alpha": alpha * F.col("opacity")})
     factor = clip(1.0 + F.col("temperature_response") * F.col("colour_driver"), 0.52, 1.45)
-    red, green, blue = vivid_rgb(F.col("temperature") * factor)
-    return both.withColumns({"red": red, "green": green, "blue": blue})
+    red, green, blue = vivid_rgb(F.col("__kelvin"))
+    return both.withColumn("__kelvin", F.col("temperature") * factor).withColumns({"red": red, "green": green, "blue": blue}).drop("__kelvin")
 
 
 def editorial_axis(spark: SparkSession, start: float, end: float, count: int = 1000, fps: float = 25.0, before: float = 3.0, active: float = 35.0, edge: float = 0.5) -> DataFrame:

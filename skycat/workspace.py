@@ -36,3 +36,14 @@ def written(df: DataFrame, label: str) -> DataFrame:
     """`df` as Parquet files in the shared folder: computed once, with a short lineage and columns that are read apart."""
     df.write.parquet(path := fresh_dir(df.sparkSession, label))
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def compile_in_parts(spark: SparkSession) -> None:
+    """For steps of very long expressions: sets spark.sql.codegen.hugeMethodLimit to 8,000 where the session has more.
+
+    The JVM interprets a method of over 8,000 bytes for ever; Spark's documentation names that limit for HotSpot. Stages
+    with longer ones are then generated operator by operator, in short methods.
+    """
+    key = "spark.sql.codegen.hugeMethodLimit"
+    if int(spark.conf.get(key, "65535")) > 8_000:
+        spark.conf.set(key, "8000")

@@ -202,3 +202,22 @@ def test_delays_are_drawn_once_a_star(spark):
     stars = behaviour.with_delays(spark.range(5).select(F.col("id").alias("source_id")))
     plan = stars._jdf.queryExecution().optimizedPlan().toString()
     assert "transform(" not in plan and plan.count("Project") > 4
+
+
+def test_curves_are_computed_once_and_compiled_in_parts(spark):
+    stars = spark.createDataFrame([(5, "ECL", 1.0, 0.5, 0.1, 5000.0), (6, "BE", None, None, None, 9000.0)], "source_id long, cls string, period double, amplitude double, phase double, temperature double")
+    epochs = spark.createDataFrame([(0, 0.0, 0.0, 0.0), (1, 3.0, 0.5, 1.0), (2, 4.0, 0.6, None)], "frame int, elapsed double, progress double, opacity double")
+    spark.conf.set("spark.sql.codegen.hugeMethodLimit", "65535")
+    rows = behaviour.frames(behaviour.with_parameters(behaviour.with_behaviour(stars)), epochs)
+    assert spark.conf.get("spark.sql.codegen.hugeMethodLimit") == "8000"
+    assert rows._jdf.queryExecution().optimizedPlan().toString().count("unknown light-curve model") == 1
+    assert {(r.source_id, r.frame) for r in rows.collect()} == {(5, 1), (6, 1)}
+
+
+def test_scores_are_compiled(spark):
+    from skycat.operators import classify
+
+    rows = spark.createDataFrame([(1, 12_000.0, 0.1)], "source_id long, teff_gspphot double, trimmed_range_mag_g_fov double")
+    out = classify.classify(rows)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "aggregate(" not in plan and not [c for c in out.columns if c.startswith("__")]
