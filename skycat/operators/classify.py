@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.hashing import let
+from ..workspace import compile_in_parts, written
 from .ordering import group_percentiles
 
 CLASSES = ("BE", "GCAS", "SDOR", "WR")
@@ -197,17 +198,24 @@ def _poor(df: DataFrame, name: str, t: Thresholds) -> Column:
 WEIGHED = ("teff_gspphot", "logg_gspphot", "lum_flame", "radius_gspphot", "mass_flame", "vbroad")
 
 
+def _inputs(df: DataFrame, t: Thresholds) -> dict[str, Column]:
+    """What several rules read: weights, the spectral label, the absolute magnitude, and whether a temperature is known."""
+    text = F.col("spectraltype_esphs") if "spectraltype_esphs" in df.columns else F.lit(None).cast("string")
+    p, e, g = (_col(df, n) for n in ("parallax", "parallax_error", "phot_g_mean_mag"))
+    sharp = (p > 0) & (e > 0) & (p / e >= t.sharp_parallax)
+    m = F.when(sharp, g + 5.0 * F.log10(p / 1000.0) + 5.0 - F.coalesce(F.col("__ag"), F.lit(0.0)))
+    known = _col(df, "teff_gspphot").isNotNull() & ~_poor(df, "teff_gspphot", t)
+    return {n: _weight(df, n, t) for n in WEIGHED} | {"spectral": normal_label(text), "said": known_text(text).isNotNull(), "absolute": m, "known": known}
+
+
 def _steps(df: DataFrame, t: Thresholds) -> list[tuple[Column, Column, dict, dict]]:
     """(counts as a feature, applies, points by class, group marks) of every rule, in order."""
     c = lambda n: _col(df, n)
+    made = lambda n: F.col(f"__in_{n}")
     no = F.lit(False)
     teff, logg, lum, radius, mass, vb = (c(n) for n in WEIGHED)
-    wt, wg, wl, wr, wm, wv = (_weight(df, n, t) for n in WEIGHED)
-    text = F.col("spectraltype_esphs") if "spectraltype_esphs" in df.columns else F.lit(None).cast("string")
-    spectral, said = normal_label(text), known_text(text).isNotNull()
-    p, e, g = c("parallax"), c("parallax_error"), c("phot_g_mean_mag")
-    sharp = (p > 0) & (e > 0) & (p / e >= t.sharp_parallax)
-    m = F.when(sharp, g + 5.0 * F.log10(p / 1000.0) + 5.0 - F.coalesce(F.col("__ag"), F.lit(0.0)))
+    wt, wg, wl, wr, wm, wv = (made(n) for n in WEIGHED)
+    spectral, said, m, known = made("spectral"), made("said"), made("absolute"), made("known")
     rv = c("rv_amplitude_robust")
     span, deviation = c("trimmed_range_mag_g_fov"), c("std_dev_mag_g_fov")
     skew, kurt = F.abs(c("skewness_mag_g_fov")), c("kurtosis_mag_g_fov")
@@ -219,7 +227,6 @@ def _steps(df: DataFrame, t: Thresholds) -> list[tuple[Column, Column, dict, dic
     add = lambda counts, when, points, groups=(): rules.append((counts, when, points, groups))
     add(said, spectral == "B", {"BE": 1.5, "GCAS": 1.2, "SDOR": 0.4})
     add(no, spectral == "O", {"WR": 1.2, "SDOR": 0.4}, ("WR",))
-    known = teff.isNotNull() & ~_poor(df, "teff_gspphot", t)
     add(known, known & teff.between(t.be_teff_low, t.be_teff_high), {"BE": 2 * wt, "GCAS": 1.7 * wt})
     add(no, known & teff.between(t.hot_low, t.hot_high), {"SDOR": 0.7 * wt})
     add(no, known & (teff >= t.wr_teff), {"WR": 2 * wt, "BE": -0.8 * wt, "GCAS": -0.5 * wt}, ("WR",))
@@ -264,19 +271,24 @@ def scores(df: DataFrame, t: Thresholds = Thresholds()) -> DataFrame:
     """Adds score_be, score_gcas, score_sdor, score_wr (clamped at 0 after every rule), n_features, groups_wr,
     groups_sdor and variability. Expects reddening's columns.
     """
+    compile_in_parts(df.sparkSession)
+    # inputs and conditions are columns: as parts of each score that mentions them they would be computed again and again
     rules = _steps(df, t)
-    ok = [F.coalesce(when, F.lit(False)) for _, when, _, _ in rules]
-    out = df
+    out = df.withColumns({f"__in_{n}": v for n, v in _inputs(df, t).items()})
+    out = out.withColumns({f"__on_{i}": F.coalesce(when, F.lit(False)) for i, (_, when, _, _) in enumerate(rules)})
+    ok = [F.col(f"__on_{i}") for i in range(len(rules))]
+    extra = {}
     for name in CLASSES:
-        parts = [F.struct(F.when(on, F.lit(p[name]) if not isinstance(p[name], Column) else p[name]).otherwise(0.0).cast("double").alias("p")) for on, (_, _, p, _) in zip(ok, rules) if name in p]
-        total = F.aggregate(F.array(*parts), F.lit(0.0), lambda s, x: F.greatest(F.lit(0.0), s + x["p"]))
-        out = out.withColumn(f"score_{name.lower()}", total)
-    features = sum((F.coalesce(counts, F.lit(False)).cast("int") for counts, _, _, _ in rules), F.lit(0))
-    extra = {"n_features": features}
+        total = F.lit(0.0)
+        for on, (_, _, p, _) in zip(ok, rules):
+            if name in p:
+                total = F.greatest(F.lit(0.0), total + F.when(on, F.lit(p[name]) if not isinstance(p[name], Column) else p[name]).otherwise(0.0).cast("double"))
+        extra[f"score_{name.lower()}"] = total
+    extra["n_features"] = sum((F.coalesce(counts, F.lit(False)).cast("int") for counts, _, _, _ in rules), F.lit(0))
     for name in ("WR", "SDOR"):
         extra[f"groups_{name.lower()}"] = sum((on.cast("int") for on, (_, _, _, groups) in zip(ok, rules) if name in groups), F.lit(0))
     extra["variability"] = sum((F.when(on, float(g[3:])).otherwise(0.0) for on, (_, _, _, groups) in zip(ok, rules) for g in groups if g.startswith("VAR")), F.lit(0.0))
-    return out.withColumns(extra)
+    return out.withColumns(extra).drop(*(c for c in out.columns if c.startswith(("__in_", "__on_"))))
 
 
 def classify(df: DataFrame, t: Thresholds = Thresholds()) -> DataFrame:
@@ -345,6 +357,8 @@ REPORTED = ("teff_gspphot", "logg_gspphot", "lum_flame", "radius_gspphot", "mass
 def report(rows: DataFrame) -> DataFrame:
     """(class, n, a median for each of REPORTED): rows and medians of each class."""
     have = [c for c in REPORTED if c in rows.columns]
+    # counts and medians read the classes, which are costly: they are made once
+    rows = written(rows.select("resolved_class", *have), "classified")
     long = rows.select("resolved_class", F.explode(F.array(*(F.struct(F.lit(c).alias("of"), F.col(c).cast("double").alias("v")) for c in have))).alias("x")).select("resolved_class", "x.of", "x.v")
     medians = group_percentiles(long, ["resolved_class", "of"], "v", [0.5])
     wide = medians.groupBy("resolved_class").agg(*(F.max(F.when(F.col("of") == c, F.col("p")[0])).alias(f"median_{c}") for c in have))
