@@ -210,7 +210,8 @@ def test_curves_are_computed_once_and_compiled_in_parts(spark):
     spark.conf.set("spark.sql.codegen.hugeMethodLimit", "65535")
     rows = behaviour.frames(behaviour.with_parameters(behaviour.with_behaviour(stars)), epochs)
     assert spark.conf.get("spark.sql.codegen.hugeMethodLimit") == "8000"
-    assert rows._jdf.queryExecution().optimizedPlan().toString().count("unknown light-curve model") == 1
+    filters = [x for x in rows._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Filter" in x]
+    assert filters and not [x for x in filters if "greatest" in x]
     assert {(r.source_id, r.frame) for r in rows.collect()} == {(5, 1), (6, 1)}
 
 
