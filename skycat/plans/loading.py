@@ -9,7 +9,7 @@ from ..fixtures import ctes, view
 from ..functions import coords
 from ..sources import archive, fits, kinds, sinks, tables
 from ..streaming import ingest
-from ..workspace import fresh_dir, written
+from ..workspace import fresh_dir, shuffle_tasks, written
 from . import maps, stars
 from .catalogues import _tidy
 from .maps import H, W
@@ -150,7 +150,8 @@ def src_chunks(spark, sf_dir):
     """Chunks of one schema, put together again; the whole has the fingerprint of the input in any order."""
     rows = _stars(spark, sf_dir)
     whole = schema.strict_union([rows.filter(F.pmod("source_id", F.lit(3)) == i) for i in range(3)])
-    a, b = tables.fingerprint(rows), tables.fingerprint(whole.repartition(3))
+    # dealt anew, to as many tasks as the session's shuffles have: three would each read a third of the catalogue
+    a, b = tables.fingerprint(rows), tables.fingerprint(whole.repartition(shuffle_tasks(spark)))
     c = tables.fingerprint(rows.withColumn("l", F.col("l") + 1.0)).toDF("n3", "x3", "s3")
     both = a.crossJoin(b.toDF("n2", "x2", "s2")).crossJoin(c)
     return both.select("n", ((F.col("n") == F.col("n2")) & (F.col("xor") == F.col("x2")) & (F.col("sum") == F.col("s2"))).alias("same"), ((F.col("xor") != F.col("x3")) & (F.col("sum") != F.col("s3"))).alias("differs"))
@@ -187,21 +188,23 @@ def sink_map_batch(spark, sf_dir):
 
 
 def stream_chunks(spark, sf_dir):
-    """Four chunk files, two of which arrive after the first run of the stream: each row is taken up once."""
+    """Chunk files in two arrivals, taken up in two batches each: each row once. Their number follows the session's tasks."""
+    n = shuffle_tasks(spark)
     rows, folder, target, state = _stars(spark, sf_dir), fresh_dir(spark, "chunks"), fresh_dir(spark, "catalogue"), fresh_dir(spark, "state")
     for batch in (0, 1):
-        rows.filter(F.pmod("source_id", F.lit(2)) == batch).repartition(2).write.mode("append").parquet(folder)
-        ingest.append_new(ingest.chunks(spark, folder, rows.schema, 1), target, state).awaitTermination()
+        rows.filter(F.pmod("source_id", F.lit(2)) == batch).repartition(n).write.mode("append").parquet(folder)
+        ingest.append_new(ingest.chunks(spark, folder, rows.schema, -(-n // 2)), target, state).awaitTermination()
     back = spark.read.schema(rows.schema).parquet(target)
     return back.agg(F.count("*").alias("n"), F.countDistinct("source_id").alias("ids"), F.round(F.sum("phot_g_mean_mag"), 5).alias("sum_g"))
 
 
 def stream_histogram(spark, sf_dir):
     """The sky histogram kept up to date over two arrivals of chunks equals that of all rows at once."""
+    n = shuffle_tasks(spark)
     rows, folder, target, state = _stars(spark, sf_dir), fresh_dir(spark, "chunks"), fresh_dir(spark, "cells"), fresh_dir(spark, "state")
     for batch in (0, 1):
-        rows.filter(F.pmod("source_id", F.lit(2)) == batch).repartition(3).write.mode("append").parquet(folder)
-        ingest.keep_histogram(ingest.chunks(spark, folder, rows.schema, 1), W, H, target, state, most=3).awaitTermination()
+        rows.filter(F.pmod("source_id", F.lit(2)) == batch).repartition(n).write.mode("append").parquet(folder)
+        ingest.keep_histogram(ingest.chunks(spark, folder, rows.schema, -(-n // 3)), W, H, target, state, most=3).awaitTermination()
     return _tidy(ingest.read_histogram(spark, target))
 
 

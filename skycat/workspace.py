@@ -38,6 +38,11 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def shuffle_tasks(spark: SparkSession) -> int:
+    """Into how many parts the session's shuffles deal rows; at least three."""
+    return max(3, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
 def compile_in_parts(spark: SparkSession) -> None:
     """For steps of very long expressions: sets spark.sql.codegen.hugeMethodLimit to 8,000 where the session has more.
 
