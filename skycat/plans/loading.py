@@ -15,6 +15,10 @@ from .catalogues import _tidy
 from .maps import H, W
 
 
+#: Files of src_ecsv hold ids that agree without their lowest bits: about half a million rows.
+STRETCH_BITS = 20
+
+
 def _stars(spark, sf_dir):
     return view(spark, sf_dir, "sources").select("source_id", "random_index", "l", "b", "phot_g_mean_mag", "teff_gspphot", "bp_rp")
 
@@ -38,13 +42,13 @@ def src_delimited(spark, sf_dir):
 def src_ecsv(spark, sf_dir):
     """Files with a commented header above the names, whose types the columns have."""
     text = F.concat_ws(",", "source_id", F.round("l", 6).cast("string"), F.when(F.col("source_id") % 4 != 0, F.col("random_index").cast("string")).otherwise(""), F.when(F.col("source_id") % 2 == 0, "True").otherwise("False"))
-    rows = _stars(spark, sf_dir).select(text.alias("value"))
-    n = spark.sparkContext.defaultParallelism
-    parts = rows.repartition(n).withColumn("part", F.spark_partition_id())
+    # a file for each stretch of ids: no task's sort grows with the catalogue, only the number of files does
+    parts = _stars(spark, sf_dir).select(text.alias("value"), F.shiftright("source_id", STRETCH_BITS).cast("int").alias("part"))
+    numbers = [r.part for r in parts.select("part").distinct().collect()] or [0]
     lines = ("# %ECSV 1.0", "# ---", "# delimiter: ','", "# datatype:", "# - {name: source_id, datatype: int64}", "# - {name: l, unit: deg, datatype: float64, description: 'longitude, galactic'}", "# - {name: random_index,", "#    datatype: int32}", "# - {name: even, datatype: bool}", "source_id,l,random_index,even")
-    head = spark.range(n).select(F.posexplode(F.array(*map(F.lit, lines))).alias("o", "value"), F.col("id").cast("int").alias("part"))
+    head = spark.createDataFrame([(n,) for n in numbers], "part int").select(F.posexplode(F.array(*map(F.lit, lines))).alias("o", "value"), "part")
     both = head.unionByName(parts.withColumn("o", F.lit(len(lines))))
-    both.repartition(n, "part").sortWithinPartitions("part", "o").select("part", "value").write.partitionBy("part").text(path := fresh_dir(spark, "ecsv"))
+    both.repartition(len(numbers), "part").sortWithinPartitions("part", "o").select("part", "value").write.partitionBy("part").text(path := fresh_dir(spark, "ecsv"))
     return tables.read_ecsv(spark, f"{path}/part=*")
 
 

@@ -4,6 +4,7 @@ import glob
 import os
 
 import pytest
+from pyspark.sql import functions as F
 
 from skycat.plans import loading
 
@@ -30,3 +31,10 @@ def test_a_union_is_dealt_to_the_sessions_tasks(spark, monkeypatch):
     monkeypatch.setattr(loading.tables, "fingerprint", lambda rows: seen.append(rows) or plain(rows))
     assert loading.src_chunks(spark, SF).first().same
     assert seen[1].rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def test_files_are_as_many_as_stretches_of_ids(spark, paths, monkeypatch):
+    monkeypatch.setattr(loading, "STRETCH_BITS", 10)
+    back = loading.src_ecsv(spark, SF)
+    last = back.agg(F.max("source_id")).first()[0]
+    assert 4 < len(paths("ecsv", "/part=*")) <= (last >> 10) + 1
