@@ -38,3 +38,10 @@ def test_files_are_as_many_as_stretches_of_ids(spark, paths, monkeypatch):
     back = loading.src_ecsv(spark, SF)
     last = back.agg(F.max("source_id")).first()[0]
     assert 4 < len(paths("ecsv", "/part=*")) <= (last >> 10) + 1
+
+
+def test_the_archive_takes_a_tasks_share(spark, tmp_path):
+    spark.range(3).withColumnRenamed("id", "random_index").write.parquet(path := str(tmp_path / "stars"))
+    archive = loading.flaky_archive(path)
+    assert archive.db.execute("select current_setting('threads'), current_setting('memory_limit')").fetchone() == (1, "488.2 MiB")
+    archive.close()
