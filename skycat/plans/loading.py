@@ -74,7 +74,8 @@ def src_healpix(spark, sf_dir):
     """Density per pixel as an implicit table of four values a row and as an explicit one, with sentinels and strays."""
     dense = spark.range(768).select(F.col("id").alias("pix"))
     n = _stars(spark, sf_dir).groupBy(coords.healpix_ring(8, F.col("l"), F.col("b")).alias("pix")).agg(F.count("*").alias("n"))
-    rows = dense.join(n, "pix", "left").withColumn("v", F.coalesce(F.col("n").cast("double"), F.lit(tables.BAD_DATA)))
+    # 768 rows that both tables are made of: unwritten, each would read the whole catalogue
+    rows = written(dense.join(n, "pix", "left").withColumn("v", F.coalesce(F.col("n").cast("double"), F.lit(tables.BAD_DATA))), "density")
     packed = rows.groupBy(F.floor(F.col("pix") / 4).alias("p")).agg(F.transform(F.sort_array(F.collect_list(F.struct("pix", "v"))), lambda x: x.v).alias("v"))
     one = tables.healpix_values(packed, "v", position="p", width=4, nside=8)
     strays = rows.select("pix", "v").unionByName(spark.createDataFrame([(-1, 1.0), (768, 2.0)], "pix long, v double"))

@@ -45,3 +45,9 @@ def test_the_archive_takes_a_tasks_share(spark, tmp_path):
     archive = loading.flaky_archive(path)
     assert archive.db.execute("select current_setting('threads'), current_setting('memory_limit')").fetchone() == (1, "488.2 MiB")
     archive.close()
+
+
+def test_densities_are_counted_once(spark):
+    rows = loading.src_healpix(spark, SF)
+    assert "l_orderkey" not in rows._jdf.queryExecution().optimizedPlan().toString()
+    assert rows.count() == 768
