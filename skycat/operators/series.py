@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..workspace import dealt, written
 from .ordering import Step, chunked, group_percentiles, scan
 
 
@@ -76,12 +77,18 @@ def visible_runs(points: DataFrame, inside: str, line: str = "line_id", seq: str
 
 
 def line_vertices(lines: DataFrame, stars: DataFrame) -> DataFrame:
-    """(line_id, seq, ra, dec): the stars of each line (an array of ids, hips); an error lists missing ids."""
-    rows = lines.select("line_id", F.posexplode("hips").alias("seq", "hip"))
-    missing = [r.hip for r in rows.join(stars, "hip", "left_anti").select("hip").distinct().orderBy("hip").limit(10).collect()]
+    """(line_id, seq, ra, dec): the stars of each line (an array of ids, hips); an error lists missing ids.
+
+    One join, whose result is written, finds positions and missing ids. Both its sides are dealt by id, a bounded number
+    of rows to a task (see dealt). `stars` is counted first: write it if it is costly to make.
+    """
+    rows = written(lines.select("line_id", F.posexplode("hips").alias("seq", "hip")), "vertices")
+    known, count = stars.select("hip", "ra", "dec", F.lit(True).alias("known")), max(rows.count(), stars.count())
+    placed = written(dealt(rows, count, "hip").join(dealt(known, count, "hip"), "hip", "left"), "placed")
+    missing = [r.hip for r in placed.filter("known is null").select("hip").distinct().orderBy("hip").limit(10).collect()]
     if missing:
         raise KeyError(f"stars without a position: {missing}")
-    return rows.join(stars, "hip").select("line_id", "seq", "ra", "dec")
+    return placed.select("line_id", "seq", "ra", "dec")
 
 
 def great_circle(segments: DataFrame, step: float = 1.0) -> DataFrame:

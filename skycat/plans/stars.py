@@ -10,6 +10,7 @@ from ..fixtures import VIEWS, ctes, view
 from ..functions import coords, photometry
 from ..operators import behaviour, catalogue, grid, sampling, series
 from ..operators.ordering import with_row_number
+from ..workspace import dealt, written
 from . import catalogues as base
 from .catalogues import _tidy
 
@@ -134,8 +135,9 @@ def selected_ids(spark, sf_dir):
 
 def line_vertices(spark, sf_dir):
     """Lines through the stars of 64 neighbouring ids, their positions found by id."""
-    stars = view(spark, sf_dir, "sources").select(F.col("source_id").alias("hip"), "ra", "dec")
-    lines = stars.groupBy(F.floor(F.col("hip") / 64).alias("line_id")).agg(F.sort_array(F.collect_list("hip")).alias("hips"))
+    stars = written(view(spark, sf_dir, "sources", bounded=True).select(F.col("source_id").alias("hip"), "ra", "dec"), "stars")
+    members = dealt(stars.select(F.floor(F.col("hip") / 64).alias("line_id"), "hip"), stars.count(), "line_id")
+    lines = members.groupBy("line_id").agg(F.sort_array(F.collect_list("hip")).alias("hips"))
     return _tidy(series.line_vertices(lines, stars), 9)
 
 

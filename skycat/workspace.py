@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import math
 import re
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -43,6 +44,21 @@ def shuffle_tasks(spark: SparkSession) -> int:
     return max(3, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+#: What a task sorts or groups in steps that `dealt` bounds. Up to 200 tasks, here 250 million rows, Spark's shuffles are
+#: written without sorting by default.
+ROWS_A_TASK = 1_250_000
+
+
+def dealt(rows: DataFrame, count: int, *keys: str | Column) -> DataFrame:
+    """`rows` dealt by `keys` to a task for each ROWS_A_TASK of `count`, where the session's shuffles have fewer tasks.
+
+    Joins and groups by these keys then need no other shuffle, and the memory of a task doesn't grow with the table. Of two
+    sides of a join, both are dealt by the greater count.
+    """
+    tasks = math.ceil(count / ROWS_A_TASK)
+    return rows.repartition(tasks, *keys) if tasks > shuffle_tasks(rows.sparkSession) else rows
+
+
 def compile_in_parts(spark: SparkSession) -> None:
     """For steps of very long expressions: sets spark.sql.codegen.hugeMethodLimit to 8,000 where the session has more.
 
