@@ -163,7 +163,7 @@ def splat_pixels(spark, sf_dir):
     """Stars as spots on a Hammer image."""
     # the temperature is a column of its own, which every step of the palette reads
     kelvin = photometry.temperature(F.col("teff_gspphot"), F.col("bp_rp"), photometry.VARIABLE_FALLBACK_K)
-    stars = _sources(spark, sf_dir).select("l", "b", "phot_g_mean_mag", kelvin.alias("kelvin"))
+    stars = view(spark, sf_dir, "sources", bounded=True).select("l", "b", "phot_g_mean_mag", kelvin.alias("kelvin"))
     x, y = coords.hammer_xy(F.col("l"), F.col("b"))
     r, g, b = photometry.vivid_rgb(F.col("kelvin"))
     spots = stars.select((x * 128).alias("x"), (y * 64).alias("y"), (2.0 - F.col("phot_g_mean_mag") / 8.0).alias("sigma"), F.lit(0.05).alias("alpha"), r.alias("red"), g.alias("green"), b.alias("blue"))
